@@ -3,7 +3,8 @@
 A shard is one file in Arrow's IPC file format (the stream format plus a footer of batch
 offsets).  Each row is a sequence of equal length: ``ids`` and ``mask`` are fixed-size lists, so
 sequence i sits at a computable place and is read without copying from a memory map.  The mask is
-0 for padding at the end of a shard, 1 for a token, 2 for the last token of a document.  A second
+true for a token and false for padding at the end of a shard; ``last`` marks the last token of each
+document.  Ids are unsigned 16-bit integers where the vocabulary allows, else 32-bit.  A second
 small file lists the shard's documents with their first token.  Shards are written by tasks
 under names that no other attempt uses, and count only once the manifest, a table that
 Spark commits, names them; so lost and repeated tasks do no harm.
@@ -12,6 +13,7 @@ Spark commits, names them; so lost and repeated tasks do no harm.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import uuid
 import zlib
@@ -25,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wavemill.llm.bpe import Cache
 from wavemill.llm.store import Store
 
 #: Sequences in a record batch.
@@ -36,11 +37,14 @@ MANIFEST = "shard int, ids_path string, docs_path string, n_docs long, n_tokens
 class LibraryEncoder:
     """Ids as the tokenizers library gives them, with a bounded cache of what lies between blanks.
 
-    A blank before a visible character always starts a pre-token, so such pieces are encoded apart;
-    texts with runs of white space or with special tokens go to the library whole.
+    A blank before a visible character always starts a pre-token, so such pieces are encoded apart, and
+    a piece's first token is the only one that starts with a blank.  New pieces are given to the
+    library many at a time, joined by blanks, and split there again; first pieces of lines likewise
+    by line ends.  Texts with runs of white space or with special tokens go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 250_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,35 +52,88 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.space = re.compile(r"\s")
-        self.first = Cache(lambda s: self._piece(s, s))
-        self.later = Cache(lambda s: self._piece(s, " " + s))
-        self.newline = self._ids("\n")
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = max(vocabulary.values()) + 1
+        self.blank = np.zeros(self.size, bool)
+        self.blank[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.line_end = vocabulary["\u010a"]
+        self.newline = np.array([self.line_end], "<u4").tobytes()
+        self.limit = limit
+        self.marks = {m: self._ids(m) for m in ".,;:!?"}
+        self.first: dict[str, bytes | None] = {}
+        self.later: dict[str, bytes | None] = {}
+        self.first_old, self.later_old = {}, {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, s: str, whole: str) -> bytes:
-        if not s or self.space.search(s):
-            raise LookupError
-        return self._ids(whole)
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; null is empty."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._ids(text)
-        try:
-            out, later = [], self.later.__getitem__
-            for n, line in enumerate(text.split("\n")):
-                if n:
-                    out.append(self.newline)
-                pieces = line.split(" ")
-                out.append(self.first[pieces[0]])
-                out.extend(map(later, pieces[1:]))
-            return b"".join(out)
-        except LookupError:
-            return self._ids(text)
+    def _learn(self, known: dict, old: dict, wanted: set, joint: str) -> None:
+        """Make sure that ``known`` has the ids of all pieces; those that cannot stand alone get None.
+
+        A full ``known`` becomes ``old``, from which pieces still in use come back.
+        """
+        if len(known) > self.limit:
+            old.clear()
+            old.update(known)
+            known.clear()
+        new = []
+        for s in wanted:
+            if s not in known:
+                if s in old:
+                    known[s] = old[s]
+                else:
+                    new.append(s)
+        regular = [s for s in new if s and not self.space.search(s)]
+        # A mark after a letter is a pre-token of its own.
+        marked = [s for s in regular if s[-1] in self.marks and len(s) > 1 and s[-2].isalpha()]
+        alone = {s[:-1] for s in marked}.union(regular).difference(marked, known)
+        for s in new:
+            known[s] = None
+        alone = list(alone)
+        for low in range(0, len(alone), 4096):
+            some = alone[low : low + 4096]
+            groups = [some[i : i + 64] for i in range(0, len(some), 64)]
+            texts = [(joint if joint == " " else "") + joint.join(g) for g in groups]
+            for group, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                if joint == " ":
+                    ends = [*np.flatnonzero(self.blank[ids])[1:].tolist(), len(ids)]
+                    starts = [0, *ends[:-1]]
+                else:
+                    ends = [*np.flatnonzero(ids == self.line_end).tolist(), len(ids)]
+                    starts = [0, *(x + 1 for x in ends[:-1])]
+                raw = ids.tobytes()
+                for s, x, y in zip(group, starts, ends, strict=True):
+                    known[s] = raw[4 * x : 4 * y]
+        for s in marked:
+            known[s] = known[s[:-1]] + self.marks[s[-1]]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+        split = [None if not t or any(s in t for s in self.special) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        first, later = set(), set()
+        for lines in split:
+            for pieces in lines or ():
+                first.add(pieces[0])
+                later.update(pieces[1:])
+        self._learn(self.first, self.first_old, first, "\n")
+        self._learn(self.later, self.later_old, later, " ")
+        get, out = self.later.__getitem__, []
+        for text, lines in zip(texts, split, strict=True):
+            if lines is None:
+                out.append(self._ids(text) if text else b"")
+                continue
+            try:
+                parts = []
+                for n, pieces in enumerate(lines):
+                    if n:
+                        parts.append(self.newline)
+                    parts.append(self.first[pieces[0]])
+                    parts.extend(map(get, pieces[1:]))
+                out.append(b"".join(parts))
+            except TypeError:  # a piece that cannot stand alone
+                out.append(self._ids(text))
+        return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -91,12 +148,13 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
 class ShardWriter:
     """Packs documents into sequences of ``length`` and writes them batch by batch."""
 
-    def __init__(self, folder: str, name: str, length: int):
+    def __init__(self, folder: str, name: str, length: int, vocabulary: int):
         self.system, base = file_system(folder)
         self.system.create_dir(base, recursive=True)
         self.length, self.size = length, ROWS * length
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
         self.paths = [f"{folder}/{name}.{kind}.arrow" for kind in ("ids", "docs")]
-        self.schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(self.kind), length)), ("mask", pa.list_(pa.bool_(), length)), ("last", pa.list_(pa.bool_(), length))])
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [self.system.open_output_stream(f"{base}/{name}.{kind}.arrow") for kind in ("ids", "docs")]
         self.files = [pa.ipc.new_file(s, x) for s, x in zip(self.sinks, (self.schema, self.docs_schema), strict=True)]
@@ -109,7 +167,7 @@ class ShardWriter:
         self.index.append((doc_id, self.n_tokens, len(ids)))
         self.n_docs += 1
         self.n_tokens += len(ids)
-        self.waiting.append(ids)
+        self.waiting.append(ids.astype(self.kind))
         self.held += len(ids)
         self.ends.append(self.held - 1)
         if self.held >= self.size:
@@ -118,18 +176,19 @@ class ShardWriter:
             self._write_index()
 
     def _write(self, n: int) -> None:
-        flat = np.concatenate(self.waiting) if self.waiting else np.empty(0, np.uint32)
-        mask = np.ones(len(flat), np.uint8)
-        mask[self.ends] = 2
+        flat = np.concatenate(self.waiting) if self.waiting else np.empty(0, self.kind)
+        last = np.zeros(len(flat), bool)
+        last[self.ends] = True
         rest = flat[n:].copy()
         for low in range(0, min(n, len(flat)), self.size):
-            self._batch(flat[low : min(low + self.size, n)], mask[low : min(low + self.size, n)])
+            high = min(low + self.size, n)
+            self._batch(flat[low:high], last[low:high])
         self.waiting, self.held, self.ends = [rest], len(rest), [e - n for e in self.ends if e >= n]
 
-    def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
+    def _batch(self, ids: np.ndarray, last: np.ndarray) -> None:
         short = -len(ids) % self.length
-        ids, mask = np.pad(ids, (0, short)), np.pad(mask, (0, short))
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        mask = np.pad(np.ones(len(ids), bool), (0, short))
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (np.pad(ids, (0, short)), mask, np.pad(last, (0, short)))]
         self.files[0].write_batch(pa.record_batch(lists, schema=self.schema))
 
     def _write_index(self) -> None:
@@ -163,10 +222,10 @@ class Shard:
             self.cached = (n, self.ids.get_batch(n))
         return self.cached[1]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence i, as views of the file."""
+    def sequence(self, i: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Ids, mask and last of sequence i, as slices of the file."""
         b, row = self._batch(i // ROWS), i % ROWS
-        return tuple(b.column(c).values.to_numpy()[row * self.length : (row + 1) * self.length] for c in (0, 1))
+        return tuple(b.column(c).values.slice(row * self.length, self.length) for c in range(3))
 
     def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from ``start`` on, as views of the batches that hold them."""
@@ -194,9 +253,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, length: int = 2048, en
         for b in batches:
             for low in range(0, b.num_rows, 256):
                 part = b.slice(low, 256)
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    out = out or ShardWriter(folder, f"shard-{number:06d}-{uuid.uuid4().hex}", length)
-                    out.add(doc, np.frombuffer(coder.encode(text) + tail, "<u4"))
+                for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
+                    out = out or ShardWriter(folder, f"shard-{number:06d}-{uuid.uuid4().hex}", length, max(coder.size, end_id + 1))
+                    out.add(doc, np.frombuffer(ids + tail, "<u4"))
         if out:
             out.close()
             values = [number, *out.paths, out.n_docs, out.n_tokens]
@@ -221,7 +280,7 @@ def read_documents(manifest: DataFrame, length: int = 2048) -> DataFrame:
                 for doc, start, n in shard.documents():
                     crc = 0
                     for view in shard.tokens(start, n):
-                        crc = zlib.crc32(view, crc)
+                        crc = zlib.crc32(view.astype("<u4"), crc)
                     out.append((doc, row["shard_start"] + start, n, crc))
                     if len(out) == 20_000:
                         yield table(out)
