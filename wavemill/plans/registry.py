@@ -31,7 +31,7 @@ VIEWS = {
     "fr": "SELECT label AS track_id, vec_id AS frame_no, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings",
     "spectra": """SELECT track_id, frame_no, k, sqrt(re * re + im * im) AS mag FROM (SELECT track_id, frame_no, k::INTEGER AS k, sum(x * cos(2 * pi() * ((n * k) % 64) / 64)) AS re,
     sum(x * sin(2 * pi() * ((n * k) % 64) / 64)) AS im FROM fr, range(33) t(k) GROUP BY ALL)""",
-    "spec": """SELECT track_id, idx AS k, CASE WHEN abs(x) > 1e-10 THEN 20 * log10(abs(x)) ELSE -200 END - CASE WHEN idx >= 300 + track_id % 200 THEN 40 ELSE 0 END AS db,
+    "spec": """SELECT track_id, idx AS k, CASE WHEN abs(x) > 1e-10 THEN 20 * log10(abs(x)) ELSE -200 END - CASE WHEN idx >= 300 + track_id * 37 % 260 THEN 40 ELSE 0 END AS db,
     count(*) OVER (PARTITION BY track_id) AS bins FROM supp""",
 }
 NEEDS = {"spectra": ["fr"], "spec": ["supp"]}

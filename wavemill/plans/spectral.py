@@ -189,10 +189,11 @@ c AS (SELECT track_id, o, r, count(*) AS n, count(*) FILTER (around - low > 15)
 SELECT track_id, arg_min(r, o) AS original_rate, round(arg_min(least(0.85, greatest(0.3, z / n * 0.8)), o), 6) AS confidence FROM c GROUP BY ALL""",
     "spec",
 )
-ROOTS = ", ".join(f"({i}, {r}, {int(r / 2 / RES2 + 0.5)})" for i, r in enumerate(spectra.RATES[:4]) if r < R2)
+R3 = 100_000
+ROOTS = ", ".join(f"({i}, {r}, {int(r / 2 / (R3 / S2) + 0.5)})" for i, r in enumerate(spectra.RATES[:4]) if r < R3)
 add(
     "upsampling_shelf",
-    lambda s, d: spectra.upsampling_shelf(spec_supp(s, d), R2, S2),
+    lambda s, d: spectra.upsampling_shelf(spec_supp(s, d), R3, S2),
     f"""WITH c(o, r, b) AS (VALUES {ROOTS}), e AS (SELECT track_id, o, r, b, max(bins) AS bins, avg(pow(10, db / 10)) FILTER (k >= b // 2 AND k < b) AS lo, avg(pow(10, db / 10)) FILTER (k >= b) AS hi FROM spec, c GROUP BY ALL),
 f AS (SELECT *, -10 * log10(greatest(hi / lo, 1e-15)) AS gap FROM e WHERE bins >= 64 AND b < bins - 4 AND lo > 1e-14 AND hi / lo < 0.01)
 SELECT track_id, arg_min(r, o) AS original_rate, round(arg_min(gap, o), 6) AS gap_db, round(arg_min(least(0.95, greatest(0.4, (gap - 20) / 30)), o), 6) AS confidence FROM f GROUP BY ALL""",
