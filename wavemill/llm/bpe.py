@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 #: How byte-level vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a word cache; at twice as many the older half goes.
-CACHE = 200_000
+CACHE = 150_000
 #: Input characters handed to the transducer at a time.
 CHUNK = 1 << 16
+#: Later than every merge.
+NEVER = 1 << 60
 
 
 def _byte_chars() -> dict[str, int]:
@@ -53,38 +55,60 @@ class Merges:
         if any(a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec.get("added_tokens", [])):
             raise ValueError("added tokens that take in their surroundings are not supported")
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, int] = {}  # by both ids in one integer
         self.parts: dict[int, tuple[int, int]] = {}
         self.made: dict[int, int] = {}
         vocab = model["vocab"]
         for r, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            self.rank[x, y] = r
+            self.rank[x << 20 | y] = r
             if z not in self.parts:
                 self.parts[z], self.made[z] = (x, y), r
                 if max(self.made.get(x, -1), self.made.get(y, -1)) >= r:
                     raise ValueError("a merge comes before its parts")
         self.longest = max(map(len, self.id_of))
-        self.heads = {b[:i] for b in self.id_of for i in range(2, len(b) + 1)}
+        self.sizes = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)]
+        #: The longest token that begins each beginning of a token, and the next shorter one of each token.
+        self.heads: dict[bytes, int] = {}
+        self.shorter = [-1] * len(self.sizes)
+        for b, t in sorted(self.id_of.items(), key=lambda x: len(x[0])):
+            if len(b) > 1:
+                self.shorter[t] = self._begin(b[:-1])
+                for i in range(len(b) - 1, 1, -1):
+                    if b[:i] in self.heads:
+                        break
+                    self.heads[b[:i]] = self._begin(b[:i])
+            self.heads[b] = t
         self._left: dict[int, list] = {}
         self._right: dict[int, list] = {}
         self._stable: dict[int, bool] = {}
         self.lookahead = self._lookahead()
 
     def _edge(self, t: int, side: int) -> list[tuple[int, int]]:
-        """Tokens at one edge of t while it is built, each with the rank at which it appears."""
+        """Tokens at one edge of t while it is built, each with the rank of the merge that takes it in."""
         known = (self._left, self._right)[side]
-        if t not in known:
-            known[t] = ([*self._edge(self.parts[t][side], side)] if t in self.parts else []) + [(t, self.made.get(t, -1))]
-        return known[t]
+        out = known.get(t)
+        if out is None:
+            shift = 20 * side  # ready to be joined to a pair
+            out = [(x, r) for x, r in self._edge(self.parts[t][side], side)] if t in self.parts else []
+            if out:
+                out[-1] = (out[-1][0], self.made[t])
+            out.append((t << shift, NEVER))
+            known[t] = out
+        return out
+
+    def _begin(self, head: bytes) -> int:
+        """The longest token that is a beginning of ``head``."""
+        return next((t for i in range(len(head), 0, -1) if (t := self.id_of.get(head[:i])) is not None), -1)
 
     def _lookahead(self) -> int:
         """Bytes to the right of a border that can decide whether it stays a border."""
         best: dict[int, int] = {}
         most = 0
-        for (a, b), _ in sorted(self.rank.items(), key=lambda x: x[1]):
-            reach = len(self.bytes_of[b]) + max(best.get(x, 0) for x, _ in self._edge(b, 1))
+        for pair, _ in sorted(self.rank.items(), key=lambda x: x[1]):
+            a, b = pair >> 20, pair & 0xFFFFF
+            reach = len(self.bytes_of[b]) + max(best.get(x >> 20, 0) for x, _ in self._edge(b, 1))
             best[a] = max(best.get(a, 0), reach)
             most = max(most, reach)
         return most + self.longest
@@ -94,27 +118,28 @@ class Merges:
         key = a << 20 | b
         known = self._stable.get(key)
         if known is None:
-            if len(self._stable) > 2_000_000:
+            if len(self._stable) > 600_000:
                 self._stable.clear()
             known = self._stable[key] = self._holds(a, b)
         return known
 
     def _holds(self, a: int, b: int) -> bool:
-        left, right = self._edge(a, 1), self._edge(b, 0)
-        i = j = 0
+        get = self.rank.get
+        if get(a << 20 | b) is not None:
+            return False
+        left, right = iter(self._right.get(a) or self._edge(a, 1)), iter(self._left.get(b) or self._edge(b, 0))
+        (x, until_x), (y, until_y) = next(left), next(right)
         while True:
-            next_i = left[i + 1][1] if i + 1 < len(left) else 1 << 60
-            next_j = right[j + 1][1] if j + 1 < len(right) else 1 << 60
-            r = self.rank.get((left[i][0], right[j][0]))
+            r = get(x | y)
             # Of equal merges the leftmost goes first: inside a before the border, the border before b.
-            if r is not None and r < next_i and r <= next_j:
+            if r is not None and r < until_x and r <= until_y:
                 return False
-            if next_i == next_j == 1 << 60:
-                return True
-            if next_i <= next_j:
-                i += 1
+            if until_x <= until_y:
+                if until_x == NEVER:
+                    return True
+                x, until_x = next(left)
             else:
-                j += 1
+                y, until_y = next(right)
 
     def transduce(self, pieces: Iterator[bytes]) -> Iterator[int]:
         """Ids of one pre-token given in pieces; holds a few times the lookahead, however long it is."""
@@ -132,53 +157,41 @@ class Merges:
                 data = data[end:]
         yield from self._window(data, before)
 
-    def _match(self, data: bytes, at: int, below: int) -> tuple[int, int]:
-        """Longest token at ``at`` that is shorter than ``below`` bytes, and its length; (-1, 0) if none."""
-        heads = self.heads
-        size = 1
-        top = min(below - 1, len(data) - at)
-        if below > self.longest:  # not tried before: go up while some token begins like this
-            while size < top and data[at : at + size + 1] in heads:
-                size += 1
-        else:
-            size = top
-        while size > 0:
-            t = self.id_of.get(data[at : at + size])
-            if t is not None:
-                return t, size
-            size -= 1
-        return -1, 0
-
     def _window(self, data: bytes, before: int | None) -> list[int]:
         """Ids of ``data``, whose left neighbour is ``before``: stable longest matches, with retreat."""
+        heads, shorter, sizes, known, stable = self.heads, self.shorter, self.sizes, self._stable, self.stable
         out: list[int] = []
-        sizes: list[int] = []
         dead: set[int] = set()  # ends from which the rest cannot be covered
-        known, n, at, below = self._stable, len(data), 0, self.longest + 1
+        n, at, t, fresh = len(data), 0, -1, True
+        prev = -1 if before is None else before
         while at < n:
-            prev = out[-1] if out else before
-            while True:
-                t, size = self._match(data, at, below)
-                if t < 0:
-                    dead.add(at)
-                    at -= sizes[-1]
-                    below = sizes.pop()
-                    out.pop()
-                    break
-                if at + size not in dead:
-                    if prev is None:
-                        fits = self._builds(t)
-                    else:
-                        fits = known.get(prev << 20 | t)
-                        if fits is None:
-                            fits = self.stable(prev, t)
+            if fresh:  # the longest token here
+                end = at + 1
+                head = data[at:end]
+                while (found := heads.get(head)) is not None:
+                    t = found
+                    if end == n:
+                        break
+                    end += 1
+                    head = data[at:end]
+            while t >= 0:
+                if not dead or at + sizes[t] not in dead:
+                    fits = known.get(prev << 20 | t) if prev >= 0 else self._builds(t)
+                    if fits is None:
+                        fits = stable(prev, t)
                     if fits:
-                        out.append(t)
-                        sizes.append(size)
-                        at += size
-                        below = self.longest + 1
                         break
-                below = size
+                t = shorter[t]
+            if t >= 0:
+                out.append(t)
+                at += sizes[t]
+                prev, fresh = t, True
+            else:
+                dead.add(at)
+                t = out.pop()
+                at -= sizes[t]
+                prev = out[-1] if out else -1 if before is None else before
+                t, fresh = shorter[t], False
         return out
 
     def _builds(self, t: int) -> bool:
@@ -220,23 +233,29 @@ class _Irregular(Exception):
 
 
 class Encoder:
-    """Encodes whole texts; ``encode_words`` maps a list of distinct pre-tokens to id lists."""
+    """Encodes whole texts by a function from one pre-token to its ids."""
 
     def __init__(self, encode_word, special: dict[str, int]):
+        self.encode_word = encode_word
         self.split = regex.compile(PATTERN)
         self.space = re.compile(r"\s")
         self.special = special
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.words = Cache(lambda w: np.array(encode_word(w), "<u4").tobytes())
         # A blank before a word always starts a pre-token, so what lies between blanks is encoded apart.
-        self.first = Cache(lambda s: self._chunk(s, s))
-        self.later = Cache(lambda s: self._chunk(s, " " + s))
-        self.newline = self.words["\n"]
+        self.first = Cache(lambda s: self._chunk(s, ""), CACHE // 4)
+        self.later = Cache(lambda s: self._chunk(s, " "))
+        self.marks = {m: self._word(m) for m in ".,;:!?"}
+        self.newline = self._word("\n")
 
-    def _chunk(self, s: str, whole: str) -> bytes:
+    def _word(self, word: str) -> bytes:
+        return np.array(self.encode_word(word), "<u4").tobytes()
+
+    def _chunk(self, s: str, blank: str) -> bytes:
         if not s or self.space.search(s):
             raise _Irregular
-        return b"".join([self.words[w] for w in self.split.findall(whole)])
+        if s[-1] in self.marks and len(s) > 1 and s[-2].isalpha():  # a mark after a letter is a pre-token of its own
+            return (self.later if blank else self.first)[s[:-1]] + self.marks[s[-1]]
+        return self._word(blank + s) if s.isalpha() else b"".join([self._word(w) for w in self.split.findall(blank + s)])
 
     def _plain(self, text: str) -> bytes:
         try:
@@ -249,11 +268,7 @@ class Encoder:
                 out.extend(map(later, chunks[1:]))
             return b"".join(out)
         except _Irregular:  # runs of blanks and other white space
-            get = self.words.__getitem__
-            return b"".join(get(m.group()) if m.end() - m.start() < 4096 else self._long(m.group()) for m in self.split.finditer(text))
-
-    def _long(self, word: str) -> bytes:
-        return self.words.make(word)
+            return b"".join([self._word(m.group()) for m in self.split.finditer(text)])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null is empty."""
