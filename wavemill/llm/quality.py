@@ -25,10 +25,10 @@ WINDOW = 8
 FEATURES = "word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: Measure: its value (an integer for each document), and the slack added to the fence.
 MEASURES: dict[str, tuple[str, int]] = {
-    "mean_chars": ("100 * word_chars div n_words", 100),
-    "symbols": ("1000 * n_symbols div n_words", 100),
-    "dup_lines": ("1000 * n_dup_lines div n_words", 20),
-    "repeats": ("1000 * n_repeat_words div n_words", 100),
+    "mean_chars": ("100 * word_chars div greatest(n_words, 1)", 100),
+    "symbols": ("1000 * n_symbols div greatest(n_words, 1)", 100),
+    "dup_lines": ("1000 * n_dup_lines div greatest(n_words, 1)", 20),
+    "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 100),
 }
 
 
