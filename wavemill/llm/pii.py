@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 6
+LONGEST = 8
 #: Tokens around a trigger that a window takes in.
 MARGIN = 6
 # The patterns of the base spans.
@@ -32,10 +32,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"@|(?:[0-9][\x20().+/-]{0,2}){7}|(?<=[\x20\[(])(?:dot|DOT)(?=[\x20\])])")
+TRIGGER = re.compile(r"@|(?:[0-9][^A-Za-z0-9\n]{0,3}){7}|[0-9]{1,3}(?:[^A-Za-z0-9\n]{1,3}[0-9]{1,3}){3}|(?<=[\x20\[(])(?:dot|DOT)(?=[\x20\])])")
 TOKEN = re.compile(r"[^\s,;]+")
 AT = re.compile(r"@|[\[(]at[\])]|\bat\b", re.IGNORECASE)
 DOT = re.compile(r"[\[(]dot[\])]|\bdot\b", re.IGNORECASE)
+PARTS = re.compile(r"[0-9]+")
 HINTS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "account", "iban"), "phone": ("tel", "phone", "call", "fax", "mobile")}
 
 Span = tuple[int, int, int]
@@ -85,7 +86,10 @@ def plausible(s: str) -> bool:
         return False
     if "@" in s or (DOT.search(s) and AT.search(s)):
         return True
-    return 7 <= sum("0" <= c <= "9" for c in s) <= 24 and sum(c.isalpha() for c in s) <= 8
+    if sum(c.isalpha() for c in s) > 8:
+        return False
+    parts = PARTS.findall(s)
+    return 7 <= sum(map(len, parts)) <= 24 or (len(parts) == 4 and max(map(len, parts)) <= 3)
 
 
 def features(s: str, before: str) -> list[str]:

@@ -118,7 +118,7 @@ def added_spans(text: str, ratio: Ratio, base: list[Span], least: float, per_cha
 
 
 def find_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 12.0, per_char: float = 0.6, sample: int = 2000, ratio: Ratio | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 8.0, per_char: float = 0.35, sample: int = 2000, ratio: Ratio | None = None
 ) -> DataFrame:
     """``(doc_id, spans array<struct<kind, start, end, base>>)`` of every row, ordered by start, then kind.
 
