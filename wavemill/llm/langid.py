@@ -16,7 +16,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes scored at a time.
@@ -74,6 +73,8 @@ class Model:
         self.codes: list[_Table] = []
         self.escapes: list[_Table] = []
         wide = len(self.langs)
+        if not wide:
+            return
         for k in range(self.order + 1):
             mine = ks == k
             gram, n, lang = grams[mine].astype(np.uint64), counts[mine], which[mine]
@@ -138,18 +139,16 @@ def grams_of(padded: np.ndarray, k: int) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, learn: Column, per_lang: int, id_col: str, lang_col: str) -> DataFrame:
-    """The labelled rows to learn from: of each language those of the ``per_lang`` smallest id hashes."""
-    order = F.xxhash64(F.col(id_col).cast("string"))
-    rows = docs.where(learn & F.col(lang_col).isNotNull())
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    ranked = rows.select(F.col(lang_col).cast("string").alias("lang"), order.alias("h")).withColumn("n", rank).where(F.col("n") <= per_lang)
-    limits = ranked.groupBy("lang").agg(F.max("h").alias("limit"))
+    """The labelled rows to learn from: those whose id hash lies in the share that gives ``per_lang`` rows of a language on average."""
+    part = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 11) / float(1 << 53)
+    rows = docs.where(learn & F.col(lang_col).isNotNull()).withColumn("__lang", F.col(lang_col).cast("string"))
+    limits = rows.groupBy("__lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("__limit"))
     # One row for each language.
-    return rows.select(F.col(lang_col).cast("string").alias("lang"), order.alias("h"), F.col("__text")).join(F.broadcast(limits), "lang").where("h <= limit")
+    return rows.withColumn("__part", part).join(F.broadcast(limits), "__lang").where("__part < __limit").select(F.col("__lang").alias("lang"), "__text")
 
 
 def train(docs: DataFrame, learn: Column, order: int = 3, per_lang: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model from a bounded sample: whole texts of ``per_lang`` labelled documents of each language.
+    """A model from a bounded sample: whole texts of about ``per_lang`` labelled documents of each language, all if there are fewer.
 
     Counting runs on the executors; the driver gets the counts of the sample, no texts.
     """
