@@ -43,7 +43,7 @@ class LibraryEncoder:
     by line ends.  Texts with runs of white space or with special tokens go to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
@@ -83,7 +83,7 @@ class LibraryEncoder:
                     known[s] = old[s]
                 else:
                     new.append(s)
-        regular = [s for s in new if s and not self.space.search(s)]
+        regular = [s for s in new if s.isalpha() or (s and not self.space.search(s))]
         # A mark after a letter is a pre-token of its own.
         marked = [s for s in regular if s[-1] in self.marks and len(s) > 1 and s[-2].isalpha()]
         alone = {s[:-1] for s in marked}.union(regular).difference(marked, known)
@@ -110,12 +110,18 @@ class LibraryEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        split = [None if not t or any(s in t for s in self.special) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        split: list[list[tuple[str, list[str]]] | None] = []
         first, later = set(), set()
-        for lines in split:
-            for pieces in lines or ():
-                first.add(pieces[0])
-                later.update(pieces[1:])
+        for t in texts:
+            lines = None
+            if t and not any(s in t for s in self.special):
+                lines = []
+                for line in t.split("\n"):
+                    head, *rest = line.split(" ")
+                    first.add(head)
+                    later.update(rest)
+                    lines.append((head, rest))
+            split.append(lines)
         self._learn(self.first, self.first_old, first, "\n")
         self._learn(self.later, self.later_old, later, " ")
         get, out = self.later.__getitem__, []
@@ -125,11 +131,11 @@ class LibraryEncoder:
                 continue
             try:
                 parts = []
-                for n, pieces in enumerate(lines):
+                for n, (head, rest) in enumerate(lines):
                     if n:
                         parts.append(self.newline)
-                    parts.append(self.first[pieces[0]])
-                    parts.extend(map(get, pieces[1:]))
+                    parts.append(self.first[head])
+                    parts.extend(map(get, rest))
                 out.append(b"".join(parts))
             except TypeError:  # a piece that cannot stand alone
                 out.append(self._ids(text))
@@ -251,8 +257,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, length: int = 2048, en
         tail = np.array([end_id], "<u4").tobytes()
         number = TaskContext.get().partitionId()
         for b in batches:
-            for low in range(0, b.num_rows, 256):
-                part = b.slice(low, 256)
+            for low in range(0, b.num_rows, 1024):
+                part = b.slice(low, 1024)
                 for doc, ids in zip(part.column(0).to_pylist(), coder.encode(part.column(1).to_pylist()), strict=True):
                     out = out or ShardWriter(folder, f"shard-{number:06d}-{uuid.uuid4().hex}", length, max(coder.size, end_id + 1))
                     out.add(doc, np.frombuffer(ids + tail, "<u4"))
