@@ -184,7 +184,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that share an id are one document: the one with the smallest text stays.  Rows with a
     null id have no place in a class and stay.
     """
-    classes = near_duplicates(docs, id_col, text_col, **how)
+    return keep_smallest(docs, near_duplicates(docs, id_col, text_col, **how), id_col, text_col)
+
+
+def keep_smallest(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the document of the smallest id of each of ``classes`` of (doc_id, component_id)."""
     chosen = classes.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     rank = "__rank"
     while rank in docs.columns:
