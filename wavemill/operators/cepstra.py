@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,15 +117,48 @@ def cosine_pairs(a: DataFrame, b: DataFrame, top_k: int) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(W.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id"))).where(F.col("rank") <= top_k)
 
 
-def euclid_pairs(a: DataFrame, b: DataFrame, max_dist: float, method: str = "exact", width: float = 1.0, tables: int = 6) -> DataFrame:
-    """``(a_id, b_id, distance)`` within ``max_dist``: ``exact`` over a stated set, or ``lsh`` by hashing both sides."""
+def euclid_pairs(a: DataFrame, b: DataFrame, max_dist: float, method: str = "exact", block: int = 4096) -> DataFrame:
+    """``(a_id, b_id, distance)`` within ``max_dist``: ``exact`` over a stated set, or ``blocks`` over any, as exact, by pairs of blocks of rows."""
     if method == "exact":
         q, c = a.select(F.col("id").alias("a_id"), F.col("v").alias("av")), b.select(F.col("id").alias("b_id"), F.col("v").alias("bv"))
         return q.join(c, F.col("a_id") != F.col("b_id")).select("a_id", "b_id", euclid("av", "bv").alias("distance")).where(F.col("distance") <= max_dist)
-    left, right = (x.select("id", array_to_vector("v").alias("vec")) for x in (a, b))
-    model = BucketedRandomProjectionLSH(inputCol="vec", outputCol="h", bucketLength=width, numHashTables=tables, seed=1).fit(right)
-    j = model.approxSimilarityJoin(left, right, max_dist, "distance")
-    return j.select(F.col("datasetA.id").alias("a_id"), F.col("datasetB.id").alias("b_id"), "distance").where("a_id <> b_id")
+    left, right = (x.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v")) for x in (a, b))
+    m, n = (-(-x.count() // block) or 1 for x in (left, right))
+    mine, other = (lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    left, right = left.select("id", "v", mine(m).alias("i"), other(n).alias("j")), right.select("id", "v", mine(n).alias("j"), other(m).alias("i"))
+    return left.groupBy("i", "j").cogroup(right.select("id", "v", "i", "j").groupBy("i", "j")).applyInArrow(_near(max_dist), f"a_id {a.schema['id'].dataType.simpleString()}, b_id {b.schema['id'].dataType.simpleString()}, distance double")
+
+
+def _near(max_dist: float):
+    """Function over two blocks of ``(id, v)``: their pairs within ``max_dist``, vectors of one length each time."""
+
+    def by_length(t: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
+        v, n = t["v"].combine_chunks(), pc.list_value_length(t["v"]).to_numpy()
+        ids = t["id"].combine_chunks()
+        return {int(k): (ids.filter(pa.array(n == k)), pc.list_flatten(v.filter(pa.array(n == k))).to_numpy(zero_copy_only=False).reshape(-1, k)) for k in set(n.tolist()) if k}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a_ids, b_ids, found = [left["id"].combine_chunks().slice(0, 0)], [right["id"].combine_chunks().slice(0, 0)], [np.empty(0)]
+        one, two = by_length(left), by_length(right)
+        for k in one.keys() & two.keys():
+            (ai, av), (bi, bv) = one[k], two[k]
+            b2 = (bv * bv).sum(axis=1)
+            for low in range(0, len(av), 256):
+                x = av[low : low + 256]
+                a2 = (x * x).sum(axis=1)[:, None]
+                # The product only narrows, with room for its rounding; differences decide.
+                i, j = np.nonzero(a2 + b2 - 2 * (x @ bv.T) <= max_dist * max_dist + 1e-9 * (1 + a2 + b2))
+                for at in range(0, len(i), 65536):
+                    u, w = i[at : at + 65536], j[at : at + 65536]
+                    d = np.sqrt(((x[u] - bv[w]) ** 2).sum(axis=1))
+                    near = d <= max_dist
+                    a_ids.append(ai.take(pa.array(u[near] + low)))
+                    b_ids.append(bi.take(pa.array(w[near])))
+                    found.append(d[near])
+        out = pa.table({"a_id": pa.chunked_array(a_ids), "b_id": pa.chunked_array(b_ids), "distance": pa.array(np.concatenate(found))})
+        return out.filter(pc.not_equal(out["a_id"], out["b_id"]))
+
+    return run
 
 
 def mfcc_lossy_finding(stats: DataFrame, frames: DataFrame, variant: str = "current") -> DataFrame:

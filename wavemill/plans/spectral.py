@@ -301,7 +301,7 @@ add(
     lambda s, d: cepstra.euclid_pairs(asked(s, d), vec64(s, d), 1.2),
     f"WITH {VEC} SELECT q.id AS a_id, v.id AS b_id, round(list_distance(q.v, v.v), 6) AS distance FROM q, v WHERE q.id <> v.id AND list_distance(q.v, v.v) <= 1.2",
 )
-add("euclid_pairs_lsh", lambda s, d: cepstra.euclid_pairs(asked(s, d), vec64(s, d), 1.1, method="lsh", width=2.0))
+add("euclid_pairs_lsh", lambda s, d: cepstra.euclid_pairs(vec64(s, d), vec64(s, d), 1.1, method="blocks"))
 
 # Hum: the frame view read as spectra with 10 Hz bins.
 HRES = 10.0
