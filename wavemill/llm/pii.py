@@ -7,10 +7,14 @@ stands before it); dynamic programming over segments of bounded length chooses b
 and types jointly, and the forward sums over the same lattice give the likelihood it is
 trained with.  Training windows come from labelled samples: base spans, also in disguises that
 the patterns miss, and number groups that are no personal data.
+
+A text of any length takes time in proportion: patterns never step back over what they have read, and
+stretches around triggers are labelled in windows of at most ``SPAN`` tokens.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 from collections.abc import Iterator
@@ -20,14 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.llm.spans import Span, apart
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 8
 #: Tokens around a trigger that a window takes in.
 MARGIN = 6
-# The patterns of the base spans.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: Characters that a window reaches beyond a trigger at most.
+REACH = 512
+#: Tokens that are labelled together at most.
+SPAN = 512
+# The patterns of the base spans.  The parts of each exclude each other, so possessive repeats
+# match the same; a digit run is read once, for a match that starts within it starts at its first digit.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -39,8 +50,6 @@ DOT = re.compile(r"[\[(]dot[\])]|\bdot\b", re.IGNORECASE)
 PARTS = re.compile(r"[0-9]+")
 HINTS = {"email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"), "card": ("card", "visa", "account", "iban"), "phone": ("tel", "phone", "call", "fax", "mobile")}
 
-Span = tuple[int, int, int]
-
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -51,7 +60,13 @@ def luhn(digits: str) -> bool:
 
 
 def digits_of(s: str) -> str:
-    return "".join(DIGIT.findall(s))
+    return "".join(PARTS.findall(s))
+
+
+def octet(part: str) -> bool:
+    """Whether a digit run of any length is a number up to 255."""
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or "0") <= 255
 
 
 def base_spans(text: str) -> list[Span]:
@@ -69,9 +84,9 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", low)
     if not DIGIT.search(text):
         return out
-    out += [(1, *m.span()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(1, *m.span()) for m in IP.finditer(text) if all(map(octet, m[0].split(".")))]
     for m in CARD.finditer(text):
-        if m.end() - m.start() >= 12:
+        if 12 <= m.end() - m.start() <= 37:
             d = digits_of(m[0])
             if 12 <= len(d) <= 19 and luhn(d):
                 out.append((2, *m.span()))
@@ -80,9 +95,10 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+@functools.lru_cache(maxsize=1 << 15)
 def plausible(s: str) -> bool:
     """Whether a segment may be an entity at all; others are outside without being scored."""
-    if s[0].isspace() or len(s) > 120:
+    if len(s) > 120 or s[0].isspace():
         return False
     if "@" in s or (DOT.search(s) and AT.search(s)):
         return True
@@ -92,8 +108,15 @@ def plausible(s: str) -> bool:
     return 7 <= sum(map(len, parts)) <= 24 or (len(parts) == 4 and max(map(len, parts)) <= 3)
 
 
-def features(s: str, before: str) -> list[str]:
-    """Names of the whole-span features of a segment and the token before it."""
+def hints_of(before: str) -> tuple[str, ...]:
+    """The kinds that the token before a segment hints at."""
+    word = before[-40:].lower()
+    return tuple(k for k, hints in HINTS.items() if any(h in word for h in hints))
+
+
+@functools.lru_cache(maxsize=1 << 15)
+def features(s: str, hints: tuple[str, ...]) -> tuple[str, ...]:
+    """Names of the whole-span features of a segment after a token with the given hints."""
     d, letters = digits_of(s), sum(c.isalpha() for c in s)
     parts = [p for p in re.split(r"[^0-9]+", s) if p]
     out = [
@@ -101,31 +124,35 @@ def features(s: str, before: str) -> list[str]:
         f"dashes={min(s.count('-'), 4)}", f"at={bool(AT.search(s))}", f"dotword={bool(DOT.search(s))}", f"letters={min(letters, 3)}", f"lead={s[0].isalnum() or s[0] in '+('}",
         f"tail={s[-1].isalnum() or s[-1] == ')'}", f"card={12 <= len(d) <= 19 and luhn(d)}", f"sizes={'-'.join(str(min(len(p), 9)) for p in parts[:6])}",
     ]
-    quad = len(parts) == 4 and all(int(p) <= 255 for p in parts) and not letters
+    quad = len(parts) == 4 and all(map(octet, parts)) and not letters
     out.append(f"quad={quad}")
     if AT.search(s) and letters:
         shape = re.sub(r"[A-Za-z0-9_%+-]+", "a", AT.sub("@", DOT.sub(".", s)).replace(" ", ""))
         out.append(f"shape={shape[:12]}")
-    word = before.lower()
-    out += [f"hint={k}" for k, hints in HINTS.items() if any(h in word for h in hints)]
-    return out
+    out += [f"hint={k}" for k in hints]
+    return tuple(out)
 
 
 class Lattice:
     """Scored candidates of one window: tokens, and segments (first, last + 1, features)."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, tokens: list[tuple[int, int]] | None = None):
         self.text = text
-        self.tokens = [m.span() for m in TOKEN.finditer(text)]
-        self.segments: list[tuple[int, int, list[str]]] = []
+        self.tokens = [m.span() for m in TOKEN.finditer(text)] if tokens is None else tokens
+        self.segments: list[tuple[int, int, tuple[str, ...]]] = []
         for i, (s, _) in enumerate(self.tokens):
-            before = text[slice(*self.tokens[i - 1])] if i else ""
+            hints = None
             for j in range(i + 1, min(i + LONGEST, len(self.tokens)) + 1):
-                piece = text[s : self.tokens[j - 1][1]].rstrip(".:!?")
+                end = self.tokens[j - 1][1]
+                if end - s > 200:  # too long for an entity, and so are longer ones
+                    break
+                piece = text[s:end].rstrip(".:!?")
                 if piece and plausible(piece):
-                    self.segments.append((i, j, features(piece, before)))
+                    if hints is None:
+                        hints = hints_of(text[slice(*self.tokens[i - 1])][-40:]) if i else ()
+                    self.segments.append((i, j, features(piece, hints)))
 
-    def place(self, segment: tuple[int, int, list[str]]) -> tuple[int, int]:
+    def place(self, segment: tuple[int, int, tuple[str, ...]]) -> tuple[int, int]:
         s, e = self.tokens[segment[0]][0], self.tokens[segment[1] - 1][1]
         return s, s + len(self.text[s:e].rstrip(".:!?"))
 
@@ -135,16 +162,29 @@ class Field:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights = weights
+        self.top: dict[tuple[str, ...], tuple[float, int]] = {}
 
-    def scores(self, x: Lattice) -> np.ndarray:
+    def score(self, names: tuple[str, ...]) -> np.ndarray:
         zero = np.zeros(len(KINDS))
-        return np.array([sum((self.weights.get(f, zero) for f in fs), zero) for _, _, fs in x.segments]).reshape(-1, len(KINDS))
+        return sum((self.weights.get(f, zero) for f in names), zero)
+
+    def scores(self, x: Lattice) -> np.ndarray:
+        return np.array([self.score(fs) for _, _, fs in x.segments]).reshape(-1, len(KINDS))
+
+    def likeliest(self, names: tuple[str, ...]) -> tuple[float, int]:
+        """The best kind of a segment and its score, a bounded number kept; the weights are final by then."""
+        if names not in self.top:
+            if len(self.top) >= 1 << 15:
+                self.top.clear()
+            score = self.score(names)
+            self.top[names] = float(score.max()), int(score.argmax())
+        return self.top[names]
 
     def best(self, x: Lattice) -> list[Span]:
         """The best labelling: segments of bounded length, any number of tokens outside."""
         if not x.segments:
             return []
-        score, n = self.scores(x), len(x.tokens)
+        n = len(x.tokens)
         value, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
         ending: dict[int, list[int]] = {}
         for k, (_, j, _) in enumerate(x.segments):
@@ -152,9 +192,10 @@ class Field:
         for at in range(1, n + 1):
             value[at] = value[at - 1]
             for k in ending.get(at, ()):
-                y = int(score[k].argmax())
-                if value[x.segments[k][0]] + score[k, y] > value[at]:
-                    value[at], back[at] = value[x.segments[k][0]] + score[k, y], (k, y)
+                i, _, names = x.segments[k]
+                score, y = self.likeliest(names)
+                if value[i] + score > value[at]:
+                    value[at], back[at] = value[i] + score, (k, y)
         out, at = [], n
         while at:
             if back[at] is None:
@@ -276,40 +317,63 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return fit([(r["window"], [(r["k"], r["s"], r["e"])] if r["k"] >= 0 else []) for r in rows])
 
 
-def windows_of(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around triggers, cut at white space and merged where they overlap."""
-    out: list[tuple[int, int]] = []
+def windows_of(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of text around triggers, cut at white space up to ``REACH`` away and merged where they overlap."""
+    low = high = -1
     for m in TRIGGER.finditer(text):
-        if out and m.end() <= out[-1][1]:
+        if m.end() <= high:
             continue
         s, e = m.span()
+        first, last = max(0, s - REACH), min(len(text), e + REACH)
         for _ in range(MARGIN):
-            s = max(text.rfind(" ", 0, max(0, s - 1)), text.rfind("\n", 0, max(0, s - 1))) + 1 if s > 0 else 0
+            s = max(text.rfind(" ", first, max(first, s - 1)), text.rfind("\n", first, max(first, s - 1)), first - 1) + 1
         for _ in range(MARGIN):
-            ends = [x for x in (text.find(" ", e + 1), text.find("\n", e + 1)) if x >= 0]
-            e = min(ends, default=len(text))
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
+            e = min([x for x in (text.find(" ", e + 1, last), text.find("\n", e + 1, last)) if x >= 0], default=last)
+        if s <= high:
+            high = max(e, high)
         else:
-            out.append((s, e))
-    return out
+            if high >= 0:
+                yield low, high
+            low, high = s, e
+    if high >= 0:
+        yield low, high
+
+
+def lattices(text: str, low: int, high: int) -> Iterator[Lattice]:
+    """The tokens of a stretch, at most ``SPAN`` at a time, with offsets into the whole text.
+
+    A longer stretch is cut before the last token of a window that no segment holds together with the one
+    before it, or at the window's end if there is none.
+    """
+    tokens: list[tuple[int, int]] = []
+    for m in TOKEN.finditer(text, low, high):
+        tokens.append(m.span())
+        if len(tokens) == SPAN:
+            x = Lattice(text, tokens)
+            held = np.zeros(SPAN + 1, np.int64)
+            for i, j, _ in x.segments:
+                held[i + 1] += 1
+                held[j] -= 1
+            free = np.flatnonzero(np.cumsum(held)[1:SPAN] == 0) + 1
+            cut = int(free[-1]) if len(free) else SPAN
+            yield x if cut == SPAN else Lattice(text, tokens[:cut])
+            tokens = tokens[cut:]
+    if tokens:
+        yield Lattice(text, tokens)
 
 
 def added_spans(text: str, field: Field, base: list[Span]) -> list[Span]:
     """Entities of the best labelling that touch no base span."""
-    out = []
-    for low, high in windows_of(text):
-        for k, s, e in field.best(Lattice(text[low:high])):
-            if not any(x < low + e and low + s < y for _, x, y in base):
-                out.append((k, low + s, low + e))
-    return out
+    found = (span for low, high in windows_of(text) for x in lattices(text, low, high) for span in field.best(x))
+    return list(apart(found, base))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, field: Field | None = None) -> DataFrame:
     """``(doc_id, spans array<struct<kind, start, end, base>>)`` of every row, ordered by start, then kind.
 
     Offsets are code points, end exclusive.  Null and empty texts have no spans.  Repeated rows give
-    repeated results; other columns are ignored; where no sample holds an entity nothing is added.
+    repeated results; other columns are ignored, whatever their names; an empty table gives no rows.
+    Where no sample holds an entity nothing is added.  The time for a text grows with its length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field or train(docs, id_col, text_col, sample))
 

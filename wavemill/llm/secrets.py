@@ -2,8 +2,10 @@
 
 Patterns give the base spans.  Other long tokens are scored under a model of random strings and one of
 ordinary identifiers, both of first order over printable ASCII with add-one smoothing and
-trained from labelled samples: found secrets and generated random strings against the corpus's
-other tokens.  A token whose ratio is high enough becomes a span of kind ``random``.
+trained from labelled samples.  Random: found secrets and generated strings.  Ordinary: the corpus's
+other tokens that read like words, names or numbers, some of them joined to identifiers, and generated
+numbers; secrets that the patterns miss so do not teach the model that they are ordinary.  A token whose
+ratio is high enough becomes a span of kind ``random``.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.llm.spans import Span, apart
+
 # The patterns of the base spans.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -28,8 +32,8 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 #: Alphabets of the generated random strings.
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 SIZE = 96
-
-Span = tuple[int, int, int]
+#: Characters of a token for each change between lower case, upper case and digits that an ordinary one has at least.
+CALM = 6
 
 
 def base_spans(text: str) -> list[Span]:
@@ -44,9 +48,23 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-def values(text: str) -> list[str]:
-    """The secrets within the base spans."""
-    return [ASSIGN.match(text[s:e])[2] if k == 0 else text[s:e] for k, s, e in base_spans(text)]
+def values(text: str, spans: list[Span]) -> list[str]:
+    """The secrets within base spans."""
+    return [ASSIGN.match(text, s, e)[2] if k == 0 else text[s:e] for k, s, e in spans]
+
+
+def ordinary(token: str) -> bool:
+    """The label of a token outside all base spans: whether it changes between kinds of characters no more often than names and numbers do.
+
+    A capital before small letters, and any sign, is no change.  Long random strings over two kinds of
+    characters or more change several times as often.
+    """
+    changes, before = 0, ""
+    for c in token:
+        kind = "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else ""
+        changes += bool(before and kind and kind != before and not (before == "u" and kind == "l"))
+        before = kind
+    return changes * CALM <= len(token)
 
 
 class Ratio:
@@ -66,11 +84,10 @@ class Ratio:
 
 
 def count_pairs(tokens: list[str]) -> np.ndarray:
-    out = np.zeros((SIZE, SIZE), np.int64)
-    for t in tokens:
-        codes = np.frombuffer(t.encode(), np.uint8).astype(np.int64) - 31
-        np.add.at(out, (np.r_[0, codes[:-1]], codes), 1)
-    return out
+    """Counts by (before, after); a token's first character comes after the start."""
+    codes = np.frombuffer("".join(f"\x1f{t}" for t in tokens).encode(), np.uint8).astype(np.int64) - 31
+    after = np.flatnonzero(codes)
+    return np.bincount(codes[after - 1] * SIZE + codes[after], minlength=SIZE * SIZE).reshape(SIZE, SIZE)
 
 
 def generated(n: int, seed: int) -> list[str]:
@@ -79,17 +96,29 @@ def generated(n: int, seed: int) -> list[str]:
     return ["".join(rng.choices(a, k=rng.randint(16, 64))) for a in ALPHABETS for _ in range(n)]
 
 
+def numbers(n: int, seed: int) -> list[str]:
+    """Labelled ordinary numbers: digits in one to four groups."""
+    rng = random.Random(seed)
+    return [rng.choice("-_/").join("".join(rng.choices("0123456789", k=rng.randint(2, 9))) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+def identifiers(tokens: list[str]) -> list[str]:
+    """Every eighth ordinary token joined to the next, as names in code and paths are."""
+    return ["-_/"[i % 3].join(pair) for i, pair in enumerate(zip(tokens[::8], tokens[1::8], strict=False))]
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, strings: int = 1000, seed: int = 1) -> Ratio:
-    """Models from whole texts of the ``sample`` documents of the smallest id hashes, and ``strings`` generated for each alphabet."""
+    """Models from whole texts of the ``sample`` documents of the smallest id hashes, and ``strings`` generated for each alphabet and as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SIZE, SIZE), np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
                 spans = base_spans(text)
-                total[1] += count_pairs(values(text))
-                taken = [(s, e) for _, s, e in spans]
-                total[0] += count_pairs([m[0] for m in TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for s, e in taken)])
+                total[1] += count_pairs(values(text, spans))
+                others = apart(((0, *m.span()) for m in TOKEN.finditer(text)), spans)
+                plain = [t for _, s, e in others if ordinary(t := text[s:e])]
+                total[0] += count_pairs(plain + identifiers(plain))
         label, before, after = np.nonzero(total)
         cols = [pa.array(x.astype(np.int32)) for x in (label, before, after)] + [pa.array(total[label, before, after])]
         yield pa.record_batch(cols, names=["label", "a", "b", "n"])
@@ -102,6 +131,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         found = rows.mapInArrow(run, "label int, a int, b int, n long").groupBy("label", "a", "b").agg(F.sum("n").alias("n")).toArrow()
         label, a, b, n = (found.column(c).to_numpy() for c in ("label", "a", "b", "n"))
         counts[label, a, b] = n
+    counts[0] += count_pairs(numbers(strings, seed))
     counts[1] += count_pairs(generated(strings, seed))
     return Ratio(counts)
 
@@ -109,10 +139,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def added_spans(text: str, ratio: Ratio, base: list[Span], least: float, per_char: float) -> list[Span]:
     """Tokens of 16 characters or more that look random and touch no base span."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        s, e = m.span()
-        score = ratio.score(m[0])
-        if score >= least and score >= per_char * (e - s) and not any(x < e and s < y for _, x, y in base):
+    for _, s, e in apart(((3, *m.span()) for m in CANDIDATE.finditer(text)), base):
+        score = ratio.score(text[s:e])
+        if score >= least and score >= per_char * (e - s):
             out.append((3, s, e))
     return out
 
@@ -124,7 +153,8 @@ def find_secrets(
 
     Offsets are code points, end exclusive.  Null and empty texts have no spans.  ``least`` (nats) and
     ``per_char`` are what a token's ratio must reach.  Repeated rows give repeated results; other columns
-    are ignored.
+    are ignored, whatever their names; an empty table gives no rows.  The time for a text grows with its
+    length, however many spans it has.
     """
     shared = docs.sparkSession.sparkContext.broadcast(ratio or train(docs, id_col, text_col, sample))
 
