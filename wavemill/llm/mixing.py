@@ -1,11 +1,11 @@
 """Mixing sources to target weights by temperature, with DataFrame functions only.
 
 Source token shares are raised to an exponent between 0 (uniform) and 1 (as found) and
-normalised.  The exponent is bisected: the largest one whose weights reach a target entropy,
-or the smallest one under which no source is repeated more often than allowed.  The weights are
-then realised within a token budget: each source's documents are dealt by a keyed hash into blocks,
-blocks and documents within them are permuted anew for each pass over the source, whole passes are
-emitted as long as the budget lasts, and the last pass stops where it ends.
+normalised.  The exponent is bisected: the largest one whose weights reach a target entropy, and
+the smallest one under which no source is repeated more often than allowed; the larger of the two is taken.  The
+weights are then realised within a token budget: each source's documents are dealt by a keyed hash into
+blocks, as many as its tokens ask for, blocks and documents within them are permuted anew for each pass
+over the source, whole passes are emitted as long as the budget lasts, and the last pass stops where it ends.
 """
 
 from __future__ import annotations
@@ -14,11 +14,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wavemill.llm.columns import boxed, column, unboxed
 from wavemill.llm.store import Store
 
-STEPS = 50
+#: Halvings of the interval of exponents, and how many of them a job does at once.
+STEPS, LEVELS = 50, 10
 #: Sources up to which their weights are broadcast; a plain join is used beyond.
 SMALL_SOURCES = 100_000
+#: Passes that are listed at once.
+PASSES = 1024
+#: Tokens of a block on average: what one task sorts.  Blocks of a group: what one task sums.
+BLOCK_TOKENS, GROUP = 1 << 16, 4096
 
 
 def n_words(text: Column) -> Column:
@@ -31,46 +37,82 @@ def source_totals(sized: DataFrame) -> DataFrame:
     return sized.groupBy("source").agg(F.sum("tokens").alias("total")).where("total > 0")
 
 
-def mixture(totals: DataFrame, budget: Column, target_entropy: float | None = None, max_repeats: float | None = None) -> DataFrame:
-    """``(source, total, exponent, weight, quota)`` of each source.
+def _walk(lo: float, hi: float, up: dict[int, bool]) -> tuple[float, float]:
+    """``LEVELS`` halvings of an interval; ``up`` says at each of its inner points, in equal steps, where to go."""
+    low, high = 0, 1 << LEVELS
+    for _ in range(LEVELS):
+        middle = (low + high) // 2
+        low, high = (middle, high) if up[middle] else (low, middle)
+    step = (hi - lo) / (1 << LEVELS)
+    return lo + low * step, lo + high * step
+
+
+def exponent(totals: DataFrame, tokens: int, sources: int, budget: float, target_entropy: float | None, max_repeats: float | None) -> float:
+    """The exponent of ``totals(source, total)``, which have ``tokens`` and ``sources`` in all.
+
+    Each job sums over the sources for all exponents that the next ``LEVELS`` halvings can ask for; a few numbers
+    for each exponent come back, however many sources there are.
+    """
+    p = totals.select((F.col("total") / F.lit(float(tokens))).alias("p"))
+    a = F.col("at.a")
+    ends = {"entropy": (0.0, 1.0), "repeats": (0.0, 1.0)}
+    points = F.sequence(F.lit(0), F.lit(1 << LEVELS))
+    known: dict[str, bool] = {}
+    for _ in range(STEPS // LEVELS):
+        grids = []
+        for kind, (lo, hi) in ends.items():
+            grids.append(F.transform(points, _point(kind, lo, (hi - lo) / (1 << LEVELS))))
+        powers = p.select("p", F.explode(F.concat(*grids)).alias("at")).select("p", "at.kind", "at.i", a.alias("a"), F.pow("p", a).alias("x"))
+        sums = powers.groupBy("kind", "i", "a").agg(F.sum("x").alias("norm"), F.sum(F.col("x") * F.col("a") * F.log("p")).alias("moment"), F.max(F.pow("p", F.col("a") - 1)).alias("worst"))
+        entropy = F.log("norm") - F.col("moment") / F.col("norm") >= F.lit(1.0 if target_entropy is None else float(target_entropy)) * F.log(F.lit(float(sources)))
+        repeats = F.col("worst") * F.lit(budget / tokens) / F.col("norm") > F.lit(float(max_repeats or 0))
+        rows = sums.select("kind", "i", F.when(F.col("kind") == "entropy", entropy).otherwise(repeats).alias("up")).collect()
+        up = {kind: {r["i"]: r["up"] for r in rows if r["kind"] == kind} for kind in ends}
+        known = known or {"flat": up["entropy"][1 << LEVELS], "free": not up["repeats"][0]}
+        ends = {kind: _walk(*ends[kind], up[kind]) for kind in ends}
+    by_repeats = 0.0 if max_repeats is None or known["free"] else ends["repeats"][1]
+    by_entropy = 0.0 if target_entropy is None else 1.0 if known["flat"] else ends["entropy"][0]
+    return round(max(by_entropy, by_repeats), 9)
+
+
+def _point(kind: str, lo: float, step: float):
+    return lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), (F.lit(lo) + i * F.lit(step)).alias("a"))
+
+
+def mixture(totals: DataFrame, budget: int | None = None, target_entropy: float | None = None, max_repeats: float | None = None) -> DataFrame:
+    """``(source, total, exponent, weight, quota)`` of each source of a stored table of totals.
 
     ``target_entropy`` is a share of the largest possible entropy: the result is the largest exponent
-    whose weights reach it.  ``max_repeats`` bounds passes over a source: the result is the
+    whose weights reach it.  ``max_repeats`` bounds passes over a source: without a target the result is the
     smallest exponent at which every quota is within that many times its source's tokens (1, the shares
-    as they are, where none is).  ``totals`` has a row for each source; these few numbers are
-    bisected in one expression.  ``quota`` is the weight's part of ``budget`` in whole tokens.
+    as they are, where none is).  With both the limit goes first: the target is met as far as it allows.
+    ``quota`` is the weight's part of ``budget`` in whole tokens; under a limit it is never more than ``max_repeats``
+    times the source's tokens, so a budget that is too large for the corpus is not used up.
     """
-    if (target_entropy is None) == (max_repeats is None):
-        raise ValueError("give target_entropy or max_repeats")
-    all_ = totals.agg(F.array_sort(F.collect_list(F.col("total").cast("double"))).alias("t"), F.sum("total").alias("sum"))
-    all_ = all_.select("sum", F.transform("t", lambda x: x / F.col("sum")).alias("p")).withColumn("budget", budget.cast("double"))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
-
-    def enough(a: Column) -> Column:
-        """Whether exponent a is flat enough (entropy) or still too flat (repeats)."""
-        powers = F.transform("p", lambda x: F.pow(x, a))
-        norm = total(powers)
-        if target_entropy is not None:
-            entropy = F.log(norm) - total(F.transform("p", lambda x: F.pow(x, a) * a * F.log(x))) / norm
-            return entropy >= F.lit(float(target_entropy)) * F.log(F.size("p").cast("double"))
-        worst = F.array_max(F.transform("p", lambda x: F.pow(x, a - 1))) * F.col("budget") / F.col("sum") / norm
-        return worst > F.lit(float(max_repeats))
-
-    def step(s: Column, _) -> Column:
-        middle = (s["lo"] + s["hi"]) / 2
-        up = enough(middle)
-        return F.struct(F.when(up, middle).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(middle).alias("hi"))
-
-    ends = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), step)
-    if target_entropy is not None:  # feasible at lo
-        exponent = F.when(enough(F.lit(1.0)), F.lit(1.0)).otherwise(ends["lo"])
-    else:  # feasible at hi
-        exponent = F.when(~enough(F.lit(0.0)), F.lit(0.0)).otherwise(ends["hi"])
-    found = all_.withColumn("exponent", F.round(exponent, 9)).select("sum", "budget", "exponent", total(F.transform("p", lambda x: F.pow(x, F.col("exponent")))).alias("norm"))
-    weight = F.round(F.pow(F.col("total") / F.col("sum"), F.col("exponent")) / F.col("norm"), 9)
-    # The right side is a single row.
-    out = totals.join(F.broadcast(found)).withColumn("weight", weight)
-    return out.select("source", "total", "exponent", "weight", F.floor(F.col("weight") * F.col("budget")).cast("long").alias("quota"))
+    if target_entropy is None and max_repeats is None:
+        raise ValueError("give target_entropy, max_repeats or both")
+    whole = totals.agg(F.sum("total").alias("tokens"), F.count(F.lit(1)).alias("sources")).first()
+    if not whole["sources"]:
+        return totals.selectExpr("source", "total", "0D as exponent", "0D as weight", "0L as quota")
+    tokens, sources = whole
+    budget = float(tokens if budget is None else budget)
+    a = exponent(totals, tokens, sources, budget, target_entropy, max_repeats)
+    norm = totals.agg(F.sum(F.pow(F.col("total") / F.lit(float(tokens)), F.lit(a)))).first()[0]
+    weight = F.round(F.pow(F.col("total") / F.lit(float(tokens)), F.lit(a)) / F.lit(norm), 9)
+    quota = F.floor(F.col("weight") * F.lit(budget))
+    if max_repeats is not None:
+        quota = F.least(quota, F.floor(F.col("total") * F.lit(float(max_repeats))))
+    return totals.select("source", "total", F.lit(a).alias("exponent"), weight.alias("weight")).withColumn("quota", quota.cast("long"))
+
+
+def _starts(blocks: DataFrame) -> DataFrame:
+    """``(source, epoch, block, before)``: tokens of a pass before each block of ``(source, epoch, block, n)``, summed by groups of blocks first."""
+    key = ["source", "epoch"]
+    earlier = lambda of, by: F.coalesce(F.sum("n").over(W.partitionBy(*of).orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    grouped = blocks.withColumn("g", F.floor(F.col("block") / GROUP))
+    groups = grouped.groupBy(*key, "g").agg(F.sum("n").alias("n")).withColumn("base", earlier(key, "g")).drop("n")
+    inner = grouped.withColumn("in_group", earlier([*key, "g"], "block"))
+    return inner.join(groups, [*key, "g"]).select(*key, "block", (F.col("base") + F.col("in_group")).alias("before"))
 
 
 def mix(
@@ -81,42 +123,41 @@ def mix(
     budget: int | None = None,
     target_entropy: float | None = None,
     max_repeats: float | None = None,
-    blocks: int = 1024,
     seed: int = 0,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` realised to the mixture, with ``epoch``, ``position``, ``tokens``, ``weight`` and ``exponent``.
-
-    Each source is emitted in passes (``epoch`` from 0); in the last pass documents are taken, in
-    that pass's permutation, while the tokens before them are below the rest of the quota.  ``position``
-    is the tokens of the source before the document in its pass.  ``budget`` is in tokens, the corpus's
-    own count if not given.  ``blocks`` bounds a sort: a source is summed by block first, so no
-    source's documents meet in one task.  A null source is a source like any other; texts without
-    tokens, null ones too, follow the document before them in the permutation.  Sources without
-    tokens give no rows.  Repeated rows are separate documents.
+    """The columns ``keep`` of ``docs``, all if not given, realised to the mixture, with ``epoch``, ``position``, ``tokens``, ``weight`` and ``exponent``.
+
+    Each source is emitted in passes (``epoch`` from 0), under a limit at most ``max_repeats`` of them, without one as
+    many as its weight asks for; in the last pass documents are taken, in that pass's permutation, while
+    the tokens before them are below the rest of the quota.  ``position`` is the tokens of the source before the document in its pass.  ``budget`` is in tokens,
+    the corpus's own count if not given.  A source is summed by block first, so no source's documents meet in
+    one task.  A null source is a source like any other; texts without tokens, null ones too, follow the
+    document before them in the permutation.  Sources without tokens give no rows.  Repeated rows
+    are separate documents; rows that agree in id and text may take each other's places.  Columns of ``docs``
+    with the names of the new ones are replaced, others may have any name.  An empty table gives no rows.
     """
-    taken = ["epoch", "position", "tokens", "weight", "exponent"]
-    rows = docs.select(*[c for c in docs.columns if c not in taken])
-    source = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
-    rows = rows.withColumn("__s", source).withColumn("__t", n_words(F.col(text_col)))
+    new = ["epoch", "position", "tokens", "weight", "exponent"]
+    own = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    source = F.coalesce(F.concat(F.lit("s:"), column(source_col).cast("string")), F.lit("null")).alias("source")
+    text = column(text_col).cast("string")
+    rows = docs.select(boxed(docs, own), source, n_words(text).alias("tokens"), F.coalesce(column(id_col).cast("string"), F.lit("null")).alias("id"), F.xxhash64(text).alias("tie"))
     store = Store(docs.sparkSession, "mixing")
-    totals = store.keep(source_totals(rows.select(F.col("__s").alias("source"), F.col("__t").alias("tokens"))), "totals")
-    budget_ = F.col("sum") if budget is None else F.lit(budget)
-    weights = store.keep(mixture(totals, budget_, target_entropy, max_repeats), "weights").withColumnRenamed("source", "__s").where("quota > 0")
+    totals = store.keep(source_totals(rows), "totals")
+    weights = store.keep(mixture(totals, budget, target_entropy, max_repeats), "weights").where("quota > 0")
     if weights.count() <= SMALL_SOURCES:
         weights = F.broadcast(weights)
-    planned = rows.join(weights, "__s")
+    planned = rows.join(weights, "source")
     # Whole passes and the pass that is cut: a row for each copy of a document that may be emitted.
-    passes = F.ceil(F.col("quota") / F.col("total")).cast("int")
-    planned = planned.withColumn("epoch", F.explode(F.sequence(F.lit(0), passes - 1)))
-    tag = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    planned = planned.withColumn("__h", tag).withColumn("__x", F.xxhash64(text_col))
-    planned = planned.withColumn("__b", F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") % blocks)
-    sums = planned.groupBy("__s", "epoch", "__b").agg(F.sum("__t").alias("__n"))
-    earlier = W.partitionBy("__s", "epoch").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("__s", "epoch", "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    within = W.partitionBy("__s", "epoch", "__b").orderBy("__h", "__x").rowsBetween(W.unboundedPreceding, -1)
-    placed = planned.withColumn("__in", F.coalesce(F.sum("__t").over(within), F.lit(0)))
-    placed = placed.join(starts, ["__s", "epoch", "__b"]).withColumn("position", F.col("__before") + F.col("__in"))
-    room = F.col("quota") - F.col("epoch") * F.col("total")
-    kept = placed.where(F.col("position") < room)
-    return kept.select(*rows.drop("__s", "__t").columns, "epoch", "position", F.col("__t").alias("tokens"), "weight", "exponent")
+    last = (F.ceil(F.col("quota") / F.col("total")) - 1).cast("long")
+    planned = planned.withColumn("last", last).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), "last", F.lit(PASSES).cast("long"))))
+    planned = planned.withColumn("epoch", F.explode(F.sequence(F.col("first").cast("int"), F.least("last", F.col("first") + (PASSES - 1)).cast("int"))))
+    tag = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("id")))
+    blocks = F.ceil(F.col("total") / F.lit(BLOCK_TOKENS)).cast("long")
+    planned = planned.withColumn("tag", tag).withColumn("block", F.conv(F.substring("tag", 1, 15), 16, 10).cast("long") % blocks)
+    starts = _starts(store.keep(planned.groupBy("source", "epoch", "block").agg(F.sum("tokens").alias("n")), "blocks"))
+    within = W.partitionBy("source", "epoch", "block").orderBy("tag", "tie").rowsBetween(W.unboundedPreceding, -1)
+    placed = planned.withColumn("inside", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
+    placed = placed.join(starts, ["source", "epoch", "block"]).withColumn("position", F.col("before") + F.col("inside"))
+    kept = placed.where(F.col("position") < F.col("quota") - F.col("epoch") * F.col("total"))
+    return kept.select(*unboxed(own), *new)

@@ -12,8 +12,8 @@ from wavemill.llm import ann, bpe, langid, linededup, mixing, pii, quality, secr
 
 #: Environment variable that names another vocabulary file.
 VOCABULARY = "WAVEMILL_VOCABULARY"
-#: Entropy of the mixture as a share of the largest possible.
-MIXTURE = {"target_entropy": 0.999}
+#: Entropy of the mixture as a share of the largest possible, and passes over a source at most.
+MIXTURE = {"target_entropy": 0.999, "max_repeats": 4.0}
 
 
 def vocabulary() -> str:
@@ -58,7 +58,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), **MIXTURE)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), **MIXTURE, keep=["doc_id", "source"])
     return mixed.select("doc_id", "source", "epoch", "position", "tokens", "weight", "exponent")
 
 
