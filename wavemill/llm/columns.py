@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +28,8 @@ def boxed(docs: DataFrame, names: Iterable[str] | None = None) -> Column:
 def unboxed(names: Iterable[str], **new: Column) -> list[Column]:
     """The columns ``names`` of the boxed row; those in ``new`` get the given value instead."""
     return [new.get(c, F.col(ROW).getField(c)).alias(c) for c in names]
+
+
+def texts(rows: pa.StructArray, name: str) -> pa.Array:
+    """A column of boxed rows as strings."""
+    return rows.field(name).cast(pa.string())

@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from wavemill.llm.columns import boxed, column, texts, unboxed
 
 #: Bytes scored at a time.
 SPAN = 1 << 19
@@ -138,13 +141,12 @@ def grams_of(padded: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def labelled(docs: DataFrame, learn: Column, per_lang: int, id_col: str, lang_col: str) -> DataFrame:
-    """The labelled rows to learn from: those whose id hash lies in the share that gives ``per_lang`` rows of a language on average."""
-    part = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 11) / float(1 << 53)
-    rows = docs.where(learn & F.col(lang_col).isNotNull()).withColumn("__lang", F.col(lang_col).cast("string"))
-    limits = rows.groupBy("__lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("__limit"))
+def labelled(rows: DataFrame, per_lang: int) -> DataFrame:
+    """Of ``(id, lang, text)`` the rows to learn from: those whose id hash lies in the share that gives ``per_lang`` rows of a language on average."""
+    part = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
+    limits = rows.groupBy("lang").agg((F.lit(float(per_lang)) / F.count(F.lit(1))).alias("limit"))
     # One row for each language.
-    return rows.withColumn("__part", part).join(F.broadcast(limits), "__lang").where("__part < __limit").select(F.col("__lang").alias("lang"), "__text")
+    return rows.withColumn("part", part).join(F.broadcast(limits), "lang").where("part < limit").select("lang", "text")
 
 
 def train(docs: DataFrame, learn: Column, order: int = 3, per_lang: int = 600, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -163,15 +165,16 @@ def train(docs: DataFrame, learn: Column, order: int = 3, per_lang: int = 600, i
                     grams, n = np.unique(np.concatenate([grams_of(x[order - k :], k) for x in own]), return_counts=True)
                     yield pa.record_batch([pa.array([lang] * len(n)), pa.array(np.full(len(n), k, np.int32)), pa.array(grams.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "k", "gram", "n"])
 
-    rows = labelled(docs.withColumn("__text", F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()), learn, per_lang, id_col, lang_col)
-    counts = rows.select("lang", "__text").mapInArrow(count, "lang string, k int, gram long, n long")
+    known = docs.where(learn & column(lang_col).isNotNull() & column(text_col).isNotNull())
+    rows = labelled(known.select(column(id_col).cast("string").alias("id"), column(lang_col).cast("string").alias("lang"), column(text_col).cast("string").alias("text")), per_lang)
+    counts = rows.mapInArrow(count, "lang string, k int, gram long, n long")
     found = counts.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow()
     return Model(*(found.column(c).to_numpy() for c in ("lang", "k", "gram", "n")))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     """Whether a document is in the held-out fold, by the crc32 of its id as text; a null id is."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(True))
+    return F.coalesce(F.crc32(column(id_col).cast("string")) % folds == fold, F.lit(True))
 
 
 def identify(
@@ -182,10 +185,12 @@ def identify(
     ``lang_pred`` is ``und`` with score 0 for null texts and texts without a letter, and where
     nothing could be learned.  ``score`` is the share of the prediction when languages are as
     likely as their codes are short; ``bits`` is the code's length for each byte (null for ``und``).
-    Ties go to the language that sorts first.  Columns of ``docs`` with these names are replaced.
+    Ties go to the language that sorts first.  Columns of ``docs`` with these names are replaced, others may
+    have any name.  Repeated rows give repeated results; rows with a null id are held out; an empty table
+    gives no rows.
     """
     new = ["held_out", "lang_pred", "score", "bits"]
-    rows = docs.select(*[c for c in docs.columns if c not in new])
+    own = [c for c in docs.columns if c not in new]
     model = model or train(docs, ~held_out(id_col), order, per_lang, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -193,10 +198,10 @@ def identify(
         m = shared.value
         for big in batches:
             for b in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
-                texts = b.column(b.num_columns - 1).to_pylist()
-                ok = np.array([has_letter(t) and bool(m.langs) for t in texts], bool)
-                raw = [t.encode() for t, good in zip(texts, ok, strict=True) if good]
-                names, scores, bits = np.full(len(texts), "und", object), np.zeros(len(texts)), np.full(len(texts), np.nan)
+                given = texts(b.column(0), text_col).to_pylist()
+                ok = np.array([has_letter(t) and bool(m.langs) for t in given], bool)
+                raw = [t.encode() for t, good in zip(given, ok, strict=True) if good]
+                names, scores, bits = np.full(len(given), "und", object), np.zeros(len(given)), np.full(len(given), np.nan)
                 if raw:
                     length = m.code_lengths(raw)
                     best = length.argmin(axis=1)
@@ -204,14 +209,8 @@ def identify(
                     names[ok] = np.array(m.langs, object)[best]
                     scores[ok] = 1 / np.exp2(least[:, None] - length).sum(axis=1)
                     bits[ok] = least / np.array([len(t) for t in raw])
-                yield pa.record_batch([*b.columns[:-1], pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(bits, from_pandas=True)], names=[*b.schema.names[:-1], *new[1:]])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*rows.schema, *rows.select(held_out(id_col).alias("held_out")).schema])
-    given = rows.withColumn("held_out", held_out(id_col)).withColumn("__text", F.col(text_col).cast("string"))
-    return given.mapInArrow(predict, f"{fields}, lang_pred string, score double, bits double")
-
+                yield pa.record_batch([*b.columns, pa.array(names.tolist(), pa.string()), pa.array(scores), pa.array(bits, from_pandas=True)], names=["row", *new])
 
-def keep_identified(docs: DataFrame, max_bits: float = 8.0, **how) -> DataFrame:
-    """``docs`` without those rejected: ``und``, or a code no shorter than the raw bytes; columns unchanged."""
-    found = identify(docs, **how).where((F.col("lang_pred") != "und") & (F.col("bits") < max_bits))
-    return found.select(*docs.columns)
+    given = docs.select(boxed(docs, own), held_out(id_col).alias("held_out"))
+    schema = StructType([given.schema["row"], given.schema["held_out"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("bits", DoubleType())])
+    return given.mapInArrow(predict, schema).select(*unboxed(own), *new)

@@ -1,8 +1,10 @@
 """Line dedup by levelled sorted runs of line hashes.
 
-A batch of documents gives a run: a table of (line hash, documents, largest id) sorted by hash.
-Runs wait on levels; when a level holds ``fanout`` of them they are merged into one run of the next
-level.  A new batch is merge-joined with the runs that are there, and then adds its own run.
+Runs are tables of (line hash, documents, largest id) sorted by hash, and a hash is in one run only.  A new batch
+of documents is reduced to its own sorted hashes and merge-anti-joined with the runs: hashes that no run
+holds become the batch's run; for the others an update is noted.  Runs wait on levels; when
+a level holds ``fanout`` of them they are compacted into one run of the next level.  At the end the updates,
+which hold repeated lines only, are added to the runs.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from wavemill.llm.columns import boxed, column, texts, unboxed
 from wavemill.llm.store import Store
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -52,7 +56,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> D
                 pair = np.frombuffer(bytes(hashes), "<i8").reshape(-1, 2)
                 yield pa.record_batch([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(ids, pa.int64())], names=["h1", "h2", "doc_id"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "h1 long, h2 long, doc_id long")
 
 
@@ -62,18 +66,31 @@ class LineRuns:
     def __init__(self, store: Store, fanout: int = 2):
         self.store, self.fanout = store, fanout
         self.levels: list[list[DataFrame]] = [[]]
+        self.updates: list[DataFrame] = []
 
     def _write(self, rows: DataFrame, name: str) -> DataFrame:
-        """Aggregated rows are dealt by hash already, and sorted within each part."""
+        """Rows dealt by hash already, sorted within each part."""
         return self.store.keep(rows.sortWithinPartitions(*KEY), name)
 
+    def _runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
     def add(self, lines: DataFrame) -> None:
-        """Add the run of a batch of ``(h1, h2, doc_id)``; compact levels that are full."""
-        run = lines.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_id"))
-        self.levels[0].append(self._write(run, "run-0"))
+        """Add a batch of ``(h1, h2, doc_id)``: a run of its new hashes, updates for the others; compact levels that are full."""
+        batch = lines.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_id"))
+        if self._runs():
+            batch = self._write(batch, "batch")
+            fresh = self._write(self.unseen(batch), "run-0")
+            self.updates.append(self.store.keep(batch.hint("merge").join(fresh.hint("merge"), KEY, "left_anti"), "updates"))
+            self.store.drop(batch)
+        else:
+            fresh = self._write(batch, "run-0")
+        self.levels[0].append(fresh)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merge(self.levels[level]), f"run-{level + 1}")
+            old = self.levels[level]
+            merged = self._write(self._union(old).repartition(*KEY), f"run-{level + 1}")
+            self.store.drop(*old)
             self.levels[level] = []
             level += 1
             if level == len(self.levels):
@@ -81,20 +98,26 @@ class LineRuns:
             self.levels[level].append(merged)
 
     @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_id").alias("last_id"))
+    def _union(tables: list[DataFrame]) -> DataFrame:
+        rows = tables[0]
+        for t in tables[1:]:
+            rows = rows.unionByName(t)
+        return rows
 
     def all(self) -> DataFrame | None:
-        """One row for each line hash over all runs."""
-        runs = [r for level in self.levels for r in level]
-        return runs[0] if len(runs) == 1 else self._merge(runs) if runs else None
+        """One row for each line hash over all runs, with all updates."""
+        if not self._runs():
+            return None
+        rows = self._union(self._runs())
+        if not self.updates:
+            return rows
+        more = self._union(self.updates).groupBy(*KEY).agg(F.sum("n_docs").alias("more"), F.max("last_id").alias("later"))
+        joined = rows.hint("merge").join(more.hint("merge"), KEY, "left")
+        return joined.select(*KEY, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("last_id", "later").alias("last_id"))
 
     def unseen(self, lines: DataFrame) -> DataFrame:
-        """Rows of a batch whose hash no run holds: the merge anti-join of plain streaming dedup."""
-        for run in (r for level in self.levels for r in level):
+        """Rows of a batch whose hash no run holds: a merge anti-join with each run."""
+        for run in self._runs():
             lines = lines.hint("merge").join(run.hint("merge"), KEY, "left_anti")
         return lines
 
@@ -107,7 +130,8 @@ def drop_repeated_lines(
     A line whose key has ``min_chars`` code points and is held by ``min_docs`` documents is kept
     in the document of the largest id only.  Documents go through the runs in ``batches`` dealt by id.
     Rows that share an id are one document.  Null and empty texts are one empty line.  Rows with
-    a null id keep all their lines.  Columns of ``docs`` named like the new ones are replaced.
+    a null id keep all their lines.  A line twice in a document is lost or kept both times.  Columns of ``docs``
+    named like the new ones are replaced; others may have any name.  An empty table gives no rows.
     """
     store = Store(docs.sparkSession, "lines")
     # The batch of a document is the folder its lines are written to, so each batch reads its own lines only.
@@ -117,21 +141,21 @@ def drop_repeated_lines(
     lines = docs.sparkSession.read.schema(lines.schema).parquet(path)
     runs = LineRuns(store, fanout)
     for n in range(batches):
-        runs.add(lines.where(F.col("batch") == n))
+        runs.add(lines.where(F.col("batch") == n).drop("batch"))
     repeated = runs.all().where(F.col("n_docs") >= min_docs).select(*KEY, "last_id")
     dropped = lines.hint("merge").join(repeated.hint("merge"), KEY).where("doc_id < last_id")
     # At most the distinct lines of one document meet here.
-    packed = F.struct("h1", "h2")
-    dropped = dropped.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(packed).alias("__drop"))
+    dropped = dropped.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
     new = ["n_lines", "n_dropped", "kept"]
     old = [c for c in docs.columns if c not in new]
-    joined = docs.select(*old).join(dropped, F.col(id_col).cast("long") == F.col("__doc"), "left").drop("__doc")
+    rows = docs.select(boxed(docs, old), column(id_col).cast("long").alias("id"))
+    joined = rows.join(dropped, F.col("id") == F.col("doc_id"), "left").select("row", "drop")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 512) for i in range(0, big.num_rows, 512)):
-                at, counts, drops, texts = b.schema.names.index(text_col), [], [], []
-                for text, drop in zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(b.num_columns - 1), strict=True):
+                counts, drops, left = [], [], []
+                for text, drop in zip(texts(b.column(0), text_col).cast(pa.binary()).to_pylist(), b.column(1), strict=True):
                     split = (text or b"").split(b"\n")
                     kept = split
                     if drop.is_valid:
@@ -141,9 +165,9 @@ def drop_repeated_lines(
                         kept = [x for x in split if (k := line_key(x, min_chars)) is None or key_hash(k).to_bytes(16, "little") not in gone]
                     counts.append(len(split))
                     drops.append(len(split) - len(kept))
-                    texts.append(b"\n".join(kept).decode())
-                cols = [*b.columns[:-1], pa.array(counts, pa.int64()), pa.array(drops, pa.int64()), pa.array(texts, pa.string())]
-                yield pa.record_batch(cols, names=[*b.schema.names[:-1], *new])
+                    left.append(b"\n".join(kept).decode())
+                cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(drops, pa.int64()), pa.array(left, pa.string())]
+                yield pa.record_batch(cols, names=["row", *new])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*old).schema), "n_lines long", "n_dropped long", "kept string"])
-    return joined.mapInArrow(rebuild, schema)
+    schema = StructType([joined.schema["row"], StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept", StringType())])
+    return joined.mapInArrow(rebuild, schema).select(*unboxed(old), *new)

@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from wavemill.llm.columns import boxed, column, unboxed
 from wavemill.llm.store import Store
 
 SPACE = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
@@ -69,20 +71,23 @@ def features(raw: bytes | None) -> tuple[int, int, int, int, int]:
     return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the five counts, in one narrow pass; columns with their names are replaced."""
+def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs``, all if not given, and the five counts, in one narrow pass.
+
+    Columns with the names of the counts are replaced, others may have any name.
+    """
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    rows = docs.select(*[c for c in docs.columns if c not in new])
+    own = [c for c in (docs.columns if keep is None else keep) if c not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.num_columns - 1).cast(pa.binary())
-            counts = [features(t.as_py()) for t in texts]
+            counts = [features(t.as_py()) for t in b.column(1).cast(pa.binary())]
             cols = [pa.array(c, pa.int64()) for c in zip(*counts, strict=True)] if counts else [pa.array([], pa.int64())] * 5
-            yield pa.record_batch([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *new])
+            yield pa.record_batch([b.column(0), *cols], names=["row", *new])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *(f"{n} long" for n in new)])
-    return rows.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, fields)
+    rows = docs.select(boxed(docs, own), column(text_col).cast("string").alias("text"))
+    schema = StructType([rows.schema["row"], *(StructField(n, LongType()) for n in new)])
+    return rows.mapInArrow(run, schema).select(*unboxed(own), *new)
 
 
 def bin_of(v: Column) -> Column:
@@ -145,11 +150,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     ``base_failed`` is under 20 words or more than 30 % repeated words.  Of the others those are kept
     whose measures lie within their group's fences.  Null and empty texts have no words and
-    fail.  Repeated rows give repeated results; an empty table gives no rows.
+    fail.  Repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
     """
     store = Store(docs.sparkSession, "quality")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    counted = with_features(rows).drop("text").withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
+    cast = {"doc_id": (id_col, "long"), "lang": (lang_col, "string"), "source": (source_col, "string"), "text": (text_col, "string")}
+    rows = docs.select(*[column(c).cast(t).alias(n) for n, (c, t) in cast.items()])
+    counted = with_features(rows, keep=["doc_id", "lang", "source"]).withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
     featured = store.keep(counted, "features")
     limits = store.keep(fences(featured, reach, min_group), "fences").withColumnsRenamed({"lang": "lang_f", "source": "source_f"})
     # A row for each group; joined by size, split by adaptive execution where a group is hot.
