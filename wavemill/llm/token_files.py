@@ -277,7 +277,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, length: int = 2048, en
 
 
 def read_documents(manifest: DataFrame, length: int = 2048) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, read back from the files."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` of every document, read back from the files, a task for each shard on average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -297,7 +297,7 @@ def read_documents(manifest: DataFrame, length: int = 2048) -> DataFrame:
     def table(rows: list) -> pa.RecordBatch:
         return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shards = manifest.select("shard", "ids_path", "docs_path", "shard_start").repartition("shard")
+    shards = manifest.select("shard", "ids_path", "docs_path", "shard_start").repartition(max(1, manifest.count()), "shard")
     return shards.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
