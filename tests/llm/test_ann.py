@@ -53,7 +53,7 @@ def test_copies_of_one_vector_are_ranked_by_id(spark, monkeypatch):
 def test_probes_come_in_order_of_cost():
     h = ann.Hashing(8, 2, 3, 1.0, 1)
     cell, place = h.cells(ann.aimed(np.random.default_rng(1).standard_normal((1, 8))))
-    keys = h.probes(cell[0, 0], place[0, 0], 27)
+    keys = h.probes(cell[:, 0], place[:, 0], 27)[0].tolist()
     costs = []
     for key in keys:
         best = []
@@ -64,3 +64,43 @@ def test_probes_come_in_order_of_cost():
                 best.append(sum((p[i] if d[i] < 0 else 1 - p[i]) ** 2 for i in range(3) if d[i]))
         costs.append(min(best))
     assert len(set(keys)) == 27 and costs == sorted(costs) and costs[0] == 0
+
+
+def seen_and_recall(x, probes=None):
+    """Share of rows in the visited buckets, and recall, of a query set as the operator would choose them."""
+    n = len(x)
+    h = ann.Hashing(x.shape[1], 4, max(4, int(np.log2(n)) - 7), 2.0, 7)
+    keys = h.keys(h.cells(ann.lifted(x, float(np.sqrt((x * x).sum(axis=1).max()))))[0])
+    at = np.arange(0, n, max(20, n // 40))
+    cell, place = h.cells(ann.aimed(x[at]))
+    seen = np.zeros((len(at), n), bool)
+    for t in range(4):
+        visits = h.probes(cell[:, t], place[:, t], probes)
+        for i, v in enumerate(visits):
+            seen[i] |= np.isin(keys[:, t], v)
+    score = x[at] @ x.T
+    score[np.arange(len(at)), at] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    return seen.mean(), np.take_along_axis(seen, best, axis=1).mean(), len(np.unique(keys[:, 0]))
+
+
+def test_buckets_shrink_as_rows_grow_and_clusters_need_few_probes():
+    r = np.random.default_rng(3)
+    sizes = []
+    for n in (500, 2000, 50_000):
+        x = r.standard_normal((n, 64))
+        sizes.append(n / seen_and_recall(x / np.linalg.norm(x, axis=1, keepdims=True), 1)[2] / n)
+    assert sizes[0] > sizes[1] > 10 * sizes[2]
+    centres = r.standard_normal((200, 64))
+    x = np.repeat(centres, 100, axis=0) + 0.1 * r.standard_normal((20_000, 64))
+    seen, recall, _ = seen_and_recall(x / np.linalg.norm(x, axis=1, keepdims=True), 16)
+    assert recall > 0.9 and seen < 0.3
+
+
+def test_repeated_ids_count_as_their_smallest_vector(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.5]), (3, [0.5, 0.0]), (3, [0.2, 2.0])]
+    want = [(1, 2, 0.5), (2, 3, 2.0)]
+    for parts in (1, 2, 5):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = [(r["vec_id"], r.score) for r in ann.nearest(df, df.where("vec_id = 1")).orderBy("rank").collect()]
+        assert sorted(got) == sorted(x[1:] for x in want)
