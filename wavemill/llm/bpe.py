@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavemill.llm.columns import column
+
 #: How byte-level vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of a word cache; at twice as many the older half goes.
@@ -327,4 +329,4 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 texts = [decode(flat[s:e], merges) for s, e in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.record_batch([b.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wavemill.llm.columns import column
 from wavemill.llm.graph import connected_components
 from wavemill.llm.store import Store
 
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((simhash(x.as_py(), words) for x in texts), dtype=np.uint64, count=len(texts))
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -193,6 +194,7 @@ def keep_smallest(docs: DataFrame, classes: DataFrame, id_col: str, text_col: st
     rank = "__rank"
     while rank in docs.columns:
         rank += "_"
-    one = W.partitionBy(id_col).orderBy(F.col(text_col), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
-    kept = docs.join(chosen, id_col, "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).drop(rank)
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    own = [column(c) for c in docs.columns]
+    one = W.partitionBy(column(id_col)).orderBy(column(text_col), F.xxhash64(*[c.cast("string") for c in own]))
+    kept = docs.join(chosen, id_col, "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1)
+    return kept.select(*own).unionByName(docs.where(column(id_col).isNull()))
