@@ -193,3 +193,21 @@ def test_empty_mixture(spark):
     assert mixing.mix(df.limit(0), target_entropy=0.5).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(df)
+
+
+def test_op8_holds_each_batch_against_the_runs(spark, monkeypatch):
+    seen = []
+    add = linededup.LineRuns.add
+
+    def watched(self, lines):
+        add(self, lines)
+        seen.append((self, len(self.updates)))
+
+    monkeypatch.setattr(linededup.LineRuns, "add", watched)
+    queries.op8_lines(spark, DATA).count()
+    runs = seen[-1][0]
+    assert [n for _, n in seen] == [0, 1, 2, 3]
+    later = sum(u.count() for u in runs.updates)
+    fresh = runs.levels[-1][0]
+    assert later > 0 and fresh.count() == fresh.select("h1", "h2").distinct().count()
+    assert fresh.join(runs.updates[0], ["h1", "h2"], "left_semi").count() == runs.updates[0].count()

@@ -1,11 +1,13 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 from wavemill.llm import pii, secrets
+from wavemill.llm.spans import apart
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -105,3 +107,31 @@ def test_trained_field_finds_disguised_entities(spark):
             right += (kind, 9, 9 + len(form)) in pii.added_spans(t, field, pii.base_spans(t))
     wrong = sum(bool(pii.added_spans(f"on {n} it was", field, pii.base_spans(f"on {n} it was"))) for n in (pii.other_numbers(r) for _ in range(200)))
     assert total > 20 and right / total > 0.7 and wrong / 200 < 0.15
+
+
+@pytest.mark.parametrize("text", ["1" * 2_000_000 + ".1.1.1", "@" * 1_000_000, "a@" * 500_000, "1." * 500_000, "+1(" * 300_000, "1 " * 60_000, "x@y.zz 1.2.3.4 +1 234 567 8901 " * 8_000, "password=abcdef1 Zx8Qw3Er5Ty7Ui9Op0 " * 20_000, "aB3" * 400_000, "wordé " * 200_000])
+def test_long_texts_take_time_in_proportion(text):
+    """Each of these took minutes where anything was looked at again for each candidate."""
+    field = pii.Field({f"digits={n}": np.array([0.0, 0.0, 1.0, 0.0]) for n in range(12, 20)})
+    ratio = secrets.Ratio(np.ones((2, 96, 96)))
+    start = time.process_time()
+    spans = pii.base_spans(text)
+    pii.added_spans(text, field, spans)
+    secrets.added_spans(text, ratio, secrets.base_spans(text), -1e9, -1e9)
+    assert time.process_time() - start < 20
+
+
+def test_long_windows_are_labelled_piece_by_piece():
+    field = pii.Field({"card=True": np.array([0.0, 0.0, 9.0, 0.0]), "letters=0": np.array([0.0, 0.0, 1.0, 0.0])})
+    card = "4539/5787/6362/1486"
+    text = " ".join(f"{card} id" if n % 3 else "some words" for n in range(3000))
+    want = [m.span() for m in re.finditer(card, text)]
+    assert [x[1:] for x in pii.added_spans(text, field, pii.base_spans(text)) if x[0] == 2] == want
+
+
+def test_sweep_is_that_of_all_pairs():
+    r = random.Random(3)
+    for _ in range(300):
+        spans = lambda n: [(0, s, s + r.randint(1, 9)) for s in sorted(r.randint(0, 60) for _ in range(n))]
+        a, b = spans(8), spans(5)
+        assert list(apart(a, b)) == [x for x in a if not any(x[1] < e and s < x[2] for _, s, e in b)]
