@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wavemill.operators.blocks import neighbours, numbered
+
 PRESETS = {
     "default": {"n_mels": 40, "n_mfcc": 13, "size": 2048, "hop": 512, "f_min": 20.0, "f_max": 0.0},
     "codec": {"n_mels": 64, "n_mfcc": 20, "size": 4096, "hop": 1024, "f_min": 20.0, "f_max": 0.0},
@@ -62,14 +64,18 @@ def mfcc(spectra: DataFrame, rate: float, size: int, n_mels: int = 40, n_mfcc: i
 
 
 def deltas(m: DataFrame, n: int = 2, value: str = "v") -> DataFrame:
-    """``(track_id, frame_no, c, v)``: slopes over n frames to both sides, ends held."""
-    w = W.partitionBy("track_id", "c").orderBy("frame_no")
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    """``(track_id, frame_no, c, v)``: slopes over n frames to both sides, ends held.
+
+    Frames are numbered and met in blocks, so no window spans a track.
+    """
+    keys = ["track_id", "c"]
+    placed = numbered(m.select(*keys, "frame_no", F.col(value).alias("v")), keys, ["frame_no"], F.floor(F.col("frame_no") / 4096))
+    ends = m.groupBy(*keys).agg(F.min_by(value, "frame_no").alias("first"), F.max_by(value, "frame_no").alias("last"))
+    near = neighbours(placed, "v", [o for o in range(-n, n + 1) if o], keys=keys).join(ends, keys)
     total = F.lit(0.0)
     for k in range(1, n + 1):
-        ahead, back = F.coalesce(F.lead(value, k).over(w), F.last(value).over(whole)), F.coalesce(F.lag(value, k).over(w), F.first(value).over(whole))
-        total = total + k * (ahead - back)
-    return m.select("track_id", "frame_no", "c", (total / (2.0 * sum(k * k for k in range(1, n + 1)))).alias("v"))
+        total = total + k * (F.coalesce(F.col(f"v_p{k}"), F.col("last")) - F.coalesce(F.col(f"v_m{k}"), F.col("first")))
+    return near.select("track_id", "frame_no", "c", (total / (2.0 * sum(k * k for k in range(1, n + 1)))).alias("v"))
 
 
 def mfcc_stats(m: DataFrame, d: DataFrame | None = None) -> DataFrame:
@@ -100,46 +106,104 @@ def _dot(a: str | Column, b: str | Column) -> Column:
 
 
 def cosine(a: str, b: str) -> Column:
-    """0 where lengths differ or a vector is zero."""
+    """Of two columns of vectors; 0 where lengths differ or a vector is zero."""
     na, nb = F.sqrt(_dot(a, a)), F.sqrt(_dot(b, b))
     return F.when((F.size(a) != F.size(b)) | (na < 1e-15) | (nb < 1e-15), 0.0).otherwise(_dot(a, b) / (na * nb))
 
 
 def euclid(a: str, b: str) -> Column:
+    """Of two columns of vectors; infinite where lengths differ."""
     d = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return F.when(F.size(a) != F.size(b), F.lit(float("inf"))).otherwise(F.sqrt(d))
 
 
-def cosine_pairs(a: DataFrame, b: DataFrame, top_k: int) -> DataFrame:
-    """``(a_id, b_id, similarity, rank)``: for each row of the stated set ``a`` its nearest of ``b``, itself left out."""
-    q, c = a.select(F.col("id").alias("a_id"), F.col("v").alias("av")), b.select(F.col("id").alias("b_id"), F.col("v").alias("bv"))
-    s = q.join(c, F.col("a_id") != F.col("b_id")).select("a_id", "b_id", cosine("av", "bv").alias("similarity"))
-    return s.withColumn("rank", F.row_number().over(W.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id"))).where(F.col("rank") <= top_k)
-
-
-def euclid_pairs(a: DataFrame, b: DataFrame, max_dist: float, method: str = "exact", block: int = 4096) -> DataFrame:
-    """``(a_id, b_id, distance)`` within ``max_dist``: ``exact`` over a stated set, or ``blocks`` over any, as exact, by pairs of blocks of rows."""
-    if method == "exact":
-        q, c = a.select(F.col("id").alias("a_id"), F.col("v").alias("av")), b.select(F.col("id").alias("b_id"), F.col("v").alias("bv"))
-        return q.join(c, F.col("a_id") != F.col("b_id")).select("a_id", "b_id", euclid("av", "bv").alias("distance")).where(F.col("distance") <= max_dist)
+def _dealt(a: DataFrame, b: DataFrame, block: int):
+    """Both sides of rows ``(id, v)`` cogrouped by pairs of blocks, every row of ``a`` with every row of ``b`` once."""
     left, right = (x.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v")) for x in (a, b))
     m, n = (-(-x.count() // block) or 1 for x in (left, right))
     mine, other = (lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     left, right = left.select("id", "v", mine(m).alias("i"), other(n).alias("j")), right.select("id", "v", mine(n).alias("j"), other(m).alias("i"))
-    return left.groupBy("i", "j").cogroup(right.select("id", "v", "i", "j").groupBy("i", "j")).applyInArrow(_near(max_dist), f"a_id {a.schema['id'].dataType.simpleString()}, b_id {b.schema['id'].dataType.simpleString()}, distance double")
+    return left.groupBy("i", "j").cogroup(right.select("id", "v", "i", "j").groupBy("i", "j"))
+
+
+def _ids(a: DataFrame, b: DataFrame) -> str:
+    return f"a_id {a.schema['id'].dataType.simpleString()}, b_id {b.schema['id'].dataType.simpleString()}"
+
+
+def cosine_pairs(a: DataFrame, b: DataFrame, top_k: int, block: int = 4096) -> DataFrame:
+    """``(a_id, b_id, similarity, rank)``: for each row of the stated set ``a`` its nearest of ``b``, itself left out.
+
+    Blocks of both are multiplied, each pair of blocks keeps the best of each row, and only these are ranked.  Similarity
+    is 0 where lengths differ or a vector is zero; rows with a null take no part.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        one, two = _by_length(left), _by_length(right)
+        a_ids, b_ids = left["id"].combine_chunks(), right["id"].combine_chunks()
+        s, where = np.zeros((len(a_ids), len(b_ids))), (_rows_by_length(left), _rows_by_length(right))
+        for k in one.keys() & two.keys():
+            x, y = (v[1] / np.where((z := np.sqrt((v[1] * v[1]).sum(axis=1))) < 1e-15, np.inf, z)[:, None] for v in (one[k], two[k]))
+            s[np.ix_(where[0][k], where[1][k])] = x @ y.T
+        same = np.equal.outer(a_ids.to_numpy(zero_copy_only=False), b_ids.to_numpy(zero_copy_only=False))
+        s[same] = -np.inf
+        order = np.argsort(b_ids.to_numpy(zero_copy_only=False), kind="stable")
+        best = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :top_k]]
+        i, j = np.repeat(np.arange(len(a_ids)), best.shape[1]), best.ravel()
+        ok = s[i, j] > -np.inf
+        return pa.table({"a_id": a_ids.take(pa.array(i[ok])), "b_id": b_ids.take(pa.array(j[ok])), "similarity": pa.array(s[i, j][ok])})
+
+    s = _dealt(a, b, block).applyInArrow(run, f"{_ids(a, b)}, similarity double")
+    # Products of one vector in blocks of different shapes may differ in the last place.
+    near = W.partitionBy("a_id").orderBy(F.desc(F.round("similarity", 12)), "b_id")
+    return s.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= top_k)
+
+
+def euclid_pairs(a: DataFrame, b: DataFrame, max_dist: float, block: int = 4096, method: str = "blocks") -> DataFrame:
+    """``(a_id, b_id, distance)`` within ``max_dist``, exactly.
+
+    ``blocks``: a stated set ``a`` against all of ``b`` by pairs of blocks.  ``bands``: for two large sides; rows are
+    dealt by their distance to one pivot in bands as wide as ``max_dist``, for rows within it lie in one band or
+    two that adjoin, and only blocks of such bands meet.
+    """
+    if method == "bands":
+        return _banded(a, b, max_dist, block)
+    return _dealt(a, b, block).applyInArrow(_near(max_dist), f"{_ids(a, b)}, distance double")
+
+
+def _banded(a: DataFrame, b: DataFrame, max_dist: float, block: int) -> DataFrame:
+    left, right = (x.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("d")) for x in (a, b))
+    # One pivot for each length of vector; there are few lengths.
+    pivots = F.broadcast(right.groupBy("d").agg(F.min("v").alias("pivot")))
+    far = F.sqrt(F.aggregate(F.zip_with("v", "pivot", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    left, right = (x.join(pivots, "d").withColumn("band", F.floor(far / max_dist * (1 - 1e-12))).drop("pivot") for x in (left, right))
+    left = left.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    sizes = [x.groupBy("d", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n)) for x, n in ((left, "m"), (right, "n"))]
+    plan = sizes[0].join(sizes[1], ["d", "band"])
+    mine, other = (lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
+    key = ["d", "band", "i", "j"]
+    left = left.join(plan, ["d", "band"]).select("d", "band", "id", "v", mine("m").alias("i"), other("n").alias("j"))
+    right = right.join(plan, ["d", "band"]).select("d", "band", "id", "v", mine("n").alias("j"), other("m").alias("i"))
+    return left.groupBy(*key).cogroup(right.select(*key, "id", "v").groupBy(*key)).applyInArrow(_near(max_dist), f"{_ids(a, b)}, distance double")
+
+
+def _rows_by_length(t: pa.Table) -> dict[int, np.ndarray]:
+    n = pc.list_value_length(t["v"]).to_numpy()
+    return {int(k): np.flatnonzero(n == k) for k in set(n.tolist()) if k}
+
+
+def _by_length(t: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
+    """Ids and vectors of a block for each length of vector."""
+    v, n = t["v"].combine_chunks(), pc.list_value_length(t["v"]).to_numpy()
+    ids = t["id"].combine_chunks()
+    return {int(k): (ids.filter(pa.array(n == k)), pc.list_flatten(v.filter(pa.array(n == k))).to_numpy(zero_copy_only=False).reshape(-1, k)) for k in set(n.tolist()) if k}
 
 
 def _near(max_dist: float):
     """Function over two blocks of ``(id, v)``: their pairs within ``max_dist``, vectors of one length each time."""
 
-    def by_length(t: pa.Table) -> dict[int, tuple[pa.Array, np.ndarray]]:
-        v, n = t["v"].combine_chunks(), pc.list_value_length(t["v"]).to_numpy()
-        ids = t["id"].combine_chunks()
-        return {int(k): (ids.filter(pa.array(n == k)), pc.list_flatten(v.filter(pa.array(n == k))).to_numpy(zero_copy_only=False).reshape(-1, k)) for k in set(n.tolist()) if k}
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a_ids, b_ids, found = [left["id"].combine_chunks().slice(0, 0)], [right["id"].combine_chunks().slice(0, 0)], [np.empty(0)]
-        one, two = by_length(left), by_length(right)
+        one, two = _by_length(left), _by_length(right)
         for k in one.keys() & two.keys():
             (ai, av), (bi, bv) = one[k], two[k]
             b2 = (bv * bv).sum(axis=1)

@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wavemill.operators.levels import order_statistic
-
 PRESETS = {
     "default": {"size": 32_768, "hop": 8192, "min_snr_db": 3.0, "min_frames": 10},
     "sensitive": {"size": 65_536, "hop": 8192, "min_snr_db": 1.5, "min_frames": 10},
@@ -27,27 +25,42 @@ def hires_spectrum(spectra: DataFrame, res: float, planned: int, max_hz: float =
     return spectra.where(F.col("k") * res < max_hz).groupBy("track_id", "k").agg((F.sum("mag") / planned).alias("mag"))
 
 
+def _energy(base: float, res: float, n: int = 4) -> Column:
+    """Over the bins of a group: root of the squared peaks within 2 Hz of the first harmonics."""
+    reach, total = int(2 / res), F.lit(0.0)
+    for h in range(1, n + 1):
+        c = int(base * h / res)
+        peak = F.coalesce(F.max(F.when((F.col("k") >= max(0, c - reach)) & (F.col("k") < c + reach), F.col("mag"))), F.lit(0.0))
+        total = total + peak * peak
+    return F.sqrt(total)
+
+
+def _quiet(res: float) -> Column:
+    inside = F.lit(False)
+    for low, high in QUIET:
+        inside = inside | ((F.col("k") >= int(low / res)) & (F.col("k") < int(high / res)))
+    return inside
+
+
+def _upper_median(values: Column) -> Column:
+    """Of the non-null values in a group's bins, whose number the bands of a spectrum bound; null if there are none."""
+    m = F.array_sort(F.collect_list(values))
+    return F.get(m, F.floor(F.size(m) / 2).cast("int"))
+
+
 def harmonic_energy(spectrum: DataFrame, base: float, res: float, n: int = 4) -> DataFrame:
     """``(track_id, energy)``: root of the squared peaks within 2 Hz of the first harmonics."""
-    reach = int(2 / res)
-    places = [(h, int(base * h / res)) for h in range(1, n + 1)]
-    peaks = [F.coalesce(F.max(F.when((F.col("k") >= max(0, c - reach)) & (F.col("k") < c + reach), F.col("mag"))), F.lit(0.0)).alias(f"p{h}") for h, c in places]
-    a = spectrum.groupBy("track_id").agg(*peaks)
-    return a.select("track_id", F.sqrt(sum((F.col(f"p{h}") * F.col(f"p{h}") for h, _ in places), F.lit(0.0))).alias("energy"))
+    return spectrum.groupBy("track_id").agg(_energy(base, res, n).alias("energy"))
 
 
 def hum_noise_floor(spectrum: DataFrame, res: float) -> DataFrame:
     """``(track_id, floor)``: upper median of the magnitudes in the quiet bands; tracks without such bins have no row."""
-    inside = F.lit(False)
-    for low, high in QUIET:
-        inside = inside | ((F.col("k") >= int(low / res)) & (F.col("k") < int(high / res)))
-    return order_statistic(spectrum.where(inside).select("track_id", "mag"), ["track_id"], "mag", F.floor(F.col("n") / 2), "floor")
+    return spectrum.where(_quiet(res)).groupBy("track_id").agg(_upper_median(F.col("mag")).alias("floor"))
 
 
 def base_frequency(spectrum: DataFrame, res: float) -> DataFrame:
     """``(track_id, base, confidence)``: 50 or 60 Hz by the ratio of energy to the floor; 50 and 0 where it is weak."""
-    e = harmonic_energy(spectrum, 50.0, res).withColumnRenamed("energy", "e50").join(harmonic_energy(spectrum, 60.0, res).withColumnRenamed("energy", "e60"), "track_id")
-    e = e.join(hum_noise_floor(spectrum, res), "track_id", "left")
+    e = spectrum.groupBy("track_id").agg(_energy(50.0, res).alias("e50"), _energy(60.0, res).alias("e60"), _upper_median(F.when(_quiet(res), F.col("mag"))).alias("floor"))
     ratio = lambda c: F.when(F.col("floor") > 0, F.col(c) / F.col("floor")).otherwise(0.0)
     e = e.withColumns({"s50": ratio("e50"), "s60": ratio("e60")})
     is50, is60 = (F.col("s50") > F.col("s60")) & (F.col("s50") > 2), (F.col("s60") > F.col("s50")) & (F.col("s60") > 2)
@@ -56,22 +69,25 @@ def base_frequency(spectrum: DataFrame, res: float) -> DataFrame:
 
 
 def peak_near(spectrum: DataFrame, targets: DataFrame, res: float, tol: float) -> DataFrame:
-    """``(track_id, target, freq, strength, snr)`` for rows ``(track_id, target)``: the largest bin near each target over its flanks' upper median."""
+    """``(track_id, target, freq, strength, snr)`` for rows ``(track_id, target)``: the largest bin near each target over its flanks' upper median.
+
+    A target meets only the bins of its own window; other columns of ``targets`` stay.
+    """
     reach = int(tol / res)
-    t = targets.select("track_id", "target", F.floor(F.col("target") / res).alias("c"))
-    bins = F.max("k").over(W.partitionBy("track_id")) + 1
-    start, end = F.greatest(F.lit(0), F.col("c") - reach), F.least(F.col("c") + reach, F.col("bins"))
-    j = spectrum.withColumn("bins", bins).join(t, "track_id").withColumns({"s": start, "e": end})
-    j = j.where((F.col("k") >= F.greatest(F.lit(0), F.col("s") - 2 * reach)) & (F.col("k") < F.least(F.col("e") + 2 * reach, F.col("bins"))) & (F.col("e") > F.col("s")))
-    core = (F.col("k") >= F.col("s")) & (F.col("k") < F.col("e"))
     keys = ["track_id", "target"]
-    peak = j.where(core).groupBy(*keys).agg(F.max("mag").alias("strength"), F.max_by("k", F.struct("mag", -F.col("k"))).alias("k"), F.min("s").alias("s"))
-    peak = peak.withColumn("k", F.when(F.col("strength") > 0, F.col("k")).otherwise(F.col("s")))
-    floor = order_statistic(j.where(~core).select(*keys, "mag"), keys, "mag", F.floor(F.col("n") / 2), "floor")
-    a = t.join(peak, keys, "left").join(floor, keys, "left")
+    t = targets.withColumn("c", F.floor(F.col("target") / res))
+    last = spectrum.groupBy("track_id").agg((F.max("k") + 1).alias("bins"))
+    t = t.join(last, "track_id", "left").withColumns({"s": F.greatest(F.lit(0), F.col("c") - reach), "e": F.least(F.col("c") + reach, F.col("bins"))})
+    low, high = F.greatest(F.lit(0), F.col("s") - 2 * reach), F.least(F.col("e") + 2 * reach, F.col("bins"))
+    wanted = t.where("e > s").select(*keys, "s", "e", F.explode(F.sequence(low, high - 1)).alias("k"))
+    j = wanted.join(spectrum.select("track_id", "k", "mag"), ["track_id", "k"])
+    core = (F.col("k") >= F.col("s")) & (F.col("k") < F.col("e"))
+    peak = j.groupBy(*keys).agg(F.max(F.when(core, F.col("mag"))).alias("strength"), F.max_by("k", F.when(core, F.struct("mag", -F.col("k")))).alias("k"), F.min("s").alias("start"), _upper_median(F.when(~core, F.col("mag"))).alias("floor"))
+    peak = peak.withColumn("k", F.when(F.col("strength") > 0, F.col("k")).otherwise(F.col("start")))
+    a = t.join(peak, keys, "left")
     f = F.coalesce("floor", F.lit(0.001))
     found = F.col("strength").isNotNull()
-    return a.select(*keys, F.when(found, (F.col("k") + 0.5) * res).otherwise(F.col("target")).alias("freq"), F.coalesce("strength", F.lit(0.0)).alias("strength"), F.when(found & (f > 0), F.col("strength") / f).otherwise(0.0).alias("snr"))
+    return a.select(*targets.columns, F.when(found, (F.col("k") + 0.5) * res).otherwise(F.col("target")).alias("freq"), F.coalesce("strength", F.lit(0.0)).alias("strength"), F.when(found & (f > 0), F.col("strength") / f).otherwise(0.0).alias("snr"))
 
 
 def _confidence(snr: Column) -> Column:
@@ -82,7 +98,7 @@ def hum_harmonics(spectrum: DataFrame, base: DataFrame, rate: int, res: float) -
     """``(track_id, n, expected, freq, strength_db, snr_db, confidence)`` of up to eight harmonics below half the rate."""
     n = F.explode(F.sequence(F.lit(1), F.lit(8)))
     t = base.select("track_id", "base", n.alias("n")).withColumn("target", F.col("base") * F.col("n")).where(F.col("target") < rate / 2 - 10)
-    p = peak_near(spectrum, t, res, TOLERANCE * 2).join(t, ["track_id", "target"])
+    p = peak_near(spectrum, t, res, TOLERANCE * 2)
     db = F.when(F.col("strength") > 0, 20 * F.log10("strength")).otherwise(-120.0)
     return p.select("track_id", "n", F.col("target").alias("expected"), "freq", db.alias("strength_db"), F.when(F.col("snr") > 0, 10 * F.log10("snr")).otherwise(-60.0).alias("snr_db"), _confidence(F.col("snr")).alias("confidence"))
 

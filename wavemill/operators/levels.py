@@ -44,15 +44,28 @@ def level_stats(samples: DataFrame) -> DataFrame:
     return s.withColumn("crest_db", F.col("peak_dbfs") - F.col("rms_dbfs"))
 
 
+def _bin(value: str) -> Column:
+    """A number that never falls as the value rises: sixteen bins for each doubling of the magnitude."""
+    v = F.col(value).cast("double")
+    return (F.signum(v) * (F.floor(F.log2(F.abs(v)) * 16) + 20_000)).cast("int")
+
+
 def order_statistic(df: DataFrame, keys: list[str], value: str, rank: Column, out: str) -> DataFrame:
     """``(*keys, out)``: the value at a rank (from 0) that may depend on the group's size ``n``.
 
-    Values are counted first and ranks follow from running sums over the distinct values.
+    Values are counted first.  Bins, of which a group has a bounded number, are summed to find the one that
+    holds the rank; only its values are then put in order.  Null values do not count.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    run = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("__cum", F.sum("__c").over(run)).withColumn("n", F.sum("__c").over(W.partitionBy(*keys)))
-    return counts.where(F.col("__cum") > rank).groupBy(*keys).agg(F.min(value).alias(out))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    counts = counts.withColumn("__bin", F.coalesce(_bin(value), F.lit(0)))
+    run = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)
+    bins = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__s"))
+    bins = bins.withColumn("__cum", F.sum("__s").over(run)).withColumn("n", F.sum("__s").over(W.partitionBy(*keys))).withColumn("__rank", rank)
+    there = bins.where((F.col("__cum") > F.col("__rank")) & (F.col("__cum") - F.col("__s") <= F.col("__rank")))
+    there = there.select(*keys, "__bin", (F.col("__rank") - F.col("__cum") + F.col("__s")).alias("__left"))
+    inside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    found = counts.join(there, [*keys, "__bin"]).withColumn("__cum", F.sum("__c").over(inside))
+    return found.where(F.col("__cum") > F.col("__left")).groupBy(*keys).agg(F.min(value).alias(out))
 
 
 def quality_metrics(samples: DataFrame) -> DataFrame:
@@ -140,5 +153,6 @@ def corpus_summary(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 def median(df: DataFrame, by: list[str], col: str) -> DataFrame:
     """Middle value, or the mean of the two in the middle."""
-    return df.groupBy(*by).agg(F.percentile(col, 0.5).alias("median"))
-
+    low = order_statistic(df, by, col, F.floor((F.col("n") - 1) / 2), "__low")
+    high = order_statistic(df, by, col, F.floor(F.col("n") / 2), "__high")
+    return low.join(high, by).select(*by, ((F.col("__low") + F.col("__high")) / 2).alias("median"))

@@ -11,6 +11,14 @@ from wavemill.operators.levels import order_statistic
 
 LAGS = (1, 2, 4, 8, 16, 32, 64, 128)
 PERIODS = (256, 512, 1024, 1152, 2048, 2304, 4096)
+# How many samples from a channel's start a short analysis takes in, and sections for quantization_step.
+FIRST_SAMPLES = {"lsb_periodicity": 65_536, "bit_transition_rate": 100_000, "lsb_value_clustering": 100_000, "byte_pattern_score": 16_384}
+FIRST_SECTIONS = 30
+
+
+def _first(ints: DataFrame, cap: int | None) -> DataFrame:
+    """The channel whole, or its first ``cap`` samples."""
+    return ints if cap is None else ints.where(F.col("idx") < cap)
 
 
 def low_byte(q: Column) -> Column:
@@ -59,6 +67,7 @@ def effective_bits(usage: DataFrame, bits: int, least: float = 0.01, variant: st
     return usage.groupBy(*CH).agg((F.lit(bits) - F.coalesce(F.min(F.when(used, F.col("bit"))), F.lit(bits))).alias("effective_bits"))
 
 
+# The rungs of the ladders below are fixed values: condition, bits, confidence.
 def _ladder(steps: list[tuple[Column, int, float]], bits: int, conf: float) -> tuple[Column, Column]:
     b, c = F.when(F.lit(False), F.lit(0)), F.when(F.lit(False), F.lit(0.0))
     for cond, x, y in steps:
@@ -112,9 +121,9 @@ def lsb_clustering(ints: DataFrame) -> DataFrame:
     return a.select(*CH, "n", "kinds", "share", "entropy", *_ladder(steps, 24, 0.55))
 
 
-def quantization_step(samples: DataFrame, section: int = 16384, quiet: int = 8, sections: int = 30, least: int = 100) -> DataFrame:
-    """Bits from the tenth percentile of steps between samples in the quietest of the first sections."""
-    rows = samples.where(F.col("idx") < section * sections).withColumn("s", F.floor(F.col("idx") / section))
+def quantization_step(samples: DataFrame, section: int = 16384, quiet: int = 8, sections: int | None = None, least: int = 100) -> DataFrame:
+    """Bits from the tenth percentile of steps between samples in the quietest sections, of all or of the first ``sections``."""
+    rows = _first(samples, sections and section * sections).withColumn("s", F.floor(F.col("idx") / section))
     full = rows.groupBy(*CH, "s").agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.count(F.lit(1)).alias("n")).where(F.col("n") == section)
     calm = full.where("rms > 1e-7 and rms < 0.01").withColumn("k", F.row_number().over(W.partitionBy(*CH).orderBy("rms", "s"))).where(F.col("k") <= quiet)
     step = F.abs(F.col("x") - F.lag("x").over(W.partitionBy(*CH, "s").orderBy("idx")))
@@ -166,9 +175,9 @@ def lsb_lag_correlation(ints: DataFrame, lags: tuple[int, ...] = LAGS, least: in
     return s.select(*CH, F.when((F.col("n") < least) | (F.col("var") < 0.001), 0.0).otherwise(total).alias("correlation"))
 
 
-def lsb_periodicity(ints: DataFrame, periods: tuple[int, ...] = PERIODS, span: int = 10, room: int = 3, gain: float = 10.0, least: int = 4096, cap: int = 65536) -> DataFrame:
-    """Largest share of low bytes equal to the one a period before, over the first ``span`` periods."""
-    v = ints.where(F.col("idx") < cap).select(*CH, "idx", low_byte(F.col("q")).alias("v"))
+def lsb_periodicity(ints: DataFrame, periods: tuple[int, ...] = PERIODS, span: int = 10, room: int = 3, gain: float = 10.0, least: int = 4096, cap: int | None = None) -> DataFrame:
+    """Largest share of low bytes equal to the one a period before, over the first ``span`` periods of the channel or of its first ``cap`` samples."""
+    v = _first(ints, cap).select(*CH, "idx", low_byte(F.col("q")).alias("v"))
     v = neighbours(v, "v", [-p for p in periods])
     agg = [F.count(F.lit(1)).alias("n")]
     for p in periods:
@@ -179,16 +188,16 @@ def lsb_periodicity(ints: DataFrame, periods: tuple[int, ...] = PERIODS, span: i
     return s.select(*CH, F.when(F.col("n") < least, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(*scores))).alias("periodicity"))
 
 
-def bit_transition_rate(ints: DataFrame, least: int = 1000, cap: int = 100_000) -> DataFrame:
-    """Share of low-byte bits that change from sample to sample."""
-    v = neighbours(ints.where(F.col("idx") < cap).select(*CH, "idx", low_byte(F.col("q")).alias("v")), "v", [-1])
+def bit_transition_rate(ints: DataFrame, least: int = 1000, cap: int | None = None) -> DataFrame:
+    """Share of low-byte bits that change from sample to sample, in the channel or its first ``cap`` samples."""
+    v = neighbours(_first(ints, cap).select(*CH, "idx", low_byte(F.col("q")).alias("v")), "v", [-1])
     s = v.groupBy(*CH).agg(F.count(F.lit(1)).alias("n"), F.sum(F.bit_count(F.col("v").bitwiseXOR(F.col("v_m1")))).alias("t"))
     return s.select(*CH, F.when(F.col("n") < least, 0.5).otherwise(F.col("t") / (8 * (F.col("n") - 1))).alias("rate"))
 
 
-def lsb_value_clustering(ints: DataFrame, least: int = 1000, cap: int = 100_000) -> DataFrame:
-    """How few byte values hold more than a hundredth of the samples each."""
-    counts = ints.where(F.col("idx") < cap).groupBy(*CH, low_byte(F.col("q")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+def lsb_value_clustering(ints: DataFrame, least: int = 1000, cap: int | None = None) -> DataFrame:
+    """How few byte values hold more than a hundredth of the samples each, of the channel or its first ``cap`` samples."""
+    counts = _first(ints, cap).groupBy(*CH, low_byte(F.col("q")).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     counts = counts.withColumn("n", F.sum("c").over(W.partitionBy(*CH)))
     s = counts.groupBy(*CH).agg(F.max("n").alias("n"), F.count_if(F.col("c") > F.floor(F.col("n") / 100)).alias("k"))
     k = F.col("k").cast("double")
@@ -196,9 +205,9 @@ def lsb_value_clustering(ints: DataFrame, least: int = 1000, cap: int = 100_000)
     return s.select(*CH, F.when(F.col("n") < least, 0.0).otherwise(score).alias("clustering"))
 
 
-def byte_pattern_score(ints: DataFrame, least: int = 4096, cap: int = 16_384) -> DataFrame:
-    """Score of change rate, rare byte values and periodicity of the low-byte stream."""
-    rows = ints.where(F.col("idx") < cap)
+def byte_pattern_score(ints: DataFrame, least: int = 4096, cap: int | None = None) -> DataFrame:
+    """Score of change rate, rare byte values and periodicity of the low-byte stream, of the channel or its first ``cap`` samples."""
+    rows = _first(ints, cap)
     v = neighbours(rows.select(*CH, "idx", low_byte(F.col("q")).alias("v")), "v", [-1])
     change = v.groupBy(*CH).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("v") != F.col("v_m1")).cast("double")).alias("rate"))
     common = rows.groupBy(*CH, low_byte(F.col("q")).alias("v")).count().groupBy(*CH).agg((256 - F.count_if(F.col("count") >= 5)).alias("rare"))

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavemill.functions.scalar import amp_db
-from wavemill.operators.blocks import BLOCK, CH, neighbours
+from wavemill.operators.blocks import BLOCK, CH, neighbours, with_halo
 
 
 def pre_emphasis(samples: DataFrame, c: float = 0.97) -> DataFrame:
@@ -38,35 +38,82 @@ def from_blocks(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
     return blocks.select(*CH, "block_no", F.posexplode("x").alias("i", "x")).select(*CH, (F.col("block_no") * block + F.col("i")).alias("idx"), "x")
 
 
-def _carry(a: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """State before each block of a linear recursion: the state after a block of n is a**n s plus its own end."""
-    s, out = np.zeros(a.shape[0]), []
-    for n, e in zip(lengths, ends, strict=True):
-        out.append(s)
-        s = np.linalg.matrix_power(a, int(n)) @ s + e
-    return np.array(out)
+class _Linear:
+    """A linear recursive filter, ``step(x, state) -> (y, state)``, as matrix products over chunks of a block.
 
+    Outputs and end states of all chunks from zero state are one product each; only the states at the chunks' starts
+    are then followed, one small product for each chunk.
+    """
 
-def _affine(blocks: DataFrame, run, a: np.ndarray, state: int) -> DataFrame:
-    """Apply a linear recursive filter exactly: blocks run from zero state, states are carried, blocks run again.
-
-    ``run(x, s)`` gives the output and end state of one block.  Blocks are independent but for their
-    states, a few numbers each, which are scanned by channel.
+    def __init__(self, step, order: int, chunk: int = 64):
+        self.order, self.chunk = order, chunk
+        free = np.array([self._response(step, np.zeros(chunk), e) for e in np.eye(order)], dtype=object)
+        self.by_state = np.array([y for y, _ in free]).T
+        self.power = np.array([s for _, s in free]).T
+        hit = [self._response(step, e, np.zeros(order)) for e in np.eye(chunk)]
+        self.by_input, self.into = np.array([y for y, _ in hit]), np.array([s for _, s in hit])
+        self.one = np.array([step(0.0, e)[1] for e in np.eye(order)]).T
+
+    @staticmethod
+    def _response(step, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y = []
+        for v in x:
+            out, s = step(v, s)
+            y.append(out)
+        return np.array(y), np.array(s)
+
+    def _starts(self, ends: np.ndarray, s: np.ndarray) -> np.ndarray:
+        out = np.empty((len(ends) + 1, self.order))
+        out[0] = s
+        for i, e in enumerate(ends):
+            out[i + 1] = self.power @ out[i] + e
+        return out
+
+    def _chunks(self, x: np.ndarray) -> np.ndarray:
+        return np.pad(x, (-len(x) % self.chunk, 0)).reshape(-1, self.chunk)
+
+    def end(self, x: np.ndarray) -> np.ndarray:
+        """The state after a block from zero state; zeros put before it change nothing."""
+        return self._starts(self._chunks(x) @ self.into, np.zeros(self.order))[-1]
+
+    def output(self, x: np.ndarray, s: np.ndarray) -> np.ndarray:
+        whole = len(x) // self.chunk * self.chunk
+        parts = x[:whole].reshape(-1, self.chunk)
+        starts = self._starts(parts @ self.into, s)
+        y = parts @ self.by_input + starts[:-1] @ self.by_state.T
+        rest = x[whole:]
+        tail = np.pad(rest, (0, self.chunk - len(rest))) @ self.by_input + self.by_state @ starts[-1]
+        return np.concatenate([y.ravel(), tail[: len(rest)]])
+
+    def carry(self, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """State before each block: the state after a block of n is the n-th power of one step on it, plus the block's own end."""
+        s, out, powers = np.zeros(self.order), [], {}
+        for n, e in zip(lengths.tolist(), ends, strict=True):
+            out.append(s)
+            if n not in powers:
+                powers[n] = np.linalg.matrix_power(self.one, n)
+            s = powers[n] @ s + e
+        return np.array(out)
+
+
+def _affine(blocks: DataFrame, step, order: int) -> DataFrame:
+    """Apply a linear recursive filter exactly: blocks give their end from zero state, states are carried, blocks run from them.
+
+    Blocks are independent but for their states, a few numbers each, which are scanned by channel.
     """
+    f = _Linear(step, order)
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            e = [run(np.asarray(x, float), np.zeros(state))[1] for x in p.x]
-            yield p[[*CH, "block_no"]].assign(n=[len(x) for x in p.x], e=[list(v) for v in e])
+            yield p[[*CH, "block_no"]].assign(n=[len(x) for x in p.x], e=[f.end(np.asarray(x, float)).tolist() for x in p.x])
 
     def scan(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("block_no")
-        s = _carry(a, p.n.to_numpy(), np.array(p.e.tolist()))
-        return p[[*CH, "block_no"]].assign(s=[list(v) for v in s])
+        return p[[*CH, "block_no"]].assign(s=f.carry(p.n.to_numpy(), np.array(p.e.tolist())).tolist())
 
     def out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            yield p[[*CH, "block_no"]].assign(x=[run(np.asarray(x, float), np.asarray(s, float))[0] for x, s in zip(p.x, p.s, strict=True)])
+            yield p[[*CH, "block_no"]].assign(x=[f.output(np.asarray(x, float), np.asarray(s, float)) for x, s in zip(p.x, p.s, strict=True)])
 
     kind = dict(blocks.dtypes)
     key = ", ".join(f"{c} {kind[c]}" for c in [*CH, "block_no"])
@@ -77,13 +124,11 @@ def _affine(blocks: DataFrame, run, a: np.ndarray, state: int) -> DataFrame:
 def de_emphasis(blocks: DataFrame, c: float = 0.97) -> DataFrame:
     """y = x + c times the y before, exact across blocks."""
 
-    def run(x: np.ndarray, s: np.ndarray):
-        y, last = np.empty(len(x)), s[0]
-        for i, v in enumerate(x):
-            last = y[i] = v + c * last
-        return y, np.array([last])
+    def step(x: float, s: np.ndarray):
+        y = x + c * s[0]
+        return y, [y]
 
-    return _affine(blocks, run, np.array([[c]]), 1)
+    return _affine(blocks, step, 1)
 
 
 def k_coefficients(rate: float) -> list[tuple[list[float], list[float]]]:
@@ -108,19 +153,13 @@ def k_weight(blocks: DataFrame, rate: float) -> DataFrame:
     """Loudness weighting: two cascaded second-order filters, exact across blocks."""
     (b1, a1), (b2, a2) = k_coefficients(rate)
 
-    def run(x: np.ndarray, s: np.ndarray):
-        p, q, r, t = (float(v) for v in s)
-        y = np.empty(len(x))
-        for i, v in enumerate(x.tolist()):
-            u = b1[0] * v + p
-            p, q = b1[1] * v - a1[1] * u + q, b1[2] * v - a1[2] * u
-            w = b2[0] * u + r
-            r, t = b2[1] * u - a2[1] * w + t, b2[2] * u - a2[2] * w
-            y[i] = w
-        return y, np.array([p, q, r, t])
+    def step(x: float, s: np.ndarray):
+        p, q, r, t = s
+        u = b1[0] * x + p
+        w = b2[0] * u + r
+        return w, [b1[1] * x - a1[1] * u + q, b1[2] * x - a1[2] * u, b2[1] * u - a2[1] * w + t, b2[2] * u - a2[2] * w]
 
-    a = np.array([run(np.zeros(1), row)[1] for row in np.eye(4)]).T
-    return _affine(blocks, run, a, 4)
+    return _affine(blocks, step, 4)
 
 
 def envelope(blocks: DataFrame, attack: float = 0.01, release: float = 0.0001) -> DataFrame:
@@ -160,14 +199,13 @@ def moving_average(samples: DataFrame, w: int) -> DataFrame:
         return samples.select(*CH, "idx", "x")
     h = w // 2
     totals = samples.groupBy(*CH).agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("idx") == 2 * h, F.col("x"))).alias("fixed"))
-    near = neighbours(samples.select(*CH, "idx", "x"), "x", [o for o in range(-h, h + 1) if o]) if h else samples
-    near = near.join(totals, CH)
-    get = lambda o: F.coalesce(F.col("x" if o == 0 else f"x_{'m' if o < 0 else 'p'}{abs(o)}"), F.lit(0.0))
-    span = sum((get(o) for o in range(-h, h + 1)), F.lit(0.0))
+    near = with_halo(samples.select(*CH, "idx", "x"), h, h, max(BLOCK, h))
+    near = near.withColumn("span", F.sum("x").over(W.partitionBy(*CH, "__b").orderBy("idx").rowsBetween(-h, h)))
+    near = near.where(F.col("__b") == F.col("__own")).join(totals, CH)
     left, right = F.least(F.col("idx"), F.lit(h)), F.least(F.col("n") - 1 - F.col("idx"), F.lit(h))
-    mean = span / (left + right + 1)
+    mean = F.col("span") / (left + right + 1)
     if w % 2 == 0:
-        mean = F.when((F.col("idx") >= h) & (F.col("idx") < F.col("n") - h), (span - F.col("fixed")) / w).otherwise(mean)
+        mean = F.when((F.col("idx") >= h) & (F.col("idx") < F.col("n") - h), (F.col("span") - F.col("fixed")) / w).otherwise(mean)
     return near.select(*CH, "idx", F.when(F.col("n") < w, F.col("x")).otherwise(mean).alias("x"))
 
 
@@ -237,33 +275,44 @@ def downsample_mean(samples: DataFrame, factor: int) -> DataFrame:
     return samples.groupBy(*CH, F.floor(F.col("idx") / factor).alias("idx")).agg(F.avg("x").alias("x"))
 
 
-def sinc_weights(spark: SparkSession, factor: int, taps: int) -> DataFrame:
-    """``(phase, o, w)``: weight of the sample o places from the one at or before an output, for each phase."""
-    rows = []
-    for phase in range(1, factor):
-        for o in range(-taps, taps + 1):
-            t = phase / factor - o
-            if abs(t) <= taps:
-                s = math.sin(math.pi * t) / (math.pi * t)
-                rows.append((phase, o, s * 0.5 * (1 + math.cos(math.pi * t / taps))))
-    return spark.createDataFrame(rows, "phase int, o int, w double")
+def sinc_weights(factor: int, taps: int) -> np.ndarray:
+    """(2 * taps + 1, factor - 1): weight of the sample o - taps places from the one at or before an output, for each phase."""
+    o, phase = np.arange(-taps, taps + 1)[:, None], np.arange(1, factor)[None, :]
+    t = phase / factor - o
+    return np.where(np.abs(t) <= taps, np.sinc(t) * 0.5 * (1 + np.cos(np.pi * t / taps)), 0.0)
 
 
-def upsample_sinc(samples: DataFrame, factor: int, taps: int = 32, gain: str = "unity") -> DataFrame:
+def upsample_sinc(samples: DataFrame, factor: int, taps: int = 32, gain: str = "unity", block: int = BLOCK) -> DataFrame:
     """Windowed-sinc interpolation: originals are kept, others are weighted means of 2 * taps neighbours.
 
-    ``gain`` is ``unity``, or ``reference`` for ``factor`` times that.  The weights are a fixed table
-    of (factor - 1) * (2 * taps + 1) rows.
+    ``gain`` is ``unity``, or ``reference`` for ``factor`` times that.  A block with ``taps`` samples more at both
+    sides is one product with the weights of all phases.
     """
-    w = F.broadcast(sinc_weights(samples.sparkSession, factor, taps))
-    kept = samples.select(*CH, (F.col("idx") * factor).alias("idx"), "x")
-    last = samples.groupBy(*CH).agg(F.max("idx").alias("last"))
-    # Each sample goes to the outputs it weighs in; outputs sum what meets there.
-    out = samples.select(*CH, F.col("idx").alias("i"), "x").crossJoin(w).select(*CH, (F.col("i") - F.col("o")).alias("at"), "phase", (F.col("x") * F.col("w")).alias("v"), F.abs("w").alias("a"))
-    summed = out.groupBy(*CH, "at", "phase").agg(F.sum("v").alias("v"), F.sum("a").alias("a")).join(last, CH).where("at >= 0 and at <= last")
+    w, block = sinc_weights(factor, taps), max(block, taps)
     scale = float(factor) if gain == "reference" else 1.0
-    y = F.when(F.col("a") > 1e-10, F.col("v") / F.col("a") * scale).otherwise(0.0)
-    return kept.unionByName(summed.select(*CH, (F.col("at") * factor + F.col("phase")).alias("idx"), y.alias("x")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            for track, ch, b, first, x in zip(p["track_id"], p["ch"], p["b"], p["first"], p["x"], strict=True):
+                x = np.asarray(x, float)
+                low = int(b * block - first)
+                high = min(len(x), low + block)
+                # Missing samples count nowhere: neither in the sums nor in the weights.
+                padded, there = (np.pad(v, taps) for v in (x, np.ones(len(x))))
+                for s in range(low, high, 8192):
+                    e = min(s + 8192, high)
+                    near, has = (np.lib.stride_tricks.sliding_window_view(v[s : e + 2 * taps], 2 * taps + 1) for v in (padded, there))
+                    total = has @ np.abs(w)
+                    y = np.where(total > 1e-10, near @ w / np.where(total > 1e-10, total, 1) * scale, 0.0)
+                    out = np.concatenate([x[s:e, None], y], axis=1).ravel()
+                    yield pd.DataFrame({"track_id": track, "ch": ch, "idx": (first + s) * factor + np.arange(len(out)), "x": out})
+
+    spread = with_halo(samples.select(*CH, "idx", "x"), taps, taps, block)
+    packed = spread.groupBy(*CH, F.col("__b").alias("b")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
+    rows = packed.where(F.exists("s", lambda e: F.floor(e["idx"] / block) == F.col("b")))
+    rows = rows.select(*CH, "b", F.col("s")[0]["idx"].alias("first"), F.transform("s", lambda e: e["x"]).alias("x"))
+    kind = dict(samples.dtypes)
+    return rows.mapInPandas(run, f"track_id {kind['track_id']}, ch {kind['ch']}, idx long, x double")
 
 
 def true_peak(samples: DataFrame, taps: int = 16, gain: str = "unity") -> DataFrame:
@@ -276,15 +325,35 @@ def true_peak(samples: DataFrame, taps: int = 16, gain: str = "unity") -> DataFr
 
 
 def _greedy(candidates: DataFrame, min_distance: int) -> DataFrame:
-    """Of candidates ``(track_id, ch, pos)`` in order, those more than ``min_distance`` after the last taken (0 at first)."""
-    packed = candidates.groupBy(*CH).agg(F.array_sort(F.collect_list("pos")).alias("ps"))
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+    """Of candidates ``(track_id, ch, pos)`` in order, those more than ``min_distance`` after the last taken (0 at first).
 
-    def step(s: Column, p: Column) -> Column:
-        far = p - s["last"] > min_distance
-        return F.struct(F.when(far, p).otherwise(s["last"]).alias("last"), F.when(far, F.concat(s["out"], F.array(p))).otherwise(s["out"]).alias("out"))
+    A candidate that follows all others at more than the distance is taken whatever happened before, so runs of
+    nearer candidates are independent.  Where a run starts is found by block, with the candidates near the block's
+    start, and carried over the blocks; a run is then followed row by row, holding one position.
+    """
+    span = max(BLOCK, min_distance)
+    near = with_halo(candidates.select(*CH, "pos"), min_distance, 0, span, "pos")
+    w = W.partitionBy(*CH, "__b").orderBy("pos")
+    before = F.lag("pos").over(w)
+    near = near.withColumn("start", F.when(before.isNull() | (F.col("pos") - before > min_distance), F.col("pos"))).where(F.col("__b") == F.col("__own"))
+    near = near.withColumn("start", F.max("start").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    carried = F.last("last", True).over(W.partitionBy(*CH).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
+    blocks = near.groupBy(*CH, "__b").agg(F.max("start").alias("last")).withColumn("open", carried).drop("last")
+    runs = near.join(blocks, [*CH, "__b"]).select(*CH, F.coalesce("start", "open").alias("run"), "pos")
 
-    return packed.select(*CH, F.explode(F.aggregate("ps", start, step, lambda s: s["out"])).alias("pos"))
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0
+        for p in batches:
+            taken = np.zeros(len(p), bool)
+            for i, (track, ch, run, pos) in enumerate(zip(p["track_id"], p["ch"], p["run"], p["pos"], strict=True)):
+                if (track, ch, run) != key:
+                    key, last = (track, ch, run), 0
+                if pos - last > min_distance:
+                    taken[i], last = True, pos
+            yield p.loc[taken, [*CH, "pos"]]
+
+    kind = dict(runs.dtypes)
+    return runs.repartition(*CH, "run").sortWithinPartitions(*CH, "run", "pos").mapInPandas(follow, ", ".join(f"{c} {kind[c]}" for c in [*CH, "pos"]))
 
 
 def find_transients(env: DataFrame, threshold: float, min_distance: int, mode: str = "rise", hop: int = 32) -> DataFrame:

@@ -83,7 +83,7 @@ def fft_arrays(frames: DataFrame, size: int, window: str = "hann", sym: bool = T
 
 
 def fft_magnitude(frames: DataFrame, size: int, window: str = "hann", sym: bool = True, method: str = "auto") -> DataFrame:
-    """``(track_id, frame_no, k, mag)``: ``dft`` up to 64 points, ``fft_arrays`` beyond, or as told."""
+    """``(track_id, frame_no, k, mag)``: ``dft`` up to 64 points, ``fft_arrays`` beyond, or as told; the two agree to rounding."""
     if method == "dft" or (method == "auto" and size <= 64):
         return dft(frames, size, window, sym)
     return fft_arrays(frames, size, window, sym).select("track_id", "frame_no", F.posexplode("mag").alias("k", "mag"))
@@ -211,6 +211,45 @@ def cutoff_multimethod(methods: DataFrame, rate: int) -> DataFrame:
     )
 
 
+def cutoff_methods(spectrum: DataFrame, rate: int, size: int, need: int = 30, span: int = 10) -> DataFrame:
+    """``(track_id, method, cutoff_hz, rolloff, conf)``: all three methods in one pass over a track's bins, counted from 0 without gaps.
+
+    One set of windows and one aggregation, which also keeps the levels of the track's spectrum, size / 2 + 1 of them at
+    most, to look the floor, the last bin above it and the rolloffs up.
+    """
+    res, half = rate / size, rate / 2
+    w = W.partitionBy("track_id").orderBy("k")
+    s = _bins(spectrum).withColumn("ref", _peak(_at(2000, res), _at(8000, res)))
+    s = s.withColumn("c", F.sum((F.col("db") < F.col("ref") - 25).cast("int")).over(w.rowsBetween(-(need - 1), 0)))
+    s = s.withColumn("slope", (F.lead("db", span).over(w) - F.lag("db", span).over(w)) / (2 * span * res))
+    hit = F.when((F.col("c") == need) & (F.col("k") >= _at(10_000, res) + need - 1), F.col("k"))
+    steep = F.when((F.col("k") >= _at(10_000, res) + span) & (F.col("k") < F.col("bins") - span), F.struct("slope", "k"))
+    levels = F.transform(F.array_sort(F.collect_list(F.struct("k", "db"))), lambda e: e["db"])
+    a = s.groupBy("track_id").agg(F.max("bins").alias("bins"), F.max("ref").alias("ref"), F.min(hit).alias("end"), F.min_by(F.col("ref") - F.col("db"), hit).alias("drop"), F.min(steep).alias("m"), levels.alias("a"))
+    top = F.array_sort(F.slice("a", F.floor(F.col("bins") * 9 / 10).cast("int") + 1, F.col("bins").cast("int")))
+    a = a.withColumn("top", top).withColumn("floor", F.get("top", F.floor(F.size("top") / 5).cast("int")))
+    above = F.array_max(F.transform("a", lambda x, i: F.when((i >= _at(10_000, res)) & (x > F.col("floor") + 15), i)))
+    a = a.withColumns({"first": (F.col("end") - need + 1).cast("int"), "last": F.coalesce(above, F.col("bins") - 1).cast("int")})
+
+    def rolloff(name: str) -> Column:
+        bin_ = F.col(name)
+        up = F.least(F.ceil(bin_ * res * 1.414 / res), F.col("bins") - 1).cast("int")
+        edge = (bin_ >= F.col("bins") - 20) | (bin_ < 20) | (up <= bin_)
+        return F.when(edge, 0.0).otherwise(F.greatest(F.lit(0.0), 2 * (F.get("a", bin_) - F.get("a", up))))
+
+    fell = F.col("first").isNotNull() & (F.col("bins") >= 100)
+    d = F.col("m.slope")
+    falls = (d < -0.003) & (F.col("bins") >= 50)
+    near = F.col("last") * res > half * 0.95
+    rows = [
+        ("energy_drop", F.when(fell, F.col("first") * res).otherwise(half), F.when(fell, rolloff("first")).otherwise(0.0), F.when(fell, F.least(F.lit(0.95), F.greatest(F.lit(0.4), F.col("drop") / 40))).when(F.col("bins") < 100, 0.0).otherwise(0.3)),
+        ("derivative", F.when(falls, F.col("m.k") * res).otherwise(half), F.when(falls, F.least(-d * 6000, F.lit(200.0))).otherwise(0.0), F.when(falls, F.least(F.lit(0.85), F.greatest(F.lit(0.3), -d * 200))).when(F.col("bins") < 50, 0.0).otherwise(0.2)),
+        ("noise_floor", F.when(near, half).otherwise(F.col("last") * res), F.when(near, 0.0).otherwise(rolloff("last")), F.when(near, 0.25).otherwise(F.least(F.lit(0.8), F.greatest(F.lit(0.3), (F.col("ref") - F.col("floor")) / 50)))),
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), c.alias("cutoff_hz"), r.alias("rolloff"), f.alias("conf")) for n, c, r, f in rows]))
+    return a.select("track_id", each.alias("x")).select("track_id", "x.*")
+
+
 def codec_table(spark) -> DataFrame:
     """Fixed signature rows, in order of precedence."""
     return spark.createDataFrame([(i, *r) for i, r in enumerate(CODECS)], "o int, codec string, bitrate int, typical double, tolerance double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wavemill.operators import lsb
 from wavemill.plans.registry import LOW, add
-from wavemill.sources.fixtures import sig_flag, sig_supp
+from wavemill.sources.fixtures import sig_flag, sig_supp, sig_whole
 
 ENT = "h AS (SELECT track_id, ch, v, count(*) AS c, count(*) / sum(count(*)) OVER (PARTITION BY track_id, ch) AS p FROM (SELECT track_id, ch, {v} AS v FROM supp) GROUP BY track_id, ch, v)"
 K = "track_id, ch"
@@ -41,29 +41,32 @@ TZ = f"tz AS (SELECT {K}, count(*) AS n, avg((q % 256 = 0 AND q % 512 <> 0)::INT
 UR = f"ur AS (SELECT {K}, count(DISTINCT q) / count(DISTINCT round(x * 32767)::INT) AS r, count(DISTINCT CASE WHEN q <> 0 AND q % 256 = 0 THEN q END) / count(DISTINCT q) AS e FROM f24 WHERE abs(x) >= 1e-5 GROUP BY ALL)"
 CL = f"""lh AS (SELECT {K}, {LOW} AS v, count(*) AS c, count(*) / sum(count(*)) OVER (PARTITION BY {K}) AS p FROM f24 WHERE abs(x) >= 1e-5 GROUP BY {K}, {LOW}),
 cl AS (SELECT {K}, sum(c)::BIGINT AS n, count(*) AS k, coalesce(sum(p) FILTER (v IN (0, 128)), 0) AS s, -sum(p * log2(p)) / 8 AS h FROM lh GROUP BY ALL)"""
-QS = f"""sec AS (SELECT *, idx // 64 AS s FROM flag WHERE idx < 64 * 30),
-fullsec AS (SELECT {K}, s, sqrt(avg(x * x)) AS rms FROM sec GROUP BY ALL HAVING count(*) = 64),
-calm AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY rms, s) AS k FROM fullsec WHERE rms > 1e-7 AND rms < 1),
-stp AS (SELECT {K}, s, abs(x - lag(x) OVER (PARTITION BY {K}, s ORDER BY idx)) AS d FROM sec)"""
+
+
+def step_sql(view: str, section: int, least: int) -> str:
+    """CTEs up to ``qs(track_id, ch, n, step)``."""
+    return f"""sec AS (SELECT *, idx // {section} AS s FROM {view}), fs AS (SELECT {K}, s, sqrt(avg(x * x)) AS rms FROM sec GROUP BY ALL HAVING count(*) = {section}),
+calm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY rms, s) AS k FROM fs WHERE rms > 1e-7 AND rms < 0.01) WHERE k <= 8),
+stp AS (SELECT {K}, s, abs(x - lag(x) OVER (PARTITION BY {K}, s ORDER BY idx)) AS d FROM sec SEMI JOIN calm USING (track_id, ch, s)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {K}, s ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY {K}, s) AS m FROM stp WHERE d > 1e-10 AND d < 0.001),
+av AS (SELECT {K}, avg(d) AS step FROM rk WHERE r = m // 10 AND m > {least} GROUP BY ALL), had AS (SELECT {K}, count(*) AS n FROM {view} GROUP BY ALL), qs AS (SELECT had.track_id, had.ch, n, step FROM had LEFT JOIN av USING (track_id, ch))"""
+
+
 add("trailing_zero_profile", lambda s, d: lsb.trailing_zero_profile(ints24(s, d)), f"WITH {F24}, {TZ} SELECT {K}, n, round(r8, 6) AS ratio_8, round(r8p, 6) AS ratio_8_plus, round(r3, 6) AS ratio_low, {ladder('tz')} FROM tz", "flag")
 add("unique_ratio", lambda s, d: lsb.unique_ratio(sig_flag(s, d)), f"WITH {F24}, {UR} SELECT {K}, round(r, 6) AS ratio, round(e, 6) AS edge_ratio, {ladder('ur')} FROM ur", "flag")
 add("lsb_clustering", lambda s, d: lsb.lsb_clustering(ints24(s, d)), f"WITH {F24}, {CL} SELECT {K}, n, k AS kinds, round(s, 6) AS share, round(h, 6) AS entropy, {ladder('cl')} FROM cl", "flag")
 
 
 def quiet(s, d):
-    return sig_flag(s, d).withColumn("x", F.col("x") / 100)
+    """All values as one track of low level, long enough for whole sections."""
+    return sig_whole(s, d).withColumn("x", F.col("x") / 100)
 
 
 add(
     "quantization_step",
-    lambda s, d: lsb.quantization_step(quiet(s, d), section=64, least=10),
-    f"""WITH qf AS (SELECT {K}, idx, x / 100 AS x FROM flag), sec AS (SELECT *, idx // 64 AS s FROM qf WHERE idx < 64 * 30), fs AS (SELECT {K}, s, sqrt(avg(x * x)) AS rms FROM sec GROUP BY ALL HAVING count(*) = 64),
-calm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY rms, s) AS k FROM fs WHERE rms > 1e-7 AND rms < 0.01) WHERE k <= 8),
-stp AS (SELECT {K}, s, abs(x - lag(x) OVER (PARTITION BY {K}, s ORDER BY idx)) AS d FROM sec SEMI JOIN calm USING (track_id, ch, s)),
-rk AS (SELECT *, row_number() OVER (PARTITION BY {K}, s ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY {K}, s) AS m FROM stp WHERE d > 1e-10 AND d < 0.001),
-av AS (SELECT {K}, avg(d) AS step FROM rk WHERE r = m // 10 AND m > 10 GROUP BY ALL), had AS (SELECT {K}, count(*) AS n FROM qf GROUP BY ALL)
-SELECT had.track_id, had.ch, round(step, 9) AS step, {ladder("qs").format(section=64)} FROM had LEFT JOIN av USING (track_id, ch)""",
-    "flag",
+    lambda s, d: lsb.quantization_step(quiet(s, d)),
+    f"WITH qf AS (SELECT {K}, idx, x / 100 AS x FROM whole), {step_sql('qf', 16384, 100)} SELECT {K}, round(step, 9) AS step, {ladder('qs').format(section=16384)} FROM qs",
+    "whole",
     digits=9,
 )
 
@@ -77,8 +80,8 @@ def voted(s, d):
 add(
     "vote_bit_depth",
     voted,
-    f"""WITH {F24}, {TZ}, {UR}, {CL}, q0 AS (SELECT {K}, count(*) AS n, NULL::DOUBLE AS step FROM f24 GROUP BY ALL),
-ms AS (SELECT {K}, {ladder("tz")} FROM tz UNION ALL SELECT {K}, {ladder("ur")} FROM ur UNION ALL SELECT {K}, {ladder("cl")} FROM cl UNION ALL SELECT {K}, {ladder("qs").format(section=16384)} FROM q0),
+    f"""WITH {F24}, {TZ}, {UR}, {CL}, {step_sql("f24", 16384, 100)},
+ms AS (SELECT {K}, {ladder("tz")} FROM tz UNION ALL SELECT {K}, {ladder("ur")} FROM ur UNION ALL SELECT {K}, {ladder("cl")} FROM cl UNION ALL SELECT {K}, {ladder("qs").format(section=16384)} FROM qs),
 v AS (SELECT {K}, coalesce(sum(conf) FILTER (bits <= 16), 0) AS a, coalesce(sum(conf) FILTER (bits > 16), 0) AS b, count(*) FILTER (bits <= 16 AND conf >= 0.8) AS hi, count(*) FILTER (bits <= 16 AND conf >= 0.9) AS ve, count(*) FILTER (bits <= 16 AND conf >= 0.85) AS su FROM ms GROUP BY ALL),
 w AS (SELECT *, CASE WHEN a + b < 0.1 THEN 24 WHEN a > b AND ve >= 3 THEN 16 WHEN a > b AND hi >= 4 THEN 16 WHEN a > 2 * b AND hi >= 3 THEN 16 WHEN b > a THEN 24 ELSE 24 END AS actual_bits,
 CASE WHEN a + b < 0.1 THEN 0.3 WHEN a > b AND ve >= 3 THEN a / (a + b) WHEN a > b AND hi >= 4 THEN a / (a + b) * 0.95 WHEN a > 2 * b AND hi >= 3 THEN a / (a + b) * 0.9 WHEN b > a THEN b / (a + b) ELSE 0.5 END AS c FROM v)
@@ -106,20 +109,30 @@ def period_sql(periods: tuple, span: int, gain: float) -> str:
     return " UNION ALL ".join(f"SELECT {K}, CASE WHEN avg((v = w)::INT) > 0.01 THEN avg((v = w)::INT) * {gain} ELSE 0 END AS r FROM (SELECT *, lag(v, {p}) OVER (PARTITION BY {K} ORDER BY idx) AS w FROM lv) WHERE idx >= {p} AND idx < {p * span} GROUP BY ALL" for p in periods)
 
 
-add("lsb_periodicity", lambda s, d: lsb.lsb_periodicity(sig_flag(s, d)), f"WITH {LV.format('(SELECT * FROM flag WHERE idx < 65536)')}, pr AS ({period_sql(lsb.PERIODS, 10, 10.0)}) SELECT {K}, round(least(1, max(r)), 6) AS periodicity FROM pr GROUP BY ALL", "flag")
-add("bit_transition_rate", lambda s, d: lsb.bit_transition_rate(sig_flag(s, d)), f"WITH {LV.format('(SELECT * FROM flag WHERE idx < 100000)')} SELECT {K}, round(sum(bit_count(xor(v, w))) / (8 * count(w)), 6) AS rate FROM (SELECT *, lag(v) OVER (PARTITION BY {K} ORDER BY idx) AS w FROM lv) GROUP BY ALL", "flag")
-add(
-    "lsb_value_clustering",
-    lambda s, d: lsb.lsb_value_clustering(sig_flag(s, d)),
-    f"""WITH c AS (SELECT {K}, {LOW} AS v, count(*) AS c, sum(count(*)) OVER (PARTITION BY {K}) AS n FROM flag WHERE idx < 100000 GROUP BY {K}, {LOW}), k AS (SELECT {K}, count(*) FILTER (c > n // 100)::DOUBLE AS k FROM c GROUP BY ALL)
-SELECT {K}, round(CASE WHEN k < 50 THEN 1 - k / 50 WHEN k < 150 THEN 0.5 * (1 - (k - 50) / 100) ELSE 0 END, 6) AS clustering FROM k""",
-    "flag",
-)
-add(
-    "byte_pattern_score",
-    lambda s, d: lsb.byte_pattern_score(sig_flag(s, d)),
-    f"""WITH {LV.format("(SELECT * FROM flag WHERE idx < 16384)")}, ch1 AS (SELECT {K}, avg((v <> w)::INT) AS rate, count(*) AS n FROM (SELECT *, lag(v) OVER (PARTITION BY {K} ORDER BY idx) AS w FROM lv) GROUP BY ALL),
+def cut(cap: int | None) -> str:
+    return "flag" if cap is None else f"(SELECT * FROM flag WHERE idx < {cap})"
+
+
+def period(cap: int | None) -> str:
+    return f"WITH {LV.format(cut(cap))}, pr AS ({period_sql(lsb.PERIODS, 10, 10.0)}), le AS (SELECT {K}, count(*) AS n FROM lv GROUP BY ALL) SELECT {K}, round(CASE WHEN n < 4096 THEN 0 ELSE least(1, max(r)) END, 6) AS periodicity FROM pr JOIN le USING (track_id, ch) GROUP BY {K}, n"
+
+
+def transitions(cap: int | None) -> str:
+    return f"WITH {LV.format(cut(cap))} SELECT {K}, round(CASE WHEN count(*) < 1000 THEN 0.5 ELSE sum(bit_count(xor(v, w))) / (8 * count(w)) END, 6) AS rate FROM (SELECT *, lag(v) OVER (PARTITION BY {K} ORDER BY idx) AS w FROM lv) GROUP BY ALL"
+
+
+def clustering(cap: int | None) -> str:
+    return f"""WITH c AS (SELECT {K}, {LOW} AS v, count(*) AS c, sum(count(*)) OVER (PARTITION BY {K}) AS n FROM {cut(cap)} GROUP BY {K}, {LOW}), k AS (SELECT {K}, max(n) AS n, count(*) FILTER (c > n // 100)::DOUBLE AS k FROM c GROUP BY ALL)
+SELECT {K}, round(CASE WHEN n < 1000 THEN 0 WHEN k < 50 THEN 1 - k / 50 WHEN k < 150 THEN 0.5 * (1 - (k - 50) / 100) ELSE 0 END, 6) AS clustering FROM k"""
+
+
+def pattern(cap: int | None) -> str:
+    return f"""WITH {LV.format(cut(cap))}, ch1 AS (SELECT {K}, avg((v <> w)::INT) AS rate, count(*) AS n FROM (SELECT *, lag(v) OVER (PARTITION BY {K} ORDER BY idx) AS w FROM lv) GROUP BY ALL),
 ra AS (SELECT {K}, 256 - count(*) FILTER (c >= 5) AS rare FROM (SELECT {K}, v, count(*) AS c FROM lv GROUP BY ALL) GROUP BY ALL), pr AS (SELECT {K}, max(r) AS p FROM ({period_sql((256, 512, 1024, 2048), 4, 1.0)}) GROUP BY ALL)
-SELECT {K}, round(CASE WHEN n < 4096 THEN 0 ELSE 1 END * least(1, CASE WHEN rate > 0.45 AND rate < 0.55 THEN 0.3 ELSE 0 END + CASE WHEN rare > 10 AND rare < 100 THEN 0.2 ELSE 0 END + CASE WHEN p > 0.2 THEN p * 0.3 ELSE 0 END), 6) AS score FROM ch1 JOIN ra USING (track_id, ch) JOIN pr USING (track_id, ch)""",
-    "flag",
-)
+SELECT {K}, round(CASE WHEN n < 4096 THEN 0 ELSE 1 END * least(1, CASE WHEN rate > 0.45 AND rate < 0.55 THEN 0.3 ELSE 0 END + CASE WHEN rare > 10 AND rare < 100 THEN 0.2 ELSE 0 END + CASE WHEN p > 0.2 THEN p * 0.3 ELSE 0 END), 6) AS score FROM ch1 JOIN ra USING (track_id, ch) JOIN pr USING (track_id, ch)"""
+
+
+# Whole channels, and the short analysis of the first samples, which is a preset of its own.
+for name, sql in (("lsb_periodicity", period), ("bit_transition_rate", transitions), ("lsb_value_clustering", clustering), ("byte_pattern_score", pattern)):
+    for ending, cap in (("", None), ("_first", lsb.FIRST_SAMPLES[name])):
+        add(f"{name}{ending}", lambda s, d, name=name, cap=cap: getattr(lsb, name)(sig_flag(s, d), cap=cap), sql(cap), "flag")

@@ -27,6 +27,7 @@ def _lines(track: str) -> str:
 VIEWS = {
     "supp": _lines("l_suppkey"),
     "flag": _lines("l_returnflag"),
+    "whole": _lines("0"),
     "usr": "SELECT user_id AS track_id, 0 AS ch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, 2 * value / max(value) OVER (PARTITION BY user_id) - 1 AS x FROM events",
     "fr": "SELECT label AS track_id, vec_id AS frame_no, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings",
     "spectra": """SELECT track_id, frame_no, k, sqrt(re * re + im * im) AS mag FROM (SELECT track_id, frame_no, k::INTEGER AS k, sum(x * cos(2 * pi() * ((n * k) % 64) / 64)) AS re,

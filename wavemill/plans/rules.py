@@ -62,8 +62,8 @@ def noise(s, d):
 
 add(
     "verdict",
-    lambda s, d: findings.verdict(findings_view(s, d).where("track_id % 2 = 0"), noise(s, d)).withColumn("quality_score", F.round("quality_score", 9)),
-    f"""WITH {FV}, b AS (SELECT track_id, count(*) FILTER (severity IN ('critical', 'high', 'medium')) AS bad FROM f WHERE track_id % 2 = 0 GROUP BY ALL), g AS (SELECT c_custkey AS track_id, coalesce(bad, 0) = 0 AS genuine, CASE WHEN c_custkey % 3 <> 0 THEN -abs(c_acctbal) / 100 END AS nf FROM customer LEFT JOIN b ON track_id = c_custkey),
+    lambda s, d: findings.verdict(findings_view(s, d), noise(s, d)).withColumn("quality_score", F.round("quality_score", 9)),
+    f"""WITH {FV}, b AS (SELECT track_id, count(*) FILTER (severity IN ('critical', 'high', 'medium')) AS bad FROM f GROUP BY ALL), g AS (SELECT c_custkey AS track_id, coalesce(bad, 0) = 0 AS genuine, CASE WHEN c_custkey % 3 <> 0 THEN -abs(c_acctbal) / 100 END AS nf FROM customer LEFT JOIN b ON track_id = c_custkey),
 q AS (SELECT *, CASE WHEN nf IS NOT NULL THEN 1 - least(1, abs(nf) / 120) WHEN genuine THEN 0.95 ELSE 0.4 END AS s FROM g)
 SELECT track_id, genuine, round(s, 9)::DOUBLE AS quality_score, CASE WHEN genuine THEN CASE WHEN s >= 0.9 THEN 'Lossless' ELSE 'Probably Lossless' END WHEN s < 0.5 THEN 'Lossy / Fake' ELSE 'Suspect' END AS label FROM q""",
     digits=9,
@@ -95,7 +95,7 @@ for profile in findings.PROFILES:
 def badge_rows(s, d):
     f = findings_view(s, d)
     return f.select(
-        "track_id", "defect_type", "estimated_bitrate", F.lit("general").alias("codec"), (F.col("track_id") % 20000).cast("int").alias("cutoff_hz"), F.lit(44100).alias("original_rate"), F.lit(96000).alias("current_rate"), F.lit(16).alias("actual_bits"), F.lit(24).alias("claimed_bits")
+        "track_id", "defect_type", "severity", "confidence", "estimated_bitrate", F.lit("general").alias("codec"), (F.col("track_id") % 20000).cast("int").alias("cutoff_hz"), F.lit(44100).alias("original_rate"), F.lit(96000).alias("current_rate"), F.lit(16).alias("actual_bits"), F.lit(24).alias("claimed_bits")
     )
 
 
@@ -116,7 +116,7 @@ add(
 
 
 def report_rows(s, d):
-    f = badge_rows(s, d).withColumns({"severity": F.lit("high"), "confidence": F.lit(0.5)}).where("defect_type in ('Mp3Transcode', 'Upsampled')")
+    f = badge_rows(s, d)
     t = tracks(s, d).select("track_id", F.concat(F.lit("t"), "track_id").alias("file"), F.lit(44100).alias("sample_rate"), F.lit(24).alias("bit_depth"), F.lit(2).alias("channels"), F.lit("flac").alias("extension"))
     v = findings.verdict(f, tracks(s, d).withColumn("noise_floor", F.lit(None).cast("double")))
     return reports.reports(t, f, v)
@@ -131,8 +131,8 @@ def parsed(s, d):
 add(
     "write_report",
     parsed,
-    f"""WITH {FV}, n AS (SELECT track_id, count(*) AS n FROM f WHERE defect_type IN ('Mp3Transcode', 'Upsampled') GROUP BY ALL)
-SELECT c_custkey AS track_id, 't' || c_custkey AS file, n IS NULL AS genuine, CASE WHEN n IS NULL THEN 'Lossless' ELSE 'Lossy / Fake' END AS label, coalesce(n, 0)::INT AS n, '44.1 kHz' AS rate, 'FLAC' AS ext FROM customer LEFT JOIN n ON track_id = c_custkey""",
+    f"""WITH {FV}, n AS (SELECT track_id, count(*) AS n, count(*) FILTER (severity IN ('critical', 'high', 'medium')) AS bad FROM f GROUP BY ALL)
+SELECT c_custkey AS track_id, 't' || c_custkey AS file, coalesce(bad, 0) = 0 AS genuine, CASE WHEN coalesce(bad, 0) = 0 THEN 'Lossless' ELSE 'Lossy / Fake' END AS label, coalesce(n, 0)::INT AS n, '44.1 kHz' AS rate, 'FLAC' AS ext FROM customer LEFT JOIN n ON track_id = c_custkey""",
 )
 LBL = arr(["Mp3Transcode", "Upsampled", "BitDepthMismatch"])
 CV = f"""c0 AS (SELECT o_orderkey AS k, o_orderpriority AS category, o_orderstatus AS genre, list_filter({LBL}, lambda x, i: (o_orderkey >> (i - 1)) % 2 = 1) AS expected, list_filter({LBL}, lambda x, i: (o_orderkey >> (i + 2)) % 2 = 1) AS found FROM orders),
@@ -219,7 +219,7 @@ add("genre_lookup", genres, "SELECT p_partkey, p_name, CASE WHEN contains(p_name
 
 
 def manifest(s, d):
-    n = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("source"), F.lit(44100).alias("rate"), F.explode(F.array(F.lit(44100), F.lit(96000), F.lit(22050))).alias("target_rate"))
+    n = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("source"), F.when(F.col("s_suppkey") % 2 == 0, 44100).otherwise(48000).alias("rate"), F.explode(F.array(F.lit(44100), F.lit(96000), F.lit(22050))).alias("target_rate"))
     return evaluate.expected_manifest(s, n).fillna(-1)
 
 
@@ -228,14 +228,14 @@ ENG = ", ".join(f"('{e}', '{t}', {str(x).lower()})" for e, t, x in evaluate.ENGI
 add(
     "expected_manifest",
     manifest,
-    f"""WITH di(m, x) AS (VALUES {DIT}), en(e, t, x) AS (VALUES {ENG})
-SELECT n_name || '_dither_' || m || '_scale' || replace(printf('%.2f', s::DOUBLE), '.', '_') || '.flac' AS filename, 'dither' AS kind, m AS name, round(s::DOUBLE, 6) AS scale, -1 AS target_rate, NULL AS direction, NULL AS tier, x AS detectable, 16 AS output_bits FROM nation, di, (VALUES (0.5), (0.75), (1.0), (1.25), (1.5), (2.0)) q(s)
-UNION ALL SELECT n_name || '_' || r || 'Hz_' || e || '.flac', 'resample', e, -1, r, CASE WHEN r > 44100 THEN 'Upsample' WHEN r < 44100 THEN 'Downsample' ELSE 'None' END, t, x, -1 FROM nation, en, (VALUES (44100), (96000), (22050)) z(r)""",
+    f"""WITH di(m, x) AS (VALUES {DIT}), en(e, t, x) AS (VALUES {ENG}), n AS (SELECT s_name, CASE WHEN s_suppkey % 2 = 0 THEN 44100 ELSE 48000 END AS own FROM supplier)
+SELECT s_name || '_dither_' || m || '_scale' || replace(printf('%.2f', s::DOUBLE), '.', '_') || '.flac' AS filename, 'dither' AS kind, m AS name, round(s::DOUBLE, 6) AS scale, -1 AS target_rate, NULL AS direction, NULL AS tier, x AS detectable, 16 AS output_bits FROM n, di, (VALUES (0.5), (0.75), (1.0), (1.25), (1.5), (2.0)) q(s)
+UNION ALL SELECT s_name || '_' || r || 'Hz_' || e || '.flac', 'resample', e, -1, r, CASE WHEN r > own THEN 'Upsample' WHEN r < own THEN 'Downsample' ELSE 'None' END, t, x, -1 FROM n, en, (VALUES (44100), (96000), (22050)) z(r)""",
 )
 
 
 def json_cases(s, d):
-    f = findings_view(s, d).where("track_id % 2 = 0")
+    f = findings_view(s, d)
     kind = F.concat(F.lit('{"severity": "'), "severity", F.lit('", "defect_type": {"'), "defect_type", F.lit('": {"codec": "mp3 x"}}}'))
     per = f.groupBy("track_id").agg(F.array_sort(F.collect_set(kind)).alias("k"))
     text = F.concat(F.lit('{"verdict": {"genuine": false}, "detections": ['), F.array_join("k", ","), F.lit("]}"))
@@ -254,8 +254,8 @@ for suite, extra, skip in (("genre", "WHEN 'ResamplingDetected' THEN 'Upsampled'
     add(
         f"normalize_findings_{suite}",
         normalized(suite),
-        f"""WITH {FV}, l AS (SELECT track_id, CASE defect_type WHEN 'LossyTranscode' THEN 'Mp3Transcode' WHEN 'Upsampled' THEN 'Upsampled' WHEN 'BitDepthInflated' THEN 'BitDepthMismatch' {extra} END AS l FROM f WHERE track_id % 2 = 0 {skip}),
-t AS (SELECT DISTINCT track_id FROM f WHERE track_id % 2 = 0), g AS (SELECT track_id, string_agg(DISTINCT l, ',' ORDER BY l) AS found FROM l WHERE l IS NOT NULL GROUP BY ALL)
+        f"""WITH {FV}, l AS (SELECT track_id, CASE defect_type WHEN 'LossyTranscode' THEN 'Mp3Transcode' WHEN 'Upsampled' THEN 'Upsampled' WHEN 'BitDepthInflated' THEN 'BitDepthMismatch' {extra} END AS l FROM f WHERE true {skip}),
+t AS (SELECT DISTINCT track_id FROM f), g AS (SELECT track_id, string_agg(DISTINCT l, ',' ORDER BY l) AS found FROM l WHERE l IS NOT NULL GROUP BY ALL)
 SELECT track_id, track_id % 11 = 0 AS is_clean, CASE WHEN track_id % 11 = 0 THEN '' ELSE coalesce(found, '') END AS found FROM t LEFT JOIN g USING (track_id)""",
     )
 

@@ -122,9 +122,7 @@ add(
 
 
 def multi(s, d):
-    x = spec_supp(s, d)
-    rows = spectra.cutoff_energy_drop(x, RATE, SIZE).unionByName(spectra.cutoff_derivative(x, RATE, SIZE)).unionByName(spectra.cutoff_noise_floor(x, RATE, SIZE))
-    return spectra.cutoff_multimethod(rows, RATE)
+    return spectra.cutoff_multimethod(spectra.cutoff_methods(spec_supp(s, d), RATE, SIZE), RATE)
 
 
 MULTI = f"""{DROP}, {DERIV}, {FLOOR}, al AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3),
@@ -301,7 +299,7 @@ add(
     lambda s, d: cepstra.euclid_pairs(asked(s, d), vec64(s, d), 1.2),
     f"WITH {VEC} SELECT q.id AS a_id, v.id AS b_id, round(list_distance(q.v, v.v), 6) AS distance FROM q, v WHERE q.id <> v.id AND list_distance(q.v, v.v) <= 1.2",
 )
-add("euclid_pairs_lsh", lambda s, d: cepstra.euclid_pairs(vec64(s, d), vec64(s, d), 1.1, method="blocks"))
+add("euclid_pairs_lsh", lambda s, d: cepstra.euclid_pairs(vec64(s, d), vec64(s, d), 1.1, method="bands"))
 
 # Hum: the frame view read as spectra with 10 Hz bins.
 HRES = 10.0

@@ -9,27 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wavemill.operators.blocks import numbered
+
 #: Order of ``lineitem`` rows; no shorter key is unique.
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 #: Nominal rate of the frame view, in Hz.
 FRAME_RATE = 16_000
 
 
-def numbered(df: DataFrame, track: str, order: list[str], cell: Column | None = None) -> DataFrame:
-    """``df`` with ``idx``, the place of each row within its track.
-
-    With ``cell``, a number that never falls as the order rises, rows are counted by cell, the counts
-    are summed over the cells, and ranks are taken within a cell, so a long track has no single task.
-    """
-    if cell is None:
-        return df.withColumn("idx", F.row_number().over(W.partitionBy(track).orderBy(*order)).cast("long") - 1)
-    celled = df.withColumn("__cell", cell)
-    before = W.partitionBy(track).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = celled.groupBy(track, "__cell").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    within = F.row_number().over(W.partitionBy(track, "__cell").orderBy(*order)) - 1
-    return celled.withColumn("__in", within).join(starts, [track, "__cell"]).withColumn("idx", F.col("__start") + F.col("__in")).drop("__cell", "__start", "__in")
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _lines(spark: SparkSession, sf_dir: str, track: str, cell: Column | None) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").select(*dict.fromkeys([*LINE_ORDER, track]))
     q = F.round(F.col("l_extendedprice") * 100).cast("long") - 5_295_000
-    return numbered(rows, track, LINE_ORDER, cell).select(F.col(track).alias("track_id"), F.lit(0).alias("ch"), "idx", (q / F.lit(8388608.0)).alias("x"), q.alias("q"))
+    return numbered(rows, [track], LINE_ORDER, cell).select(F.col(track).alias("track_id"), F.lit(0).alias("ch"), "idx", (q / F.lit(8388608.0)).alias("x"), q.alias("q"))
 
 
 def sig_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +37,18 @@ def sig_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir, "l_returnflag", F.floor(F.col("l_orderkey") / 1024))
 
 
+def sig_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long track of the same values."""
+    rows = _table(spark, sf_dir, "lineitem").select(*LINE_ORDER).withColumn("track", F.lit(0))
+    q = F.round(F.col("l_extendedprice") * 100).cast("long") - 5_295_000
+    return numbered(rows, ["track"], LINE_ORDER, F.floor(F.col("l_orderkey") / 1024)).select(F.col("track").alias("track_id"), F.lit(0).alias("ch"), "idx", (q / F.lit(8388608.0)).alias("x"), q.alias("q"))
+
+
 def sig_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short tracks scaled so that each touches 1."""
     rows = _table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     top = F.max("value").over(W.partitionBy("user_id"))
-    return numbered(rows.withColumn("top", top), "user_id", ["ts", "event_id"]).select(F.col("user_id").alias("track_id"), F.lit(0).alias("ch"), "idx", (2 * F.col("value") / F.col("top") - 1).alias("x"))
+    return numbered(rows.withColumn("top", top), ["user_id"], ["ts", "event_id"]).select(F.col("user_id").alias("track_id"), F.lit(0).alias("ch"), "idx", (2 * F.col("value") / F.col("top") - 1).alias("x"))
 
 
 def frames64(spark: SparkSession, sf_dir: str) -> DataFrame:
