@@ -61,7 +61,7 @@ def add(name: str, query: Query, sql: str | None = None, *views: str, digits: in
 
 
 def queries() -> dict[str, Query]:
-    from wavemill.plans import levels, lsb, ordered, rules, spectral, streams  # noqa: F401  they register themselves
+    from wavemill.plans import files, levels, lsb, ordered, rules, spectral, streams  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

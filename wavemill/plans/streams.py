@@ -6,27 +6,16 @@ shared folder, which is the result.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavemill.plans.registry import add
+from wavemill.sources.folders import shared_folder
 from wavemill.streaming import monitors
 
 EVENTS = "SELECT user_id AS key, ts::TIMESTAMP AS ts, value / 500 - 1 AS value FROM events"
 
 
-def folder(spark: SparkSession) -> str:
-    """The session's shared folder; one of our own only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="wavemill-")
-        spark.sparkContext.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
@@ -34,7 +23,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    spark, at = stream.sparkSession, folder(stream.sparkSession)
+    spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     if mode == "append":
         sink = stream.writeStream.format("parquet").option("path", f"{at}/out").outputMode("append")
         sink.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()

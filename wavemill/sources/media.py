@@ -14,14 +14,45 @@ from pyspark.sql import functions as F
 EXTENSIONS = ("flac", "wav", "aiff", "aif", "alac", "m4a", "ape", "wv", "dsf", "dff")
 DEEP = ("flac", "wav", "aiff", "aif", "alac", "m4a", "ape", "wv")
 BLOCKS = "path string, track_id string, ch int, block_no long, rate int, channels int, bits int, x array<double>, error string"
-MANIFEST = "source_file string, source_sample_rate int, source_bit_depth int, dithering_tests array<struct<filename: string, method: string, scale: double, output_bits: int>>, resampling_tests array<struct<filename: string, original_rate: int, target_rate: int, engine: string>>"  # noqa: E501
+MANIFEST = (
+    "source_file string, source_sample_rate int, source_bit_depth int, "
+    "dithering_tests array<struct<filename: string, method: string, scale: double, output_bits: int, expected_detection: string>>, "
+    "resampling_tests array<struct<filename: string, original_rate: int, target_rate: int, engine: string, expected_detection: string>>"
+)
+#: Longest file in bytes whose content is read; a cell of a table holds no more.
+LONGEST = 2_000_000_000
 
 
-def scan_media(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``(path, length, content, ext)`` of media files; content is read only where it is used, and no match is no row."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    ext = F.lower(F.element_at(F.split("path", r"\."), -1))
-    return files.withColumn("ext", ext).where(F.col("ext").isin(*EXTENSIONS)).select("path", "length", "content", "ext")
+def scan_media(spark: SparkSession, path: str, recursive: bool = False, longest: int = LONGEST) -> DataFrame:
+    """``(path, length, content, ext)`` of media files, told by their names before any is opened; no match is no row.
+
+    Content is read only where it is used, and is null for files longer than ``longest``.
+    """
+    either = ["".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in EXTENSIONS]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", f"*.{{{','.join(either)}}}").load(path)
+    files = files.withColumn("ext", F.lower(F.element_at(F.split("path", r"\."), -1)))
+    short, long = files.where(F.col("length") <= longest), files.where(F.col("length") > longest)
+    return short.select("path", "length", "content", "ext").unionByName(long.select("path", "length", F.lit(None).cast("binary").alias("content"), "ext"))
+
+
+def write_media(files: DataFrame, folder: str) -> DataFrame:
+    """Write ``(name, content)`` below a folder that all executors share; ``(name, length)`` of what was written.
+
+    A file is written under its own name, so a task that runs twice writes the same file twice.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        system.create_dir(base, recursive=True)
+        for p in batches:
+            for name, raw in zip(p["name"], p["content"], strict=True):
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(bytes(raw))
+            yield pd.DataFrame({"name": p["name"], "length": [len(c) for c in p["content"]]})
+
+    return files.select("name", "content").mapInPandas(run, "name string, length long")
 
 
 def with_digest(tracks: DataFrame) -> DataFrame:
@@ -80,6 +111,8 @@ def ingest_pcm(tracks: DataFrame, block: int = 65_536) -> DataFrame:
             for path, raw in zip(p["path"], p["content"], strict=True):
                 name = path.rsplit("/", 1)[-1]
                 try:
+                    if raw is None:
+                        raise ValueError("file too long to be read")
                     rate, bits, x = read_pcm(bytes(raw))
                 except (ValueError, struct.error) as e:
                     yield pd.DataFrame([(path, name, None, None, None, None, None, None, str(e))], columns=COLUMNS)
@@ -100,8 +133,10 @@ def keep_errors(results: DataFrame) -> DataFrame:
 
 
 def save_manifest(df: DataFrame, path: str) -> None:
+    """A JSON record for each row."""
     df.write.mode("overwrite").json(path)
 
 
-def load_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def load_manifest(spark: SparkSession, path: str, schema: str = MANIFEST, multi_line: bool = False) -> DataFrame:
+    """Records of ``save_manifest``, one on each line, or with ``multi_line`` files that hold one record each."""
+    return spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
