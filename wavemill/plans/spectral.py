@@ -219,7 +219,16 @@ def long_chain(s, d):
     return spectra.median_power_db(spectra.fft_magnitude(f, 1024, "blackman_harris"), 1024)
 
 
-add("median_spectrum_long", long_chain)
+add(
+    "median_spectrum_long",
+    long_chain,
+    """WITH t AS (SELECT track_id, count(*) AS n FROM flag GROUP BY ALL HAVING count(*) >= 2048), p AS MATERIALIZED (SELECT flag.track_id, f, idx - f * ((n - 1024) // 40) AS i, x FROM flag JOIN t USING (track_id), range(40) z(f) WHERE idx >= f * ((n - 1024) // 40) AND idx < f * ((n - 1024) // 40) + 1024),
+w AS (SELECT *, x * (0.35875 - 0.48829 * cos(2 * pi() * i / 1023) + 0.14128 * cos(4 * pi() * i / 1023) - 0.01168 * cos(6 * pi() * i / 1023)) AS y FROM p),
+s AS (SELECT track_id, f, k::INT AS k, sum(y * cos(2 * pi() * ((i * k) % 1024) / 1024)) AS re, sum(y * sin(2 * pi() * ((i * k) % 1024) / 1024)) AS im FROM w, range(513) b(k) GROUP BY ALL),
+r AS (SELECT track_id, k, (re * re + im * im) / (1024 * 1024.0::DOUBLE) AS p, row_number() OVER (PARTITION BY track_id, k ORDER BY re * re + im * im) AS r FROM s)
+SELECT track_id, k, round(CASE WHEN p > 1e-20 THEN 10 * log10(p) ELSE -200 END, 6) AS db FROM r WHERE r = 21""",
+    "flag",
+)
 add(
     "frame",
     lambda s, d: spectra.frame(sig_supp(s, d), 128, 64).select("track_id", "ch", "frame_no", "start_idx", F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total"), F.size("x").alias("n")),
@@ -227,7 +236,23 @@ add(
 SELECT f.track_id, f.ch, frame_no, frame_no * 64 AS start_idx, round(sum(x), 6) AS total, count(*)::INT AS n FROM f JOIN supp s ON s.track_id = f.track_id AND s.idx >= frame_no * 64 AND s.idx < frame_no * 64 + 128 GROUP BY ALL""",
     "supp",
 )
-add("spectrogram_grid", lambda s, d: spectra.spectrogram_grid(spectra.spectrogram(mags(s, d), 64).withColumn("frame_no", F.floor(F.col("frame_no") / 10)).groupBy("track_id", "frame_no", "k").agg(F.avg("db").alias("db")), FRAME_RATE, 64, 30, 16))
+def grid_rows(width: int, height: int, scale: str) -> str:
+    """Bin of each row of the picture, as the scale says: ``py, k`` for range(height) t(py)."""
+    part = f"({height} - 1 - py) / {max(1, height - 1)}::DOUBLE"
+    top = f"2595 * log10(1 + {FRAME_RATE / 2} / 700)"
+    k = f"{part} * 32" if scale == "linear" else f"700 * (pow(10, {part} * {top} / 2595) - 1) / {FRAME_RATE / 64}"
+    return f"SELECT py::INT AS py, least(32, trunc({k}))::INT AS k FROM range({height}) t(py)"
+
+
+for scale in ("mel", "linear"):
+    add(
+        "spectrogram_grid" + ("" if scale == "mel" else "_linear"),
+        lambda s, d, scale=scale: spectra.spectrogram_grid(spectra.spectrogram(mags(s, d), 64).withColumn("frame_no", F.floor(F.col("frame_no") / 10)).groupBy("track_id", "frame_no", "k").agg(F.avg("db").alias("db")), FRAME_RATE, 64, 30, 16, scale),
+        f"""WITH g AS (SELECT track_id, frame_no // 10 AS frame_no, k, avg(CASE WHEN mag > 1e-10 THEN 20 * log10(mag / 64) ELSE -200 END) AS db FROM spectra GROUP BY ALL), ln AS ({grid_rows(30, 16, scale)}),
+ce AS (SELECT track_id, px::INT AS px, px * n // 30 AS frame_no FROM (SELECT track_id, max(frame_no) + 1 AS n FROM g GROUP BY ALL), range(30) t(px))
+SELECT track_id, px, py, round((least(0, greatest(-90, db)) + 90) / 90, 6) AS v FROM g JOIN ln USING (k) JOIN ce USING (track_id, frame_no)""",
+        "spectra",
+    )
 
 # Cepstra.
 MEL = 12
@@ -388,4 +413,13 @@ def tracked(s, d):
     return hum.track_frequency(m, base, 256, 256)
 
 
-add("track_frequency", tracked)
+add(
+    "track_frequency",
+    tracked,
+    """WITH t AS (SELECT track_id, count(*) AS n FROM supp GROUP BY ALL), p AS (SELECT track_id, idx // 256 AS f, idx % 256 AS i, x * 0.5 * (1 - cos(2 * pi() * (idx % 256) / 256)) AS y FROM supp JOIN t USING (track_id) WHERE idx // 256 < n // 256),
+s AS (SELECT track_id, f, k, sum(y * cos(2 * pi() * ((i * k) % 256) / 256)) AS re, sum(y * sin(2 * pi() * ((i * k) % 256) / 256)) AS im FROM p, range(97, 103) b(k) GROUP BY ALL), m AS (SELECT track_id, f, k, sqrt(re * re + im * im) AS mag FROM s),
+c AS (SELECT track_id, f, max(mag) AS st, arg_max(k, struct_pack(m := mag, k := -k)) AS k FROM m WHERE k IN (99, 100) GROUP BY ALL),
+r AS (SELECT track_id, f, mag AS fl FROM (SELECT *, row_number() OVER (PARTITION BY track_id, f ORDER BY mag) AS r FROM m WHERE k NOT IN (99, 100)) WHERE r = 3)
+SELECT track_id, round((f * 128 + 128) / 256::DOUBLE, 6) AS t, round((k + 0.5) / 2, 6) AS freq, CASE WHEN st / fl > 5 THEN 0.9 WHEN st / fl > 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence, round(20 * log10(st), 6) AS strength_db FROM c JOIN r USING (track_id, f)""",
+    "supp",
+)

@@ -1,7 +1,8 @@
-"""Queries of the stream monitors and of file ingestion.
+"""Queries of the stream monitors.
 
-Streams read the events table as files, run until what is there is used up, and write a table into the
-shared folder, which is the result.
+Streams read the events table as files, a bounded number of them a batch, run in append mode until what is
+there is used up, and write a table into the shared folder, which is the result: windows, sessions and runs that the
+watermark has not closed by then are not in it.
 """
 
 from __future__ import annotations
@@ -18,65 +19,60 @@ EVENTS = "SELECT user_id AS key, ts::TIMESTAMP AS ts, value / 500 - 1 AS value F
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*")
     return raw.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500 - 1).alias("value"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame) -> DataFrame:
     spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
-    if mode == "append":
-        sink = stream.writeStream.format("parquet").option("path", f"{at}/out").outputMode("append")
-        sink.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{at}/out")
+    sink = stream.writeStream.format("parquet").option("path", f"{at}/out").outputMode("append")
+    sink.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
-    def replace(df: DataFrame, n: int) -> None:
-        df.write.mode("overwrite").parquet(f"{at}/out")
 
-    stream.writeStream.foreachBatch(replace).outputMode("complete").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/out")
+def rocks(s):
+    """Stateful processors need this provider; it is a session setting."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def loudness(s, d):
-    return drained(monitors.stream_loudness(events(s, d), "6 hours", "3 hours", "1 hour"), "complete").select("key", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", "power", "lufs", "loud")
+    rocks(s)
+    return drained(monitors.stream_loudness(events(s, d), "6 hours", "3 hours", "1 hour")).select("key", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", "power", "lufs", "loud", "gated")
 
 
 add(
     "stream_loudness",
     loudness,
-    f"""WITH e AS ({EVENTS}), w AS (SELECT key, time_bucket(INTERVAL 3 HOURS, ts) - INTERVAL (h * 3) HOURS AS start, value FROM e, range(2) t(h)), a AS (SELECT key, start, count(*) AS n, avg(value * value) AS p FROM w GROUP BY ALL)
-SELECT key, epoch_us(start) AS start, epoch_us(start + INTERVAL 6 HOURS) AS "end", n, round(p, 6) AS power, round(CASE WHEN p > 0 THEN -0.691 + 10 * log10(p) ELSE -70 END, 6) AS lufs, CASE WHEN p > 0 THEN -0.691 + 10 * log10(p) ELSE -70 END > -70 AS loud FROM a""",
+    f"""WITH e AS ({EVENTS}), w AS (SELECT key, time_bucket(INTERVAL 3 HOURS, ts) - INTERVAL (h * 3) HOURS AS start, value FROM e, range(2) t(h)), a AS (SELECT key, start, count(*) AS n, avg(value * value) AS p FROM w GROUP BY ALL),
+l AS (SELECT *, CASE WHEN p > 0 THEN -0.691 + 10 * log10(p) ELSE -70 END AS lufs FROM a WHERE start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e)), m AS (SELECT *, avg(p) FILTER (lufs > -70) OVER (PARTITION BY key ORDER BY start ROWS UNBOUNDED PRECEDING) AS mean FROM l)
+SELECT key, epoch_us(start) AS start, epoch_us(start + INTERVAL 6 HOURS) AS "end", n, round(p, 6) AS power, round(lufs, 6) AS lufs, lufs > -70 AS loud, lufs > -70 AND coalesce(p > mean * 0.1, false) AS gated FROM m""",
 )
 
 
 def levels(s, d):
-    return drained(monitors.stream_block_levels(events(s, d), "1 day", "1 hour"), "complete").withColumn("start", F.unix_micros("start"))
+    return drained(monitors.stream_block_levels(events(s, d), "1 day", "1 hour")).withColumn("start", F.unix_micros("start"))
 
 
 add(
     "stream_block_levels",
     levels,
     f"""WITH e AS ({EVENTS}), a AS (SELECT key, date_trunc('day', ts) AS start, count(*) AS n, max(abs(value)) AS peak, sqrt(avg(value * value)) AS rms FROM e GROUP BY ALL)
-SELECT key, epoch_us(start) AS start, n, round(peak, 6) AS peak, round(rms, 6) AS rms, round(CASE WHEN peak > 0 THEN 20 * log10(peak) ELSE -120 END, 6) AS peak_dbfs, round(CASE WHEN rms > 0 THEN 20 * log10(rms) ELSE -120 END, 6) AS rms_dbfs FROM a""",
+SELECT key, epoch_us(start) AS start, n, round(peak, 6) AS peak, round(rms, 6) AS rms, round(CASE WHEN peak > 0 THEN 20 * log10(peak) ELSE -120 END, 6) AS peak_dbfs, round(CASE WHEN rms > 0 THEN 20 * log10(rms) ELSE -120 END, 6) AS rms_dbfs FROM a WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e)""",
 )
 
 
 def dropouts(s, d):
-    return drained(monitors.stream_dropouts(events(s, d), 0.5, "12 hours", "1 hour"), "complete").withColumns({c: F.unix_micros(c) for c in ("start", "last", "silent_from")})
+    return drained(monitors.stream_dropouts(events(s, d), 0.5, "12 hours", "1 hour")).withColumns({c: F.unix_micros(c) for c in ("start", "last", "silent_from")})
 
 
 add(
     "stream_dropouts",
     dropouts,
     f"""WITH e AS (SELECT * FROM ({EVENTS}) WHERE abs(value) > 0.5), g AS (SELECT *, (ts - lag(ts) OVER w >= INTERVAL 12 HOURS OR lag(ts) OVER w IS NULL)::INT AS f FROM e WINDOW w AS (PARTITION BY key ORDER BY ts)), h AS (SELECT *, sum(f) OVER (PARTITION BY key ORDER BY ts, f DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT key, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, epoch_us(max(ts) + INTERVAL 12 HOURS) AS silent_from, count(*) AS n FROM h GROUP BY key, k""",
+SELECT key, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, epoch_us(max(ts) + INTERVAL 12 HOURS) AS silent_from, count(*) AS n FROM h GROUP BY key, k HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM e)""",
 )
 
 
-def rocks(s):
-    """Stateful processors need this provider; it is a session setting."""
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
 def envelope(s, d):
     rocks(s)
     return drained(monitors.stream_envelope(events(s, d), 0.5, 0.1)).withColumn("ts", F.unix_micros("ts"))
@@ -87,5 +83,17 @@ def clips(s, d):
     return drained(monitors.stream_clip_runs(events(s, d), 0.6, 2, "1 hour", 3_600_000)).withColumns({c: F.unix_micros(c) for c in ("start", "last")})
 
 
-add("stream_envelope", envelope)
-add("stream_clip_runs", clips)
+add(
+    "stream_envelope",
+    envelope,
+    f"""WITH RECURSIVE o AS MATERIALIZED (SELECT key, ts, abs(value) AS v, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM ({EVENTS})),
+r AS (SELECT key, ts, i, CASE WHEN v > 0 THEN 0.5 ELSE 0.1 END * v AS e FROM o WHERE i = 1 UNION ALL SELECT o.key, o.ts, o.i, e + CASE WHEN v > e THEN 0.5 ELSE 0.1 END * (v - e) FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+SELECT key, epoch_us(ts) AS ts, round(e, 6) AS envelope FROM r""",
+)
+add(
+    "stream_clip_runs",
+    clips,
+    f"""WITH e AS ({EVENTS}), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i, abs(value) >= 0.6 AS hit, max(ts) OVER () AS latest FROM e), z AS (SELECT *, max(i) OVER (PARTITION BY key) AS total FROM o),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY key ORDER BY ts) AS g FROM z WHERE hit), r AS (SELECT key, min(ts) AS start, max(ts) AS last, count(*)::INT AS n, max(i) = max(total) AS open, max(latest) AS latest FROM g GROUP BY key, g)
+SELECT key, epoch_us(start) AS start, epoch_us(last) AS last, n FROM r WHERE n >= 2 AND (NOT open OR last + INTERVAL 1 HOUR <= latest - INTERVAL 1 HOUR)""",
+)

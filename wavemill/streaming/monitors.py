@@ -13,14 +13,45 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from wavemill.functions.scalar import dbfs, lufs_from_power
 
 
-def stream_loudness(stream: DataFrame, window: str = "400 milliseconds", slide: str = "100 milliseconds", late: str = "1 second", gate: float = -70.0) -> DataFrame:
-    """Mean power and loudness of sliding windows; ``loud`` tells whether a window passes the absolute gate.
+class _RelativeGate(StatefulProcessor):
+    """Keeps the sum and number of each key's windows above the absolute gate; windows of a batch are taken in order."""
 
-    Windows close when the watermark, ``late`` behind the latest time seen, passes them.
+    def __init__(self, below: float):
+        self.share = 10 ** (-below / 10)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.past = handle.getValueState("past", "total double, n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        total, n = tuple(self.past.get()) if self.past.exists() else (0.0, 0)
+        # A key has few windows in a batch.
+        batch = pd.concat(list(rows)).sort_values("start", kind="stable")
+        gated = []
+        for power, loud in zip(batch["power"], batch["loud"], strict=True):
+            if loud:
+                total, n = total + power, n + 1
+            gated.append(bool(loud and power > self.share * total / n))
+        self.past.update((total, n))
+        yield batch[WINDOW].assign(gated=gated)
+
+    def close(self) -> None:
+        pass
+
+
+WINDOW = ["key", "start", "end", "n", "power", "lufs", "loud"]
+
+
+def stream_loudness(stream: DataFrame, window: str = "400 milliseconds", slide: str = "100 milliseconds", late: str = "1 second", gate: float = -70.0, below: float = 10.0) -> DataFrame:
+    """Mean power and loudness of sliding windows; ``loud`` tells whether a window passes the absolute gate, ``gated`` whether it also passes the relative one.
+
+    The relative gate lies ``below`` LU under the mean power of the key's loud windows so far, this one included.  Windows
+    close when the watermark, ``late`` behind the latest time seen, passes them; rows later than that are dropped.
     """
     w = stream.withWatermark("ts", late).groupBy("key", F.window("ts", window, slide).alias("w")).agg(F.avg(F.col("value") * F.col("value")).alias("power"), F.count(F.lit(1)).alias("n"))
     lufs = lufs_from_power(F.col("power"))
-    return w.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "power", lufs.alias("lufs"), (lufs > gate).alias("loud"))
+    w = w.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "power", lufs.alias("lufs"), (lufs > gate).alias("loud"))
+    schema = f"key {dict(stream.dtypes)['key']}, start timestamp, end timestamp, n long, power double, lufs double, loud boolean, gated boolean"
+    return w.groupBy("key").transformWithStateInPandas(statefulProcessor=_RelativeGate(below), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 def stream_block_levels(stream: DataFrame, block: str = "3 seconds", late: str = "1 second") -> DataFrame:
