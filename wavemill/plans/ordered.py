@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavemill.operators import levels, ordered
-from wavemill.plans.registry import add
+from wavemill.plans.levels import LEVELS, tt_dr_sql
+from wavemill.plans.registry import ORDER, add
 from wavemill.sources.fixtures import sig_flag, sig_supp, sig_user
 
 K = "track_id, ch"
@@ -139,7 +140,13 @@ def rises(s, d):
     return ordered.find_transients(env, 0.5, 200, hop=32)
 
 
-add("find_transients_rise", rises)
+RISE = f"""WITH RECURSIVE flg AS MATERIALIZED (SELECT l_returnflag AS track_id, 0 AS ch, row_number() OVER (PARTITION BY l_returnflag ORDER BY {ORDER}) - 1 AS idx, abs((round(l_extendedprice * 100)::BIGINT - 5295000) / 8388608::DOUBLE) AS x FROM lineitem),
+rec AS (SELECT track_id, ch, idx, CASE WHEN x > 0 THEN 0.2 ELSE 0.01 END * x AS y FROM flg WHERE idx = 0 UNION ALL SELECT u.track_id, u.ch, u.idx, r.y + CASE WHEN u.x > r.y THEN 0.2 ELSE 0.01 END * (u.x - r.y) FROM rec r JOIN flg u ON u.track_id = r.track_id AND u.idx = r.idx + 1),
+hop AS (SELECT {K}, idx // 32 AS h, max(CASE WHEN y > 1e-10 THEN 20 * log10(y) ELSE -200 END) AS m, sum(count(*)) OVER (PARTITION BY {K}) AS total FROM rec GROUP BY track_id, ch, idx // 32),
+cand AS MATERIALIZED (SELECT {K}, h * 32 AS pos FROM (SELECT *, lag(m) OVER (PARTITION BY {K} ORDER BY h) AS p FROM hop) WHERE m - p > 0.5 AND h * 32 < total - 32),
+tr AS (SELECT {K}, min(pos) AS pos FROM cand WHERE pos > 200 GROUP BY ALL UNION ALL SELECT * FROM (SELECT c.track_id, c.ch, min(c.pos) AS pos FROM tr JOIN cand c ON c.track_id = tr.track_id AND c.pos > tr.pos + 200 GROUP BY ALL) WHERE pos IS NOT NULL)
+SELECT {K}, pos FROM tr"""
+add("find_transients_rise", rises, RISE)
 add(
     "pre_echo_events",
     lambda s, d: ordered.pre_echo_events(sig_user(s, d), steps(s, d), 4, least=16),
@@ -177,4 +184,19 @@ def dynamic_range(s, d):
     return levels.dr_verdict(levels.level_stats(x), levels.tt_dr(x, 500), levels.integrated_loudness(weighted, 100))
 
 
-add("dynamic_range", dynamic_range)
+def dynamic_range_sql() -> str:
+    """The weighting follows the long tracks sample by sample; the rest is that of the short ones."""
+    weighted = K_SQL.replace("SELECT user_id AS track_id, 0 AS ch, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, 2 * value / max(value) OVER (PARTITION BY user_id) - 1 AS x FROM events", f"SELECT l_returnflag AS track_id, 0 AS ch, row_number() OVER (PARTITION BY l_returnflag ORDER BY {ORDER}) - 1 AS idx, (round(l_extendedprice * 100)::BIGINT - 5295000) / 8388608::DOUBLE AS x FROM lineitem")
+    return f"""{weighted.rstrip()},
+hop AS (SELECT track_id, ch, idx // 100 AS h, sum(w * w) AS ss, count(*) AS n FROM rec WHERE idx >= 0 GROUP BY ALL),
+sl AS (SELECT *, CASE WHEN sum(n) OVER v = 400 THEN sum(ss) OVER v / 400 END AS p FROM hop WINDOW v AS (PARTITION BY track_id, ch ORDER BY h ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+lo AS (SELECT *, CASE WHEN p > pow(10, (-70 + 0.691) / 10) THEN p END AS loud FROM sl), gt AS (SELECT *, avg(loud) OVER (PARTITION BY track_id, ch) AS mean FROM lo),
+ld AS (SELECT track_id, ch, avg(loud) FILTER (loud > mean * 0.1) AS g, count(p) AS k, sqrt(sum(ss) / sum(n)) AS rms FROM gt GROUP BY ALL),
+loudness AS (SELECT track_id, ch, CASE WHEN k = 0 THEN CASE WHEN rms > 0 THEN -0.691 + 20 * log10(rms) ELSE -70 END WHEN g IS NULL THEN -70 ELSE -0.691 + 10 * log10(g) END AS lufs FROM ld),
+{LEVELS.format("usr")}, {tt_dr_sql("usr", 500, "1e-3")},
+a AS (SELECT lvl.track_id, max(peak_dbfs) AS peak, avg(dr_db) AS dr, avg(lufs) AS lufs, avg(peak_dbfs - rms_dbfs) AS crest FROM lvl JOIN dr USING (track_id, ch) JOIN loudness USING (track_id, ch) GROUP BY ALL)
+SELECT track_id, round(dr, 6) AS dr, round(lufs, 6) AS lufs, round(crest, 6) AS crest_db, round(peak - lufs, 6) AS plr_db,
+CASE WHEN dr > 20 THEN 'Exceptional' WHEN dr >= 14 THEN 'Excellent' WHEN dr >= 8 THEN 'Normal' WHEN dr >= 5 THEN 'Compressed' ELSE 'Brickwalled' END AS verdict, dr < 8 AS loudness_war_victim FROM a"""
+
+
+add("dynamic_range", dynamic_range, dynamic_range_sql())

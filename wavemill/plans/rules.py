@@ -331,4 +331,22 @@ def analysis(s, d):
     return findings.verdict(found, levels.quality_metrics(x.select("track_id", "ch", "idx", "x").unionByName(u)))
 
 
-add("analysis", analysis)
+BITS = """us AS (SELECT track_id, b, avg(((q >> b) & 1)::DOUBLE) AS share FROM supp, range(24) t(b) GROUP BY ALL), eb AS (SELECT track_id, greatest(8, max(CASE WHEN share > 0.01 THEN b ELSE 0 END) + 1) AS eb FROM us GROUP BY ALL),
+h AS (SELECT track_id, q & 15 AS v, count(*) / sum(count(*)) OVER (PARTITION BY track_id) AS p FROM supp GROUP BY track_id, q & 15), e AS (SELECT track_id, -sum(p * ln(p)) / ln(16) AS e FROM h GROUP BY ALL),
+n AS (SELECT track_id, eb, sum(pow(q % (1 << (24 - eb)::INT), 2)) AS r, sum(q::DOUBLE * q) AS s FROM supp JOIN eb USING (track_id) GROUP BY ALL), a AS (SELECT track_id, eb, e, CASE WHEN r > 0 AND s > 0 THEN 10 * log10(r / s) ELSE -120 END AS db FROM n JOIN e USING (track_id)),
+v AS (SELECT *, (eb + 4 <= 24)::INT + (e > 0.85 OR e < 0.25)::INT + (db < -96)::INT AS votes, least(1, greatest(0.3, greatest(1, 24 - eb) / 8)) AS c0 FROM a), w AS (SELECT *, CASE WHEN votes = 3 THEN least(1, c0 + 0.15) ELSE c0 END AS c1 FROM v WHERE votes >= 2), x AS (SELECT *, CASE WHEN e < 0.1 OR e > 0.95 THEN least(1, c1 + 0.1) ELSE c1 END AS c2 FROM w),
+pad AS (SELECT track_id, CASE WHEN db < -100 THEN least(1, c2 + 0.1) ELSE c2 END AS confidence, CASE WHEN 24 - eb >= 8 THEN 'high' ELSE 'medium' END AS severity FROM x)"""
+OVER = "OVER (PARTITION BY track_id ORDER BY idx)"
+CLIPS = f"""nb AS (SELECT track_id, lag(x) {OVER} AS a, x AS b, lead(x) {OVER} AS c FROM usr), ob AS (SELECT *, CASE WHEN 2 * (a - 2 * b + c) <> 0 THEN (a - c) / (2 * (a - 2 * b + c)) END AS f FROM nb),
+pk AS (SELECT track_id, count(*) FILTER (abs(f) < 1 AND abs(b - 0.25 * (a - c) * f) > 1 AND abs(b) < 0.99) AS peaks FROM ob GROUP BY ALL), ct AS (SELECT track_id, count(*) FILTER (abs(x) >= 0.99) AS hits, count(*) AS n FROM usr GROUP BY ALL),
+clip AS (SELECT track_id + 1000000 AS track_id, least(1, (hits + peaks) / n * 1000) AS confidence, CASE WHEN (hits + peaks) / n > 0.01 THEN 'critical' WHEN (hits + peaks) / n > 0.001 THEN 'high' WHEN (hits + peaks) / n > 0.0001 THEN 'medium' ELSE 'low' END AS severity FROM ct JOIN pk USING (track_id) WHERE hits + peaks > 0)"""
+add(
+    "analysis",
+    analysis,
+    f"""WITH {BITS}, {CLIPS}, found AS (SELECT * FROM pad WHERE confidence >= 0.85 UNION ALL SELECT * FROM clip WHERE confidence >= 0.5), bad AS (SELECT track_id, count(*) FILTER (severity IN ('critical', 'high', 'medium')) AS bad FROM found GROUP BY ALL),
+al AS (SELECT track_id, x FROM supp UNION ALL SELECT track_id + 1000000, x FROM usr), rk AS (SELECT track_id, abs(x) AS m, row_number() OVER (PARTITION BY track_id ORDER BY abs(x)) - 1 AS r, count(*) OVER (PARTITION BY track_id) AS n FROM al),
+fl AS (SELECT track_id, CASE WHEN m > 0 THEN 20 * log10(m) ELSE -96 END AS nf FROM rk WHERE r = n // 100), g AS (SELECT track_id, coalesce(bad, 0) = 0 AS genuine, 1 - least(1, abs(nf) / 120) AS s FROM fl LEFT JOIN bad USING (track_id))
+SELECT track_id, genuine, round(s, 6)::DOUBLE AS quality_score, CASE WHEN genuine THEN CASE WHEN s >= 0.9 THEN 'Lossless' ELSE 'Probably Lossless' END WHEN s < 0.5 THEN 'Lossy / Fake' ELSE 'Suspect' END AS label FROM g""",
+    "supp",
+    "usr",
+)

@@ -75,7 +75,8 @@ SELECT key, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, epoch_us(max(
 
 def envelope(s, d):
     rocks(s)
-    return drained(monitors.stream_envelope(events(s, d), 0.5, 0.1)).withColumn("ts", F.unix_micros("ts"))
+    # Rounded by the same operations on both sides: many levels lie midway between two rounded ones.
+    return drained(monitors.stream_envelope(events(s, d), 0.5, 0.1)).withColumns({"ts": F.unix_micros("ts"), "envelope": F.floor(F.col("envelope") * 1e6 + 0.5) / 1e6})
 
 
 def clips(s, d):
@@ -88,7 +89,7 @@ add(
     envelope,
     f"""WITH RECURSIVE o AS MATERIALIZED (SELECT key, ts, abs(value) AS v, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM ({EVENTS})),
 r AS (SELECT key, ts, i, CASE WHEN v > 0 THEN 0.5 ELSE 0.1 END * v AS e FROM o WHERE i = 1 UNION ALL SELECT o.key, o.ts, o.i, e + CASE WHEN v > e THEN 0.5 ELSE 0.1 END * (v - e) FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
-SELECT key, epoch_us(ts) AS ts, round(e, 6) AS envelope FROM r""",
+SELECT key, epoch_us(ts) AS ts, floor(e * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS envelope FROM r""",
 )
 add(
     "stream_clip_runs",
