@@ -211,3 +211,11 @@ def test_op8_holds_each_batch_against_the_runs(spark, monkeypatch):
     fresh = runs.levels[-1][0]
     assert later > 0 and fresh.count() == fresh.select("h1", "h2").distinct().count()
     assert fresh.join(runs.updates[0], ["h1", "h2"], "left_semi").count() == runs.updates[0].count()
+
+
+def test_hot_lines_are_met_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "LEAST", 5)
+    monkeypatch.setattr(linededup, "SHARE", 0.0)
+    rows = [(i, "a line that very many documents hold\n" + f"a line that few documents hold {i % 12}\nown {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((x.doc_id, x.n_lines, x.kept) for x in linededup.drop_repeated_lines(df).collect()) == sorted(plain_lines(rows))

@@ -23,6 +23,8 @@ from wavemill.llm.store import Store
 
 BLANKS = b" \t\n\x0b\x0c\r"
 KEY = ["h1", "h2"]
+#: A line held by more than this share of all line rows is hot, so there are at most 1 / SHARE hot lines; and the fewest rows of one.
+SHARE, LEAST = 0.001, 1000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -122,6 +124,20 @@ class LineRuns:
         return lines
 
 
+def _holders(lines: DataFrame, repeated: DataFrame, limit: int) -> DataFrame:
+    """``(h1, h2, doc_id, last_id)`` of the documents that hold repeated lines.
+
+    Lines held by more than ``limit`` documents are few, as that is a share of all lines, and are met by broadcast; their
+    rows then pass the merge join dealt by document, under a key that matches nothing.
+    """
+    hot = F.broadcast(repeated.where(F.col("n_docs") > limit).select(*KEY, F.col("last_id").alias("hot")))
+    cold = repeated.where(F.col("n_docs") <= limit).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.lit(0).alias("side"), F.col("last_id").alias("cold"))
+    met = F.col("hot").isNotNull()
+    at = lines.join(hot, KEY, "left").withColumns({"k1": F.when(met, F.col("doc_id")).otherwise(F.col("h1")), "k2": F.col("h2"), "side": met.cast("int")})
+    found = at.hint("merge").join(cold.hint("merge"), ["k1", "k2", "side"], "left")
+    return found.select(*KEY, "doc_id", F.coalesce("hot", "cold").alias("last_id")).where("last_id is not null")
+
+
 def drop_repeated_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2
 ) -> DataFrame:
@@ -142,8 +158,8 @@ def drop_repeated_lines(
     runs = LineRuns(store, fanout)
     for n in range(batches):
         runs.add(lines.where(F.col("batch") == n).drop("batch"))
-    repeated = runs.all().where(F.col("n_docs") >= min_docs).select(*KEY, "last_id")
-    dropped = lines.hint("merge").join(repeated.hint("merge"), KEY).where("doc_id < last_id")
+    repeated = store.keep(runs.all().where(F.col("n_docs") >= min_docs), "repeated")
+    dropped = _holders(lines, repeated, max(LEAST, int(SHARE * lines.count()))).where("doc_id < last_id")
     # At most the distinct lines of one document meet here.
     dropped = dropped.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
     new = ["n_lines", "n_dropped", "kept"]
