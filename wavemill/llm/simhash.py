@@ -189,12 +189,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def keep_smallest(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with the document of the smallest id of each of ``classes`` of (doc_id, component_id)."""
-    chosen = classes.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    """``docs`` with the document of the smallest id of each of ``classes`` of (doc_id, component_id).
+
+    Only ids that go, and those that several rows share, are looked for among the rows: where few, by broadcast, so that
+    no text moves; beyond the broadcast threshold by a join on the id.  Rows with a null id stay.
+    """
+    ids = classes.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    marked = Store(docs.sparkSession, "kept").keep(ids.where("n > 1 or not stays"), "marked")
+    shared = marked.where("n > 1 and stays").select(F.col("doc_id").alias(id_col))
     rank = "__rank"
     while rank in docs.columns:
         rank += "_"
     own = [column(c) for c in docs.columns]
     one = W.partitionBy(column(id_col)).orderBy(column(text_col), F.xxhash64(*[c.cast("string") for c in own]))
-    kept = docs.join(chosen, id_col, "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1)
-    return kept.select(*own).unionByName(docs.where(column(id_col).isNull()))
+    first = docs.join(shared, id_col, "left_semi").withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1)
+    return docs.join(marked.select(F.col("doc_id").alias(id_col)), id_col, "left_anti").select(*own).unionByName(first.select(*own))
