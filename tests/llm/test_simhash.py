@@ -104,3 +104,12 @@ def test_components_of_chains_and_stars(spark):
     got = {x.node: x.root for x in connected_components(spark.createDataFrame(edges, "u long, v long"), Store(spark, "t")).collect()}
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[i] == 500 for i in range(500, 560)) and got[9] == got[8] == 8 and 7 not in got
     assert connected_components(spark.createDataFrame([], "u long, v long"), Store(spark, "t")).count() == 0
+
+
+def test_keep_smallest_with_shared_ids(spark):
+    """Ids that go, ids of several rows, both at once, null ids and a clashing column."""
+    docs = spark.createDataFrame([(1, "a", 0), (2, "a", 1), (3, "c", 2), (3, "b", 3), (4, "b", 4), (4, "z", 5), (None, "a", 6), (5, None, 7), (5, "q", 8)], "doc_id long, text string, stays int")
+    classes = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (3, 3), (4, 3), (4, 3), (None, 1), (5, 5), (5, 5)], "doc_id long, component_id long")
+    got = simhash.keep_smallest(docs, classes, "doc_id", "text")
+    assert got.columns == docs.columns
+    assert sorted(r.stays for r in got.collect()) == [0, 3, 6, 7]
