@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import ann, bpe, langid, linededup, mixing, pii, quality, secrets, simhash, token_files
+from wavemill.llm import ann, bpe, langid, linededup, mixing, periodic, pii, quality, secrets, simhash, token_files
 
 #: Environment variable that names another vocabulary file.
 VOCABULARY = "WAVEMILL_VOCABULARY"
@@ -76,6 +76,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find_runs(docs, edit=periodic.planted)
+    less = lambda x, y: x["length"] * y["period"] < y["length"] * x["period"]
+    none = F.lit(None).cast("struct<start:long,length:long,period:long>")
+    # Runs come by start, then period, so the first of equal exponents stays.
+    best = F.aggregate("runs", none, lambda x, y: F.when(x.isNull() | less(x, y), y).otherwise(x)).alias("best")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best, F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, "runs_sha256", "collapsed_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,5 +96,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash, op2_token_files, op3_secrets, op4_pii, op5_nearest, op6_bpe, op7_mixing, op8_lines, op9_language, op10_quality, pipeline]
+    own = [op1_simhash, op2_token_files, op3_secrets, op4_pii, op5_nearest, op6_bpe, op7_mixing, op8_lines, op9_language, op10_quality, op13_periodic, pipeline]
     return {f.__name__: f for f in own}
