@@ -87,5 +87,55 @@ FROM base b LEFT JOIN fences f ON b.lang IS NOT DISTINCT FROM f.lang AND b.sourc
 """
 
 
+CRC_TABLE = "[list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)]"
+
+
+def _dialogue() -> str:
+    """Cheapest edits by states, from the last row to the first: lists of (cost, audit, repaired lines), compared in that order."""
+    role, after = ["user", "user", "assistant", "user"], [2, 2, 3, 2]
+    keep = [{"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2}]
+
+    def edit(state: int, cost: str, letter: str, line: str | None) -> str:
+        b = f"b[{state + 1}]"
+        return f"struct_pack(c := {b}.c + {cost}, a := '{letter}' || {b}.a, t := {b}.t)" if line is None else f"struct_pack(c := {b}.c + {cost}, a := '{letter}' || {b}.a, t := list_prepend({line}, {b}.t))"
+
+    def inserted(q: int) -> str:
+        one, two = after[q], after[after[q]]
+        lines = f"'{role[q]}:', '{role[one]}:'"
+        double = f"struct_pack(c := b[{two + 1}].c + 4, a := 'II' || b[{two + 1}].a, t := list_concat([{lines}], b[{two + 1}].t))"
+        return f"list_min([b[{q + 1}], {edit(one, '2', 'I', lines.split(', ')[0])}, {double}])"
+
+    def taken(q: int) -> str:
+        kept = " ".join(f"WHEN i = '{c}' THEN {edit(to, 'late', 'K', 'line')}" for c, to in keep[q].items())
+        gone = edit(q, "3", "D", None)
+        other = edit(after[q], "2 + late", "R", f"'{role[q]}:' || body")
+        return f"CASE WHEN must THEN {gone} ELSE list_min([{gone}, CASE {kept} ELSE {gone} END, {other}]) END"
+
+    insert, take = (", ".join(f(q) for q in range(4)) for f in (inserted, taken))
+    none = "struct_pack(c := 1000000000::BIGINT, a := '', t := []::VARCHAR[])"
+    end = "struct_pack(c := 0::BIGINT, a := '', t := []::VARCHAR[])"
+    return f"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT {CRC_TABLE} AS tab),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+fated AS (SELECT g.*, xor(list_reduce(list_prepend(4294967295, [ord(x)::BIGINT FOR x IN string_split(s, '')]), lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS fate FROM given g, tab),
+hurt AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fated),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text), copy) AS k, regexp_replace(text, '{BLANK}+$', '') AS seen FROM hurt),
+marked AS (SELECT *, seen = '' AS blank, seen <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS twice, left(role, 1) AS i,
+                  left(lag(role) OVER (PARTITION BY conv_id ORDER BY k), 1) || left(role, 1) AS pair FROM placed),
+judged AS (SELECT *, blank OR twice AS must, NOT (blank OR twice) AND right(seen, 1) NOT IN ('.', '!', '?') AS cut FROM marked),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (twice) AS duplicate,
+                   count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM judged GROUP BY conv_id),
+best(conv_id, k, b) AS (
+    SELECT conv_id, n, [{insert}] FROM (SELECT conv_id, n, [{end}, {none}, {none}, {end}] AS b FROM counted)
+    UNION ALL
+    SELECT conv_id, k - 1, [{insert}] FROM (SELECT conv_id, k, [{take}] AS b FROM (
+        SELECT x.conv_id, x.k, x.b, j.i, j.must, j.cut::BIGINT AS late, j.role || ':' || j.text AS line, j.text AS body FROM best x JOIN judged j ON x.conv_id IS NOT DISTINCT FROM j.conv_id AND x.k = j.k)))
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(b[1].c, 0) AS cost, coalesce(b[1].a, '') AS audit, sha256(coalesce(array_to_string(b[1].t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best x ON a.conv_id IS NOT DISTINCT FROM x.conv_id AND x.k = 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING, "op8_lines": LINES, "op10_quality": _quality()}
+    return {"op7_mixing": MIXING, "op8_lines": LINES, "op10_quality": _quality(), "op11_dialogue": _dialogue()}
