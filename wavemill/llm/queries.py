@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavemill.llm import ann, bpe, dialogue, langid, linededup, mixing, periodic, pii, quality, secrets, simhash, token_files
+from wavemill.llm import ann, bpe, dialogue, langid, linededup, mixing, periodic, pii, quality, repeats, secrets, simhash, token_files
 
 #: Environment variable that names another vocabulary file.
 VOCABULARY = "WAVEMILL_VOCABULARY"
@@ -80,6 +80,12 @@ def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(dialogue.damaged(table(spark, sf_dir, "conversations")), copies_col="copies")
 
 
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = periodic.find_runs(docs, edit=periodic.planted)
@@ -100,5 +106,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_simhash, op2_token_files, op3_secrets, op4_pii, op5_nearest, op6_bpe, op7_mixing, op8_lines, op9_language, op10_quality, op11_dialogue, op13_periodic, pipeline]
+    own = [op1_simhash, op2_token_files, op3_secrets, op4_pii, op5_nearest, op6_bpe, op7_mixing, op8_lines, op9_language, op10_quality, op11_dialogue, op12_repeats, op13_periodic, pipeline]
     return {f.__name__: f for f in own}
