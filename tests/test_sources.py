@@ -1,9 +1,10 @@
+import io
 import struct
 
 import numpy as np
 import pytest
 
-from wavemill.sources import media
+from wavemill.sources import media, pcm
 
 
 def riff(x, rate=8000, bits=16):
@@ -48,3 +49,68 @@ def test_manifest_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("s", 44100)], "source_file string, source_sample_rate int")
     media.save_manifest(df, str(tmp_path / "m"))
     assert media.load_manifest(spark, str(tmp_path / "m")).first().source_sample_rate == 44100
+
+
+def joined(rows):
+    """Samples of each (file, channel) from blocks in order."""
+    out = {}
+    for r in sorted((r for r in rows if r.error is None), key=lambda r: (r.track_id, r.ch, r.block_no)):
+        out.setdefault((r.track_id, r.ch), []).extend(r.x)
+    return out
+
+
+@pytest.mark.parametrize("bits", [16, 24, 32])
+def test_ranges_agree_with_the_whole_read(spark, tmp_path, bits):
+    """Borders of ranges lie inside frames; each range is read by a task of its own."""
+    x = np.random.default_rng(bits).integers(-100, 100, (5000, 2)) / 128
+    (tmp_path / "long.wav").write_bytes(riff(x, bits=bits))
+    (tmp_path / "short.wav").write_bytes(riff(x[:7], bits=bits))
+    (tmp_path / "bad.wav").write_bytes(b"RIFFnothing" * 500)
+    want = {(f"{n}.wav", c): v[:, c].tolist() for n, v in (("long", x), ("short", x[:7])) for c in (0, 1)}
+    for size in (1001, 7777, 1 << 20):
+        df = pcm.read_pcm_files(spark, str(tmp_path), block=300, range_bytes=size)
+        rows = df.selectExpr("*", "spark_partition_id() AS task").collect()
+        assert joined(rows) == want and [r.error for r in rows if r.error] == ["not a RIFF WAVE file"]
+        if size < 1 << 20:
+            assert len({r.task for r in rows if r.track_id == "long.wav"}) > 2
+        listed = media.ingest_pcm(media.scan_media(spark, str(tmp_path)), block=300, range_bytes=size)
+        assert joined(listed.collect()) == want and media.keep_errors(listed).count() == 1
+        assert "content" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headers():
+    x = np.arange(40).reshape(20, 2) / 64
+    plain = riff(x)
+    start = plain.index(b"data")
+    listed = plain[:start] + b"LIST" + struct.pack("<I", 5) + b"notes\0" + plain[start:]
+    wide = b"RF64" + plain[4:12] + b"ds64" + struct.pack("<IQQQI", 28, 0, 80, 0, 0) + plain[12:start] + b"data" + struct.pack("<I", pcm.UNKNOWN) + plain[start + 8 :]
+    for raw in (plain, listed, wide, plain + b"tail"):
+        assert np.allclose(media.read_pcm(raw)[2], x)
+    assert len(media.read_pcm(plain[:-3])[2]) == 19
+    for raw, message in ((b"", "not a"), (plain[:20], "buffer"), (plain[:start], "no format"), (riff(np.zeros((0, 1))), "no samples")):
+        with pytest.raises((ValueError, struct.error), match=message):
+            media.read_pcm(raw)
+
+
+def test_damaged_ranges_are_error_rows():
+    """What cannot be read is a row with its bytes; the blocks around it are there."""
+
+    class Damaged(io.BytesIO):
+        def read(self, n=-1):
+            if n > 100 and 1000 <= self.tell() < 1400:
+                raise OSError("bad sector")
+            return super().read(n)
+
+    raw = riff(np.arange(1000) / 1024)
+    got = [b for low in range(0, len(raw), 333) for b in pcm.range_blocks(Damaged(raw), "x/a.wav", len(raw), low, low + 333, 100)]
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["error"] for r in rows if r["error"]] == ["bytes 1044 to 1244: bad sector", "bytes 1244 to 1444: bad sector"]
+    assert sorted(r["block_no"] for r in rows if not r["error"]) == [0, 1, 2, 3, 4, 7, 8, 9]
+    short = [r for b in pcm.range_blocks(io.BytesIO(raw[:-50]), "a.wav", len(raw), 0, len(raw), 100) for r in b.to_pylist()]
+    assert short[-1]["error"].endswith("50 bytes are missing")
+
+
+def test_ranges_are_packed():
+    tasks = pcm.plan_ranges([("a", 10), ("b", 0), ("c", 25), ("d", 5)], 10)
+    assert tasks == [[("a", 10, 0, 10)], [("b", 0, 0, 1)], [("c", 25, 0, 10)], [("c", 25, 10, 20)], [("c", 25, 20, 25), ("d", 5, 0, 5)]]
+    assert pcm.plan_ranges([], 10) == []

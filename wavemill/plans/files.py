@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wavemill.plans.registry import add
-from wavemill.sources import media
-from wavemill.sources.fixtures import sig_supp
+from wavemill.sources import media, pcm
+from wavemill.sources.fixtures import sig_flag, sig_supp
 from wavemill.sources.folders import shared_folder
 
 RATE = 8000
@@ -49,9 +49,33 @@ add("with_digest", lambda s, d: media.with_digest(scanned(s, d)).select("name",
 add("with_claimed_bits", lambda s, d: media.with_claimed_bits(scanned(s, d)).select("name", "claimed_bits", "bit_depth_inferred"), f"WITH {FILES} SELECT name, CASE WHEN ext = 'dsf' THEN 16 ELSE 24 END AS claimed_bits, true AS bit_depth_inferred FROM md", "supp")
 
 
+SAMPLE = ["ch", "block_no", "rate", "channels", "bits", F.posexplode("x").alias("place", "x")]
+
+
 def ingested(s, d):
-    b = media.ingest_pcm(scanned(s, d), block=256).where("error is null")
-    return b.select(F.col("track_id").alias("name"), "ch", "block_no", "rate", "channels", "bits", F.posexplode("x").alias("place", "x"))
+    """Short files, some of them broken, several to a task."""
+    folder = shared_folder(s, "media")
+    media.write_media(files(s, d), folder).agg(F.sum("length")).collect()
+    b = pcm.read_pcm_files(s, folder, block=256).where("error is null")
+    return b.select(F.col("track_id").alias("name"), *SAMPLE)
+
+
+def long_files(s, d):
+    """``(name, content)``: a file of 24-bit samples for each of the long tracks."""
+    x = sig_flag(s, d).select("track_id", "idx", _little(F.col("q"), 3).alias("h"))
+    t = x.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("idx", "h"))).alias("s"), F.count(F.lit(1)).alias("n"))
+    size = (F.col("n") * 3).cast("int")
+    form = "57415645666d742010000000" "01000100" + RATE.to_bytes(4, "little").hex() + (3 * RATE).to_bytes(4, "little").hex() + "0300" "1800" "64617461"
+    body = F.array_join(F.transform("s", lambda e: e["h"]), "")
+    return t.select(F.concat(F.lit("long_"), "track_id", F.lit(".wav")).alias("name"), F.unhex(F.concat(F.lit("52494646"), _little(size + 36, 4), F.lit(form), _little(size, 4), body)).alias("content"))
+
+
+def ingested_by_ranges(s, d):
+    """Long files in ranges of an odd number of bytes, so that borders lie inside frames; a task for each."""
+    folder = shared_folder(s, "media")
+    media.write_media(long_files(s, d), folder).agg(F.sum("length")).collect()
+    b = media.ingest_pcm(media.scan_media(s, folder), block=1000, range_bytes=10_007).where("error is null")
+    return b.select(F.col("track_id").alias("name"), *SAMPLE)
 
 
 add(
@@ -60,6 +84,12 @@ add(
     f"WITH {FILES} SELECT name, 0 AS ch, idx // 256 AS block_no, {RATE} AS rate, 1 AS channels, 16 AS bits, (idx % 256)::INT AS place, round((q >> 9) / 32768::DOUBLE, 6) AS x FROM supp JOIN md USING (track_id) WHERE NOT broken",
     "supp",
 )
+add(
+    "ingest_pcm_ranges",
+    ingested_by_ranges,
+    f"SELECT 'long_' || track_id || '.wav' AS name, 0 AS ch, idx // 1000 AS block_no, {RATE} AS rate, 1 AS channels, 24 AS bits, (idx % 1000)::INT AS place, round(x, 6) AS x FROM flag",
+    "flag",
+)
 add(
     "keep_errors",
     lambda s, d: media.keep_errors(media.ingest_pcm(scanned(s, d))).select(F.element_at(F.split("path", "/"), -1).alias("name"), "error"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import struct
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# File extensions taken in, and those whose depth is taken to be 24 bits.
-EXTENSIONS = ("flac", "wav", "aiff", "aif", "alac", "m4a", "ape", "wv", "dsf", "dff")
+from wavemill.sources import pcm
+
+EXTENSIONS = pcm.EXTENSIONS
+# Extensions whose depth is taken to be 24 bits.
 DEEP = ("flac", "wav", "aiff", "aif", "alac", "m4a", "ape", "wv")
-BLOCKS = "path string, track_id string, ch int, block_no long, rate int, channels int, bits int, x array<double>, error string"
+# The fields of a manifest.
 MANIFEST = (
     "source_file string, source_sample_rate int, source_bit_depth int, "
     "dithering_tests array<struct<filename: string, method: string, scale: double, output_bits: int, expected_detection: string>>, "
@@ -70,61 +72,17 @@ def with_claimed_bits(tracks: DataFrame) -> DataFrame:
 
 
 def read_pcm(raw: bytes) -> tuple[int, int, np.ndarray]:
-    """Rate, bits and samples (frames, channels) of an uncompressed RIFF file; ValueError says what is wrong."""
-    if raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
-        raise ValueError("not a RIFF WAVE file")
-    at, form, data = 12, None, None
-    while at + 8 <= len(raw):
-        name, size = raw[at : at + 4], struct.unpack_from("<I", raw, at + 4)[0]
-        if name == b"fmt ":
-            form = struct.unpack_from("<HHIIHH", raw, at + 8)
-            if form[0] == 0xFFFE and size >= 26:
-                form = (struct.unpack_from("<H", raw, at + 32)[0], *form[1:])
-        elif name == b"data":
-            data = raw[at + 8 : at + 8 + size]
-        at += 8 + size + size % 2
-    if form is None or data is None:
-        raise ValueError("no format or data chunk")
-    kind, channels, rate, _, _, bits = form
-    if not channels or not data:
-        raise ValueError("no channels" if not channels else "no samples")
-    width = bits // 8 * channels
-    data = data[: len(data) // width * width] if width else b""
-    if kind == 3 and bits == 32:
-        x = np.frombuffer(data, "<f4").astype(float)
-    elif kind == 1 and bits in (16, 32):
-        x = np.frombuffer(data, f"<i{bits // 8}") / float(1 << (bits - 1))
-    elif kind == 1 and bits == 24:
-        b = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
-        v = b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16
-        x = (v - ((v >> 23) << 24)) / float(1 << 23)
-    else:
-        raise ValueError(f"format {kind} with {bits} bits is not read")
-    return rate, bits, x.reshape(-1, channels)
-
-
-def ingest_pcm(tracks: DataFrame, block: int = 65_536) -> DataFrame:
-    """Blocks of every channel of ``(path, content)``; a file that cannot be read is one row with its error."""
+    """Rate, bits and samples (frames, channels) of an uncompressed RIFF file held whole; ValueError says what is wrong."""
+    h = pcm.read_header(io.BytesIO(raw), len(raw))
+    return h.rate, h.bits, pcm.decode(raw[h.start : h.start + h.size], h)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            for path, raw in zip(p["path"], p["content"], strict=True):
-                name = path.rsplit("/", 1)[-1]
-                try:
-                    if raw is None:
-                        raise ValueError("file too long to be read")
-                    rate, bits, x = read_pcm(bytes(raw))
-                except (ValueError, struct.error) as e:
-                    yield pd.DataFrame([(path, name, None, None, None, None, None, None, str(e))], columns=COLUMNS)
-                    continue
-                for low in range(0, len(x), block):
-                    part = x[low : low + block]
-                    yield pd.DataFrame([(path, name, c, low // block, rate, x.shape[1], bits, part[:, c], None) for c in range(x.shape[1])], columns=COLUMNS)
-
-    return tracks.select("path", "content").mapInPandas(run, BLOCKS)
-
-
-COLUMNS = [c.split(" ")[0] for c in BLOCKS.split(", ")]
+
+def ingest_pcm(tracks: DataFrame, block: int = pcm.BLOCK, range_bytes: int = pcm.RANGE) -> DataFrame:
+    """Blocks of every channel of the files in ``(path, length)``, read by ranges of bytes; content is not used.
+
+    A file that cannot be read, or a part of one, is a row with its error.
+    """
+    return pcm.read_ranges(tracks.select("path", "length"), block, range_bytes)
 
 
 def keep_errors(results: DataFrame) -> DataFrame:
