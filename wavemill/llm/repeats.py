@@ -31,7 +31,7 @@ GRAM = 32
 #: Bytes hashed at once; 24 bits of a key hold a place.
 BLOCK = 1 << 20
 #: Bytes of stretches in a shard; different stretches of one hash from which on it is split; digests merged at once.
-SHARD_BYTES, SPLIT, MERGE = 4 << 20, 4096, 1 << 20
+SHARD_BYTES, SPLIT, MERGE = 1 << 20, 4096, 1 << 20
 #: Keys of texts that are met by broadcast, at most.
 FEW = 200_000
 
