@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wavemill.functions.scalar import amp_db
 from wavemill.operators.blocks import BLOCK, CH, neighbours, with_halo
+from wavemill.operators.follower import Follower, greedy_exit, greedy_shape, greedy_taken
 
 
 def pre_emphasis(samples: DataFrame, c: float = 0.97) -> DataFrame:
@@ -162,31 +163,54 @@ def k_weight(blocks: DataFrame, rate: float) -> DataFrame:
     return _affine(blocks, step, 4)
 
 
-def envelope(blocks: DataFrame, attack: float = 0.01, release: float = 0.0001) -> DataFrame:
-    """Peak follower: moves towards the magnitude at one rate up and another down.
+def envelope(blocks: DataFrame, attack: float = 0.01, release: float = 0.0001, smooth: int = 0, block: int = BLOCK) -> DataFrame:
+    """Peak follower: moves towards the magnitude at one rate up and another down; then, if asked, the mean of ``smooth`` samples.
 
-    The switch between rates makes the state non-linear, so a channel's blocks are followed in order by one
-    task, one block in memory at a time.
+    No block waits for another.  Each tells where it leaves from the lowest and from the highest level its channel can
+    have; so the level that its successor starts from lies between two close bounds, and for these the successor
+    gives its whole effect on the level, a few numbers.  The levels at all starts are then carried over those
+    numbers, and blocks run from them.  ``block`` is the size of the blocks, which smoothing needs.
     """
+    f = Follower(attack, release)
+    kind = dict(blocks.dtypes)
+    key = ", ".join(f"{c} {kind[c]}" for c in [*CH, "block_no"])
+    blocks = blocks.select(*CH, "block_no", F.transform("x", F.abs).alias("x"))
+    tops = blocks.groupBy(*CH).agg(F.max(F.array_max("x")).alias("top"))
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, e = None, 0.0
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            out = []
-            for k, x in zip(zip(*(p[c] for c in CH), strict=True), p.x, strict=True):
-                if k != key:
-                    key, e = k, 0.0
-                y = np.empty(len(x))
-                for i, v in enumerate(np.abs(np.asarray(x, float)).tolist()):
-                    e += (attack if v > e else release) * (v - e)
-                    y[i] = e
-                out.append(y)
-            yield p.assign(x=out)
+            got = [f.ends(np.asarray(x, float), top) for x, top in zip(p.x, p.top, strict=True)]
+            yield p[[*CH, "block_no"]].assign(low=[g[0] for g in got], high=[g[1] for g in got])
 
-    kind = dict(blocks.dtypes)
-    schema = ", ".join(f"{c} {kind[c]}" for c in [*CH, "block_no", "x"])
-    ordered = blocks.select(*CH, "block_no", "x").repartition(*CH).sortWithinPartitions(*CH, "block_no")
-    return ordered.mapInPandas(follow, schema)
+    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            got = [f.shape(np.asarray(x, float), low, high) for x, low, high in zip(p.x, p.low, p.high, strict=True)]
+            yield p[[*CH, "block_no"]].assign(at=[g[0].tolist() for g in got], to=[g[1].tolist() for g in got])
+
+    def scan(p: pd.DataFrame) -> pd.DataFrame:
+        level, out = 0.0, []
+        p = p.sort_values("block_no")
+        for at, to in zip(p["at"], p["to"], strict=True):
+            out.append(level)
+            level = float(np.interp(level, at, to))
+        return p[[*CH, "block_no"]].assign(level=out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield p[[*CH, "block_no"]].assign(x=[f.output(np.asarray(x, float), e) for x, e in zip(p.x, p.level, strict=True)])
+
+    before = W.partitionBy(*CH).orderBy("block_no")
+    bounds = blocks.join(tops, CH).mapInPandas(ends, f"{key}, low double, high double")
+    bounds = bounds.select(*CH, "block_no", *(F.coalesce(F.lag(c).over(before), F.lit(0.0)).alias(c) for c in ("low", "high")))
+    effects = blocks.join(bounds, [*CH, "block_no"]).mapInPandas(shapes, f"{key}, at array<double>, to array<double>")
+    levels = effects.groupBy(*CH).applyInPandas(scan, f"{key}, level double")
+    out = blocks.join(levels, [*CH, "block_no"]).mapInPandas(run, f"{key}, x array<double>")
+    if not smooth:
+        return out
+    # Dealt by block, so that the counts of a channel that smoothing joins do not keep it in one task.
+    smoothed = moving_average(from_blocks(out, block), smooth).withColumn("block_no", F.floor(F.col("idx") / block)).repartition(*CH, "block_no")
+    packed = smoothed.groupBy(*CH, "block_no").agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
+    return packed.select(*CH, "block_no", F.transform("s", lambda e: e["x"]).alias("x"))
 
 
 def moving_average(samples: DataFrame, w: int) -> DataFrame:
@@ -327,37 +351,42 @@ def true_peak(samples: DataFrame, taps: int = 16, gain: str = "unity") -> DataFr
 def _greedy(candidates: DataFrame, min_distance: int) -> DataFrame:
     """Of candidates ``(track_id, ch, pos)`` in order, those more than ``min_distance`` after the last taken (0 at first).
 
-    A candidate that follows all others at more than the distance is taken whatever happened before, so runs of
-    nearer candidates are independent.  Where a run starts is found by block, with the candidates near the block's
-    start, and carried over the blocks; a run is then followed row by row, holding one position.
+    In a block each candidate points to the first one beyond its distance; where the chains of pointers leave the block, by
+    where they enter it, is a few numbers.  The last one taken before each block is carried over these, and blocks
+    follow their own chain from it.  A run of near candidates may so lie in any number of tasks.
     """
-    span = max(BLOCK, min_distance)
-    near = with_halo(candidates.select(*CH, "pos"), min_distance, 0, span, "pos")
-    w = W.partitionBy(*CH, "__b").orderBy("pos")
-    before = F.lag("pos").over(w)
-    near = near.withColumn("start", F.when(before.isNull() | (F.col("pos") - before > min_distance), F.col("pos"))).where(F.col("__b") == F.col("__own"))
-    near = near.withColumn("start", F.max("start").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    carried = F.last("last", True).over(W.partitionBy(*CH).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
-    blocks = near.groupBy(*CH, "__b").agg(F.max("start").alias("last")).withColumn("open", carried).drop("last")
-    runs = near.join(blocks, [*CH, "__b"]).select(*CH, F.coalesce("start", "open").alias("run"), "pos")
+    span = max(BLOCK, 16 * min_distance)
+    kind = dict(candidates.dtypes)
+    key = ", ".join(f"{c} {kind[c]}" for c in CH)
+    blocks = candidates.groupBy(*CH, F.floor(F.col("pos") / span).alias("b")).agg(F.array_sort(F.collect_list(F.col("pos").cast("long"))).alias("p"))
+
+    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            got = [greedy_shape(np.asarray(p, np.int64), min_distance) for p in t["p"]]
+            yield t[[*CH, "b"]].assign(end=[p[-1] for p in t["p"]], bounds=[g[0].tolist() for g in got], exits=[g[1].tolist() for g in got])
+
+    def scan(t: pd.DataFrame) -> pd.DataFrame:
+        last, out = 0, []
+        t = t.sort_values("b")
+        for end, bounds, exits in zip(t["end"], t["bounds"], t["exits"], strict=True):
+            out.append(last)
+            last = greedy_exit(np.asarray(bounds), np.asarray(exits), int(end), last, min_distance)
+        return t[[*CH, "b"]].assign(last=out)
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, last = None, 0
-        for p in batches:
-            taken = np.zeros(len(p), bool)
-            for i, (track, ch, run, pos) in enumerate(zip(p["track_id"], p["ch"], p["run"], p["pos"], strict=True)):
-                if (track, ch, run) != key:
-                    key, last = (track, ch, run), 0
-                if pos - last > min_distance:
-                    taken[i], last = True, pos
-            yield p.loc[taken, [*CH, "pos"]]
+        for t in batches:
+            taken = [greedy_taken(np.asarray(p, np.int64), last, min_distance) for p, last in zip(t["p"], t["last"], strict=True)]
+            yield t[CH].loc[np.repeat(t.index, [len(x) for x in taken])].assign(pos=np.concatenate(taken) if taken else [])
 
-    kind = dict(runs.dtypes)
-    return runs.repartition(*CH, "run").sortWithinPartitions(*CH, "run", "pos").mapInPandas(follow, ", ".join(f"{c} {kind[c]}" for c in [*CH, "pos"]))
+    carried = blocks.mapInPandas(shapes, f"{key}, b long, end long, bounds array<long>, exits array<long>").groupBy(*CH).applyInPandas(scan, f"{key}, b long, last long")
+    return blocks.join(carried, [*CH, "b"]).mapInPandas(follow, f"{key}, pos {kind['pos']}")
 
 
 def find_transients(env: DataFrame, threshold: float, min_distance: int, mode: str = "rise", hop: int = 32) -> DataFrame:
-    """``(track_id, ch, pos)`` from envelope samples: ``rise`` of ``hop`` maxima in decibels, or a ``step`` between samples."""
+    """``(track_id, ch, pos)`` from envelope samples: ``rise`` of ``hop`` maxima in decibels, or a ``step`` between samples.
+
+    The rise form is meant for an envelope smoothed over 64 samples, ``envelope(..., smooth=64)``.
+    """
     if mode == "step":
         n = neighbours(env.select(*CH, "idx", "x"), "x", [-1])
         return _greedy(n.where(F.col("x") - F.col("x_m1") > threshold).select(*CH, F.col("idx").alias("pos")), min_distance)

@@ -43,6 +43,14 @@ UNION ALL SELECT track_id, ch, idx, w, {B1[1]}::DOUBLE * x - {A1[1]}::DOUBLE * u
 FROM (SELECT *, {B2[0]}::DOUBLE * u + g AS w FROM (SELECT s.track_id, s.ch, s.idx, s.x, {B1[0]}::DOUBLE * s.x + r.p AS u, r.q, r.g, r.h FROM rec r JOIN usr s ON s.track_id = r.track_id AND s.idx = r.idx + 1)))
 """
 add("k_weight", lambda s, d: ordered.from_blocks(ordered.k_weight(blocks(s, d), 48_000), SMALL), K_SQL + "SELECT track_id, ch, idx, round(w, 6) AS x FROM rec WHERE idx >= 0")
+add(
+    "envelope_smooth",
+    lambda s, d: ordered.from_blocks(ordered.envelope(blocks(s, d), 0.5, 0.1, smooth=7, block=SMALL), SMALL),
+    *plain(recursive(
+        f"SELECT track_id, ch, idx, round(CASE WHEN count(*) OVER (PARTITION BY {K}) < 7 THEN y ELSE avg(y) OVER v END, 6) AS x FROM rec WINDOW v AS (PARTITION BY {K} ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)",
+        "CASE WHEN abs(x) > 0 THEN 0.5 ELSE 0.1 END * abs(x)", "r.y + CASE WHEN abs(u.x) > r.y THEN 0.5 ELSE 0.1 END * (abs(u.x) - r.y)",
+    )),
+)
 for w in (7, 8):
     h = w // 2
     even = f"WHEN idx >= {h} AND idx < n - {h} THEN (sum(x) OVER v - max(x) FILTER (idx = {2 * h}) OVER (PARTITION BY {K})) / {w}" if w % 2 == 0 else ""
@@ -136,14 +144,17 @@ add("find_transients", steps, f"{greedy(1.2, 5)} SELECT {K}, pos FROM tr")
 
 
 def rises(s, d):
-    env = ordered.from_blocks(ordered.envelope(ordered.to_blocks(sig_flag(s, d), 4096), 0.2, 0.01), 4096)
-    return ordered.find_transients(env, 0.5, 200, hop=32)
+    env = ordered.from_blocks(ordered.envelope(ordered.to_blocks(sig_flag(s, d), 4096), 0.2, 0.01, smooth=64, block=4096), 4096)
+    return ordered.find_transients(env, 0.1, 200, hop=32)
 
 
 RISE = f"""WITH RECURSIVE flg AS MATERIALIZED (SELECT l_returnflag AS track_id, 0 AS ch, row_number() OVER (PARTITION BY l_returnflag ORDER BY {ORDER}) - 1 AS idx, abs((round(l_extendedprice * 100)::BIGINT - 5295000) / 8388608::DOUBLE) AS x FROM lineitem),
 rec AS (SELECT track_id, ch, idx, CASE WHEN x > 0 THEN 0.2 ELSE 0.01 END * x AS y FROM flg WHERE idx = 0 UNION ALL SELECT u.track_id, u.ch, u.idx, r.y + CASE WHEN u.x > r.y THEN 0.2 ELSE 0.01 END * (u.x - r.y) FROM rec r JOIN flg u ON u.track_id = r.track_id AND u.idx = r.idx + 1),
-hop AS (SELECT {K}, idx // 32 AS h, max(CASE WHEN y > 1e-10 THEN 20 * log10(y) ELSE -200 END) AS m, sum(count(*)) OVER (PARTITION BY {K}) AS total FROM rec GROUP BY track_id, ch, idx // 32),
-cand AS MATERIALIZED (SELECT {K}, h * 32 AS pos FROM (SELECT *, lag(m) OVER (PARTITION BY {K} ORDER BY h) AS p FROM hop) WHERE m - p > 0.5 AND h * 32 < total - 32),
+cnt AS (SELECT *, count(*) OVER (PARTITION BY {K}) AS n FROM rec), head AS (SELECT {K}, max(y) FILTER (idx = 64) AS fixed FROM rec GROUP BY ALL),
+smo AS (SELECT {K}, idx, CASE WHEN n < 64 THEN y WHEN idx >= 32 AND idx < n - 32 THEN (sum(y) OVER v - fixed) / 64 ELSE avg(y) OVER v END AS y
+FROM cnt JOIN head USING (track_id, ch) WINDOW v AS (PARTITION BY {K} ORDER BY idx ROWS BETWEEN 32 PRECEDING AND 32 FOLLOWING)),
+hop AS (SELECT {K}, idx // 32 AS h, max(CASE WHEN y > 1e-10 THEN 20 * log10(y) ELSE -200 END) AS m, sum(count(*)) OVER (PARTITION BY {K}) AS total FROM smo GROUP BY track_id, ch, idx // 32),
+cand AS MATERIALIZED (SELECT {K}, h * 32 AS pos FROM (SELECT *, lag(m) OVER (PARTITION BY {K} ORDER BY h) AS p FROM hop) WHERE m - p > 0.1 AND h * 32 < total - 32),
 tr AS (SELECT {K}, min(pos) AS pos FROM cand WHERE pos > 200 GROUP BY ALL UNION ALL SELECT * FROM (SELECT c.track_id, c.ch, min(c.pos) AS pos FROM tr JOIN cand c ON c.track_id = tr.track_id AND c.pos > tr.pos + 200 GROUP BY ALL) WHERE pos IS NOT NULL)
 SELECT {K}, pos FROM tr"""
 add("find_transients_rise", rises, RISE)
