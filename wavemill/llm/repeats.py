@@ -264,7 +264,8 @@ def repeated_spans(docs: DataFrame, length: int, store: Store) -> DataFrame:
     """
     text = F.col("text")
     counts = docs.select(text).mapInArrow(anchor_counts(length), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    again = counts.where("n > 1").select("h")
+    # A table, not an aggregate, so that the join may split a frequent hash.
+    again = store.keep(counts.where("n > 1").select("h"), "again")
     found = store.keep(docs.select("k1", "k2", text).mapInArrow(anchor_rows(length), INSTANCE).join(again, "h"), "anchors")
     stretch = ["h", "d1", "d2"]
     # Equal stretches become one with their number, before anything is dealt.
