@@ -23,21 +23,26 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500 - 1).alias("value"))
 
 
+#: Stateful processors need this provider; a query takes it from the session when it starts.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def drained(stream: DataFrame) -> DataFrame:
     spark, at = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
-    sink = stream.writeStream.format("parquet").option("path", f"{at}/out").outputMode("append")
-    sink.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        sink = stream.writeStream.format("parquet").option("path", f"{at}/out").outputMode("append")
+        query = sink.option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:  # the session is the user's
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
-def rocks(s):
-    """Stateful processors need this provider; it is a session setting."""
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-
 def loudness(s, d):
-    rocks(s)
-    return drained(monitors.stream_loudness(events(s, d), "6 hours", "3 hours", "1 hour")).select("key", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", "power", "lufs", "loud", "gated")
+    return drained(monitors.stream_loudness(events(s, d), "6 hours", "3 hours", "1 hour", step="1 day", idle="3650 days")).select("key", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n", "power", "lufs", "loud", "gated")
 
 
 add(
@@ -74,27 +79,30 @@ SELECT key, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, epoch_us(max(
 
 
 def envelope(s, d):
-    rocks(s)
     # Rounded by the same operations on both sides: many levels lie midway between two rounded ones.
-    return drained(monitors.stream_envelope(events(s, d), 0.5, 0.1)).withColumns({"ts": F.unix_micros("ts"), "envelope": F.floor(F.col("envelope") * 1e6 + 0.5) / 1e6})
+    return drained(monitors.stream_envelope(events(s, d), 0.5, 0.1, "1 hour", "6 hours", "5 days")).withColumns({"ts": F.unix_micros("ts"), "envelope": F.floor(F.col("envelope") * 1e6 + 0.5) / 1e6})
 
 
 def clips(s, d):
-    rocks(s)
-    return drained(monitors.stream_clip_runs(events(s, d), 0.6, 2, "1 hour", 3_600_000)).withColumns({c: F.unix_micros(c) for c in ("start", "last")})
+    return drained(monitors.stream_clip_runs(events(s, d), 0.6, 2, "1 hour", "6 hours", "5 days")).withColumns({c: F.unix_micros(c) for c in ("start", "last")})
 
 
+#: Rows whose step of six hours ends by the watermark, one hour behind the latest row.
+RELEASED = f"""e AS ({EVENTS}), lim AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM e), rel AS (SELECT e.*, wm FROM e, lim WHERE time_bucket(INTERVAL 6 HOURS, ts) + INTERVAL 6 HOURS <= wm)"""
 add(
     "stream_envelope",
     envelope,
-    f"""WITH RECURSIVE o AS MATERIALIZED (SELECT key, ts, abs(value) AS v, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM ({EVENTS})),
-r AS (SELECT key, ts, i, CASE WHEN v > 0 THEN 0.5 ELSE 0.1 END * v AS e FROM o WHERE i = 1 UNION ALL SELECT o.key, o.ts, o.i, e + CASE WHEN v > e THEN 0.5 ELSE 0.1 END * (v - e) FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1)
+    f"""WITH RECURSIVE {RELEASED}, o AS MATERIALIZED (SELECT key, ts, abs(value) AS v, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM rel),
+r AS (SELECT key, ts, i, CASE WHEN v > 0 THEN 0.5 ELSE 0.1 END * v AS e FROM o WHERE i = 1
+UNION ALL SELECT key, ts, i, e + CASE WHEN v > e THEN 0.5 ELSE 0.1 END * (v - e) FROM (SELECT o.key, o.ts, o.i, o.v, CASE WHEN o.ts - r.ts > INTERVAL 5 DAYS THEN 0 ELSE r.e END AS e FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1))
 SELECT key, epoch_us(ts) AS ts, floor(e * 1e6::DOUBLE + 0.5::DOUBLE) / 1e6::DOUBLE AS envelope FROM r""",
 )
 add(
     "stream_clip_runs",
     clips,
-    f"""WITH e AS ({EVENTS}), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i, abs(value) >= 0.6 AS hit, max(ts) OVER () AS latest FROM e), z AS (SELECT *, max(i) OVER (PARTITION BY key) AS total FROM o),
-g AS (SELECT *, i - row_number() OVER (PARTITION BY key ORDER BY ts) AS g FROM z WHERE hit), r AS (SELECT key, min(ts) AS start, max(ts) AS last, count(*)::INT AS n, max(i) = max(total) AS open, max(latest) AS latest FROM g GROUP BY key, g)
-SELECT key, epoch_us(start) AS start, epoch_us(last) AS last, n FROM r WHERE n >= 2 AND (NOT open OR last + INTERVAL 1 HOUR <= latest - INTERVAL 1 HOUR)""",
+    f"""WITH {RELEASED}, o AS (SELECT *, abs(value) >= 0.6 AS hit, lag(ts) OVER w AS before, lag(abs(value) >= 0.6) OVER w AS prior FROM rel WINDOW w AS (PARTITION BY key ORDER BY ts)),
+b AS (SELECT *, sum((before IS NULL OR NOT prior OR ts - before > INTERVAL 5 DAYS)::INT) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM o),
+r AS (SELECT key, run, min(ts) FILTER (hit) AS start, max(ts) FILTER (hit) AS last, count(*) FILTER (hit)::INT AS n, max(wm) AS wm, bool_or(NOT hit) AS ended FROM b GROUP BY ALL),
+z AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run DESC) = 1 AS final FROM r)
+SELECT key, epoch_us(start) AS start, epoch_us(last) AS last, n FROM z WHERE n >= 2 AND (ended OR NOT final OR time_bucket(INTERVAL 6 HOURS, last + INTERVAL 5 DAYS) + INTERVAL 6 HOURS <= wm)""",
 )

@@ -2,56 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wavemill.functions.scalar import dbfs, lufs_from_power
+from wavemill.streaming.in_order import TimeOrdered, ordered_by_key
 
 
-class _RelativeGate(StatefulProcessor):
-    """Keeps the sum and number of each key's windows above the absolute gate; windows of a batch are taken in order."""
+class _RelativeGate(TimeOrdered):
+    """Keeps the sum and number of each key's windows above the absolute gate."""
 
-    def __init__(self, below: float):
+    def __init__(self, below: float, **times: Any):
+        super().__init__({"start": "long", "n": "long", "power": "double", "lufs": "double", "loud": "boolean"}, wait=False, **times)
         self.share = 10 ** (-below / 10)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.past = handle.getValueState("past", "total double, n long")
+    def begin(self) -> tuple:
+        return 0.0, 0
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        total, n = tuple(self.past.get()) if self.past.exists() else (0.0, 0)
-        # A key has few windows in a batch.
-        batch = pd.concat(list(rows)).sort_values("start", kind="stable")
+    def follow(self, key: Any, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        total, n = state
         gated = []
-        for power, loud in zip(batch["power"], batch["loud"], strict=True):
+        for power, loud in zip(rows["power"], rows["loud"], strict=True):
             if loud:
                 total, n = total + power, n + 1
             gated.append(bool(loud and power > self.share * total / n))
-        self.past.update((total, n))
-        yield batch[WINDOW].assign(gated=gated)
+        return (total, n), rows.assign(gated=gated)
 
-    def close(self) -> None:
-        pass
 
-
-WINDOW = ["key", "start", "end", "n", "power", "lufs", "loud"]
-
-
-def stream_loudness(stream: DataFrame, window: str = "400 milliseconds", slide: str = "100 milliseconds", late: str = "1 second", gate: float = -70.0, below: float = 10.0) -> DataFrame:
+def stream_loudness(stream: DataFrame, window: str = "400 milliseconds", slide: str = "100 milliseconds", late: str = "1 second", gate: float = -70.0, below: float = 10.0, step: str = "10 seconds", idle: str = "1 day") -> DataFrame:
     """Mean power and loudness of sliding windows; ``loud`` tells whether a window passes the absolute gate, ``gated`` whether it also passes the relative one.
 
     The relative gate lies ``below`` LU under the mean power of the key's loud windows so far, this one included.  Windows
-    close when the watermark, ``late`` behind the latest time seen, passes them; rows later than that are dropped.
+    close when the watermark, ``late`` behind the latest time seen, passes them; rows later than that are dropped.  They
+    are gated in the order of their ends, those of ``step`` at a time.  A key without windows for ``idle`` starts anew.
     """
     w = stream.withWatermark("ts", late).groupBy("key", F.window("ts", window, slide).alias("w")).agg(F.avg(F.col("value") * F.col("value")).alias("power"), F.count(F.lit(1)).alias("n"))
     lufs = lufs_from_power(F.col("power"))
-    w = w.select("key", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "power", lufs.alias("lufs"), (lufs > gate).alias("loud"))
-    schema = f"key {dict(stream.dtypes)['key']}, start timestamp, end timestamp, n long, power double, lufs double, loud boolean, gated boolean"
-    return w.groupBy("key").transformWithStateInPandas(statefulProcessor=_RelativeGate(below), outputStructType=schema, outputMode="Append", timeMode="None")
+    at = F.window_time("w").alias("at")
+    w = w.select("key", at, F.unix_micros("w.end").alias("us"), F.unix_micros("w.start").alias("start"), "n", "power", lufs_from_power(F.col("power")).alias("lufs"))
+    gated = ordered_by_key(w.withColumn("loud", F.col("lufs") > gate), _RelativeGate(below, step=step, idle=idle), "us long, start long, n long, power double, lufs double, loud boolean, gated boolean")
+    return gated.select("key", F.timestamp_micros("start").alias("start"), F.timestamp_micros("us").alias("end"), "n", "power", "lufs", "loud", "gated")
 
 
 def stream_block_levels(stream: DataFrame, block: str = "3 seconds", late: str = "1 second") -> DataFrame:
@@ -67,85 +60,68 @@ def stream_dropouts(stream: DataFrame, silent: float = 1e-3, gap: str = "500 mil
     return w.select("key", F.col("w.start").alias("start"), "last", F.col("w.end").alias("silent_from"), "n")
 
 
-class _Envelope(StatefulProcessor):
-    """Follows the magnitude of each key; rows of a batch are taken in time order."""
+class _Envelope(TimeOrdered):
+    """Follows the magnitude of each key."""
 
-    def __init__(self, attack: float, release: float):
+    def __init__(self, attack: float, release: float, **times: Any):
+        super().__init__({"value": "double"}, **times)
         self.rates = attack, release
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.level = handle.getValueState("level", "e double")
+    def begin(self) -> tuple:
+        return (0.0,)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        up, down = self.rates
-        e = self.level.get()[0] if self.level.exists() else 0.0
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        out = []
-        for v in batch["value"].abs().tolist():
+    def follow(self, key: Any, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        (e,), (up, down), out = state, self.rates, []
+        for v in rows["value"].abs().tolist():
             e += (up if v > e else down) * (v - e)
             out.append(e)
-        self.level.update((e,))
-        yield pd.DataFrame({"key": key[0], "ts": batch["ts"].to_numpy(), "envelope": out})
+        return (e,), pd.DataFrame({"us": rows["us"], "envelope": out})
 
-    def close(self) -> None:
-        pass
 
+def stream_envelope(stream: DataFrame, attack: float = 0.01, release: float = 0.0001, late: str = "1 second", step: str = "1 second", idle: str = "1 day") -> DataFrame:
+    """``(key, ts, envelope)``: the attack and release follower carried over the rows of a key in time order.
 
-def stream_envelope(stream: DataFrame, attack: float = 0.01, release: float = 0.0001) -> DataFrame:
-    """``(key, ts, envelope)``: the attack and release follower carried across batches."""
-    kind = dict(stream.dtypes)["key"]
-    return stream.groupBy("key").transformWithStateInPandas(statefulProcessor=_Envelope(attack, release), outputStructType=f"key {kind}, ts timestamp, envelope double", outputMode="Append", timeMode="None")
-
+    Rows wait until the watermark, ``late`` behind the latest time seen, has passed the ``step`` they lie in; later ones
+    and null values are dropped.  A key silent for more than ``idle`` starts anew.
+    """
+    rows = stream.withWatermark("ts", late).select("key", "ts", F.unix_micros("ts").alias("us"), "value").where("value is not null")
+    out = ordered_by_key(rows, _Envelope(attack, release, step=step, idle=idle), "us long, envelope double")
+    return out.select("key", F.timestamp_micros("us").alias("ts"), "envelope")
 
-class _ClipRuns(StatefulProcessor):
-    """Keeps each key's open run; a timer closes it when its key goes quiet."""
 
-    def __init__(self, thr: float, least: int, idle_ms: int):
-        self.thr, self.least, self.idle = thr, least, idle_ms
+class _ClipRuns(TimeOrdered):
+    """Keeps each key's open run; it ends at a row below the threshold or after a silence."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.run = handle.getValueState("run", "start timestamp, last timestamp, n int")
+    def __init__(self, thr: float, least: int, **times: Any):
+        super().__init__({"value": "double"}, **times)
+        self.thr, self.least = thr, least
 
-    def _row(self, key: Any, run: tuple) -> list[tuple]:
-        return [(key[0], *run)] if run[2] >= self.least else []
+    def begin(self) -> tuple:
+        return 0, 0, 0
 
-    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["key", "start", "last", "n"])
+    def _rows(self, runs: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([r for r in runs if r[2] >= self.least], columns=["start", "last", "n"])
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        run = tuple(self.run.get()) if self.run.exists() else None
-        out: list[tuple] = []
-        batch = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        for ts, hit in zip(batch["ts"], batch["value"].abs() >= self.thr, strict=True):
+    def follow(self, key: Any, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        run, out = state, []
+        for us, hit in zip(rows["us"].tolist(), (rows["value"].abs() >= self.thr).tolist(), strict=True):
             if hit:
-                run = (run[0], ts, run[2] + 1) if run else (ts, ts, 1)
-            elif run:
-                out += self._row(key, run)
-                run = None
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if run:
-            self.run.update(run)
-            self.handle.registerTimer(int(pd.Timestamp(run[1]).timestamp() * 1000) + self.idle)
-        elif self.run.exists():
-            self.run.clear()
-        if out:
-            yield self._frame(out)
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.run.exists():
-            rows = self._row(key, tuple(self.run.get()))
-            self.run.clear()
-            if rows:
-                yield self._frame(rows)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_clip_runs(stream: DataFrame, thr: float = 0.99, min_run: int = 3, late: str = "1 second", idle_ms: int = 5_000) -> DataFrame:
-    """``(key, start, last, n)`` of runs at or above ``thr``, also across batches; idle runs close by event time."""
-    kind = dict(stream.dtypes)["key"]
-    keyed = stream.withWatermark("ts", late).groupBy("key")
-    return keyed.transformWithStateInPandas(statefulProcessor=_ClipRuns(thr, min_run, idle_ms), outputStructType=f"key {kind}, start timestamp, last timestamp, n int", outputMode="Append", timeMode="EventTime")
+                run = (run[0], us, run[2] + 1) if run[2] else (us, us, 1)
+            elif run[2]:
+                out.append(run)
+                run = self.begin()
+        return run, self._rows(out)
+
+    def end(self, key: Any, state: tuple) -> pd.DataFrame:
+        return self._rows([state])
+
+
+def stream_clip_runs(stream: DataFrame, thr: float = 0.99, min_run: int = 3, late: str = "1 second", step: str = "1 second", idle: str = "5 seconds") -> DataFrame:
+    """``(key, start, last, n)`` of runs at or above ``thr`` in the time order of a key's rows.
+
+    Rows wait until the watermark, ``late`` behind the latest time seen, has passed the ``step`` they lie in; later ones
+    and null values are dropped.  A silence of more than ``idle`` ends a run.
+    """
+    rows = stream.withWatermark("ts", late).select("key", "ts", F.unix_micros("ts").alias("us"), "value").where("value is not null")
+    out = ordered_by_key(rows, _ClipRuns(thr, min_run, step=step, idle=idle), "start long, last long, n int")
+    return out.select("key", F.timestamp_micros("start").alias("start"), F.timestamp_micros("last").alias("last"), "n")
