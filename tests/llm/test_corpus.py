@@ -188,6 +188,29 @@ def test_no_source_is_repeated_more_than_allowed(spark):
     assert len(whole) >= 2 and set(whole[0].d) == set(range(240, 250))
 
 
+def test_no_source_is_lost(spark):
+    """Shares far below what the shown weights are rounded to have a quota all the same."""
+    totals = {"a": 10**13, "b": 6 * 10**12, "c": 3000, "d": 100, "e": 1}
+    df = spark.createDataFrame(list(totals.items()), "source string, total long")
+    for settings in (queries.MIXTURE, {"target_entropy": 0.01}, {"max_repeats": 1.5}):
+        got = {r.source: r for r in mixing.mixture(df, **settings).collect()}
+        p = {s: (t / sum(totals.values())) ** got["a"].exponent for s, t in totals.items()}
+        for s, r in got.items():
+            want = max(1, math.floor(p[s] / sum(p.values()) * sum(totals.values())))
+            limit = math.floor(totals[s] * settings.get("max_repeats", 1e9))
+            assert r.quota >= 1 and abs(r.quota - min(want, limit)) <= 1 + 1e-9 * want
+
+
+def test_a_source_of_texts_without_words_has_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 1000)
+    blank = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "one word").otherwise(" ").alias("text"), F.lit("blank").alias("source"))
+    other = spark.range(20_000, 20_050).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("other").alias("source"))
+    got = mixing.mix(blank.unionByName(other), target_entropy=0.999, max_repeats=1.0)
+    counts = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    # Texts without words follow the document before them, so some of the blank ones are there.
+    assert counts["other"] > 0 and 0 < counts["blank"] <= 20_000
+
+
 def test_empty_mixture(spark):
     df = corpus(spark)
     assert mixing.mix(df.limit(0), target_entropy=0.5).count() == 0

@@ -33,8 +33,8 @@ def n_words(text: Column) -> Column:
 
 
 def source_totals(sized: DataFrame) -> DataFrame:
-    """``(source, total)`` of sources that have tokens."""
-    return sized.groupBy("source").agg(F.sum("tokens").alias("total")).where("total > 0")
+    """``(source, total, docs)``: tokens and documents of sources that have tokens."""
+    return sized.groupBy("source").agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("docs")).where("total > 0")
 
 
 def _walk(lo: float, hi: float, up: dict[int, bool]) -> tuple[float, float]:
@@ -86,7 +86,7 @@ def mixture(totals: DataFrame, budget: int | None = None, target_entropy: float
     whose weights reach it.  ``max_repeats`` bounds passes over a source: without a target the result is the
     smallest exponent at which every quota is within that many times its source's tokens (1, the shares
     as they are, where none is).  With both the limit goes first: the target is met as far as it allows.
-    ``quota`` is the weight's part of ``budget`` in whole tokens; under a limit it is never more than ``max_repeats``
+    ``quota`` is the weight's part of ``budget`` in whole tokens, one at least, so that no source is lost; under a limit it is never more than ``max_repeats``
     times the source's tokens, so a budget that is too large for the corpus is not used up.
     """
     if target_entropy is None and max_repeats is None:
@@ -98,11 +98,12 @@ def mixture(totals: DataFrame, budget: int | None = None, target_entropy: float
     budget = float(tokens if budget is None else budget)
     a = exponent(totals, tokens, sources, budget, target_entropy, max_repeats)
     norm = totals.agg(F.sum(F.pow(F.col("total") / F.lit(float(tokens)), F.lit(a)))).first()[0]
-    weight = F.round(F.pow(F.col("total") / F.lit(float(tokens)), F.lit(a)) / F.lit(norm), 9)
-    quota = F.floor(F.col("weight") * F.lit(budget))
+    weight = F.pow(F.col("total") / F.lit(float(tokens)), F.lit(a)) / F.lit(norm)
+    # Of the weight as it is: rounded as shown, that of a small source could be nothing.
+    quota = F.greatest(F.floor(weight * F.lit(budget)), F.lit(1))
     if max_repeats is not None:
         quota = F.least(quota, F.floor(F.col("total") * F.lit(float(max_repeats))))
-    return totals.select("source", "total", F.lit(a).alias("exponent"), weight.alias("weight")).withColumn("quota", quota.cast("long"))
+    return totals.select("source", "total", F.lit(a).alias("exponent"), F.round(weight, 9).alias("weight"), quota.cast("long").alias("quota"))
 
 
 def _starts(blocks: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def mix(
     rows = docs.select(boxed(docs, own), source, n_words(text).alias("tokens"), F.coalesce(column(id_col).cast("string"), F.lit("null")).alias("id"), F.xxhash64(text).alias("tie"))
     store = Store(docs.sparkSession, "mixing")
     totals = store.keep(source_totals(rows), "totals")
-    weights = store.keep(mixture(totals, budget, target_entropy, max_repeats), "weights").where("quota > 0")
+    weights = store.keep(mixture(totals, budget, target_entropy, max_repeats).join(totals.select("source", "docs"), "source"), "weights").where("quota > 0")
     if weights.count() <= SMALL_SOURCES:
         weights = F.broadcast(weights)
     planned = rows.join(weights, "source")
@@ -153,7 +154,8 @@ def mix(
     planned = planned.withColumn("last", last).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), "last", F.lit(PASSES).cast("long"))))
     planned = planned.withColumn("epoch", F.explode(F.sequence(F.col("first").cast("int"), F.least("last", F.col("first") + (PASSES - 1)).cast("int"))))
     tag = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("id")))
-    blocks = F.ceil(F.col("total") / F.lit(BLOCK_TOKENS)).cast("long")
+    # A document counts as one token at least, so that many texts without words do not share a block.
+    blocks = F.ceil(F.greatest("total", "docs") / F.lit(BLOCK_TOKENS)).cast("long")
     planned = planned.withColumn("tag", tag).withColumn("block", F.conv(F.substring("tag", 1, 15), 16, 10).cast("long") % blocks)
     starts = _starts(store.keep(planned.groupBy("source", "epoch", "block").agg(F.sum("tokens").alias("n")), "blocks"))
     within = W.partitionBy("source", "epoch", "block").orderBy("tag", "tie").rowsBetween(W.unboundedPreceding, -1)

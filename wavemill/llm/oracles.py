@@ -23,8 +23,8 @@ FROM judged GROUP BY doc_id
 MIXING = f"""
 WITH RECURSIVE docs AS (
     SELECT doc_id, source, coalesce('s:' || source, 'null') AS s, coalesce(length(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS t FROM documents),
-totals AS (SELECT s, sum(t)::BIGINT AS total FROM docs GROUP BY s HAVING sum(t) > 0),
-shares AS (SELECT s, total, total::DOUBLE / sum(total) OVER () AS p, sum(total) OVER ()::BIGINT AS budget FROM totals),
+totals AS (SELECT s, sum(t)::BIGINT AS total, count(*) AS n_docs FROM docs GROUP BY s HAVING sum(t) > 0),
+shares AS (SELECT s, total, n_docs, total::DOUBLE / sum(total) OVER () AS p, sum(total) OVER ()::BIGINT AS budget FROM totals),
 step(n, lo, hi, rlo, rhi) AS (
     SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE
     UNION ALL
@@ -34,11 +34,11 @@ step(n, lo, hi, rlo, rhi) AS (
                  (SELECT max(pow(p, (rlo + rhi) / 2 - 1)) / sum(pow(p, (rlo + rhi) / 2)) FROM shares) AS r, (SELECT ln(count(*)) FROM shares) AS m FROM step WHERE n < {mixing.STEPS})),
 found AS (SELECT round(greatest(CASE WHEN (SELECT -sum(p * ln(p)) >= {MIXTURE["target_entropy"]} * ln(count(*)) FROM shares) THEN 1.0 ELSE lo END,
                                 CASE WHEN (SELECT max(1 / p) / count(*) > {MIXTURE["max_repeats"]} FROM shares) THEN rhi ELSE 0.0 END), 9) AS a FROM step WHERE n = {mixing.STEPS}),
-weights AS (SELECT s, total, budget, a AS exponent, round(pow(p, a) / (SELECT sum(pow(p, f.a)) FROM shares, found f), 9) AS weight FROM shares, found),
-quotas AS (SELECT *, least(floor(weight * budget), floor(total * {MIXTURE["max_repeats"]}))::BIGINT AS quota FROM weights),
-copies AS (SELECT d.*, q.total, q.quota, q.weight, q.exponent, unnest(range(ceil(q.quota / q.total)::BIGINT))::INTEGER AS epoch FROM docs d JOIN quotas q ON d.s = q.s WHERE q.quota > 0),
+weights AS (SELECT s, total, n_docs, budget, a AS exponent, pow(p, a) / (SELECT sum(pow(p, f.a)) FROM shares, found f) AS exact FROM shares, found),
+quotas AS (SELECT *, round(exact, 9) AS weight, least(greatest(floor(exact * budget), 1), floor(total * {MIXTURE["max_repeats"]}))::BIGINT AS quota FROM weights),
+copies AS (SELECT d.*, q.total, q.n_docs, q.quota, q.weight, q.exponent, unnest(range(ceil(q.quota / q.total)::BIGINT))::INTEGER AS epoch FROM docs d JOIN quotas q ON d.s = q.s WHERE q.quota > 0),
 tagged AS (SELECT *, md5('0:' || epoch || ':' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM copies),
-blocked AS (SELECT *, ('0x' || h[1:15])::BIGINT % ceil(total / {mixing.BLOCK_TOKENS})::BIGINT AS b FROM tagged),
+blocked AS (SELECT *, ('0x' || h[1:15])::BIGINT % ceil(greatest(total, n_docs) / {mixing.BLOCK_TOKENS})::BIGINT AS b FROM tagged),
 placed AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY s, epoch ORDER BY b, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM blocked)
 SELECT doc_id, source, epoch, position, t AS tokens, weight, exponent FROM placed WHERE position < quota - epoch * total
 """
