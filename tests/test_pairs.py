@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from wavemill.operators import cepstra
 from wavemill.plans import registry
@@ -25,5 +27,45 @@ def test_the_query_covers_all_rows(spark):
     ids = [x.vec_id for x in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").orderBy("vec_id").collect()]
     d = np.array([np.sqrt(((v - x) ** 2).sum(axis=1)) for x in v])
     i, j = np.nonzero((d <= 1.1) & ~np.eye(len(v), dtype=bool))
-    got = {(x.a_id, x.b_id) for x in registry.queries()["euclid_pairs_lsh"](spark, DATA).collect()}
+    got = {(x.a_id, x.b_id) for x in registry.queries()["euclid_pairs_cells"](spark, DATA).collect()}
     assert got == {(ids[a], ids[b]) for a, b in zip(i, j, strict=True)}
+
+
+def clustered(spark, n, seed=0, centres=40, dim=16):
+    """Rows in clusters of a fixed number, so that a cluster grows with the table, and a few far from all."""
+    r = np.random.default_rng(seed)
+    c = r.normal(size=(centres, dim))
+    v = c[r.integers(0, centres, n)] + r.normal(size=(n, dim)) * 0.15
+    v[: n // 50] = r.normal(size=(n // 50, dim)) * 2
+    return v, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+
+
+@pytest.mark.parametrize("block", [20, 4096])
+def test_cells_are_exact(spark, monkeypatch, block):
+    """Small blocks split cells again; copies, rows between pivots and several lengths are there."""
+    monkeypatch.setattr(cepstra, "PIVOTS", 12)
+    monkeypatch.setattr(cepstra, "MORE_PIVOTS", 5)
+    monkeypatch.setattr(cepstra, "LENGTHS", 1)
+    v, df = clustered(spark, 600)
+    more = [(1000 + i, v[i].tolist()) for i in range(30)] + [(2000, [1.0, 0.0]), (2001, [1.0, 0.2]), (2002, None), (2003, [])]
+    df = df.unionByName(spark.createDataFrame(more, "id long, v array<double>"))
+    for limit in (0.3, 0.9):
+        got = [(x.a_id, x.b_id) for x in cepstra.euclid_pairs(df, df, limit, block=block, method="cells").collect()]
+        ids, w = [*range(600), *range(1000, 1030)], np.concatenate([v, v[:30]])
+        d = np.sqrt(((w[:, None] - w[None]) ** 2).sum(axis=2))
+        want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(d <= limit), strict=True) if i != j} | {(2000, 2001), (2001, 2000)}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def share(spark, n, block):
+    """Share of all pairs that meet in cells."""
+    _, df = clustered(spark, n)
+    left, right, _ = cepstra.metric_cells(df, df, 0.4, block)
+    count = lambda x, c: x.groupBy("d", "cell").agg(F.count("*").alias(c))
+    return count(left, "m").join(count(right, "n"), ["d", "cell"]).agg(F.sum(F.col("m") * F.col("n"))).first()[0] / n**2
+
+
+def test_few_pairs_are_compared(spark):
+    shares = [share(spark, n, 200) for n in (1000, 4000, 16_000)]
+    print("share of pairs", shares)
+    assert all(s < 0.06 for s in shares) and shares[2] < shares[0] * 1.5

@@ -158,32 +158,124 @@ def cosine_pairs(a: DataFrame, b: DataFrame, top_k: int, block: int = 4096) -> D
     return s.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= top_k)
 
 
+#: Pivots of the first level, of a cell that is split again, and vector lengths that have pivots; what is broadcast follows from these.
+PIVOTS, MORE_PIVOTS, LENGTHS = 256, 64, 8
+
+
 def euclid_pairs(a: DataFrame, b: DataFrame, max_dist: float, block: int = 4096, method: str = "blocks") -> DataFrame:
     """``(a_id, b_id, distance)`` within ``max_dist``, exactly.
 
-    ``blocks``: a stated set ``a`` against all of ``b`` by pairs of blocks.  ``bands``: for two large sides; rows are
-    dealt by their distance to one pivot in bands as wide as ``max_dist``, for rows within it lie in one band or
-    two that adjoin, and only blocks of such bands meet.
+    ``blocks``: a stated set ``a`` against all of ``b`` by pairs of blocks.  ``cells``: for two large sides; see ``metric_cells``.
     """
-    if method == "bands":
-        return _banded(a, b, max_dist, block)
+    if method == "cells":
+        left, right, plan = metric_cells(a, b, max_dist, block)
+        mine, other = (lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
+        key = ["d", "cell", "i", "j"]
+        # At most LENGTHS * PIVOTS * MORE_PIVOTS cells, and one for each other length.
+        left = left.join(plan, ["d", "cell"]).select("d", "cell", "id", "v", mine("m").alias("i"), other("n").alias("j"))
+        right = right.join(plan, ["d", "cell"]).select("d", "cell", "id", "v", mine("n").alias("j"), other("m").alias("i"))
+        return left.groupBy(*key).cogroup(right.select(*key, "id", "v").groupBy(*key)).applyInArrow(_near(max_dist), f"{_ids(a, b)}, distance double")
     return _dealt(a, b, block).applyInArrow(_near(max_dist), f"{_ids(a, b)}, distance double")
 
 
-def _banded(a: DataFrame, b: DataFrame, max_dist: float, block: int) -> DataFrame:
+def metric_cells(a: DataFrame, b: DataFrame, max_dist: float, block: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides as ``(d, cell, id, v)`` such that rows within ``max_dist`` meet in exactly one cell, and ``(d, cell, m, n)``, blocks of each.
+
+    Rows of ``b`` lie in the cell of their nearest pivot, rows of ``a`` in each cell that they may have a partner in: those
+    whose border, the plane midway between two pivots, is within ``max_dist``, and whose farthest row is within reach of
+    it.  Pivots are a sample of ``b`` of bounded size, its rows of smallest hashes; cells of more than a block are split
+    by pivots of their own.  Large cells that remain are compared by pairs of blocks.
+    """
     left, right = (x.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("d")) for x in (a, b))
-    # One pivot for each length of vector; there are few lengths.
-    pivots = F.broadcast(right.groupBy("d").agg(F.min("v").alias("pivot")))
-    far = F.sqrt(F.aggregate(F.zip_with("v", "pivot", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    left, right = (x.join(pivots, "d").withColumn("band", F.floor(far / max_dist * (1 - 1e-12))).drop("pivot") for x in (left, right))
-    left = left.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    sizes = [x.groupBy("d", "band").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n)) for x, n in ((left, "m"), (right, "n"))]
-    plan = sizes[0].join(sizes[1], ["d", "band"])
-    mine, other = (lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")), (lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1)))
-    key = ["d", "band", "i", "j"]
-    left = left.join(plan, ["d", "band"]).select("d", "band", "id", "v", mine("m").alias("i"), other("n").alias("j"))
-    right = right.join(plan, ["d", "band"]).select("d", "band", "id", "v", mine("n").alias("j"), other("m").alias("i"))
-    return left.groupBy(*key).cogroup(right.select(*key, "id", "v").groupBy(*key)).applyInArrow(_near(max_dist), f"{_ids(a, b)}, distance double")
+    usual = [r["d"] for r in right.where("d > 0").groupBy("d").count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()]
+    pivots: dict[tuple[int, int], np.ndarray] = {}
+    for d in usual:
+        some = right.where(F.col("d") == d).orderBy(F.xxhash64("id")).limit(PIVOTS).select("v").collect()
+        pivots[d, -1] = np.unique(np.array([r["v"] for r in some]), axis=0)
+    ids = {x: x.schema["id"].dataType.simpleString() for x in (left, right)}
+    home = right.mapInArrow(_to_cells(pivots, {}, None, 0), f"d int, cell long, id {ids[right]}, v array<double>, far double")
+    sizes = home.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).where("cell >= 0")
+    first = sizes.collect()  # at most LENGTHS * PIVOTS rows
+    reach = {(r["d"], r["cell"]): r["far"] for r in first}
+    large = [(r["d"], r["cell"], max(1, r["n"] // (2 * MORE_PIVOTS))) for r in first if r["n"] > block]
+    if large:
+        # Of each large cell a sample by hash, thinned to about twice the pivots before it is ranked.
+        wanted = home.join(F.broadcast(a.sparkSession.createDataFrame(large, "d int, cell long, rate long")), ["d", "cell"])
+        drawn = wanted.where(F.pmod(F.xxhash64(F.lit(1), "id"), "rate") == 0)
+        few = drawn.withColumn("k", F.row_number().over(W.partitionBy("d", "cell").orderBy(F.xxhash64("id")))).where(F.col("k") <= MORE_PIVOTS)
+        for r in few.groupBy("d", "cell").agg(F.collect_list("v").alias("v")).collect():
+            pivots[r["d"], r["cell"]] = np.unique(np.array(r["v"]), axis=0)
+    schema = "d int, cell long, id {}, v array<double>, far double"
+    home = right.mapInArrow(_to_cells(pivots, {}, None, 1), schema.format(ids[right]))
+    for r in home.where("cell >= 0").groupBy("d", "cell").agg(F.max("far").alias("far")).collect():
+        reach[r["d"], r["cell"]] = r["far"]
+    away = left.mapInArrow(_to_cells(pivots, reach, max_dist, 1), schema.format(ids[left]))
+    count = lambda x, n: x.groupBy("d", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(n))
+    plan = count(away, "m").join(count(home, "n"), ["d", "cell"])
+    return away.drop("far"), home.drop("far"), plan
+
+
+def _to_cells(pivots: dict[tuple[int, int], np.ndarray], reach: dict[tuple[int, int], float], max_dist: float | None, level: int):
+    """Rows ``(id, v, d)`` with their cell: the nearest, or with ``max_dist`` each that may hold a row so near.
+
+    A cell has the number of its pivot at the first level, that of a split one follows below it; -1 is for lengths
+    without pivots.
+    """
+    wide = MORE_PIVOTS + 1
+
+    def deal(x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, pivots and distances: the nearest of each row, or all that are within reach."""
+        d2 = np.maximum((x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1) - 2 * (x @ p.T), 0)
+        near = d2.argmin(axis=1)
+        if max_dist is None:
+            return np.arange(len(x)), near, np.sqrt(d2[np.arange(len(x)), near])
+        between = np.sqrt(np.maximum((p * p).sum(axis=1)[near][:, None] + (p * p).sum(axis=1) - 2 * (p[near] @ p.T), 0))
+        least = d2[np.arange(len(x)), near][:, None]
+        row, cell = np.nonzero(d2 - least <= 2 * max_dist * between + 1e-9 * (1 + d2))
+        return row, cell, np.sqrt(d2[row, cell])
+
+    def within(cells: np.ndarray, far: np.ndarray, d: int) -> np.ndarray:
+        """Whether the farthest row of a cell can be within reach of rows so far from its pivot."""
+        if max_dist is None:
+            return np.ones(len(cells), bool)
+        limits = np.array([reach.get((d, int(c)), -np.inf) for c in cells.tolist()])
+        return far <= limits + max_dist + 1e-9 * (1 + far)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(i, 2048) for i in range(0, big.num_rows, 2048)):
+                t = pa.table({"id": b.column(0), "v": b.column(1)})
+                for d, rows in _rows_by_length(t).items():
+                    some = t.take(pa.array(rows)).combine_chunks()
+                    if (d, -1) not in pivots:
+                        n = len(rows)
+                        yield _cells(some, np.arange(n), d, np.full(n, -1), np.zeros(n))
+                        continue
+                    x = pc.list_flatten(some["v"].combine_chunks()).to_numpy(zero_copy_only=False).reshape(-1, d)
+                    row, first, far = deal(x, pivots[d, -1])
+                    if level == 0:
+                        yield _cells(some, row, d, first * wide, far)
+                        continue
+                    ok = within(first * wide, far, d)
+                    row, first, far = row[ok], first[ok], far[ok]
+                    for c in np.unique(first).tolist():
+                        at = np.flatnonzero(first == c)
+                        inner = pivots.get((d, c * wide))
+                        if inner is None:
+                            yield _cells(some, row[at], d, np.full(len(at), c * wide), far[at])
+                            continue
+                        mine, second, near = deal(x[row[at]], inner)
+                        cells = c * wide + 1 + second
+                        ok = within(cells, near, d)
+                        yield _cells(some, row[at][mine[ok]], d, cells[ok], near[ok])
+
+    return run
+
+
+def _cells(rows: pa.Table, at: np.ndarray, d: int, cell: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+    some = rows.take(pa.array(at)).combine_chunks()
+    cols = [pa.array(np.full(len(at), d), pa.int32()), pa.array(cell.astype(np.int64)), some["id"].combine_chunks(), some["v"].combine_chunks(), pa.array(far)]
+    return pa.record_batch(cols, names=["d", "cell", "id", "v", "far"])
 
 
 def _rows_by_length(t: pa.Table) -> dict[int, np.ndarray]:

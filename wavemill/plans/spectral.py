@@ -325,8 +325,8 @@ add(
     f"WITH {VEC} SELECT q.id AS a_id, v.id AS b_id, round(list_distance(q.v, v.v), 6) AS distance FROM q, v WHERE q.id <> v.id AND list_distance(q.v, v.v) <= 1.2",
 )
 add(
-    "euclid_pairs_lsh",
-    lambda s, d: cepstra.euclid_pairs(vec64(s, d), vec64(s, d), 1.1, method="bands"),
+    "euclid_pairs_cells",
+    lambda s, d: cepstra.euclid_pairs(vec64(s, d), vec64(s, d), 1.1, method="cells"),
     f"WITH {VEC} SELECT a.id AS a_id, b.id AS b_id, round(list_distance(a.v, b.v), 6) AS distance FROM v a, v b WHERE a.id <> b.id AND list_distance(a.v, b.v) <= 1.1",
 )
 
