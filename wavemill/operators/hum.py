@@ -6,10 +6,15 @@ A track's spectrum is ``(track_id, k, mag)`` with ``res`` Hz for each bin; a tra
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wavemill.operators.kernel import framed, magnitudes
+
+# Transform length, hop, least ratio in decibels and frames of a trace of each preset.
 PRESETS = {
     "default": {"size": 32_768, "hop": 8192, "min_snr_db": 3.0, "min_frames": 10},
     "sensitive": {"size": 65_536, "hop": 8192, "min_snr_db": 1.5, "min_frames": 10},
@@ -25,6 +30,59 @@ def hires_spectrum(spectra: DataFrame, res: float, planned: int, max_hz: float =
     return spectra.where(F.col("k") * res < max_hz).groupBy("track_id", "k").agg((F.sum("mag") / planned).alias("mag"))
 
 
+def hum_spectrum(samples: DataFrame, rate: int, preset: str = "default", max_hz: float = 500.0) -> DataFrame:
+    """``(track_id, k, mag)`` of the bins below ``max_hz``: the mean over frames of a long transform, as ``hires_spectrum``.
+
+    The bins are all that leaves the transform.  A track is planned a frame for each hop, 32 at most, and must hold two transforms.
+    """
+    size, hop = PRESETS[preset]["size"], PRESETS[preset]["hop"]
+    make = magnitudes(size, "blackman_harris", False, (0, math.ceil(max_hz * size / rate)))
+    frames = framed(samples, size, hop, make, "mag", most=32)
+    planned = samples.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2 * size)
+    planned = planned.select("track_id", F.least(F.floor(F.col("n") / hop), F.lit(32)).alias("planned"))
+    bins = frames.select("track_id", F.posexplode("mag").alias("k", "mag")).groupBy("track_id", "k").agg(F.sum("mag").alias("mag"))
+    return bins.join(planned, "track_id").select("track_id", "k", (F.col("mag") / F.col("planned")).alias("mag"))
+
+
+def hum_trace(samples: DataFrame, base: DataFrame, rate: int, preset: str = "default", window_s: float = 1.0) -> DataFrame:
+    """What ``track_frequency`` gives, from samples: of each frame only the bins near twice 50 and 60 Hz are computed.
+
+    A trace of fewer than two frames is none.
+    """
+    size, frame = PRESETS[preset]["size"], int(window_s * rate)
+    if frame < size:
+        return track_frequency(spectrum_frames(samples.limit(0), size, rate, (0, 1)), base, rate, size, window_s)
+    res = rate / size
+    # A peak lies within 1 Hz, its flanks within 3 Hz of the target.
+    bins = (max(0, math.floor(97 / res) - 2), min(size // 2, math.ceil(123 / res) + 2))
+    spectra = spectrum_frames(samples, size, rate, bins, frame)
+    several = spectra.groupBy("track_id").agg(F.max("frame_no").alias("last")).where("last >= 1").select("track_id")
+    return track_frequency(spectra.join(several, "track_id", "left_semi"), base, rate, size, window_s)
+
+
+def spectrum_frames(samples: DataFrame, size: int, rate: int, bins: tuple[int, int], frame: int | None = None) -> DataFrame:
+    """``(track_id, frame_no, k, mag)`` of some bins of the first ``size`` samples of frames that start each half frame."""
+    frame = frame or size
+    frames = framed(samples, size, frame // 2, magnitudes(size, "hann", False, bins), "mag", length=frame)
+    return frames.select("track_id", "frame_no", F.posexplode("mag").alias("k", "mag")).withColumn("k", F.col("k") + bins[0])
+
+
+def hum_analysis(samples: DataFrame, rate: int, preset: str = "default") -> DataFrame:
+    """The whole analysis of recordings under a preset: ``enf_summary`` with the number of jumps and dropouts.
+
+    Tracks shorter than two transforms, or without a base, have no row.
+    """
+    p, res = PRESETS[preset], rate / PRESETS[preset]["size"]
+    spectrum = hum_spectrum(samples, rate, preset)
+    base = base_frequency(spectrum, res).where("confidence >= 0.3")
+    trace = hum_trace(samples, base, rate, preset)
+    summary = enf_summary(hum_harmonics(spectrum, base, rate, res), trace, base, p["min_snr_db"])
+    events = enf_anomalies(trace).groupBy("track_id").agg(F.count(F.lit(1)).alias("anomalies"))
+    points = trace.groupBy("track_id").agg(F.count(F.lit(1)).alias("points"))
+    out = summary.join(points, "track_id", "left").join(events, "track_id", "left").fillna(0, ["points", "anomalies"])
+    return out.withColumn("traced", F.col("points") >= p["min_frames"])
+
+
 def _energy(base: float, res: float, n: int = 4) -> Column:
     """Over the bins of a group: root of the squared peaks within 2 Hz of the first harmonics."""
     reach, total = int(2 / res), F.lit(0.0)

@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavemill.functions.windows import window_array, window_table
 from wavemill.operators.blocks import CH, neighbours
+from wavemill.operators.kernel import framed, magnitudes
 from wavemill.operators.levels import order_statistic
 
 RATES = (44_100, 48_000, 88_200, 96_000, 176_400, 192_000)
@@ -37,21 +39,26 @@ T = ["track_id"]
 
 
 def frame(samples: DataFrame, size: int, hop: int, plan: str = "hop", count: int = 40) -> DataFrame:
-    """``(track_id, ch, frame_no, start_idx, x)``: full frames each ``hop``, or ``count`` spread over the channel.
+    """``(track_id, ch, frame_no, start_idx, x)``: full frames each ``hop``, or ``count`` spread over the channel."""
+    return framed(samples, size, hop, np.asarray, "x", plan, count)
 
-    A sample goes to every frame it lies in, so frames are gathered by frame, not by track.
-    """
-    total = samples.groupBy(*CH).agg(F.count(F.lit(1)).alias("n"))
-    s = samples.select(*CH, "idx", "x").join(total, CH)
-    step = F.lit(hop) if plan == "hop" else F.floor((F.col("n") - size) / count)
-    frames = F.floor((F.col("n") - size) / hop) + 1 if plan == "hop" else F.lit(count)
-    s = s.where(F.col("n") >= (size if plan == "hop" else 2 * size)).withColumn("step", step).withColumn("frames", frames)
-    first = F.greatest(F.lit(0), F.ceil((F.col("idx") - size + 1) / F.col("step")))
-    last = F.least(F.floor(F.col("idx") / F.col("step")), F.col("frames") - 1)
-    s = s.withColumns({"first": first, "last": last}).where("first <= last")
-    each = s.select(*CH, F.explode(F.sequence("first", "last")).alias("frame_no"), "step", "idx", "x")
-    packed = each.groupBy(*CH, "frame_no", (F.col("frame_no") * F.col("step")).alias("start_idx")).agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("s"))
-    return packed.select(*CH, "frame_no", "start_idx", F.transform("s", lambda e: e["x"]).alias("x"))
+
+def frame_magnitudes(samples: DataFrame, size: int, hop: int, window: str = "hann", sym: bool = True, plan: str = "hop", count: int = 40, bins: tuple[int, int] | None = None) -> DataFrame:
+    """``(track_id, ch, frame_no, start_idx, mag)``: frames and their transforms in one pass, all bins or those from ``bins[0]`` up to ``bins[1]``."""
+    return framed(samples, size, hop, magnitudes(size, window, sym, bins), "mag", plan, count)
+
+
+def median_of_frames_db(frames: DataFrame, size: int) -> DataFrame:
+    """What ``median_power_db`` gives, from rows with ``mag`` of a plan that bounds the frames of a track, 40 as a rule."""
+
+    def run(t: pa.Table) -> pa.Table:
+        power = (np.stack([np.asarray(m) for m in t["mag"].to_pylist()]) / size) ** 2
+        m = np.sort(power, axis=0)[len(power) // 2]
+        db = np.where(m > 1e-20, 10 * np.log10(np.maximum(m, 1e-300)), -200.0)
+        return pa.table({"track_id": t["track_id"].combine_chunks().take(pa.array(np.zeros(len(db), np.int64))), "k": pa.array(np.arange(len(db)), pa.int32()), "db": db})
+
+    kind = frames.schema["track_id"].dataType.simpleString()
+    return frames.select("track_id", "mag").groupBy("track_id").applyInArrow(run, f"track_id {kind}, k int, db double")
 
 
 def dft(frames: DataFrame, size: int, window: str = "rect", sym: bool = True) -> DataFrame:
@@ -470,8 +477,14 @@ def spectral_folding(spectra: DataFrame, size: int, reach: int = 30, margin: int
     return both.groupBy("track_id", "frame_no").agg(F.max("s").alias("score"))
 
 
-def spectrogram_grid(grid: DataFrame, rate: int, size: int, width: int = 1200, height: int = 400, scale: str = "mel", low: float = -90.0, high: float = 0.0) -> DataFrame:
-    """``(track_id, px, py, v)``: a picture's cells from ``(track_id, frame_no, k, db)``, values from 0 to 1, low rows at the bottom."""
+def spectrogram_grid(grid: DataFrame, rate: int, size: int, width: int = 1200, height: int = 400, scale: str = "mel", low: float = -90.0, high: float = 0.0, max_seconds: float | None = 15.0, hop: int = 1024) -> DataFrame:
+    """``(track_id, px, py, v)``: a picture's cells from ``(track_id, frame_no, k, db)``, values from 0 to 1, low rows at the bottom.
+
+    Only frames that lie, ``hop`` samples from one to the next, in the first ``max_seconds`` are shown; all with None.
+    """
+    if max_seconds is not None:
+        # A track shorter than a frame shows its first frame all the same.
+        grid = grid.where(F.col("frame_no") <= max(0, int(max_seconds * rate) - size) // hop)
     spark, bins = grid.sparkSession, size // 2 + 1
     mel = lambda hz: 2595 * math.log10(1 + hz / 700)
     rows = []

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from wavemill.operators import cepstra, hum, ordered, spectra
 from wavemill.plans.registry import add
-from wavemill.sources.fixtures import FRAME_RATE, frames64, sig_flag, sig_supp, spec_supp, vec64
+from wavemill.sources.fixtures import FRAME_RATE, frames64, sig_flag, sig_supp, sig_whole, spec_supp, vec64
 
 T = "track_id"
 FR = "track_id, frame_no"
@@ -215,8 +217,7 @@ add(
 
 def long_chain(s, d):
     """Frames, transforms, median spectrum and cutoff of long tracks, one frame a row."""
-    f = spectra.frame(sig_flag(s, d), 1024, 256, plan="spread40")
-    return spectra.median_power_db(spectra.fft_magnitude(f, 1024, "blackman_harris"), 1024)
+    return spectra.median_of_frames_db(spectra.frame_magnitudes(sig_flag(s, d), 1024, 256, "blackman_harris", plan="spread40"), 1024)
 
 
 add(
@@ -244,11 +245,11 @@ def grid_rows(width: int, height: int, scale: str) -> str:
     return f"SELECT py::INT AS py, least(32, trunc({k}))::INT AS k FROM range({height}) t(py)"
 
 
-for scale in ("mel", "linear"):
+for name, scale, seconds, hop in (("spectrogram_grid", "mel", 15.0, 1024), ("spectrogram_grid_linear", "linear", 15.0, 1024), ("spectrogram_grid_first", "mel", 0.1, 64)):
     add(
-        "spectrogram_grid" + ("" if scale == "mel" else "_linear"),
-        lambda s, d, scale=scale: spectra.spectrogram_grid(spectra.spectrogram(mags(s, d), 64).withColumn("frame_no", F.floor(F.col("frame_no") / 10)).groupBy("track_id", "frame_no", "k").agg(F.avg("db").alias("db")), FRAME_RATE, 64, 30, 16, scale),
-        f"""WITH g AS (SELECT track_id, frame_no // 10 AS frame_no, k, avg(CASE WHEN mag > 1e-10 THEN 20 * log10(mag / 64) ELSE -200 END) AS db FROM spectra GROUP BY ALL), ln AS ({grid_rows(30, 16, scale)}),
+        name,
+        lambda s, d, scale=scale, seconds=seconds, hop=hop: spectra.spectrogram_grid(spectra.spectrogram(mags(s, d), 64).withColumn("frame_no", F.floor(F.col("frame_no") / 10)).groupBy("track_id", "frame_no", "k").agg(F.avg("db").alias("db")), FRAME_RATE, 64, 30, 16, scale, max_seconds=seconds, hop=hop),
+        f"""WITH g AS (SELECT track_id, frame_no // 10 AS frame_no, k, avg(CASE WHEN mag > 1e-10 THEN 20 * log10(mag / 64) ELSE -200 END) AS db FROM spectra WHERE (frame_no // 10) * {hop} + 64 <= {seconds} * {FRAME_RATE} GROUP BY ALL), ln AS ({grid_rows(30, 16, scale)}),
 ce AS (SELECT track_id, px::INT AS px, px * n // 30 AS frame_no FROM (SELECT track_id, max(frame_no) + 1 AS n FROM g GROUP BY ALL), range(30) t(px))
 SELECT track_id, px, py, round((least(0, greatest(-90, db)) + 90) / 90, 6) AS v FROM g JOIN ln USING (k) JOIN ce USING (track_id, frame_no)""",
         "spectra",
@@ -411,8 +412,8 @@ round(snr, 6) AS snr_db, round(least(1, greatest(0, 1 - s / m * 500)), 6) AS sta
 
 
 def tracked(s, d):
-    f = spectra.frame(sig_supp(s, d), 256, 256)
-    m = spectra.fft_magnitude(f, 256, "hann", sym=False)
+    m = spectra.frame_magnitudes(sig_supp(s, d), 256, 256, "hann", sym=False)
+    m = m.select("track_id", "frame_no", F.posexplode("mag").alias("k", "mag"))
     base = m.select("track_id").distinct().withColumn("base", F.lit(50.0))
     return hum.track_frequency(m, base, 256, 256)
 
@@ -427,3 +428,22 @@ r AS (SELECT track_id, f, mag AS fl FROM (SELECT *, row_number() OVER (PARTITION
 SELECT track_id, round((f * 128 + 128) / 256::DOUBLE, 6) AS t, round((k + 0.5) / 2, 6) AS freq, CASE WHEN st / fl > 5 THEN 0.9 WHEN st / fl > 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS confidence, round(20 * log10(st), 6) AS strength_db FROM c JOIN r USING (track_id, f)""",
     "supp",
 )
+
+
+#: Samples that each value of the long track is held for.
+HOLD = 24
+
+
+def recording(s, d, rate):
+    """One long recording: the values of the long track, held, under a mains hum whose frequency changes from half to half."""
+    x = sig_whole(s, d).select("track_id", "ch", "idx", "x")
+    n = x.agg(F.count(F.lit(1)).alias("n"))
+    held = x.crossJoin(F.broadcast(n)).select("*", F.explode(F.sequence(F.lit(0), F.lit(HOLD - 1))).alias("j")).withColumn("idx", F.col("idx") * HOLD + F.col("j"))
+    f = F.when(F.col("idx") < F.col("n") * HOLD / 2, 50.0).otherwise(50.2)
+    tone = lambda h: F.sin(2 * math.pi * h * f * F.col("idx") / rate)
+    return held.select("track_id", "ch", "idx", (F.col("x") * 0.01 + tone(1) * 0.2 + tone(2) * 0.1 + tone(3) * 0.05).alias("x"))
+
+
+for preset, p in hum.PRESETS.items():
+    # Bins of 1 Hz.
+    add(f"hum_analysis_{preset}", lambda s, d, preset=preset, rate=p["size"]: hum.hum_analysis(recording(s, d, rate), rate, preset))
