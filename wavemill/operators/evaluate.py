@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wavemill.operators.findings import findings_diff
 
@@ -63,11 +68,41 @@ def category_expectation(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("should_pass", ok.otherwise(False)).withColumn("expected", labels.otherwise(F.array().cast("array<string>")))
 
 
+#: Tokens that an automaton is built of and sent to every task, at most.
+TOKENS = 100_000
+
+
 def genre_lookup(df: DataFrame, col: str, tokens: DataFrame, id_col: str) -> DataFrame:
-    """``df`` with ``genre``: that of the first token of ``tokens(priority, token, genre)``, a small table, that the text holds."""
-    hit = df.select(id_col, col).join(F.broadcast(tokens), F.col(col).contains(F.col("token")))
-    first = hit.groupBy(id_col).agg(F.min_by("genre", "priority").alias("genre"))
-    return df.join(first, id_col, "left").withColumn("genre", F.coalesce("genre", F.lit("Unknown")))
+    """``df`` with ``genre``: that of the first token of ``tokens(priority, token, genre)`` that the text holds, else Unknown.
+
+    One automaton of all tokens reads each text once, in place.  More than ``TOKENS`` tokens are joined instead, which
+    takes ``id_col``.
+    """
+    rows = [tuple(r) for r in tokens.where("token is not null").select("priority", "token", "genre").limit(TOKENS + 1).collect()]
+    if len(rows) > TOKENS:
+        hit = df.select(id_col, col).join(tokens, F.col(col).contains(F.col("token")))
+        first = hit.groupBy(id_col).agg(F.min_by("genre", "priority").alias("genre"))
+        return df.join(first, id_col, "left").withColumn("genre", F.coalesce("genre", F.lit("Unknown")))
+    best: dict[str, tuple] = {}
+    for rank, (_, token, genre) in enumerate(sorted(rows, key=lambda r: r[0])):
+        best.setdefault(token, (rank, genre))
+    always = best.pop("", None)
+    at = df.columns.index(col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for token, value in best.items():
+            automaton.add_word(token, value)
+        automaton.make_automaton()
+        for b in batches:
+            found = []
+            for text in b.column(at).to_pylist():
+                hits = [v for _, v in automaton.iter(text)] if text and best else []
+                hits += [always] if always and text is not None else []
+                found.append(min(hits, key=lambda v: v[0])[1] if hits else None)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g or "Unknown" for g in found])], names=[*b.schema.names, "genre"])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("genre", StringType())]))
 
 
 REPORT = "struct<verdict: struct<genuine: boolean>, detections: array<struct<severity: string, defect_type: map<string, map<string, string>>>>>"

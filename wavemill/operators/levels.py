@@ -68,17 +68,21 @@ def order_statistic(df: DataFrame, keys: list[str], value: str, rank: Column, ou
     return found.where(F.col("__cum") > F.col("__left")).groupBy(*keys).agg(F.min(value).alias(out))
 
 
-def quality_metrics(samples: DataFrame) -> DataFrame:
+def quality_metrics(samples: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
     """Metrics of a whole track: the noise floor is the order statistic at one percent of the magnitudes.
 
+    Not ``exact``, it is read off a mergeable sketch in the pass of the other metrics, and its rank is right within one in
+    ``accuracy`` samples of the track.
     ``true_peak`` and ``lufs_integrated`` are the sample peak and the RMS in decibels; ``true_peak``
     and ``integrated_loudness`` elsewhere measure what the names say.
     """
     mags = samples.select("track_id", F.abs("x").alias("a"))
-    base = mags.groupBy("track_id").agg(F.max("a").alias("peak"), F.sqrt(F.avg(F.col("a") * F.col("a"))).alias("rms"))
-    floor = order_statistic(mags, ["track_id"], "a", F.floor(F.col("n") / 100), "low")
+    sketch = [] if exact else [F.percentile_approx("a", 0.01, accuracy).alias("low")]
+    base = mags.groupBy("track_id").agg(F.max("a").alias("peak"), F.sqrt(F.avg(F.col("a") * F.col("a"))).alias("rms"), *sketch)
+    if exact:
+        base = base.join(order_statistic(mags, ["track_id"], "a", F.floor(F.col("n") / 100), "low"), "track_id")
     db = lambda c: F.when(F.col(c) > 0, 20 * F.log10(c))
-    out = base.join(floor, "track_id").withColumns({"true_peak": db("peak"), "lufs_integrated": db("rms")})
+    out = base.withColumns({"true_peak": db("peak"), "lufs_integrated": db("rms")})
     return out.select(
         "track_id", (F.col("true_peak") - F.col("lufs_integrated") + 3).alias("dynamic_range"), F.coalesce(db("low"), F.lit(-96.0)).alias("noise_floor"), F.lit(0.0).alias("spectral_centroid"),
         F.when(F.col("rms") > 0, 20 * F.log10(F.col("peak") / F.col("rms"))).otherwise(0.0).alias("crest_factor"), "true_peak", "lufs_integrated",

@@ -13,6 +13,8 @@ LAGS = (1, 2, 4, 8, 16, 32, 64, 128)
 PERIODS = (256, 512, 1024, 1152, 2048, 2304, 4096)
 # How many samples from a channel's start a short analysis takes in, and sections for quantization_step.
 FIRST_SAMPLES = {"lsb_periodicity": 65_536, "bit_transition_rate": 100_000, "lsb_value_clustering": 100_000, "byte_pattern_score": 16_384}
+#: Periods that the short analysis looks at.
+FIRST_PERIODS = {"lsb_periodicity": 10, "byte_pattern_score": 4}
 FIRST_SECTIONS = 30
 
 
@@ -175,15 +177,21 @@ def lsb_lag_correlation(ints: DataFrame, lags: tuple[int, ...] = LAGS, least: in
     return s.select(*CH, F.when((F.col("n") < least) | (F.col("var") < 0.001), 0.0).otherwise(total).alias("correlation"))
 
 
-def lsb_periodicity(ints: DataFrame, periods: tuple[int, ...] = PERIODS, span: int = 10, room: int = 3, gain: float = 10.0, least: int = 4096, cap: int | None = None) -> DataFrame:
-    """Largest share of low bytes equal to the one a period before, over the first ``span`` periods of the channel or of its first ``cap`` samples."""
-    v = _first(ints, cap).select(*CH, "idx", low_byte(F.col("q")).alias("v"))
+def lsb_periodicity(ints: DataFrame, periods: tuple[int, ...] = PERIODS, span: int | None = None, room: int = 3, gain: float = 10.0, least: int = 4096, cap: int | None = None) -> DataFrame:
+    """Largest share of low bytes equal to the one a period before, over the whole channel.
+
+    The short analysis looks at the first ``cap`` samples (65 536) and of these at the first ``span`` periods (10).
+    """
+    had = _first(ints, cap).groupBy(*CH).agg(F.count(F.lit(1)).alias("n"))
+    # What lies beyond the longest span is not looked at, so it is not sorted.
+    reach = None if span is None else min(x for x in (cap, max(periods) * span) if x is not None)
+    v = _first(ints, cap if reach is None else reach).select(*CH, "idx", low_byte(F.col("q")).alias("v"))
     v = neighbours(v, "v", [-p for p in periods])
-    agg = [F.count(F.lit(1)).alias("n")]
+    agg = []
     for p in periods:
-        inside = (F.col("idx") >= p) & (F.col("idx") < p * span)
+        inside = (F.col("idx") >= p) if span is None else (F.col("idx") >= p) & (F.col("idx") < p * span)
         agg.append(F.avg(F.when(inside, (F.col("v") == F.col(f"v_m{p}")).cast("double"))).alias(f"r{p}"))
-    s = v.groupBy(*CH).agg(*agg)
+    s = v.groupBy(*CH).agg(*agg).join(had, CH)
     scores = [F.when((F.col("n") >= p * room) & (F.col(f"r{p}") > 0.01), F.col(f"r{p}") * gain).otherwise(0.0) for p in periods]
     return s.select(*CH, F.when(F.col("n") < least, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(*scores))).alias("periodicity"))
 
@@ -205,13 +213,16 @@ def lsb_value_clustering(ints: DataFrame, least: int = 1000, cap: int | None = N
     return s.select(*CH, F.when(F.col("n") < least, 0.0).otherwise(score).alias("clustering"))
 
 
-def byte_pattern_score(ints: DataFrame, least: int = 4096, cap: int | None = None) -> DataFrame:
-    """Score of change rate, rare byte values and periodicity of the low-byte stream, of the channel or its first ``cap`` samples."""
+def byte_pattern_score(ints: DataFrame, least: int = 4096, cap: int | None = None, span: int | None = None) -> DataFrame:
+    """Score of change rate, rare byte values and periodicity of the low-byte stream, of the channel.
+
+    The short analysis looks at the first ``cap`` samples (16 384) and for periods at the first ``span`` of each (4).
+    """
     rows = _first(ints, cap)
     v = neighbours(rows.select(*CH, "idx", low_byte(F.col("q")).alias("v")), "v", [-1])
     change = v.groupBy(*CH).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("v") != F.col("v_m1")).cast("double")).alias("rate"))
     common = rows.groupBy(*CH, low_byte(F.col("q")).alias("v")).count().groupBy(*CH).agg((256 - F.count_if(F.col("count") >= 5)).alias("rare"))
-    period = lsb_periodicity(rows, (256, 512, 1024, 2048), span=4, room=2, gain=1.0, least=1024, cap=cap)
+    period = lsb_periodicity(rows, (256, 512, 1024, 2048), span=span, room=2, gain=1.0, least=1024, cap=cap)
     s = change.join(common, CH).join(period, CH)
     score = (
         F.when((F.col("rate") > 0.45) & (F.col("rate") < 0.55), 0.3).otherwise(0.0)

@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wavemill.functions.scalar import amp_db
 from wavemill.operators.blocks import BLOCK, CH, neighbours, with_halo
+from wavemill.operators.kernel import packed
 from wavemill.operators.follower import Follower, greedy_exit, greedy_shape, greedy_taken
 
 
@@ -285,14 +287,31 @@ def frame_boundary_rate(samples: DataFrame, sizes: tuple[int, ...]) -> DataFrame
     return per.withColumn("o", best).where("o = 1").select(*CH, F.col("s.size").alias("frame_size"), "hits", F.col("mean").alias("mean_jump"), "rate")
 
 
-def autocorrelation(samples: DataFrame, max_lag: int) -> DataFrame:
-    """``(track_id, ch, lag, r)`` over the energy; 0 for silence."""
-    n = neighbours(samples.select(*CH, "idx", "x"), "x", [-k for k in range(1, max_lag + 1)])
-    sums = [F.sum(F.col("x") * (F.col("x") if k == 0 else F.col(f"x_m{k}"))).alias(f"s{k}") for k in range(max_lag + 1)]
-    s = n.groupBy(*CH).agg(*sums, F.count(F.lit(1)).alias("n"))
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"s{k}").alias("s")) for k in range(max_lag + 1)]))
-    r = F.when(F.col("s0") < 1e-10, 0.0).otherwise(F.col("p.s") / F.col("s0"))
-    return s.select(*CH, "n", "s0", pairs.alias("p")).where("p.lag < n").select(*CH, "p.lag", r.alias("r"))
+def autocorrelation(samples: DataFrame, max_lag: int, block: int = BLOCK) -> DataFrame:
+    """``(track_id, ch, lag, r)`` over the energy; 0 for silence.
+
+    Each block is correlated with itself and the ``max_lag`` samples after it by padded transforms; the results are summed over blocks.
+    """
+
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x = b.column(3)[i].values.to_numpy(zero_copy_only=False)
+                own = x[:size]
+                n = 1 << (len(own) + max_lag).bit_length()
+                r = np.fft.irfft(np.conj(np.fft.rfft(own, n)) * np.fft.rfft(x, n), n)[: max_lag + 1]
+                r[0] = own @ own
+                lists = pa.ListArray.from_arrays(pa.array([0, len(r)], pa.int32()), pa.array(r))
+                yield pa.record_batch([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([len(own)]), lists], names=[*CH, "n", "r"])
+
+    size = max(block, max_lag)
+    blocks = packed(samples, size, max_lag)
+    kind = dict(blocks.dtypes)
+    parts = blocks.mapInArrow(correlate, f"{', '.join(f'{c} {kind[c]}' for c in CH)}, n long, r array<double>")
+    sums = parts.select(*CH, "n", F.posexplode("r").alias("lag", "s")).groupBy(*CH, "lag").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    energy = sums.where("lag = 0").select(*CH, F.col("s").alias("e"))
+    r = F.when(F.col("e") < 1e-10, 0.0).otherwise(F.col("s") / F.col("e"))
+    return sums.where("lag < n").join(energy, CH).select(*CH, "lag", r.alias("r"))
 
 
 def downsample_mean(samples: DataFrame, factor: int) -> DataFrame:

@@ -66,6 +66,14 @@ SELECT track_id, round(20 * log10(p) - 20 * log10(rms) + 3, 6) AS dynamic_range,
 round(20 * log10(p / rms), 6) AS crest_factor, round(20 * log10(p), 6) AS true_peak, round(20 * log10(rms), 6) AS lufs_integrated FROM b""",
     "supp",
 )
+add(
+    "quality_metrics_sketch",
+    lambda s, d: levels.quality_metrics(sig_supp(s, d), exact=False).select("track_id", "noise_floor", "true_peak"),
+    # Tracks shorter than the sketch's accuracy are read off exactly, at the first rank that covers one percent.
+    """WITH m AS (SELECT track_id, abs(x) AS a, row_number() OVER (PARTITION BY track_id ORDER BY abs(x)) AS r, count(*) OVER (PARTITION BY track_id) AS n FROM supp)
+SELECT track_id, round(20 * log10(max(a) FILTER (r = ceil(n / 100))), 6) AS noise_floor, round(20 * log10(max(a)), 6) AS true_peak FROM m GROUP BY ALL""",
+    "supp",
+)
 add("zero_crossing_rate", lambda s, d: ordered.zero_crossing_rate(sig_flag(s, d)), """WITH p AS (SELECT *, lag(x) OVER (PARTITION BY track_id, ch ORDER BY idx) AS y FROM flag)
 SELECT track_id, ch, round(avg(((x >= 0) <> (y >= 0))::INT) FILTER (y IS NOT NULL), 6) AS zcr FROM p GROUP BY ALL""", "flag")
 

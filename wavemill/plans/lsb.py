@@ -105,8 +105,9 @@ SELECT {K}, round(avg(abs((ab - mu * (a + b) + n * mu * mu) / (n * var))), 6) AS
 )
 
 
-def period_sql(periods: tuple, span: int, gain: float) -> str:
-    return " UNION ALL ".join(f"SELECT {K}, CASE WHEN avg((v = w)::INT) > 0.01 THEN avg((v = w)::INT) * {gain} ELSE 0 END AS r FROM (SELECT *, lag(v, {p}) OVER (PARTITION BY {K} ORDER BY idx) AS w FROM lv) WHERE idx >= {p} AND idx < {p * span} GROUP BY ALL" for p in periods)
+def period_sql(periods: tuple, span: int | None, gain: float) -> str:
+    upto = lambda p: "" if span is None else f"AND idx < {p * span}"
+    return " UNION ALL ".join(f"SELECT {K}, CASE WHEN avg((v = w)::INT) > 0.01 THEN avg((v = w)::INT) * {gain} ELSE 0 END AS r FROM (SELECT *, lag(v, {p}) OVER (PARTITION BY {K} ORDER BY idx) AS w FROM lv) WHERE idx >= {p} {upto(p)} GROUP BY ALL" for p in periods)
 
 
 def cut(cap: int | None) -> str:
@@ -114,7 +115,7 @@ def cut(cap: int | None) -> str:
 
 
 def period(cap: int | None) -> str:
-    return f"WITH {LV.format(cut(cap))}, pr AS ({period_sql(lsb.PERIODS, 10, 10.0)}), le AS (SELECT {K}, count(*) AS n FROM lv GROUP BY ALL) SELECT {K}, round(CASE WHEN n < 4096 THEN 0 ELSE least(1, max(r)) END, 6) AS periodicity FROM pr JOIN le USING (track_id, ch) GROUP BY {K}, n"
+    return f"WITH {LV.format(cut(cap))}, pr AS ({period_sql(lsb.PERIODS, cap and lsb.FIRST_PERIODS['lsb_periodicity'], 10.0)}), le AS (SELECT {K}, count(*) AS n FROM lv GROUP BY ALL) SELECT {K}, round(CASE WHEN n < 4096 THEN 0 ELSE least(1, max(r)) END, 6) AS periodicity FROM pr JOIN le USING (track_id, ch) GROUP BY {K}, n"
 
 
 def transitions(cap: int | None) -> str:
@@ -128,11 +129,12 @@ SELECT {K}, round(CASE WHEN n < 1000 THEN 0 WHEN k < 50 THEN 1 - k / 50 WHEN k <
 
 def pattern(cap: int | None) -> str:
     return f"""WITH {LV.format(cut(cap))}, ch1 AS (SELECT {K}, avg((v <> w)::INT) AS rate, count(*) AS n FROM (SELECT *, lag(v) OVER (PARTITION BY {K} ORDER BY idx) AS w FROM lv) GROUP BY ALL),
-ra AS (SELECT {K}, 256 - count(*) FILTER (c >= 5) AS rare FROM (SELECT {K}, v, count(*) AS c FROM lv GROUP BY ALL) GROUP BY ALL), pr AS (SELECT {K}, max(r) AS p FROM ({period_sql((256, 512, 1024, 2048), 4, 1.0)}) GROUP BY ALL)
+ra AS (SELECT {K}, 256 - count(*) FILTER (c >= 5) AS rare FROM (SELECT {K}, v, count(*) AS c FROM lv GROUP BY ALL) GROUP BY ALL), pr AS (SELECT {K}, max(r) AS p FROM ({period_sql((256, 512, 1024, 2048), cap and lsb.FIRST_PERIODS['byte_pattern_score'], 1.0)}) GROUP BY ALL)
 SELECT {K}, round(CASE WHEN n < 4096 THEN 0 ELSE 1 END * least(1, CASE WHEN rate > 0.45 AND rate < 0.55 THEN 0.3 ELSE 0 END + CASE WHEN rare > 10 AND rare < 100 THEN 0.2 ELSE 0 END + CASE WHEN p > 0.2 THEN p * 0.3 ELSE 0 END), 6) AS score FROM ch1 JOIN ra USING (track_id, ch) JOIN pr USING (track_id, ch)"""
 
 
 # Whole channels, and the short analysis of the first samples, which is a preset of its own.
 for name, sql in (("lsb_periodicity", period), ("bit_transition_rate", transitions), ("lsb_value_clustering", clustering), ("byte_pattern_score", pattern)):
     for ending, cap in (("", None), ("_first", lsb.FIRST_SAMPLES[name])):
-        add(f"{name}{ending}", lambda s, d, name=name, cap=cap: getattr(lsb, name)(sig_flag(s, d), cap=cap), sql(cap), "flag")
+        more = {"span": lsb.FIRST_PERIODS[name]} if cap and name in lsb.FIRST_PERIODS else {}
+        add(f"{name}{ending}", lambda s, d, name=name, cap=cap, more=more: getattr(lsb, name)(sig_flag(s, d), cap=cap, **more), sql(cap), "flag")

@@ -107,6 +107,13 @@ add(
 SELECT {K}, lag, round(s / e, 6) AS r FROM c JOIN e USING (track_id, ch)""",
     "supp",
 )
+add(
+    "autocorrelation_long",
+    lambda s, d: ordered.autocorrelation(sig_flag(s, d), 1500, 2000).where("lag % 100 = 0"),
+    f"""WITH e AS (SELECT {K}, sum(x * x) AS e FROM flag GROUP BY ALL), c AS (SELECT a.track_id, a.ch, lag::INT AS lag, sum(a.x * b.x) AS s FROM flag a, range(0, 1501, 100) t(lag), flag b WHERE b.track_id = a.track_id AND b.idx = a.idx - lag GROUP BY ALL)
+SELECT {K}, lag, round(s / e, 6) AS r FROM c JOIN e USING (track_id, ch)""",
+    "flag",
+)
 add("downsample_mean", lambda s, d: ordered.downsample_mean(sig_flag(s, d), 7), f"SELECT {K}, idx // 7 AS idx, round(avg(x), 6) AS x FROM flag GROUP BY {K}, idx // 7", "flag")
 
 

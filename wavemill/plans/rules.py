@@ -8,6 +8,7 @@ from wavemill.functions import scalar
 from wavemill.operators import evaluate, findings, levels, lsb, ordered
 from wavemill.plans.registry import LOW, add
 from wavemill.sources import reports
+from wavemill.sources.folders import shared_folder
 from wavemill.sources.fixtures import cases_view, findings_view, sig_supp, sig_user
 
 KINDS = ["Mp3Transcode", "AacTranscode", "OpusTranscode", "OggVorbisTranscode", "LossyTranscode", "Upsampled", "BitDepthInflated", "Clipping", "DitheringDetected", "ResamplingDetected"]
@@ -115,19 +116,44 @@ add(
 )
 
 
-def report_rows(s, d):
+def report_rows(s, d, metrics=None, loudness=None):
     f = badge_rows(s, d)
     t = tracks(s, d).select("track_id", F.concat(F.lit("t"), "track_id").alias("file"), F.lit(44100).alias("sample_rate"), F.lit(24).alias("bit_depth"), F.lit(2).alias("channels"), F.lit("flac").alias("extension"))
     v = findings.verdict(f, tracks(s, d).withColumn("noise_floor", F.lit(None).cast("double")))
-    return reports.reports(t, f, v)
+    return reports.reports(t, f, v, metrics, loudness)
+
+
+REPORT = "struct<file: string, verdict: struct<genuine: boolean, label: string>, detections: array<struct<severity: string>>, format: struct<sample_rate_display: string, extension: string>, quality_metrics: struct<noise_floor: double>, dynamic_range: struct<dr: long, verdict: string>>"
+
+
+def written(s, records):
+    """Records written as files and read back; the track is told by the file's name."""
+    path = shared_folder(s, "report")
+    reports.write_report(records, path)
+    return reports.read_report(s, path, REPORT).withColumn("track_id", F.substring("r.file", 2, 20).cast("long"))
 
 
 def parsed(s, d):
-    r = report_rows(s, d)
-    got = F.from_json("report", "struct<file: string, verdict: struct<genuine: boolean, label: string>, detections: array<struct<severity: string>>, format: struct<sample_rate_display: string, extension: string>>")
-    return r.select("track_id", got.alias("r")).select("track_id", "r.file", F.col("r.verdict.genuine").alias("genuine"), F.col("r.verdict.label").alias("label"), F.size("r.detections").alias("n"), F.col("r.format.sample_rate_display").alias("rate"), F.col("r.format.extension").alias("ext"))
+    r = written(s, report_rows(s, d))
+    return r.select("track_id", "r.file", F.col("r.verdict.genuine").alias("genuine"), F.col("r.verdict.label").alias("label"), F.size("r.detections").alias("n"), F.col("r.format.sample_rate_display").alias("rate"), F.col("r.format.extension").alias("ext"))
 
 
+def full(s, d):
+    c = s.read.parquet(f"{d}/customer.parquet")
+    k = F.col("c_custkey").alias("track_id")
+    metrics = c.where("c_custkey % 3 > 0").select(k, F.col("c_acctbal").cast("double").alias("noise_floor"), F.lit(None).cast("double").alias("true_peak"))
+    loud = c.where("c_custkey % 4 > 0").select(k, (F.col("c_custkey") % 25).alias("dr"), F.when(F.col("c_custkey") % 25 > 12, "Normal").alias("verdict"))
+    r = written(s, report_rows(s, d, metrics, loud))
+    return r.select("track_id", F.size("r.detections").alias("n"), F.col("r.quality_metrics.noise_floor").alias("noise_floor"), F.col("r.dynamic_range.dr").alias("dr"), F.col("r.dynamic_range.verdict").alias("dr_verdict"))
+
+
+add(
+    "write_report_full",
+    full,
+    f"""WITH {FV}, n AS (SELECT track_id, count(*)::INT AS n FROM f GROUP BY ALL)
+SELECT c_custkey AS track_id, coalesce(n, 0)::INT AS n, CASE WHEN c_custkey % 3 > 0 THEN round(c_acctbal::DOUBLE, 6) END AS noise_floor, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 25 END AS dr,
+CASE WHEN c_custkey % 4 > 0 AND c_custkey % 25 > 12 THEN 'Normal' END AS dr_verdict FROM customer LEFT JOIN n ON track_id = c_custkey""",
+)
 add(
     "write_report",
     parsed,
