@@ -33,6 +33,33 @@ def test_recall_against_brute_force(spark):
     assert hits / (20 * len(queries)) >= 0.9
 
 
+@pytest.mark.parametrize(("most", "hashes"), [(4, 12), (1, 9)])
+def test_recall_is_held_when_probes_do_not_do(spark, monkeypatch, most, hashes):
+    """With few probes allowed projections are left out, and with one of them all rows are compared in the end."""
+    monkeypatch.setattr(ann, "MOST_PROBES", most)
+    v = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    rows = v.collect()
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows], float)
+    queries = [i for i in ids if i % 20 == 0]
+    want = exact(ids, x, queries)
+    got = {}
+    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), hashes=hashes).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {w[0] for w in want[q]}) for q in queries) >= 0.9 * 20 * len(queries)
+
+
+def test_no_setting_reaches_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "settings", lambda *a: None)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = exact(list(range(300)), x, [20, 40])
+    got = {}
+    for row in ann.nearest(df, df.where("vec_id in (20, 40)")).collect():
+        got.setdefault(row.query_id, []).append((row.rank, row.vec_id))
+    assert {q: [i for _, i in sorted(f)] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}
+
+
 def test_few_rows_copies_and_bad_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [-1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, [float("inf"), 0.0]), (None, [1.0, 0.0]), (2, [0.5, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "'x' as bucket")

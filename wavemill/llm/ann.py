@@ -5,7 +5,8 @@ least distance agree.  Each of ``tables`` hash tables has ``width``-wide cells o
 of them the more rows there are, so that buckets stay small.  A query visits, in each table, its own cell
 and then cells displaced by one step in some projections, in order of the summed squared distances to the cell
 borders that are crossed, which is the order of estimated success.  How many it visits is measured:
-as many as a bounded sample of queries, held against all rows, needs for the recall asked for.
+as many as a bounded sample of queries, held against all rows, needs for the recall asked for.  Where the most
+allowed does not reach it there are fewer projections, and in the end all rows, so recall does not fall with size.
 Candidates of all tables are ranked by the exact measure.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import functools
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +233,13 @@ def _blocks(index: DataFrame, probes: DataFrame, k: int, dim: int) -> DataFrame:
     return found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).distinct()
 
 
+def _everywhere(rows: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
+    """Best of each query in all rows, as one bucket that is split into blocks."""
+    zero = F.lit(0).cast("long")
+    one = [F.lit(-1).alias("t"), zero.alias("g")]
+    return _blocks(rows.select(*one, zero.alias("bucket"), "id", "v"), asked.select(*one, "id", "v", F.array(zero).alias("visits")), k, dim)
+
+
 def exact(rows: DataFrame, names: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
     """``(query_id, vec_id, score, v)``: the k nearest of all ``rows(id, v)`` to a few queries that every task holds."""
     dim = queries.shape[1]
@@ -252,26 +260,35 @@ def exact(rows: DataFrame, names: np.ndarray, queries: np.ndarray, k: int) -> Da
     return near.withColumn("n", best).where(F.col("n") <= k).drop("n")
 
 
-def probes_needed(hashing: Hashing, rows: DataFrame, asked: DataFrame, largest: float, k: int, recall: float) -> int:
-    """The fewest probes in each table, a power of two, that give ``SAMPLE`` of the queries the recall; ``MOST_PROBES`` if none do."""
+def settings(make: Callable[[int], Hashing], hashes: int, rows: DataFrame, asked: DataFrame, largest: float, k: int, recall: float) -> tuple[Hashing, int] | None:
+    """Hashing and probes in each table that give ``SAMPLE`` of the queries the recall; None if only all rows give it.
+
+    From ``hashes`` projections on: the fewest probes, a power of two up to ``MOST_PROBES``.  Where these do not do, buckets
+    are too small for the vectors, and projections are left out, one after the other.
+    """
     some = asked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     names, queries = np.array([r["id"] for r in some], np.int64), np.array([r["v"] for r in some], np.float64)
     near = exact(rows, names, queries, k).collect()
     if not near:
-        return 1
+        return make(hashes), 1
     of = {n: i for i, n in enumerate(names.tolist())}
     who = np.array([of[r["query_id"]] for r in near])
-    keys = hashing.keys(hashing.cells(lifted(np.array([r["v"] for r in near], np.float64), largest))[0])
-    cell, place = hashing.cells(aimed(queries))
-    rank = np.full(len(near), MOST_PROBES)
-    for t in range(hashing.tables):
-        visits = hashing.probes(cell[:, t], place[:, t], MOST_PROBES)
-        hit = visits[who] == keys[:, t, None]
-        rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
-    n = 1
-    while n < MOST_PROBES and (rank < n).mean() < recall:
-        n *= 2
-    return n
+    found = np.array([r["v"] for r in near], np.float64)
+    for count in range(hashes, 0, -1):
+        hashing = make(count)
+        keys = hashing.keys(hashing.cells(lifted(found, largest))[0])
+        cell, place = hashing.cells(aimed(queries))
+        rank = np.full(len(near), MOST_PROBES)
+        for t in range(hashing.tables):
+            visits = hashing.probes(cell[:, t], place[:, t], MOST_PROBES)
+            hit = visits[who] == keys[:, t, None]
+            rank = np.minimum(rank, np.where(hit.any(axis=1), hit.argmax(axis=1), MOST_PROBES))
+        n = 1
+        while n <= MOST_PROBES:
+            if (rank < n).mean() >= recall:
+                return hashing, n
+            n *= 2
+    return None
 
 
 def nearest(
@@ -291,8 +308,8 @@ def nearest(
 
     ``queries`` are rows of the same form (all of ``vectors`` if not given); a row with the query's own
     id is no candidate.  Score is the inner product in double precision, ties go to the smaller
-    id.  ``hashes`` follows from the number of rows if not given, and ``probes`` from ``recall``, measured on a
-    sample of queries.  Vectors that are null, zero, or hold nulls or non-finite components take no part, nor
+    id.  ``hashes`` follows from the number of rows if not given, at most, and is lowered with ``probes`` measured for
+    ``recall`` on a sample of queries; where no setting reaches it, all rows are compared.  Vectors that are null, zero, or hold nulls or non-finite components take no part, nor
     do those of another length than most (of equally frequent lengths, the larger).  Of rows with one id the
     smallest vector counts, as query and as candidate.  Of equal vectors with different ids only the k + 1
     smallest ids can be among the nearest of any query, so the rest never enters the tables.  A query
@@ -313,8 +330,16 @@ def nearest(
     asked = store.keep(one(rows if queries is None else usable(queries, id_col, vector_col)), "queries")
     copy = W.partitionBy("v").orderBy("id")
     rows = store.keep(one(rows).withColumn("n", F.row_number().over(copy)).where(F.col("n") <= k + 1).drop("n"), "vectors")
-    hashing = Hashing(dim, tables, hashes or max(4, int(np.log2(count)) - 7), width, seed)
-    visited = probes or probes_needed(hashing, rows, asked, largest, k, recall)
+    make = lambda n: Hashing(dim, tables, n, width, seed)
+    most = hashes or max(4, int(np.log2(count)) - 7)
+    chosen = (make(most), probes) if probes else settings(make, most, rows, asked, largest, k, recall)
+    kind = dict(rows.dtypes)["v"]
+    if dict(asked.dtypes)["v"] != kind:
+        kind = "array<double>"
+        rows, asked = (df.withColumn("v", F.col("v").cast(kind)) for df in (rows, asked))
+    if chosen is None:
+        return _everywhere(rows, asked, k, dim).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    hashing, visited = chosen
     groups = -(-count // BLOCK)
 
     def into_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,18 +367,12 @@ def nearest(
                     visits = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(flat)].astype(np.int32)), pa.array(flat))
                     yield pa.record_batch([pa.array(np.full(len(starts), t, np.int32)), pa.array(g[starts]), b.column(0).take(at), b.column(1).take(at), visits], names=["t", "g", "id", "v", "visits"])
 
-    kind = dict(rows.dtypes)["v"]
-    if dict(asked.dtypes)["v"] != kind:
-        kind = "array<double>"
-        rows, asked = (df.withColumn("v", F.col("v").cast(kind)) for df in (rows, asked))
     index = rows.mapInArrow(into_tables, f"t int, g long, bucket long, id long, v {kind}")
     probed = asked.mapInArrow(into_probes, f"t int, g long, id long, v {kind}, visits array<bigint>")
     found = store.keep(_blocks(index, probed, k, dim), "found")
     enough = found.groupBy("query_id").count().where(F.col("count") >= k)
     short = store.keep(asked.join(enough.select(F.col("query_id").alias("id")), "id", "left_anti"), "short")
     if not short.isEmpty():
-        zero = F.lit(0).cast("long")
-        everywhere = [F.lit(-1).alias("t"), zero.alias("g")]
-        rest = _blocks(rows.select(*everywhere, zero.alias("bucket"), "id", "v"), short.select(*everywhere, "id", "v", F.array(zero).alias("visits")), k, dim)
+        rest = _everywhere(rows, short, k, dim)
         found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
