@@ -137,5 +137,18 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counted c ON a.con
 """
 
 
+#: Digests of all strings of 200 bytes (400 hex digits); runs of places less than a string apart are one span.
+REPEATS = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+strings AS MATERIALIZED (SELECT r, p, md5(substr(h, 2 * p + 1, 400)) AS m FROM (SELECT r, h, unnest(range(length(h) // 2 - 199)) AS p FROM docs WHERE length(h) >= 400)),
+again AS (SELECT m FROM strings GROUP BY m HAVING count(*) > 1),
+hits AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 200, true)::INT AS fresh FROM strings WHERE m IN (SELECT m FROM again)),
+spans AS (SELECT r, min(p) AS s, max(p) + 200 AS e FROM (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS k FROM hits) GROUP BY r, k),
+edges AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM spans),
+cut AS (SELECT d.r, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) || substr(max(h), 2 * max(e) + 1) AS kept FROM edges JOIN docs d ON d.r = edges.r GROUP BY d.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM docs d LEFT JOIN cut c ON d.r = c.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": MIXING, "op8_lines": LINES, "op10_quality": _quality(), "op11_dialogue": _dialogue()}
+    return {"op7_mixing": MIXING, "op8_lines": LINES, "op10_quality": _quality(), "op11_dialogue": _dialogue(), "op12_repeats": REPEATS}
