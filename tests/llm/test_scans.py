@@ -135,3 +135,20 @@ def test_sweep_is_that_of_all_pairs():
         spans = lambda n: [(0, s, s + r.randint(1, 9)) for s in sorted(r.randint(0, 60) for _ in range(n))]
         a, b = spans(8), spans(5)
         assert list(apart(a, b)) == [x for x in a if not any(x[1] < e and s < x[2] for _, s, e in b)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_dense_stretch_is_searched_as_one(seed):
+    """Thousands of tokens without a free border between: the search gives what one over all of them gives."""
+    r = random.Random(seed)
+    digits = lambda n: "".join(r.choices("0123456789", k=n))
+    words = [r.choice([digits(r.randint(1, 5)), digits(4), f"({digits(3)})", f"{digits(3)}-{digits(4)}", f"+{digits(2)}", "at", "dot", "a@b.cd", f"{digits(2)}.{digits(3)}"]) for _ in range(5000)]
+    if seed == 2:
+        words = ["4539"] * 5000
+    text = " ".join(words)
+    field = pii.Field({f: np.array([r.uniform(-1, 1) for _ in pii.KINDS]) for f in (f"digits={n}" for n in range(21))} | {f"tokens={n}": np.full(len(pii.KINDS), r.uniform(-0.5, 0.5)) for n in range(1, 9)})
+    want = field.best(pii.Lattice(text))
+    assert list(pii.best_spans(field, text, 0, len(text))) == want and len(want) > 100
+    tokens = [m.span() for m in pii.TOKEN.finditer(text)]
+    low, high = tokens[700][0], tokens[2400][1]
+    assert list(pii.best_spans(field, text, low, high)) == field.best(pii.Lattice(text, tokens[700:2401]))

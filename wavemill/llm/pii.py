@@ -9,14 +9,16 @@ trained with.  Training windows come from labelled samples: base spans, also in
 the patterns miss, and number groups that are no personal data.
 
 A text of any length takes time in proportion: patterns never step back over what they have read, and
-stretches around triggers are labelled in windows of at most ``SPAN`` tokens.
+stretches around triggers, however many tokens they have, are searched with a few tokens in memory.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,6 @@ LONGEST = 8
 MARGIN = 6
 #: Characters that a window reaches beyond a trigger at most.
 REACH = 512
-#: Tokens that are labelled together at most.
-SPAN = 512
 # The patterns of the base spans.  The parts of each exclude each other, so possessive repeats
 # match the same; a digit run is read once, for a match that starts within it starts at its first digit.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -340,32 +340,52 @@ def windows_of(text: str) -> Iterator[tuple[int, int]]:
         yield low, high
 
 
-def lattices(text: str, low: int, high: int) -> Iterator[Lattice]:
-    """The tokens of a stretch, at most ``SPAN`` at a time, with offsets into the whole text.
+def best_spans(field: Field, text: str, low: int, high: int) -> Iterator[Span]:
+    """The best labelling of a stretch of any number of tokens, as ``Field.best`` gives it for all of them at once.
 
-    A longer stretch is cut before the last token of a window that no segment holds together with the one
-    before it, or at the window's end if there is none.
+    Tokens are read ``LONGEST`` ahead.  Of the search only the value here and those of segments that are still open are
+    kept; where none is open all choices before are settled and given out.
     """
-    tokens: list[tuple[int, int]] = []
-    for m in TOKEN.finditer(text, low, high):
-        tokens.append(m.span())
-        if len(tokens) == SPAN:
-            x = Lattice(text, tokens)
-            held = np.zeros(SPAN + 1, np.int64)
-            for i, j, _ in x.segments:
-                held[i + 1] += 1
-                held[j] -= 1
-            free = np.flatnonzero(np.cumsum(held)[1:SPAN] == 0) + 1
-            cut = int(free[-1]) if len(free) else SPAN
-            yield x if cut == SPAN else Lattice(text, tokens[:cut])
-            tokens = tokens[cut:]
-    if tokens:
-        yield Lattice(text, tokens)
+    ahead: deque[tuple[int, int]] = deque()
+    tokens = TOKEN.finditer(text, low, high)
+    value, at, settled, before = 0.0, 0, 0, None
+    waiting: dict[int, list[tuple]] = {}
+    chosen: dict[int, tuple[int, Span]] = {}
+    while True:
+        ahead.extend(m.span() for m in itertools.islice(tokens, LONGEST - len(ahead)))
+        if not ahead:
+            return
+        s, hints = ahead[0][0], None
+        for n, (_, end) in enumerate(ahead):
+            if end - s > 200:  # too long for an entity, and so are longer ones
+                break
+            piece = text[s:end].rstrip(".:!?")
+            if piece and plausible(piece):
+                if hints is None:
+                    hints = hints_of(text[slice(*before)][-40:]) if before else ()
+                score, kind = field.likeliest(features(piece, hints))
+                waiting.setdefault(at + n + 1, []).append((value + score, at, (kind, s, s + len(piece))))
+        before = ahead.popleft()
+        at += 1
+        for total, start, span in waiting.pop(at, ()):
+            if total > value:
+                value, chosen[at] = total, (start, span)
+        if not waiting:
+            out, back = [], at
+            while back > settled:
+                if back in chosen:
+                    back, span = chosen[back]
+                    out.append(span)
+                else:
+                    back -= 1
+            yield from reversed(out)
+            chosen.clear()
+            settled = at
 
 
 def added_spans(text: str, field: Field, base: list[Span]) -> list[Span]:
     """Entities of the best labelling that touch no base span."""
-    found = (span for low, high in windows_of(text) for x in lattices(text, low, high) for span in field.best(x))
+    found = (span for low, high in windows_of(text) for span in best_spans(field, text, low, high))
     return list(apart(found, base))
 
 
