@@ -60,3 +60,13 @@ def test_report_files(spark, tmp_path):
         reports.write_report(rows, str(tmp_path / "r"))
     got = reports.read_report(spark, str(tmp_path / "r"), "struct<file: string, dynamic_range: struct<dr: long>>").select("r.*").collect()
     assert sorted((r.file, r.dynamic_range and r.dynamic_range.dr) for r in got) == [("a", None), ("b", 7)]
+
+
+def test_order_statistics_of_close_and_odd_values(spark):
+    r = np.random.default_rng(5)
+    groups = {"close": 1 + r.integers(0, 1000, 4000) * 1e-9, "one": np.full(50, 3.0), "wide": r.normal(size=3000) * 10.0 ** r.integers(-9, 9, 3000), "odd": np.array([np.inf, -np.inf, 0.0, -0.0, 1.0, np.nan]), "single": np.array([2.5])}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("close", None)], "g string, v double")
+    for share in (0.0, 0.01, 0.5, 0.999):
+        got = {x.g: x.out for x in levels.order_statistic(df, ["g"], "v", F.floor(F.col("n") * share), "out").collect()}
+        want = {g: np.sort(x)[int(len(x) * share)] for g, x in groups.items()}
+        assert got.keys() == want.keys() and all(got[g] == want[g] or (np.isnan(got[g]) and np.isnan(want[g])) for g in want)

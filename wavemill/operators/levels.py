@@ -47,25 +47,42 @@ def level_stats(samples: DataFrame) -> DataFrame:
 def _bin(value: str) -> Column:
     """A number that never falls as the value rises: sixteen bins for each doubling of the magnitude."""
     v = F.col(value).cast("double")
-    return (F.signum(v) * (F.floor(F.log2(F.abs(v)) * 16) + 20_000)).cast("int")
+    # Infinities lie beyond all finite values, and what is no number comes last.
+    size = F.floor(F.least(F.log2(F.abs(v)), F.lit(1100.0)) * 16) + 20_000
+    return F.when(F.isnan(v), 50_000).otherwise(F.signum(v) * size).cast("int")
+
+
+#: Parts that the bin of a rank is cut in.
+SPLITS = 4096
 
 
 def order_statistic(df: DataFrame, keys: list[str], value: str, rank: Column, out: str) -> DataFrame:
     """``(*keys, out)``: the value at a rank (from 0) that may depend on the group's size ``n``.
 
     Values are counted first.  Bins, of which a group has a bounded number, are summed to find the one that
-    holds the rank; only its values are then put in order.  Null values do not count.
+    holds the rank; it is cut in ``SPLITS`` equal parts, which are summed alike; only the values of one part are then put
+    in order, so a group whose values are close to each other is no single task.  Null values do not count.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     counts = counts.withColumn("__bin", F.coalesce(_bin(value), F.lit(0)))
-    run = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)
-    bins = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__s"))
-    bins = bins.withColumn("__cum", F.sum("__s").over(run)).withColumn("n", F.sum("__s").over(W.partitionBy(*keys))).withColumn("__rank", rank)
-    there = bins.where((F.col("__cum") > F.col("__rank")) & (F.col("__cum") - F.col("__s") <= F.col("__rank")))
-    there = there.select(*keys, "__bin", (F.col("__rank") - F.col("__cum") + F.col("__s")).alias("__left"))
-    inside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    found = counts.join(there, [*keys, "__bin"]).withColumn("__cum", F.sum("__c").over(inside))
-    return found.where(F.col("__cum") > F.col("__left")).groupBy(*keys).agg(F.min(value).alias(out))
+    bins = counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__s"), F.min(value).alias("__low"), F.max(value).alias("__high"))
+    bins = bins.withColumn("n", F.sum("__s").over(W.partitionBy(*keys))).withColumn("__left", rank)
+    there = _holding(bins, keys, "__bin").select(*keys, "__bin", "__left", "__low", "__high")
+    place = (F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * SPLITS
+    # Values that are not finite come last.
+    part = F.when(F.col("__high") == F.col("__low"), 0).otherwise(F.coalesce(F.when(~F.isnan(place), F.least(F.floor(place), F.lit(SPLITS - 1))), F.lit(SPLITS - 1)))
+    inside = counts.join(there, [*keys, "__bin"]).select(*keys, value, "__c", "__left", part.cast("int").alias("__part"))
+    parts = inside.groupBy(*keys, "__part").agg(F.sum("__c").alias("__s"), F.first("__left").alias("__left"))
+    last = inside.drop("__left").join(_holding(parts, keys, "__part").select(*keys, "__part", "__left"), [*keys, "__part"])
+    last = last.withColumn("__cum", F.sum("__c").over(W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    return last.where(F.col("__cum") > F.col("__left")).groupBy(*keys).agg(F.min(value).alias(out))
+
+
+def _holding(bins: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Of each group's bins with sums ``__s`` the one that holds the rank ``__left``, which then counts from its start."""
+    cum = bins.withColumn("__cum", F.sum("__s").over(W.partitionBy(*keys).orderBy(by).rowsBetween(W.unboundedPreceding, 0)))
+    there = cum.where((F.col("__cum") > F.col("__left")) & (F.col("__cum") - F.col("__s") <= F.col("__left")))
+    return there.withColumn("__left", F.col("__left") - F.col("__cum") + F.col("__s"))
 
 
 def quality_metrics(samples: DataFrame, exact: bool = True, accuracy: int = 10_000) -> DataFrame:
