@@ -42,6 +42,8 @@ def test_scan_and_ingest(spark, tmp_path):
     assert sorted(len(b.x) for b in good) == [20, 40, 40] and {b.rate for b in good} == {8000}
     assert media.keep_errors(media.ingest_pcm(top)).count() == 1
     assert media.with_digest(top).where("length(md5) = 32").count() == 2
+    long = media.with_digest(media.scan_media(spark, str(tmp_path), longest=100)).collect()
+    assert {r.md5 for r in long} == {r.md5 for r in media.with_digest(top).collect()} and sum(r.content is None for r in long) == 1
     assert {r.claimed_bits for r in media.with_claimed_bits(top).collect()} == {24}
 
 

@@ -57,6 +57,7 @@ def category_expectation(df: DataFrame, col: str) -> DataFrame:
     """``df`` with ``should_pass`` and ``expected`` of a category name; the first rule that fits holds."""
     c = F.col(col)
     has = c.contains
+    # Category names and the labels they stand for, in the order in which they are tried.
     rules: list[tuple[Column, bool, list[str]]] = [
         (c == "Control_Original", True, []), (has("MP3"), False, ["Mp3Transcode"]), (c.startswith("AAC_"), False, ["AacTranscode"]), (has("Opus"), False, ["OpusTranscode"]), (c.startswith("Vorbis_"), False, ["OggVorbisTranscode"]),
         (c == "BitDepth_16to24", False, ["BitDepthMismatch"]), (c == "Combined_16bit_44khz", False, ["BitDepthMismatch", "Upsampled"]), (c.startswith("SampleRate_"), False, ["Upsampled"]),

@@ -65,7 +65,7 @@ def bit_depth_finding(ints: DataFrame, claimed: int, usage: DataFrame, entropy:
     return a.select("track_id", "effective_bits", "entropy", "q_noise_db", "votes", conf.alias("confidence"), F.when(gap >= 8, "high").otherwise("medium").alias("severity"))
 
 
-#: Thresholds of the layered-encoding score: entropy, entropy of early encoders, noise, noise of early encoders, pattern.
+# Thresholds of the layered-encoding score: entropy, entropy of early encoders, noise, noise of early encoders, pattern.
 MQA_PRESETS = {"default": (0.75, 0.40, 6.0, 2.0, 0.20), "early": (0.50, 0.30, 4.0, 1.5, 0.15), "strict": (0.90, 0.75, 15.0, 10.0, 0.40)}
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from wavemill.sources import pcm
 
@@ -21,6 +24,8 @@ MANIFEST = (
     "dithering_tests array<struct<filename: string, method: string, scale: double, output_bits: int, expected_detection: string>>, "
     "resampling_tests array<struct<filename: string, original_rate: int, target_rate: int, engine: string, expected_detection: string>>"
 )
+#: Bytes of a file read at once.
+PIECE = 1 << 20
 #: Longest file in bytes whose content is read; a cell of a table holds no more.
 LONGEST = 2_000_000_000
 
@@ -58,8 +63,23 @@ def write_media(files: DataFrame, folder: str) -> DataFrame:
 
 
 def with_digest(tracks: DataFrame) -> DataFrame:
-    """MD5 of the whole file."""
-    return tracks.withColumn("md5", F.md5("content"))
+    """MD5 of the whole file; where there is no content, as of files too long for a cell, the file is read through in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = []
+            for path in b.column(at).to_pylist():
+                system, inside = pcm.file_system(path)
+                digest = hashlib.md5()
+                with system.open_input_stream(inside) as f:
+                    while part := f.read(PIECE):
+                        digest.update(part)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests)], names=[*b.schema.names, "md5"])
+
+    at = tracks.columns.index("path")
+    held, long = tracks.where(F.col("content").isNotNull()), tracks.where(F.col("content").isNull())
+    return held.withColumn("md5", F.md5("content")).unionByName(long.mapInArrow(run, StructType([*tracks.schema.fields, StructField("md5", StringType())])))
 
 
 def with_claimed_bits(tracks: DataFrame) -> DataFrame:
