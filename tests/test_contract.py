@@ -1,5 +1,9 @@
 """Every registered query with SQL agrees with it on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -51,3 +55,9 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_names_and_sql_need_no_session():
+    """The driver lists queries and SQL before it starts Spark."""
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) < set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True, timeout=120)

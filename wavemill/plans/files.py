@@ -49,7 +49,8 @@ add("with_digest", lambda s, d: media.with_digest(scanned(s, d)).select("name",
 add("with_claimed_bits", lambda s, d: media.with_claimed_bits(scanned(s, d)).select("name", "claimed_bits", "bit_depth_inferred"), f"WITH {FILES} SELECT name, CASE WHEN ext = 'dsf' THEN 16 ELSE 24 END AS claimed_bits, true AS bit_depth_inferred FROM md", "supp")
 
 
-SAMPLE = ["ch", "block_no", "rate", "channels", "bits", F.posexplode("x").alias("place", "x")]
+def sample_rows(blocks):
+    return blocks.select(F.col("track_id").alias("name"), "ch", "block_no", "rate", "channels", "bits", F.posexplode("x").alias("place", "x"))
 
 
 def ingested(s, d):
@@ -57,7 +58,7 @@ def ingested(s, d):
     folder = shared_folder(s, "media")
     media.write_media(files(s, d), folder).agg(F.sum("length")).collect()
     b = pcm.read_pcm_files(s, folder, block=256).where("error is null")
-    return b.select(F.col("track_id").alias("name"), *SAMPLE)
+    return sample_rows(b)
 
 
 def long_files(s, d):
@@ -75,7 +76,7 @@ def ingested_by_ranges(s, d):
     folder = shared_folder(s, "media")
     media.write_media(long_files(s, d), folder).agg(F.sum("length")).collect()
     b = media.ingest_pcm(media.scan_media(s, folder), block=1000, range_bytes=10_007).where("error is null")
-    return b.select(F.col("track_id").alias("name"), *SAMPLE)
+    return sample_rows(b)
 
 
 add(
