@@ -16,7 +16,8 @@ DATA = "/root/testdata/sf0.001"
 def test_query_matches_sql(spark, name):
     got = queries.queries()[name](spark, DATA).toPandas()
     c = duckdb.connect()
-    c.sql(f"create view documents as select * from read_parquet('{DATA}/documents.parquet')")
+    for table in ("documents", "conversations"):
+        c.sql(f"create view {table} as select * from read_parquet('{DATA}/{table}.parquet')")
     want = c.sql(oracles.oracle_sql()[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns) and len(got) == len(want)
