@@ -124,7 +124,7 @@ def odd_documents(spark):
     return df.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
 
 
-OVER_DOCUMENTS = [n for n in queries.queries() if n not in ("op5_nearest", "pipeline")]
+OVER_DOCUMENTS = [n for n in queries.queries() if n not in ("op5_nearest", "op11_dialogue", "pipeline")]
 
 
 @pytest.mark.parametrize("name", OVER_DOCUMENTS)
