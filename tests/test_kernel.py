@@ -42,6 +42,31 @@ def test_few_bins_are_those_of_the_whole_transform():
         assert np.allclose(kernel.magnitudes(4096, "hann", False, (low, high))(x), whole[:, low:high], atol=1e-9)
 
 
+def test_bins_summed_over_scattered_samples(spark, monkeypatch):
+    """Samples in any order and any number of partitions give the bins of whole frames, and are not shuffled."""
+    monkeypatch.setattr(kernel, "OPEN", 7)
+    r = np.random.default_rng(5)
+    channels = {("a", 0): r.normal(size=700), ("a", 1): r.normal(size=130), (None, 0): r.normal(size=257), ("b", 0): r.normal(size=63)}
+    for size, hop, length in ((64, 32, 64), (64, 50, 100), (64, 100, 64)):
+        rows = table(spark, channels).repartition(5)
+        df = kernel.summed_bins(rows, size, hop, (3, 20), length=length)
+        got = {(x.track_id, x.ch, x.frame_no, x.k): x.mag for x in df.collect()}
+        want = {}
+        for (t, c), x in channels.items():
+            for f in range((len(x) - length) // hop + 1 if len(x) >= length else 0):
+                m = np.abs(np.fft.rfft(x[f * hop : f * hop + size] * window_array("hann", size, False)))
+                want |= {(t, c, f, k): m[k] for k in range(3, 20)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_hum_trace_shuffles_sums_not_samples(spark):
+    n = 300_000
+    s = spark.range(n).select(F.lit("t").alias("track_id"), F.lit(0).alias("ch"), F.col("id").alias("idx"), F.sin(F.col("id") * 0.02).alias("x"))
+    base = spark.createDataFrame([("t", 50.0)], "track_id string, base double")
+    tree = hum.hum_trace(s, base, 16_384, "fast")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in tree and "REPARTITION_BY_COL" not in tree
+
+
 def test_median_of_frames_is_the_median_of_spectra(spark):
     channels = {("a", 0): np.random.default_rng(2).normal(size=3000), ("b", 0): np.random.default_rng(3).normal(size=600)}
     frames = spectra.frame_magnitudes(table(spark, channels), 256, 64, "hann", plan="spread")
