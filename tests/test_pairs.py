@@ -69,3 +69,21 @@ def test_few_pairs_are_compared(spark):
     shares = [share(spark, n, 200) for n in (1000, 4000, 16_000)]
     print("share of pairs", shares)
     assert all(s < 0.06 for s in shares) and shares[2] < shares[0] * 1.5
+
+
+def test_uniform_vectors_are_not_copied_to_every_cell(spark, monkeypatch):
+    """Where no pivot helps rows meet by blocks, and no side of copied rows is ever broadcast."""
+    monkeypatch.setattr(cepstra, "PIVOTS", 40)
+    v = np.random.default_rng(8).normal(size=(700, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, [1.0, 0.0]), (901, [1.0, 0.5])], "id long, v array<double>")
+    _, _, plan = cepstra.metric_cells(df, df, 1.1)
+    assert plan.where("d = 64").agg(F.sum("rows_a")).first()[0] > 20 * 700
+    assert 64 in [r.d for r in cepstra._close(df, df, plan, 4096).collect()]
+    got = [(r.a_id, r.b_id) for r in cepstra.euclid_pairs(df, df, 1.1, method="cells").collect()]
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 1.1), strict=True) if i != j} | {(900, 901), (901, 900)}
+    assert len(got) == len(set(got)) and set(got) == want
+    _, near = clustered(spark, 400)
+    tree = cepstra.euclid_pairs(near, near, 0.4, method="cells")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in tree
