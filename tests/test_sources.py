@@ -4,6 +4,8 @@ import struct
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from wavemill.sources import media, pcm
 
 
@@ -116,3 +118,12 @@ def test_ranges_are_packed():
     tasks = pcm.plan_ranges([("a", 10), ("b", 0), ("c", 25), ("d", 5)], 10)
     assert tasks == [[("a", 10, 0, 10)], [("b", 0, 0, 1)], [("c", 25, 0, 10)], [("c", 25, 10, 20)], [("c", 25, 20, 25), ("d", 5, 0, 5)]]
     assert pcm.plan_ranges([], 10) == []
+
+
+def test_many_small_files_share_tasks(spark):
+    """Tasks follow the bytes and the openings of files, not their number alone."""
+    files = spark.range(3000).select(F.concat(F.lit("/nowhere/"), "id").alias("path"), F.lit(1000).cast("long").alias("length"))
+    got = pcm.read_ranges(files)
+    assert got.rdd.getNumPartitions() <= 3000 * (pcm.OPENING + 1000) // pcm.RANGE + 1 + spark.sparkContext.defaultParallelism
+    tasks = pcm.plan_ranges([(str(i), 1000) for i in range(3000)], pcm.RANGE, pcm.OPENING)
+    assert 10 <= len(tasks) <= 20 and sum(map(len, tasks)) == 3000

@@ -25,6 +25,8 @@ BLOCKS = "path string, track_id string, ch int, block_no long, rate int, channel
 SCHEMA = pa.schema([("path", pa.string()), ("track_id", pa.string()), ("ch", pa.int32()), ("block_no", pa.int64()), ("rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("x", pa.list_(pa.float64())), ("error", pa.string())])
 #: Samples of a block and bytes of a range.
 BLOCK, RANGE = 65_536, 64 << 20
+#: Bytes that opening a file counts as, so that small files are dealt by their number.
+OPENING = 256 << 10
 #: A size in a header that says nothing.
 UNKNOWN = 0xFFFFFFFF
 
@@ -157,17 +159,17 @@ class Ranges(InputPartition):
         self.ranges = ranges
 
 
-def plan_ranges(files: list[tuple[str, int]], size: int) -> list[list[tuple[str, int, int, int]]]:
-    """Ranges of at most ``size`` bytes; small files share a task up to that size."""
+def plan_ranges(files: list[tuple[str, int]], size: int, opening: int = 0) -> list[list[tuple[str, int, int, int]]]:
+    """Ranges of at most ``size`` bytes; small files, each with so many bytes for its opening, share a task up to that size."""
     tasks, room = [], 0
     for path, length in files:
         for low in range(0, max(length, 1), size):
             high = min(low + size, length) if low + size < length else max(length, 1)
-            if not tasks or room < high - low:
+            if not tasks or room < high - low + opening:
                 tasks.append([])
                 room = size
             tasks[-1].append((path, length, low, high))
-            room -= high - low
+            room -= high - low + opening
     return tasks
 
 
@@ -188,7 +190,7 @@ class PcmReader(DataSourceReader):
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(inside, recursive=self.recursive))
         prefix = self.path[: len(self.path) - len(inside)] if self.path.endswith(inside) else ""
         files = sorted((prefix + i.path, i.size) for i in found if i.type == fs.FileType.File and i.extension.lower() in EXTENSIONS)
-        return [Ranges(r) for r in plan_ranges(files, self.size)]
+        return [Ranges(r) for r in plan_ranges(files, self.size, OPENING)]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         for path, length, low, high in partition.ranges:
@@ -220,10 +222,11 @@ def read_pcm_files(spark: SparkSession, path: str, recursive: bool = False, bloc
 
 
 def read_ranges(files: DataFrame, block: int = BLOCK, range_bytes: int = RANGE) -> DataFrame:
-    """The same for a table ``(path, length)``: its rows become ranges, which are dealt evenly to tasks."""
+    """The same for a table ``(path, length)``: its rows become ranges, which are dealt evenly to tasks; small files share one."""
     low = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("low")
     ranges = files.select("path", F.col("length").cast("long").alias("length"), low)
-    tasks = files.agg(F.sum(F.floor(F.col("length") / range_bytes) + 1)).first()[0] or 1
+    asked, total = files.agg(F.sum(F.floor(F.col("length") / range_bytes) + 1), F.sum(F.col("length") + OPENING)).first()
+    tasks = min(asked or 1, max(-(-(total or 1) // range_bytes), files.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
