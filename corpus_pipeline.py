@@ -46,6 +46,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, five-word shingles of similarity 0.8 or more, goes on.
 
+    SimHash fingerprints and the covering search link them; links it cannot reach are found exactly.
     The one of the smallest id stays; of rows that share an id the one with the smallest text.  Rows with
     a null id stay; texts without words are one group; an empty table gives no rows.
     """

@@ -99,3 +99,24 @@ def test_a_large_group_of_near_copies_is_not_compared_all_against_all(spark, mon
     assert got == {**{i: 0 for i in range(400)}, 900: 900}
     # About 25 blocks; all pairs of them would be 25 rows for each text.
     assert placed["placed"].count() < 2 * len(rows) and placed["pivots"].count() < 2 * len(rows)
+
+
+def test_the_covering_search_links_near_copies_first(spark, monkeypatch):
+    """Pairs whose fingerprints are near are linked by them, after a check on whole sets, and are not compared again."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(900)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:-1], "x"])), (2, " ".join(["y", *base[1:]]))]
+    rows += [(10 + i, " ".join(r.choices(base, k=200))) for i in range(5)]
+    kept = {}
+    keep = jaccard.Store.keep
+
+    def watched(self, df, name):
+        kept[name] = keep(self, df, name)
+        return kept[name]
+
+    monkeypatch.setattr(jaccard.Store, "keep", watched)
+    got = {x.doc_id: x.component_id for x in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, **{10 + i: 10 + i for i in range(5)}}
+    near = {f for _, t in rows[:3] for f in [jaccard._digest(jaccard.shingles(t.encode()))]}
+    assert {f for e in kept["linked"].collect() for f in (e.u, e.v)} == near
+    assert kept["placed"].count() == 0

@@ -1,6 +1,10 @@
-"""Near copies by exact Jaccard similarity of five-word shingle sets, 0.8 or more.
+"""Near copies of five-word shingle sets, Jaccard similarity 0.8 or more: by SimHash and covering search, then exactly.
 
-Candidates come from prefix filtering: under any one order of all shingles, two sets of similarity
+Every set has a fingerprint of 64 bits, and the covering search of ``simhash`` links fingerprints; links are confirmed on
+whole sets.  Sets of this similarity may differ in more bits than a covering search can reach, so the links that it leaves are
+found exactly; pairs that it has linked are not compared again.
+
+For these candidates come from prefix filtering: under any one order of all shingles, two sets of similarity
 0.8 or more share a shingle among the first ``n - ceil(0.8 n) + 1`` of each.  So no link is missed,
 whatever the data; the order, rare shingles first, decides only the work.  Pairs that share a shingle with few others are
 held against each other by bitmaps of the sets' parities, which differ in no more places than the sets do;
@@ -78,6 +82,15 @@ def similar(inter, n, m):
     return 9 * inter >= 4 * (n + m)
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is set if it is set in over half of their hashes; signed."""
+    sums = np.zeros(simhash.BITS, np.int64)
+    for low in range(0, len(s), simhash.BLOCK):
+        block = s[low : low + simhash.BLOCK].astype("<u8")
+        sums += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * sums > len(s), bitorder="little").view("<i8")[0])
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Parities of the shingles by their low bits, in two to four times as many places as there are shingles."""
     size = 1 << max(6, int(2 * len(s) - 1).bit_length() if len(s) else 6)
@@ -109,15 +122,16 @@ def _texts(b: pa.RecordBatch, i: int) -> Iterator[bytes | None]:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        fps, sizes, counts, maps = [], [], [], []
+        fps, sims, sizes, counts, maps = [], [], [], [], []
         for t in _texts(b, 1):
             s = shingles(t)
             fps.append(_digest(s))
+            sims.append(fingerprint(s))
             sizes.append(len(t or b""))
             counts.append(len(s))
             maps.append(bitmap(s))
-        cols = [b.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(maps, pa.binary())]
-        yield pa.record_batch(cols, names=["doc_id", "fp", "size", "n", "map"])
+        cols = [b.column(0), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(maps, pa.binary()), pa.array(sims, pa.int64())]
+        yield pa.record_batch(cols, names=["doc_id", "fp", "size", "n", "map", "sim"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +369,37 @@ def _large(members: DataFrame, rows: DataFrame, store: Store, block: int) -> tup
     return star, spread.select(F.col("first_id").alias("doc_id"), "root", F.least(mine, theirs).alias("i"), F.greatest(mine, theirs).alias("j"), "fp")
 
 
+def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs ``(u, v)`` those whose sets ``(fp, n, map)`` can be similar by their bitmaps."""
+    one, two = (sets.withColumnsRenamed({"fp": x, "n": f"n{x}", "map": f"m{x}"}) for x in "uv")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(_by_bitmaps, "u long, v long")
+
+
+def _by_fingerprints(distinct: DataFrame, rows: DataFrame, store: Store, block: int) -> DataFrame:
+    """Edges ``(u, v)`` of similar sets that the covering search over fingerprints finds, confirmed on whole sets.
+
+    Sets with one fingerprint are held against the first of them, and first ones of linked fingerprints against each
+    other; so the work is in proportion to the links.  What is held against one set lies in pieces of at most a block.
+    """
+    sims = store.keep(distinct.groupBy("sim").agg(F.min("fp").alias("hub")), "fingerprints")
+    one, two = (sims.withColumnsRenamed({"sim": x, "hub": f"hub_{x}"}) for x in "uv")
+    between = simhash.links(sims.select(F.col("sim").alias("fp")), store).distinct().join(one, "u").join(two, "v").select(F.greatest("hub_u", "hub_v").alias("u"), F.least("hub_u", "hub_v").alias("v"))
+    own = distinct.join(sims, "sim").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+    close = store.keep(_close(own.unionByName(between).distinct(), distinct.select("fp", "n", "map")), "alike")
+    sized = close.join(distinct.select(F.col("fp").alias("u"), F.col("first_id").alias("doc_id"), "size"), "u")
+    pieces = store.keep(sized.groupBy("v").agg(F.ceil((F.sum("size") + 1) / F.lit(block)).cast("int").alias("k")), "pieces")
+    members = sized.join(pieces, "v").select("doc_id", F.col("v").alias("root"), F.pmod(F.xxhash64("u"), F.col("k")).cast("int").alias("i"), F.lit(1).alias("member"), F.col("u").alias("fp"))
+    firsts = distinct.select(F.col("fp").alias("v"), F.col("first_id").alias("doc_id")).join(pieces, "v")
+    firsts = firsts.select("doc_id", F.col("v").alias("root"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"), F.lit(0).alias("member"), F.col("v").alias("fp"))
+    held = rows.join(store.keep(members.unionByName(firsts), "against"), "doc_id").select("root", "i", "member", "fp", "text")
+    return held.repartition("root", "i").sortWithinPartitions("root", "i", "member", "fp").mapInArrow(_against_pivots, "u long, v long")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dense: int = 256, block: int = 16_000_000) -> DataFrame:
     """``(doc_id, fp, component_id)``: one row per input row with the smallest id of its class.
 
     Two texts are linked if their shingle sets have similarity 0.8 or more; classes are chains of
-    links.  ``fp`` is a hash of the set, and texts with equal sets, as are all without words, are one
+    links.  Fingerprints are searched first, the links they miss are found by shared shingles.  ``fp`` is a hash of the set, and texts with equal sets, as are all without words, are one
     class from the start.  The groups of candidates are compared whole, each in one task; a group of more than
     ``block`` bytes is first held against a few of its sets, and then only blocks are compared that this has not
     linked.  Rows with a null id have a null in place of an id; repeated rows give repeated results; other columns
@@ -367,17 +407,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     store = Store(docs.sparkSession, "jaccard")
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
-    fps = store.keep(rows.mapInArrow(_digests, "doc_id long, fp long, size long, n long, map binary"), "digests")
-    distinct = store.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.max("size").alias("size"), F.max("n").alias("n"), F.max("map").alias("map")), "distinct")
-    sets, distinct = distinct.select("fp", "n", "map"), distinct.drop("n", "map")
+    fps = store.keep(rows.mapInArrow(_digests, "doc_id long, fp long, size long, n long, map binary, sim long"), "digests")
+    distinct = store.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.max("size").alias("size"), F.max("n").alias("n"), F.max("map").alias("map"), F.max("sim").alias("sim")), "distinct")
+    sets = distinct.select("fp", "n", "map")
+    kin = store.keep(_by_fingerprints(distinct, rows, store, block).distinct(), "linked")
+    known = store.keep(connected_components(kin, store), "known")
+    distinct = distinct.drop("n", "map", "sim")
     total = fps.count()
     common, held = _common(rows, total)
     hot = common[held * max(1.0, total / SAMPLE) > HOT * dense]
     firsts = rows.select("text").mapInArrow(_prefixes(common, held, hot), "token long, fp long, n int, pos int")
     dealt = firsts.repartition(F.when(F.col("n") < 0, F.col("fp")).otherwise(F.col("token"))).sortWithinPartitions("token", "fp")
     candidates = store.keep(dealt.mapInArrow(_candidates(dense), "u long, v long, whole int").distinct(), "candidates")
-    one, two = (sets.withColumnsRenamed({"fp": x, "n": f"n{x}", "map": f"m{x}"}) for x in "uv")
-    close = candidates.where("whole = 0").join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "mu", "mv").mapInArrow(_by_bitmaps, "u long, v long")
+    # Pairs within a class of fingerprints are linked already; a group that is compared whole keeps all its members.
+    one, two = (known.withColumnsRenamed({"node": x, "root": f"k{x}"}) for x in "uv")
+    new = candidates.where("whole = 0").join(one, "u", "left").join(two, "v", "left").where("ku is null or kv is null or ku <> kv").select("u", "v")
+    close = _close(new, sets)
     groups = connected_components(close.unionByName(candidates.where("whole = 1").select("u", "v")), store)
     members = store.keep(groups.select(F.col("node").alias("fp"), "root").join(distinct, "fp"), "members")
     blocks = members.groupBy("root").agg(F.ceil((F.sum("size") + 1) / F.lit(block)).cast("int").alias("k")).where("k > 1")
@@ -390,6 +435,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = store.keep(whole, "placed")
     held = rows.join(placed, "doc_id").select("root", "i", "j", "fp", "text")
     found = held.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "fp").mapInArrow(_confirmed, "u long, v long")
+    found = found.unionByName(kin)
     roots = connected_components(found if star is None else found.unionByName(star), store)
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     lowest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
