@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from wavemill.operators import ordered
+from wavemill.operators import follower, ordered
 from wavemill.operators.follower import Follower, greedy_exit, greedy_shape, greedy_taken
 
 RATES = [(0.01, 0.0001), (0.5, 0.1), (0.2, 0.01), (0.1, 0.3), (1.0, 0.0), (0.3, 0.3), (0.0, 0.0)]
@@ -87,3 +87,26 @@ def test_one_run_over_many_blocks(spark, many_tasks, monkeypatch):
     found = ordered.find_transients(channel(spark, x), 0.5, 37, mode="step")
     assert found.selectExpr("spark_partition_id() AS p").distinct().count() > 1
     assert sorted(r.pos for r in found.collect()) == plain_greedy(range(1, 20_000), 0, 37)[0]
+
+
+def test_blocks_side_by_side_are_single_blocks(monkeypatch):
+    """Blocks of any lengths, followed in matrices of a few rows, give what each gives alone; equal lengths share their steps."""
+    monkeypatch.setattr(follower, "SIDE", 5)
+    r = np.random.default_rng(6)
+    blocks = [np.abs(r.normal(size=n)) for n in (16, 16, 64, 3, 16, 200, 64, 128, 16, 16, 16, 200, 1)]
+    for attack, release in ((0.01, 0.0001), (0.3, 0.05), (0.05, 0.3)):
+        f = follower.Follower(attack, release)
+        top = [float(r.uniform(1, 4)) for _ in blocks]
+        low = [float(r.uniform(0, 0.5)) for _ in blocks]
+        assert np.array_equal(f.all_ends(blocks, top), [f.ends(v, t) for v, t in zip(blocks, top)])
+        for got, v, a, b in zip(f.all_shapes(blocks, low, top), blocks, low, top):
+            want = f.shape(v, a, b)
+            assert np.array_equal(got[0], want[0]) and np.array_equal(got[1], want[1])
+        for got, v, a in zip(f.all_output(blocks, low), blocks, low):
+            assert np.array_equal(got, f.output(v, a))
+    monkeypatch.undo()
+    calls = []
+    lines = follower.Follower.lines
+    monkeypatch.setattr(follower.Follower, "lines", lambda self, v: calls.append(v.shape) or lines(self, v))
+    follower.Follower(0.01, 0.0001).all_output([np.ones(16)] * 1000, [0.0] * 1000)
+    assert calls == [(1000, 16)]
