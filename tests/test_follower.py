@@ -110,3 +110,18 @@ def test_blocks_side_by_side_are_single_blocks(monkeypatch):
     monkeypatch.setattr(follower.Follower, "lines", lambda self, v: calls.append(v.shape) or lines(self, v))
     follower.Follower(0.01, 0.0001).all_output([np.ones(16)] * 1000, [0.0] * 1000)
     assert calls == [(1000, 16)]
+
+
+def test_channels_stream_through_a_task(spark):
+    """What is carried crosses batches and starts anew with a channel; no channel is a group of its own."""
+    rows = spark.range(2000).selectExpr("concat('t', id % 7) AS track_id", "cast(id % 3 AS int) AS ch", "id AS b", "id + 1 AS n")
+    df = ordered._carried(rows, "b", 0, lambda now, n: now + int(n), "before", "track_id string, ch int, b long, before long")
+    want, sums = {}, {}
+    for i in range(2000):
+        key = (f"t{i % 7}", i % 3)
+        want[(*key, i)] = sums.get(key, 0)
+        sums[key] = want[(*key, i)] + i + 1
+    assert {(r.track_id, r.ch, r.b): r.before for r in df.collect()} == want
+    env = spark.range(50).selectExpr("'a' AS track_id", "0 AS ch", "id AS idx", "cast(id % 9 AS double) AS x")
+    for plan in (ordered.find_transients(env, 0.5, 3, mode="step"), ordered.envelope(ordered.to_blocks(env, 16))):
+        assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().executedPlan().toString()
