@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +90,25 @@ def test_uniform_vectors_are_not_copied_to_every_cell(spark, monkeypatch):
     _, near = clustered(spark, 400)
     tree = cepstra.euclid_pairs(near, near, 0.4, method="cells")._jdf.queryExecution().executedPlan().toString()
     assert "BuildLeft" not in tree
+
+
+def test_memory_of_cosine_blocks_follows_a_few_rows():
+    """Two whole blocks are never a matrix of all their products; short, zero and longer vectors are there."""
+    v = np.random.default_rng(9).normal(size=(2000, 8))
+    v[5] = 0
+    left = pa.table({"id": np.arange(2000), "v": [*v[:1999].tolist(), [1.0, 2.0]]})
+    right = left.slice(1000).append_column("n", pa.nulls(1000)).select(["id", "v"]).take(np.random.default_rng(1).permutation(1000))
+    right = pa.concat_tables([right, left.slice(0, 1000)])
+    tracemalloc.start()
+    got = cepstra._best(5)(left, right).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000 and len(got) == 10_000
+    norm = np.linalg.norm(v, axis=1)
+    u = v / np.where(norm < 1e-15, np.inf, norm)[:, None]
+    s = u @ u.T
+    s[1999], s[:, 1999] = 0, 0
+    np.fill_diagonal(s, -np.inf)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    assert [r["b_id"] for r in got] == want.ravel().tolist()
+    assert np.allclose([r["similarity"] for r in got], np.take_along_axis(s, want, axis=1).ravel())
