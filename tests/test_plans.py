@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from wavemill.functions.scalar import is_lossy
-from wavemill.operators import findings
+from wavemill.operators import findings, ordered
 
 
 def optimized(df):
@@ -40,3 +40,12 @@ def test_assembled_findings_meet_their_track_once(spark):
     assert tidy(got) == tidy(plain_assembly(df))
     # Findings meet their track in one join, and no join is joined again.
     assert optimized(got).count("Join Inner") == 1
+
+
+def test_samples_are_never_dealt_by_channel(spark):
+    """Long channels are few: what is told of a whole channel meets samples by block."""
+    s = spark.range(300).select(F.lit("a").alias("track_id"), F.lit(0).alias("ch"), F.col("id").alias("idx"), F.sin("id").alias("x"))
+    env = ordered.from_blocks(ordered.envelope(ordered.to_blocks(s, 64), 0.2, 0.01, smooth=8, block=64), 64)
+    for df in (ordered.moving_average(s, 8), ordered.envelope(ordered.to_blocks(s, 64), 0.2, 0.01), ordered.find_transients(env, 0.5, 20)):
+        joins = [line for line in optimized(df).splitlines() if "Join Inner" in line]
+        assert joins and all("__b" in j or "block_no" in j or "b#" in j for j in joins)
