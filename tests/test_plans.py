@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wavemill.functions.scalar import is_lossy
@@ -49,3 +50,12 @@ def test_samples_are_never_dealt_by_channel(spark):
     for df in (ordered.moving_average(s, 8), ordered.envelope(ordered.to_blocks(s, 64), 0.2, 0.01), ordered.find_transients(env, 0.5, 20)):
         joins = [line for line in optimized(df).splitlines() if "Join Inner" in line]
         assert joins and all("__b" in j or "block_no" in j or "b#" in j for j in joins)
+
+
+def test_a_block_is_correlated_where_it_is_packed(spark):
+    """A table of blocks would come to the next Python step in batches of many blocks."""
+    s = spark.range(5000).select(F.lit("a").alias("track_id"), F.lit(0).alias("ch"), F.col("id").alias("idx"), F.sin("id").alias("x"))
+    r = ordered.autocorrelation(s, 8, 1000)
+    assert optimized(r.where("lag = 0")).count("MapInArrow") <= 2
+    x = np.sin(np.arange(5000))
+    assert np.allclose([v.r for v in r.orderBy("lag").collect()], [x[: 5000 - k] @ x[k:] / (x @ x) for k in range(9)])
