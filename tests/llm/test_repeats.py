@@ -127,3 +127,27 @@ def test_long_text(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.op12_repeats(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_make_rows_in_proportion(spark, tmp_path, monkeypatch):
+    """Very many near copies of one text give a few rows for each of their stretches, not one for each of their strings."""
+    monkeypatch.setattr(repeats, "SPLIT", 20)
+    made, keep = Counter(), repeats.Store.keep
+
+    def counted(self, df, name):
+        table = keep(self, df, name)
+        made[name] += table.count()
+        return table
+
+    monkeypatch.setattr(repeats.Store, "keep", counted)
+    r = random.Random(7)
+    words = [f"{r.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(240):
+        w = list(words)
+        for _ in range(3):
+            w[r.randrange(120)] = f"edit{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    check(spark, rows, tmp_path)
+    later = {n: k for n, k in made.items() if n not in ("again", "anchors", "stretches")}
+    assert sum(later.values()) < 15 * made["stretches"], made

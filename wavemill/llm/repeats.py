@@ -7,14 +7,19 @@ anchor, so that equal strings meet in a shard.  Only stretches whose hash is the
 stretches one with their number.
 
 A shard sorts the suffixes of its stretches (Larsson and Sadakane), takes their common prefixes (Kasai), and
-a string is there again if its neighbour shares ``length`` bytes or its stretch is there twice.  A hash with very
-many different stretches is split over shards; each gives its strings as a sorted run of 128-bit digests, one for
-each group of the array, and the runs are merged by binary search.
+a string is there again if its neighbour shares ``length`` bytes or its stretch is there twice.
+
+A hash with very many different stretches (near copies) is not judged at once.  Its strings differ in how far before
+the anchor they start; a stretch is halved by that, and all strings of a half hold the same bytes around the
+anchor, its core, which is longer than the anchor.  Halves meet by the hash of their core: those whose core is not there
+again are done, equal ones become one, and the margins that are left to differ are half as wide.  What still has very many
+kinds is halved again; cores of single strings have one kind.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +30,13 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from wavemill.llm.columns import boxed, column, unboxed
 from wavemill.llm.store import Store
-from wavemill.llm.suffix_array import common_prefixes, merge_runs, suffix_array
+from wavemill.llm.suffix_array import common_prefixes, suffix_array
 
 GRAM = 32
 #: Bytes hashed at once; 24 bits of a key hold a place.
 BLOCK = 1 << 20
-#: Bytes of stretches in a shard; different stretches of one hash from which on it is split; digests merged at once.
-SHARD_BYTES, SPLIT, MERGE = 1 << 20, 4096, 1 << 20
+#: Bytes of stretches in a shard; different stretches of one hash above which they are halved.
+SHARD_BYTES, SPLIT = 1 << 20, 4096
 #: Keys of texts that are met by broadcast, at most.
 FEW = 200_000
 
@@ -168,18 +173,54 @@ def anchor_rows(length: int):
 
 def _cut_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches that are asked for, in batches of bounded size."""
-    names = ["shard", "split", "twice", "k1", "k2", "start", "bytes"]
+    names = ["shard", "twice", "k1", "k2", "start", "bytes"]
     for big in batches:
         for b in (big.slice(i, 16) for i in range(0, big.num_rows, 16)):
             rows = []
             for text, wanted in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(w["shard"], w["split"], w["twice"], w["k1"], w["k2"], w["start"], text[w["start"] : w["start"] + w["size"]]) for w in wanted]
+                rows += [(w["shard"], w["twice"], w["k1"], w["k2"], w["start"], text[w["start"] : w["start"] + w["size"]]) for w in wanted]
             for i in range(0, len(rows), 4096):
-                kinds = (pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), kinds, strict=True)], names=names)
 
 
-FOUND = "k1 long, k2 long, start long, stop long, shard long, d1 long, d2 long"
+PIECE = "g long, d1 long, d2 long, size long, k1 long, k2 long, start long, bytes binary, at int, low int, high int, twice boolean"
+
+
+def _halves(length: int):
+    """Rows of ``PIECE``: the two halves of each piece, by the hash of their core and their digest.
+
+    The strings of a piece start ``low`` to ``high`` bytes before its anchor, which is at ``at``; not all of them need be there.
+    A piece without ``at`` is a stretch; its anchor is found as ``anchors`` does.
+    """
+    low_bits = np.uint64((1 << 24) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PIECE.split(", ")]
+        kinds = [*[pa.int64()] * 7, pa.binary(), *[pa.int32()] * 3, pa.bool_()]
+        for big in batches:
+            for b in (big.slice(i, 2048) for i in range(0, big.num_rows, 2048)):
+                rows = []
+                for k1, k2, start, piece, at, low, high, twice in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if at is None:
+                        h = gram_hashes(np.frombuffer(piece[:length], np.uint8))
+                        at = int(np.argmin((h & ~low_bits) | np.arange(len(h), dtype=np.uint64)))
+                    middle = (low + high) // 2
+                    for near, far in ((low, middle), (middle + 1, high)):
+                        s, last = at - min(far, at), at - max(near, at - (len(piece) - length))
+                        if s > last:
+                            continue
+                        own, core = piece[s : last + length], piece[at - near : at - far + length]
+                        g = np.frombuffer(xxhash.xxh3_64_digest(core, near << 32 | far), "<i8")[0]
+                        d1, d2 = np.frombuffer(xxhash.xxh3_128_digest(own), "<i8")
+                        rows.append((g, d1, d2, len(own), k1, k2, start + s, own, at - s, near, far, twice))
+                if rows:
+                    yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return run
+
+
+FOUND = "k1 long, k2 long, start long, stop long"
 
 
 def repeated_in(texts: list[bytes], twice: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,12 +241,12 @@ def repeated_in(texts: list[bytes], twice: np.ndarray, length: int) -> tuple[np.
 
 
 def _judge(length: int):
-    """A shard: the strings of its stretches that are there again, and the digests of all if its hash is split."""
+    """A shard: the strings of its stretches that are there again."""
 
     def run(shard: pa.Table) -> pa.Table:
-        texts, twice, split = shard["bytes"].to_pylist(), np.array(shard["twice"].to_pylist(), int), shard["split"][0].as_py()
+        texts, twice = shard["bytes"].to_pylist(), np.array(shard["twice"].to_pylist(), int)
         k1, k2, start = (shard[c].to_numpy() for c in ("k1", "k2", "start"))
-        place, again, group, owner = repeated_in(texts, twice, length)
+        place, again, _, owner = repeated_in(texts, twice, length)
         sizes = np.array([len(t) for t in texts])
         inside = place - (np.cumsum(sizes) - sizes)[owner]
         # Spans of stretches that are there once; the others are known to be repeated whole.
@@ -215,46 +256,49 @@ def _judge(length: int):
         first = mine[cut]
         last = mine[np.append(np.flatnonzero(cut)[1:], len(mine)) - 1] if len(mine) else mine
         o = owner[first]
-        rows = [(k1[o], k2[o], start[o] + inside[first], start[o] + inside[last] + length, None, None, None)]
-        if split:
-            # One digest a group; a place goes with it where it is not known to be repeated.
-            one = np.unique(group, return_index=True)[1]
-            raw = memoryview(b"".join(texts))
-            d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[p : p + length]) for p in place[one].tolist()), "<i8").reshape(-1, 2)
-            at = np.where(again[one], -1, start[owner[one]] + inside[one])
-            number = np.full(len(one), shard["shard"][0].as_py())
-            rows.append((k1[owner[one]], k2[owner[one]], at, at + length, number, d[:, 0], d[:, 1]))
-        tables = []
-        for r in rows:
-            n = len(r[0])
-            tables.append(pa.table([pa.nulls(n, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c, np.int64)) for c in r], names=["k1", "k2", "start", "stop", "shard", "d1", "d2"]))
-        return pa.concat_tables(tables)
+        cols = (k1[o], k2[o], start[o] + inside[first], start[o] + inside[last] + length)
+        return pa.table([pa.array(np.ascontiguousarray(c, np.int64)) for c in cols], names=["k1", "k2", "start", "stop"])
 
     return run
 
 
-def _merge(bucket: pa.Table) -> pa.Table:
-    """Digests of a bucket that two or more shards hold."""
-    pair = np.zeros(bucket.num_rows, [("a", "<i8"), ("b", "<i8")])
-    pair["a"], pair["b"] = bucket["d1"].to_numpy(), bucket["d2"].to_numpy()
-    shards = bucket["shard"].to_numpy()
-    order = np.lexsort((pair["b"], pair["a"], shards))
-    # Rank by the pair, so that runs are sorted arrays of whole numbers.
-    number = np.unique(pair, return_inverse=True)
-    runs = np.split(number[1][order], np.flatnonzero(np.diff(shards[order])) + 1)
-    both = number[0][merge_runs(runs)]
-    return pa.table([pa.array(np.ascontiguousarray(both["a"])), pa.array(np.ascontiguousarray(both["b"]))], names=["d1", "d2"])
-
-
-def _shared_strings(windows: DataFrame, store: Store) -> DataFrame:
-    """Spans of strings of split hashes that another shard holds too."""
-    n = windows.count()
-    if n == 0:
-        return windows.select("k1", "k2", "start", "stop")
-    buckets = max(1, n // MERGE)
-    dealt = windows.select("shard", "d1", "d2", F.pmod(F.xxhash64("d1"), F.lit(buckets)).alias("bucket"))
-    both = store.keep(dealt.groupBy("bucket").applyInArrow(_merge, "d1 long, d2 long"), "shared")
-    return windows.where("start >= 0").join(both, ["d1", "d2"]).select("k1", "k2", "start", "stop")
+class _Dealer:
+    """Deals kinds of stretches to shards, which get new numbers at each call."""
+
+    def __init__(self, store: Store):
+        self.store, self.shards = store, 0
+
+    def deal(self, kinds: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+        """Kinds of keys that have others, with their ``shard``, and those of keys with more than ``SPLIT``, if there are any."""
+        varied = kinds.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1")
+        varied = self.store.keep(varied, "varied")
+        few = F.col("kinds") <= SPLIT
+        total, most = varied.agg(F.sum(F.when(few, F.col("bytes"))), F.max("kinds")).first()
+        shards = int((total or 0) // SHARD_BYTES) + 1
+        shard = F.pmod(F.xxhash64(key), F.lit(shards)) + self.shards
+        self.shards += shards
+        dealt = kinds.join(varied.where(few).select(key), key).withColumn("shard", shard)
+        if (most or 0) <= SPLIT:
+            return dealt, None
+        # Few keys can have so many, so their kinds stay where they are.
+        return dealt, kinds.join(F.broadcast(varied.where(~few).select(key)), key)
+
+
+def _halved(pieces: DataFrame, length: int, store: Store, dealer: _Dealer) -> tuple[DataFrame, list[DataFrame]]:
+    """Spans of halves that are there twice, and ``(shard, twice, k1, k2, start, bytes)`` of those to be judged."""
+    whole, judged, kind = [], [], ["g", "d1", "d2"]
+    while pieces is not None:
+        rows = store.keep(pieces.select("k1", "k2", "start", "bytes", "at", "low", "high", "twice").mapInArrow(_halves(length), PIECE), "halves")
+        one = F.min(F.struct("k1", "k2", "start", "bytes", "at", "low", "high")).alias("one")
+        kinds = store.keep(rows.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.max("twice").alias("twice"), F.max("size").alias("size"), one), "kinds")
+        # A piece of a stretch that is there twice is known to be repeated.
+        twice = rows.where("not twice").join(kinds.where("n > 1").select(*kind), kind)
+        whole.append(twice.select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("stop")))
+        dealt, pieces = dealer.deal(kinds, "g")
+        again = (F.col("twice") | (F.col("n") > 1)).alias("twice")
+        judged.append(dealt.select("shard", again, "one.k1", "one.k2", "one.start", "one.bytes"))
+        pieces = pieces if pieces is None else pieces.select("one.*", again)
+    return reduce(DataFrame.unionByName, whole), judged
 
 
 def repeated_spans(docs: DataFrame, length: int, store: Store) -> DataFrame:
@@ -272,26 +316,26 @@ def repeated_spans(docs: DataFrame, length: int, store: Store) -> DataFrame:
     kinds = found.groupBy(*stretch).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "start")).alias("at"), F.max("size").alias("size"))
     kinds = store.keep(kinds, "stretches")
     whole = found.join(kinds.where("n > 1").select(*stretch), stretch).select("k1", "k2", "start", (F.col("start") + F.col("size")).alias("stop"))
-    varied = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("size").alias("bytes")).where("kinds > 1")
-    varied = store.keep(varied, "varied")
-    total = varied.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, int(total // SHARD_BYTES) + 1)
-    split = F.col("kinds") > SPLIT
-    salt = F.pmod(F.xxhash64("d1", "d2"), F.ceil(F.col("kinds") / SPLIT).cast("long"))
-    # Shards of split hashes have numbers of their own.
-    number = F.when(split, -1 - F.abs(F.xxhash64("h", salt) % (1 << 60))).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)))
-    wanted = kinds.join(varied, "h").select("at.*", "size", number.alias("shard"), split.alias("split"), (F.col("n") > 1).alias("twice"))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "split", "twice", "k1", "k2", "start", "size")).alias("wanted"))
+    dealer = _Dealer(store)
+    wanted, many = dealer.deal(kinds, "h")
+    if many is not None:
+        wanted = wanted.unionByName(many.withColumn("shard", F.lit(None).cast("long")))
+    wanted = wanted.select("at.*", "size", "shard", (F.col("n") > 1).alias("twice"))
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "twice", "k1", "k2", "start", "size")).alias("wanted"))
     wanted = store.keep(wanted, "wanted")
     held = docs.select("k1", "k2", text)
     if wanted.count() <= FEW:
         held = held.join(F.broadcast(wanted.select("k1", "k2")), ["k1", "k2"], "left_semi")
     once = held.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"])
-    cut = once.select("text", "wanted").mapInArrow(_cut_stretches, "shard long, split boolean, twice boolean, k1 long, k2 long, start long, bytes binary")
+    cut = once.select("text", "wanted").mapInArrow(_cut_stretches, "shard long, twice boolean, k1 long, k2 long, start long, bytes binary")
+    if many is not None:
+        cut = store.keep(cut, "cut")
+        none = F.lit(None).cast("int")
+        pieces = cut.where("shard is null").withColumns({"at": none, "low": F.lit(0), "high": F.lit(length - GRAM)})
+        halves, judged = _halved(pieces, length, store, dealer)
+        whole, cut = whole.unionByName(halves), reduce(DataFrame.unionByName, judged, cut.where("shard is not null"))
     judged = store.keep(cut.groupBy("shard").applyInArrow(_judge(length), FOUND), "judged")
-    partly = judged.where("shard is null").select("k1", "k2", "start", "stop")
-    spread = _shared_strings(judged.where("shard is not null"), store)
-    spans = whole.unionByName(partly).unionByName(spread)
+    spans = whole.unionByName(judged)
     return spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
