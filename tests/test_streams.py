@@ -176,3 +176,27 @@ def test_a_key_with_very_many_rows_stays_in_bounded_blocks(monkeypatch, seed):
     assert state.read < 50 + 2 * 145 and not state.map
     out = list(p.handleExpiredTimer(("a",), _Clock(10**9), None))
     assert state.value is None and not state.timers
+
+
+def test_a_key_with_few_rows_costs_few_calls_to_the_state():
+    """Each call goes to another process: one batch of a new key and the timer that releases it need a dozen."""
+    state, calls = _State(), []
+    p = monitors._ClipRuns(0.9, 2, step="1 second", idle="10 seconds")
+
+    def counted(name, whole):
+        def run(*args):
+            calls.append(name)
+            return whole(*args)
+
+        return run
+
+    for name in ("exists", "get", "update", "clear", "listTimers", "deleteTimer", "registerTimer"):
+        setattr(state, name, counted(name, getattr(state, name)))
+    p.init(state)
+    for name in ("keys", "updateValue", "getValue", "removeKey"):
+        setattr(p.waiting, name, counted(name, getattr(p.waiting, name)))
+    rows = pd.DataFrame([(n * 100_000, float(n % 5 < 3)) for n in range(60)][::-1], columns=["us", "value"])
+    out = list(p.handleInputRows(("a",), iter([rows]), _Clock(0)))
+    out += list(p.handleExpiredTimer(("a",), _Clock(8000), None))
+    assert pd.concat(out)["n"].tolist() == [3] * 12
+    assert len(calls) <= 12, calls

@@ -5,13 +5,18 @@ any more; a timer then releases it: its rows are sorted, followed, and removed.
 the sorted one.  Of a key that waits long, hot ones included, only the blocks that hold the step at work are in memory: for
 each batch that wrote some, ``ROWS`` rows, or those of one step.  A key that is silent for long ends: its state
 goes, by a timer too.
+
+Every call to the state goes to another process, and most keys have few rows in a batch.  So one value holds all that is known
+of a key, its waiting blocks and its timer too; it is read and written once a call, and rows are arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -29,6 +34,20 @@ def microseconds(interval: str) -> int:
     return int(n) * units[unit.rstrip("s")]
 
 
+@dataclass
+class _Past:
+    """What is known of a key."""
+
+    state: tuple
+    #: The last time followed, the time up to which steps are released, the next part's number and the timer that is set.
+    last: int = LEAST
+    done: int = LEAST
+    part: int = 0
+    timer: int = LEAST
+    #: First step and part of each block that waits.
+    blocks: list[tuple[int, int]] = field(default_factory=list)
+
+
 class TimeOrdered(StatefulProcessor):
     """Rows ``us`` (microseconds) and ``columns``, given to ``follow`` in time order.
 
@@ -42,116 +61,124 @@ class TimeOrdered(StatefulProcessor):
     def begin(self) -> tuple:
         raise NotImplementedError
 
-    def follow(self, key: Any, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def follow(self, key: Any, state: tuple, rows: dict[str, np.ndarray]) -> tuple[tuple, dict[str, Any]]:
         raise NotImplementedError
 
-    def end(self, key: Any, state: tuple) -> pd.DataFrame | None:
-        return None
+    def end(self, key: Any, state: tuple) -> dict[str, Any]:
+        return {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         kinds = {float: "double", int: "long"}
         fields = ", ".join(f"s{i} {kinds[type(v)]}" for i, v in enumerate(self.begin()))
-        # The state, the last time followed, the time up to which steps are released and the next part's number.
-        self.past = handle.getValueState("past", f"{fields}, last long, done long, part long")
+        self.past = handle.getValueState("past", f"{fields}, last long, done long, part long, timer long, steps array<long>, parts array<long>")
         self.waiting = handle.getMapState("waiting", "first long, part long", ", ".join(f"{c} array<{t}>" for c, t in {"us": "long", **self.columns}.items()))
 
-    def _load(self) -> tuple[tuple, int, int, int]:
-        if not self.past.exists():
-            return self.begin(), LEAST, LEAST, 0
-        *state, last, done, part = self.past.get()
-        return tuple(state), last, done, part
+    def _load(self) -> _Past:
+        known = self.past.get()
+        if known is None:
+            return _Past(self.begin())
+        *state, last, done, part, timer, steps, parts = known
+        return _Past(tuple(state), last, done, part, timer, list(zip(steps, parts, strict=True)))
+
+    def _keep(self, past: _Past) -> None:
+        """Write what is known, with one timer: at the end of the first waiting step or, if none waits, where the key's silence ends it."""
+        if past.blocks:
+            us = (min(past.blocks)[0] + 1) * self.step
+        else:
+            us = self._closes(past.last + self.idle) if past.last > LEAST else None
+        timer = LEAST if us is None else -(-us // 1000)
+        if timer != past.timer:
+            if past.timer > LEAST:
+                self.handle.deleteTimer(past.timer)
+            if timer > LEAST:
+                self.handle.registerTimer(timer)
+        steps, parts = [b[0] for b in past.blocks], [b[1] for b in past.blocks]
+        self.past.update((*past.state, past.last, past.done, past.part, timer, steps, parts))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state, last, done, part = self._load()
-        blocks = list(self.waiting.keys())
+        past = self._load()
         for batch in rows:
-            batch = batch.loc[batch["us"] >= done, ["us", *self.columns]].sort_values("us", kind="stable")
-            steps, low = (batch["us"] // self.step).to_numpy(), 0
-            while low < len(batch):
+            us = batch["us"].to_numpy()
+            order = np.argsort(us, kind="stable")
+            order = order[us[order] >= past.done]
+            data = [batch[c].to_numpy()[order] for c in ("us", *self.columns)]
+            steps, low = data[0] // self.step, 0
+            while low < len(steps):
                 # At least so many rows, up to the end of a step.
                 high = int(steps.searchsorted(steps[min(low + ROWS, len(steps)) - 1], side="right"))
-                part = self._put(batch.iloc[low:high], part, blocks)
+                self._put([c[low:high] for c in data], past)
                 low = high
-        self.past.update((*state, last, done, part))
         if not self.wait:
-            yield from self._release(key, None, blocks)
-        self._set_timer(blocks)
+            yield from self._release(key, past, None)
+        self._keep(past)
 
-    def _put(self, rows: pd.DataFrame, part: int, blocks: list) -> int:
-        block = (int(rows["us"].iloc[0]) // self.step, part)
-        self.waiting.updateValue(block, tuple(rows[c].tolist() for c in rows.columns))
-        blocks.append(block)
-        return part + 1
+    def _put(self, rows: list[np.ndarray], past: _Past) -> None:
+        block = (int(rows[0][0]) // self.step, past.part)
+        self.waiting.updateValue(block, tuple(c.tolist() for c in rows))
+        past.blocks.append(block)
+        past.part += 1
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now, blocks = timerValues.getCurrentWatermarkInMs() * 1000, list(self.waiting.keys())
+        now, past = timerValues.getCurrentWatermarkInMs() * 1000, self._load()
         if self.wait:
-            yield from self._release(key, now, blocks)
-        state, last, _, _ = self._load()
-        if last > LEAST and self._closes(last + self.idle) <= now and not blocks:
-            yield from self._output(key, self.end(key, state))
+            yield from self._release(key, past, now)
+        if past.last > LEAST and self._closes(past.last + self.idle) <= now and not past.blocks:
+            yield from self._output(key, [self.end(key, past.state)])
+            if past.timer > LEAST:
+                self.handle.deleteTimer(past.timer)
             self.past.clear()
-        self._set_timer(blocks)
+        else:
+            self._keep(past)
 
     def _closes(self, us: int) -> int:
         """The end of the step that a time lies in."""
         return (us // self.step + 1) * self.step
 
-    def _release(self, key: Any, until: int | None, blocks: list) -> Iterator[pd.DataFrame]:
-        """Follow the steps that end by ``until``, all if it is None; ``blocks`` loses and gains what the state does.
+    def _release(self, key: Any, past: _Past, until: int | None) -> Iterator[pd.DataFrame]:
+        """Follow the steps that end by ``until``, all if it is None.
 
         Blocks are read as time reaches them, and rows are followed up to where the next block begins.
         """
-        names = ["us", *self.columns]
-        ready = sorted(b for b in blocks if until is None or (b[0] + 1) * self.step <= until)
+        ready = sorted(b for b in past.blocks if until is None or (b[0] + 1) * self.step <= until)
         end = 1 << 62 if until is None else until // self.step * self.step
-        held = pd.DataFrame(columns=names)
+        held = None
         for n, block in enumerate(ready):
-            rows = pd.DataFrame(dict(zip(names, self.waiting.getValue(block), strict=True)))
+            rows = [np.array(c) for c in self.waiting.getValue(block)]
             self.waiting.removeKey(block)
-            blocks.remove(block)
-            held = pd.concat([held, rows], ignore_index=True) if len(held) else rows
+            past.blocks.remove(block)
+            held = rows if held is None else [np.concatenate(c) for c in zip(held, rows, strict=True)]
+            order = np.argsort(held[0], kind="stable")
+            held = [c[order] for c in held]
             upto = min(ready[n + 1][0] * self.step, end) if n + 1 < len(ready) else end
-            now = held["us"] < upto
-            if now.any():
-                yield from self._follow(key, held.loc[now].sort_values("us", kind="stable", ignore_index=True))
-                held = held.loc[~now]
-        state, last, done, part = self._load()
-        if len(held):
-            part = self._put(held.sort_values("us", kind="stable"), part, blocks)
-        self.past.update((*state, last, max(done, end) if self.wait else done, part))
-
-    def _follow(self, key: Any, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            now = int(held[0].searchsorted(upto))
+            if now:
+                yield from self._output(key, self._follow(key, past, [c[:now] for c in held]))
+                held = [c[now:] for c in held]
+        if held is not None and len(held[0]):
+            self._put(held, past)
+        if self.wait:
+            past.done = max(past.done, end)
+
+    def _follow(self, key: Any, past: _Past, rows: list[np.ndarray]) -> list[dict[str, Any]]:
         """Follow sorted rows; a silence longer than allowed ends what was before it."""
-        state, last, done, part = self._load()
-        us = rows["us"]
-        pause = (us.diff() > self.idle).cumsum()
-        for _, some in rows.groupby(pause, sort=True):
-            if last > LEAST and int(some["us"].iloc[0]) - last > self.idle:
-                yield from self._output(key, self.end(key, state))
-                state = self.begin()
-            state, out = self.follow(key, state, some.reset_index(drop=True))
-            last = int(some["us"].iloc[-1])
-            yield from self._output(key, out)
-        self.past.update((*state, last, done, part))
-
-    def _output(self, key: Any, out: pd.DataFrame | None) -> Iterator[pd.DataFrame]:
-        if out is not None and len(out):
-            out.insert(0, "key", key[0])
-            yield out
-
-    def _set_timer(self, blocks: list) -> None:
-        """One timer: at the end of the first waiting step or, if none waits, where the key's silence ends it."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if blocks:
-            at = (min(blocks)[0] + 1) * self.step
-        elif self.past.exists() and self._load()[1] > LEAST:
-            at = self._closes(self._load()[1] + self.idle)
-        else:
-            return
-        self.handle.registerTimer(-(-at // 1000))
+        us, out = rows[0], []
+        edges = [0, *(np.flatnonzero(np.diff(us) > self.idle) + 1).tolist(), len(us)]
+        for low, high in zip(edges, edges[1:], strict=False):
+            if past.last > LEAST and int(us[low]) - past.last > self.idle:
+                out.append(self.end(key, past.state))
+                past.state = self.begin()
+            past.state, some = self.follow(key, past.state, {n: c[low:high] for n, c in zip(("us", *self.columns), rows, strict=True)})
+            past.last = int(us[high - 1])
+            out.append(some)
+        return out
+
+    def _output(self, key: Any, parts: list[dict[str, Any]]) -> Iterator[pd.DataFrame]:
+        """One frame of parts that are given as columns."""
+        parts = [p for p in parts if len(next(iter(p.values()), ()))]
+        if parts:
+            columns = parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+            yield pd.DataFrame({"key": [key[0]] * len(next(iter(columns.values()))), **columns})
 
     def close(self) -> None:
         pass

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,14 +22,14 @@ class _RelativeGate(TimeOrdered):
     def begin(self) -> tuple:
         return 0.0, 0
 
-    def follow(self, key: Any, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def follow(self, key: Any, state: tuple, rows: dict[str, np.ndarray]) -> tuple[tuple, dict[str, Any]]:
         total, n = state
         gated = []
         for power, loud in zip(rows["power"], rows["loud"], strict=True):
             if loud:
                 total, n = total + power, n + 1
             gated.append(bool(loud and power > self.share * total / n))
-        return (total, n), rows.assign(gated=gated)
+        return (total, n), {**rows, "gated": gated}
 
 
 def stream_loudness(stream: DataFrame, window: str = "400 milliseconds", slide: str = "100 milliseconds", late: str = "1 second", gate: float = -70.0, below: float = 10.0, step: str = "10 seconds", idle: str = "1 day") -> DataFrame:
@@ -70,12 +70,12 @@ class _Envelope(TimeOrdered):
     def begin(self) -> tuple:
         return (0.0,)
 
-    def follow(self, key: Any, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def follow(self, key: Any, state: tuple, rows: dict[str, np.ndarray]) -> tuple[tuple, dict[str, Any]]:
         (e,), (up, down), out = state, self.rates, []
-        for v in rows["value"].abs().tolist():
+        for v in np.abs(rows["value"]).tolist():
             e += (up if v > e else down) * (v - e)
             out.append(e)
-        return (e,), pd.DataFrame({"us": rows["us"], "envelope": out})
+        return (e,), {"us": rows["us"], "envelope": out}
 
 
 def stream_envelope(stream: DataFrame, attack: float = 0.01, release: float = 0.0001, late: str = "1 second", step: str = "1 second", idle: str = "1 day") -> DataFrame:
@@ -99,12 +99,13 @@ class _ClipRuns(TimeOrdered):
     def begin(self) -> tuple:
         return 0, 0, 0
 
-    def _rows(self, runs: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([r for r in runs if r[2] >= self.least], columns=["start", "last", "n"])
+    def _rows(self, runs: list[tuple]) -> dict[str, Any]:
+        runs = [r for r in runs if r[2] >= self.least]
+        return {c: [r[i] for r in runs] for i, c in enumerate(("start", "last", "n"))}
 
-    def follow(self, key: Any, state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def follow(self, key: Any, state: tuple, rows: dict[str, np.ndarray]) -> tuple[tuple, dict[str, Any]]:
         run, out = state, []
-        for us, hit in zip(rows["us"].tolist(), (rows["value"].abs() >= self.thr).tolist(), strict=True):
+        for us, hit in zip(rows["us"].tolist(), (np.abs(rows["value"]) >= self.thr).tolist(), strict=True):
             if hit:
                 run = (run[0], us, run[2] + 1) if run[2] else (us, us, 1)
             elif run[2]:
@@ -112,7 +113,7 @@ class _ClipRuns(TimeOrdered):
                 run = self.begin()
         return run, self._rows(out)
 
-    def end(self, key: Any, state: tuple) -> pd.DataFrame:
+    def end(self, key: Any, state: tuple) -> dict[str, Any]:
         return self._rows([state])
 
 
