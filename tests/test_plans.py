@@ -59,3 +59,29 @@ def test_a_block_is_correlated_where_it_is_packed(spark):
     assert optimized(r.where("lag = 0")).count("MapInArrow") <= 2
     x = np.sin(np.arange(5000))
     assert np.allclose([v.r for v in r.orderBy("lag").collect()], [x[: 5000 - k] @ x[k:] / (x @ x) for k in range(9)])
+
+
+def test_padded_bits_are_found_without_samples_in_a_join(spark):
+    """Samples meet their track's bits as sums: below every join there is an aggregate between it and the samples."""
+    rows = [(t, 0, i, (i * 7919 + t * 104729) % (1 << 23) >> z << z) for t, z in ((1, 0), (2, 8), (3, 13), (4, 16)) for i in range(400)]
+    x = spark.createDataFrame([*rows, (5, 0, 0, None)], "track_id long, ch int, idx long, q long")
+    usage = spark.createDataFrame([(t, c, e) for t, e in ((1, 24), (2, 16), (3, 11), (4, 8), (5, 24)) for c in (0, 1)], "track_id long, ch int, effective_bits int")
+    entropy = spark.createDataFrame([(t, 0.05) for t in range(1, 6)], "track_id long, entropy double")
+    got = findings.bit_depth_finding(x, 24, usage, entropy)
+    path, bare = [], []
+    for line in optimized(got).splitlines():
+        text = line.lstrip(" :+-")
+        path = [p for p in path if p[0] < len(line) - len(text)]
+        path.append((len(line) - len(text), text))
+        if "q#" in text and text.startswith("LogicalRDD"):
+            names = [p[1].split()[0] for p in path]
+            bare += names[max((i for i, n in enumerate(names) if n == "Join"), default=0) :]
+    assert bare and "Aggregate" in bare, bare
+    # The plain form: every sample with the bits of its track.
+    shift = F.pow(F.lit(2.0), 24 - F.col("effective_bits"))
+    r = F.col("q") - F.floor(F.col("q") / shift) * shift
+    n = x.join(usage.select("track_id", "effective_bits"), "track_id").groupBy("track_id", "effective_bits").agg(F.sum(r * r).alias("r"), F.sum(F.col("q").cast("double") * F.col("q")).alias("s"))
+    n = n.select("track_id", "effective_bits", F.when((F.col("r") > 0) & (F.col("s") > 0), 10 * F.log10(F.col("r") / F.col("s"))).otherwise(-120.0).alias("db"))
+    want = {k.track_id: (k.effective_bits, round(k.db, 9)) for k in n.collect()}
+    found = {k.track_id: (k.effective_bits, round(k.q_noise_db, 9)) for k in got.collect()}
+    assert set(found) == {1, 2, 3, 4, 5} and found == want
