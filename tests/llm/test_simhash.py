@@ -113,3 +113,17 @@ def test_keep_smallest_with_shared_ids(spark):
     got = simhash.keep_smallest(docs, classes, "doc_id", "text")
     assert got.columns == docs.columns
     assert sorted(r.stays for r in got.collect()) == [0, 3, 6, 7]
+
+
+def test_a_row_for_each_mask_is_never_broadcast(spark, monkeypatch):
+    """Spark takes rows of an explode for as few as its source's, so the plan has to say how masked rows are joined."""
+    plans, keep = {}, Store.keep
+
+    def watched(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(Store, "keep", watched)
+    df = spark.range(200).selectExpr("id % 50 * 7 AS fp")
+    simhash.links(df.distinct(), Store(spark, "t")).count()
+    assert "SortMergeJoin" in plans["buckets"] and "Broadcast" not in plans["buckets"]

@@ -144,7 +144,8 @@ def links(distinct: DataFrame, store: Store, radius: int = 4, dense: int = 16384
     tables = F.explode(F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.lit(_signed(m)).alias("m")) for t, m in enumerate(masks)]))
     keyed = distinct.select("fp", tables.alias("x")).select("x.t", F.col("fp").bitwiseAND(F.col("x.m")).alias("key"), "fp")
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = store.keep(keyed.join(sizes, ["t", "key"]), "buckets")
+    # Spark sizes a side by its source, not by the row for each mask: unhinted it would broadcast one of them.
+    members = store.keep(keyed.hint("merge").join(sizes, ["t", "key"]), "buckets")
     small = members.where(F.col("n") <= dense).select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key", "fp")
     found = small.mapInArrow(_bucket_edges(radius), "u long, v long")
     big = members.where(F.col("n") > dense).select("t", "fp")
