@@ -120,3 +120,16 @@ def test_the_covering_search_links_near_copies_first(spark, monkeypatch):
     near = {f for _, t in rows[:3] for f in [jaccard._digest(jaccard.shingles(t.encode()))]}
     assert {f for e in kept["linked"].collect() for f in (e.u, e.v)} == near
     assert kept["placed"].count() == 0
+
+
+def test_masked_fingerprints_of_the_stage_are_not_broadcast(spark, monkeypatch):
+    plans, keep = {}, jaccard.Store.keep
+
+    def watched(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(jaccard.Store, "keep", watched)
+    df = spark.createDataFrame(list(enumerate(texts(40))), "doc_id long, text string")
+    corpus_pipeline.dedup_documents(spark, df, "").count()
+    assert "SortMergeJoin" in plans["buckets"] and "Broadcast" not in plans["buckets"]
