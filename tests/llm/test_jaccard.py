@@ -133,3 +133,47 @@ def test_masked_fingerprints_of_the_stage_are_not_broadcast(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts(40))), "doc_id long, text string")
     corpus_pipeline.dedup_documents(spark, df, "").count()
     assert "SortMergeJoin" in plans["buckets"] and "Broadcast" not in plans["buckets"]
+
+
+def test_sets_that_share_passages_are_no_group(spark, monkeypatch):
+    """Shingles of passages that the sample of a large table does not show as common chain no sets together; near copies among them are found."""
+    r = random.Random(5)
+    passages = [[f"p{k}w{i}" for i in range(20)] for k in range(10)]
+    rows = []
+    for i in range(300):
+        own = [f"d{i}w{j}" for j in range(r.choice([60, 70, 80]))]
+        rows.append([*passages[i % 10], *own, *passages[r.randrange(10)]])
+    for i in range(0, 300, 20):
+        copy = list(rows[i])
+        copy[len(copy) // 2] = f"x{i}"
+        rows.append(copy)
+    placed, keep = {}, jaccard.Store.keep
+
+    def watched(self, df, name):
+        placed[name] = keep(self, df, name)
+        return placed[name]
+
+    none = (jaccard.np.empty(0, jaccard.np.uint64), jaccard.np.empty(0, jaccard.np.int64))
+    monkeypatch.setattr(jaccard, "_common", lambda rows, n: none)
+    monkeypatch.setattr(jaccard.Store, "keep", watched)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard.near_copies(df).collect()}
+    sets = [plain(" ".join(t)) for t in rows]
+    assert got == dict(enumerate(components(list(range(len(rows))), sets))) and sum(k != v for k, v in got.items()) == 15
+    assert placed["placed"].count() <= 30
+
+
+def test_bitmaps_of_several_lengths_bound_the_difference():
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(300)]
+    ts = [" ".join(base[: r.randint(20, 300)] + [f"z{i}x{j}" for j in range(r.choice([0, 0, 3, 60]))]) for i in range(120)]
+    sets = [jaccard.shingles(t.encode()) for t in ts]
+    near = jaccard._Maps(jaccard.np.array([len(s) for s in sets]), [jaccard.bitmap(s) for s in sets])
+    assert len(near.places) > 2
+    for i, a in enumerate(sets):
+        marked = near(i)
+        for j, b in enumerate(sets):
+            n, m = len(a), len(b)
+            want = 9 * jaccard.least_difference(jaccard.bitmap(a), jaccard.bitmap(b)) <= n + m and jaccard.similar(min(n, m), n, m)
+            assert marked[j] == want
+            assert want or not jaccard.similar(len(jaccard.np.intersect1d(a, b)), n, m)

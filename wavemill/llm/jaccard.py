@@ -6,10 +6,11 @@ found exactly; pairs that it has linked are not compared again.
 
 For these candidates come from prefix filtering: under any one order of all shingles, two sets of similarity
 0.8 or more share a shingle among the first ``n - ceil(0.8 n) + 1`` of each.  So no link is missed,
-whatever the data; the order, rare shingles first, decides only the work.  Pairs that share a shingle with few others are
+whatever the data; the order, rare shingles first, decides only the work.  Sets that share a shingle are
 held against each other by bitmaps of the sets' parities, which differ in no more places than the sets do;
-so no similar pair is lost, and sets that only share a passage go.  What is left is confirmed on whole sets.  Shingles
-and sets are told apart by 64-bit hashes.
+so no similar pair is lost, and sets that only share a passage go, also where the sample behind the order is too small
+a part of the table to know the passage.  What is left is confirmed on whole sets.  Shingles and sets are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ SEED = 42
 SAMPLE = 32_768
 #: A shingle expected in this many times ``dense`` texts is hot.
 HOT = 4
-#: Sets that share a shingle up to which all their pairs are held against each other by bitmaps.
-FEW = 16
+#: Sets that share a shingle up to which all their pairs are held against each other by bitmaps, and up to which that is done in one task.
+FEW, MANY = 16, 16_384
 #: Sets of a large group that all others of it are held against, and the name of those that none is similar to.
 PIVOTS, REST = 8, "rest"
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -204,17 +205,59 @@ def _forest(near) -> tuple[list[int], list[int]]:
     return us, vs
 
 
-class _Bucket:
-    """Pairs of one bucket that length and places of the shared shingle allow to be similar."""
+class _Maps:
+    """Pairs of sets whose lengths and bitmaps allow them to be similar; bitmaps of one length lie in one matrix."""
 
-    def __init__(self, n: np.ndarray, pos: np.ndarray):
-        self.n, self.rest = n, n - pos
+    def __init__(self, n: np.ndarray, maps: list[bytes]):
+        self.n, self.size = n, np.array([len(m) for m in maps])
+        # Lengths of similar sets differ by less than a half, so their bitmaps by one fold at most.
+        self.places = {int(k): np.flatnonzero(self.size == k) for k in np.unique(self.size)}
+        self.maps = {k: np.frombuffer(b"".join(maps[i] for i in at), "<u8").reshape(len(at), -1) for k, at in self.places.items()}
+        self.row = np.empty(len(n), np.int64)
+        for at in self.places.values():
+            self.row[at] = np.arange(len(at))
 
     def __len__(self) -> int:
         return len(self.n)
 
     def __call__(self, i: int) -> np.ndarray:
-        return similar(np.minimum(self.rest, self.rest[i]), self.n, self.n[i])
+        found, k = np.zeros(len(self), bool), int(self.size[i])
+        own = self.maps[k][self.row[i]]
+        for size, at in self.places.items():
+            if size == k:
+                differ = self.maps[size] ^ own
+            elif size == 2 * k:
+                differ = self.maps[size][:, : k // 8] ^ self.maps[size][:, k // 8 :] ^ own
+            elif 2 * size == k:
+                differ = self.maps[size] ^ own[: size // 8] ^ own[size // 8 :]
+            else:
+                continue
+            n = self.n[at]
+            found[at] = (9 * np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= n + self.n[i]) & similar(np.minimum(n, self.n[i]), n, self.n[i])
+        return found
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (token, fp, n, map) sorted by token: edges that connect the sets of a bucket which chains of bitmaps allow to be similar."""
+    key, fps, ns, maps = None, [], [], []
+
+    def edges():
+        u, v = _forest(_Maps(np.array(ns, np.int64), maps)) if len(fps) > 1 else ([], [])
+        f = np.array(fps, np.int64)
+        u, v = f[np.array(u, int)], f[np.array(v, int)]
+        return pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+    for b in batches:
+        for token, fp, n, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if token != key:
+                if len(fps) > 1:
+                    yield edges()
+                key, fps, ns, maps = token, [], [], []
+            fps.append(fp)
+            ns.append(n)
+            maps.append(m)
+    if len(fps) > 1:
+        yield edges()
 
 
 class _Sets:
@@ -237,62 +280,59 @@ class _Sets:
         return similar(np.bincount(self.holders[at], minlength=len(self)), self.n, self.n[i])
 
 
-def _candidates(dense: int):
-    """Function over rows sorted by (token, fp): of each bucket all pairs that can be similar, or, of larger ones, edges that connect them, with ``whole`` set."""
+#: Kinds of rows of ``_candidates``: a pair that can be similar, an edge of a group, a shingle and a set that holds it.
+PAIR, EDGE, HELD = 0, 1, 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = [np.empty(0, np.int64)] * 4
-
-        def edges(token, fp, n, pos):
-            def table(pairs, linked):
-                u, v = (np.concatenate([*x, *y]) for x, y in zip(pairs, linked, strict=True))
-                whole = np.zeros(len(u), np.int32)
-                whole[sum(map(len, pairs[0])) :] = 1
-                return pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(whole)], names=["u", "v", "whole"])
-
-            node = n < 0
-            pairs, linked = ([], []), ([fp[node]], [token[node]])
-            token, fp, n, pos = token[~node], fp[~node], n[~node], pos[~node]
-            if not len(token):
-                return table(pairs, linked)
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (token, fp): of each bucket all pairs that can be similar; of larger ones the shingle beside each set, in place of a pair."""
+    rest: list[np.ndarray] = [np.empty(0, np.int64)] * 4
+
+    def rows(token, fp, n, pos):
+        found = {PAIR: ([], []), EDGE: ([], []), HELD: ([], [])}
+
+        def add(kind, u, v):
+            found[kind][0].append(u)
+            found[kind][1].append(v)
+
+        node = n < 0
+        add(EDGE, np.maximum(fp[node], token[node]), np.minimum(fp[node], token[node]))
+        token, fp, n, pos = token[~node], fp[~node], n[~node], pos[~node]
+        if len(token):
             one = np.r_[True, (token[1:] != token[:-1]) | (fp[1:] != fp[:-1])]
             token, fp, n, pos = token[one], fp[one], n[one], pos[one]
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             sizes = np.diff(np.r_[starts, len(token)])
+            # Rows of one bucket are sorted by their set.
             two = starts[sizes == 2]
             two = two[similar(np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]), n[two], n[two + 1])]
-            pairs[0].append(fp[two])
-            pairs[1].append(fp[two + 1])
+            add(PAIR, fp[two + 1], fp[two])
             for s, k in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
                 f = fp[s : s + k]
                 if k <= FEW:
                     i, j = np.triu_indices(k, 1)
                     rest, size = n[s : s + k] - pos[s : s + k], n[s : s + k]
                     ok = similar(np.minimum(rest[i], rest[j]), size[i], size[j])
-                    pairs[0].append(f[i[ok]])
-                    pairs[1].append(f[j[ok]])
-                elif k > dense:
-                    linked[0].append(f[1:])
-                    linked[1].append(np.full(k - 1, f[0]))
+                    add(PAIR, f[j[ok]], f[i[ok]])
+                elif k <= MANY:
+                    add(HELD, token[s : s + k], f)
                 else:
-                    u, v = _forest(_Bucket(n[s : s + k], pos[s : s + k]))
-                    linked[0].append(f[u])
-                    linked[1].append(f[v])
-            return table(pairs, linked)
+                    add(EDGE, f[1:], np.full(k - 1, f[0]))
+        u, v = (np.concatenate([x for pair in found.values() for x in pair[c]]) for c in (0, 1))
+        kind = np.repeat(list(found), [sum(map(len, pair[0])) for pair in found.values()]).astype(np.int32)
+        return pa.record_batch([pa.array(u), pa.array(v), pa.array(kind)], names=["u", "v", "kind"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [np.concatenate([r, np.asarray(c).astype(np.int64)]) for r, c in zip(rest, b.columns, strict=True)]
-            new = np.flatnonzero(cols[0][1:] != cols[0][:-1])
-            cut = int(new[-1]) + 1 if len(new) else 0
-            rest = [c[cut:] for c in cols]
-            if cut:
-                yield edges(*[c[:cut] for c in cols])
-        if len(rest[0]):
-            yield edges(*rest)
-
-    return run
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [np.concatenate([r, np.asarray(c).astype(np.int64)]) for r, c in zip(rest, b.columns, strict=True)]
+        new = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+        cut = int(new[-1]) + 1 if len(new) else 0
+        rest = [c[cut:] for c in cols]
+        if cut:
+            yield rows(*[c[:cut] for c in cols])
+    if len(rest[0]):
+        yield rows(*rest)
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,12 +458,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot = common[held * max(1.0, total / SAMPLE) > HOT * dense]
     firsts = rows.select("text").mapInArrow(_prefixes(common, held, hot), "token long, fp long, n int, pos int")
     dealt = firsts.repartition(F.when(F.col("n") < 0, F.col("fp")).otherwise(F.col("token"))).sortWithinPartitions("token", "fp")
-    candidates = store.keep(dealt.mapInArrow(_candidates(dense), "u long, v long, whole int").distinct(), "candidates")
+    candidates = store.keep(dealt.mapInArrow(_candidates, "u long, v long, kind int").distinct(), "candidates")
+    of = lambda kind: candidates.where(F.col("kind") == kind).select("u", "v")
+    # A shingle that is not known as common may be shared by hundreds of sets that only have a passage in common: bitmaps part them.
+    shared = of(HELD).select(F.col("u").alias("token"), F.col("v").alias("fp")).join(sets, "fp").select("token", "fp", "n", "map")
+    alike = shared.repartition("token").sortWithinPartitions("token", "fp").mapInArrow(_alike, "u long, v long")
     # Pairs within a class of fingerprints are linked already; a group that is compared whole keeps all its members.
     one, two = (known.withColumnsRenamed({"node": x, "root": f"k{x}"}) for x in "uv")
-    new = candidates.where("whole = 0").join(one, "u", "left").join(two, "v", "left").where("ku is null or kv is null or ku <> kv").select("u", "v")
+    new = of(PAIR).join(one, "u", "left").join(two, "v", "left").where("ku is null or kv is null or ku <> kv").select("u", "v")
     close = _close(new, sets)
-    groups = connected_components(close.unionByName(candidates.where("whole = 1").select("u", "v")), store)
+    groups = connected_components(close.unionByName(alike).unionByName(of(EDGE)), store)
     members = store.keep(groups.select(F.col("node").alias("fp"), "root").join(distinct, "fp"), "members")
     blocks = members.groupBy("root").agg(F.ceil((F.sum("size") + 1) / F.lit(block)).cast("int").alias("k")).where("k > 1")
     blocks = store.keep(blocks, "blocks")
