@@ -112,3 +112,32 @@ def test_memory_of_cosine_blocks_follows_a_few_rows():
     want = np.argsort(-s, axis=1, kind="stable")[:, :5]
     assert [r["b_id"] for r in got] == want.ravel().tolist()
     assert np.allclose([r["similarity"] for r in got], np.take_along_axis(s, want, axis=1).ravel())
+
+
+def test_pairs_of_all_with_all_write_no_copies(spark):
+    """Rows are shuffled once, whatever the number of blocks; odd lengths, nulls and text ids are there."""
+    v = np.random.default_rng(12).normal(size=(500, 32))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = [f"r{i}" for i in range(500)]
+    odd = [("p", [1.0, 0.0]), ("q", [1.0, 0.5]), ("n", None), (None, v[0].tolist())]
+    df = spark.createDataFrame([*((i, x.tolist()) for i, x in zip(ids, v, strict=True)), *odd], "id string, v array<double>")
+    pairs = cepstra.euclid_pairs(df, df, 1.1, block=40, method="cells")
+    got = {(r.a_id, r.b_id): r.distance for r in pairs.collect()}
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    want = {(ids[i], ids[j]): d[i, j] for i, j in zip(*np.nonzero(d <= 1.1), strict=True) if i != j} | {("p", "q"): 0.5, ("q", "p"): 0.5}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    tree = pairs._jdf.queryExecution().optimizedPlan().toString()
+    crossed = tree[tree.index("Join Cross") :]
+    assert "Generate explode" not in crossed and "RepartitionByExpression" not in crossed and crossed.count("Repartition 13") == 2
+
+
+@pytest.mark.parametrize("scale", [1e-15, 1e-6, 1.0, 1e6, 1e17])
+def test_narrowing_loses_no_pair(scale):
+    r = np.random.default_rng(3)
+    a, step = r.normal(size=(600, 24)), r.normal(size=(600, 24))
+    b = a + step / np.linalg.norm(step, axis=1, keepdims=True) * r.choice([0.2, 1 - 1e-12, 1 + 1e-9, 3], (600, 1))
+    a, b, ids = a * scale, b * scale, pa.array(np.arange(600))
+    for limit in (scale, 0.0):
+        found = {(i, j) for x, y, _ in cepstra._within(ids, a, ids, b, limit) for i, j in zip(x.to_pylist(), y.to_pylist(), strict=True)}
+        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+        assert found == {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= limit), strict=True)}
