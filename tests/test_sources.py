@@ -127,3 +127,30 @@ def test_many_small_files_share_tasks(spark):
     assert got.rdd.getNumPartitions() <= 3000 * (pcm.OPENING + 1000) // pcm.RANGE + 1 + spark.sparkContext.defaultParallelism
     tasks = pcm.plan_ranges([(str(i), 1000) for i in range(3000)], pcm.RANGE, pcm.OPENING)
     assert 10 <= len(tasks) <= 20 and sum(map(len, tasks)) == 3000
+
+
+def test_long_files_are_written_in_pieces(spark, tmp_path):
+    """Pieces come in any order and from many tasks; a file has them in the order of their places."""
+    want = {f"f{k}.wav": [bytes([k, i % 251]) * (i % 7) for i in range(3000)] for k in range(3)}
+    rows = [(name, i, p) for name, ps in want.items() for i, p in enumerate(ps)]
+    np.random.default_rng(1).shuffle(order := list(range(len(rows))))
+    pieces = spark.createDataFrame([rows[i] for i in order], "name string, place long, content binary").repartition(5)
+    got = {r["name"]: r["length"] for r in media.write_pieces(pieces, str(tmp_path / "out")).collect()}
+    assert got == {name: len(b"".join(ps)) for name, ps in want.items()}
+    assert all((tmp_path / "out" / name).read_bytes() == b"".join(ps) for name, ps in want.items())
+    assert media.write_pieces(pieces.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_no_row_holds_a_long_file(spark):
+    """The files of the query are dealt in pieces of a fixed number of samples."""
+    from wavemill.plans import files
+
+    rows = files.long_pieces(spark, "/root/testdata/sf0.01").selectExpr("name", "place", "length(content) AS n").collect()
+    assert max(r.n for r in rows) == 3 * files.PIECE and sum(r.n for r in rows if r.place >= 0) == 3 * 60_000
+    assert len(rows) > 3 * 5 and sorted(r.n for r in rows if r.place < 0) == [44] * 3
+
+
+def test_small_ranges_share_tasks(spark):
+    files = spark.createDataFrame([("/nowhere/a", 50_000_000), ("/nowhere/b", 10)], "path string, length long")
+    got = pcm.read_ranges(files, range_bytes=10_007).rdd.getNumPartitions()
+    assert got <= 5000 * (pcm.OPENING + 10_007) // pcm.RANGE + 2 + spark.sparkContext.defaultParallelism

@@ -61,20 +61,27 @@ def ingested(s, d):
     return sample_rows(b)
 
 
-def long_files(s, d):
-    """``(name, content)``: a file of 24-bit samples for each of the long tracks."""
-    x = sig_flag(s, d).select("track_id", "idx", _little(F.col("q"), 3).alias("h"))
-    t = x.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("idx", "h"))).alias("s"), F.count(F.lit(1)).alias("n"))
-    size = (F.col("n") * 3).cast("int")
+#: Samples of a piece of a long file.
+PIECE = 4096
+
+
+def long_pieces(s, d):
+    """``(name, place, content)``: a file of 24-bit samples for each of the long tracks, its header and then pieces of its samples."""
+    x = sig_flag(s, d).select("track_id", "idx", "q")
+    name = F.concat(F.lit("long_"), "track_id", F.lit(".wav")).alias("name")
+    size = F.col("n") * 3
     form = "57415645666d742010000000" "01000100" + RATE.to_bytes(4, "little").hex() + (3 * RATE).to_bytes(4, "little").hex() + "0300" "1800" "64617461"
-    body = F.array_join(F.transform("s", lambda e: e["h"]), "")
-    return t.select(F.concat(F.lit("long_"), "track_id", F.lit(".wav")).alias("name"), F.unhex(F.concat(F.lit("52494646"), _little(size + 36, 4), F.lit(form), _little(size, 4), body)).alias("content"))
+    head = F.unhex(F.concat(F.lit("52494646"), _little(size + 36, 4), F.lit(form), _little(size, 4)))
+    heads = x.groupBy("track_id").agg(F.count(F.lit(1)).alias("n")).select(name, F.lit(-1).cast("long").alias("place"), head.alias("content"))
+    held = F.array_sort(F.collect_list(F.struct("idx", _little(F.col("q"), 3).alias("h"))))
+    pieces = x.groupBy("track_id", F.floor(F.col("idx") / PIECE).alias("place")).agg(held.alias("s"))
+    return heads.unionByName(pieces.select(name, "place", F.unhex(F.array_join(F.transform("s", lambda e: e["h"]), "")).alias("content")))
 
 
 def ingested_by_ranges(s, d):
-    """Long files in ranges of an odd number of bytes, so that borders lie inside frames; a task for each."""
+    """Long files in ranges of an odd number of bytes, so that borders lie inside frames; many ranges to a task."""
     folder = shared_folder(s, "media")
-    media.write_media(long_files(s, d), folder).agg(F.sum("length")).collect()
+    media.write_pieces(long_pieces(s, d), folder).agg(F.sum("length")).collect()
     b = media.ingest_pcm(media.scan_media(s, folder), block=1000, range_bytes=10_007).where("error is null")
     return sample_rows(b)
 

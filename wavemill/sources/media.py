@@ -62,6 +62,36 @@ def write_media(files: DataFrame, folder: str) -> DataFrame:
     return files.select("name", "content").mapInPandas(run, "name string, length long")
 
 
+def write_pieces(pieces: DataFrame, folder: str) -> DataFrame:
+    """The same for files in pieces ``(name, place, content)``: those of a file are written one after the other, in the order of ``place``.
+
+    A file is one stream and so one task's, which holds a batch of pieces at a time, however long the file is.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        system.create_dir(base, recursive=True)
+        name, out, length = None, None, 0
+        try:
+            for b in batches:
+                for own, raw in zip(b.column(0).to_pylist(), b.column(2), strict=True):
+                    if own != name:
+                        if out is not None:
+                            out.close()
+                            yield pa.record_batch([pa.array([name]), pa.array([length])], names=["name", "length"])
+                        name, out, length = own, system.open_output_stream(f"{base}/{own}"), 0
+                    length += out.write(raw.as_buffer())
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            yield pa.record_batch([pa.array([name]), pa.array([length])], names=["name", "length"])
+
+    return pieces.select("name", "place", "content").repartition("name").sortWithinPartitions("name", "place").mapInArrow(run, "name string, length long")
+
+
 def with_digest(tracks: DataFrame) -> DataFrame:
     """MD5 of the whole file; where there is no content, as of files too long for a cell, the file is read through in pieces."""
 

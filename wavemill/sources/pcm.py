@@ -222,11 +222,13 @@ def read_pcm_files(spark: SparkSession, path: str, recursive: bool = False, bloc
 
 
 def read_ranges(files: DataFrame, block: int = BLOCK, range_bytes: int = RANGE) -> DataFrame:
-    """The same for a table ``(path, length)``: its rows become ranges, which are dealt evenly to tasks; small files share one."""
+    """The same for a table ``(path, length)``: its rows become ranges, which are dealt evenly to tasks; small ones share one."""
     low = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("low")
     ranges = files.select("path", F.col("length").cast("long").alias("length"), low)
-    asked, total = files.agg(F.sum(F.floor(F.col("length") / range_bytes) + 1), F.sum(F.col("length") + OPENING)).first()
-    tasks = min(asked or 1, max(-(-(total or 1) // range_bytes), files.sparkSession.sparkContext.defaultParallelism))
+    asked, total = files.agg(F.sum(F.floor(F.col("length") / range_bytes) + 1), F.sum("length")).first()
+    # Every range opens its file, so small ranges share a task as small files do.
+    load = (total or 0) + (asked or 0) * OPENING
+    tasks = min(asked or 1, max(-(-load // max(range_bytes, RANGE)), files.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
